@@ -1,3 +1,19 @@
 """DuckDB SQL with the same rows as the queries; the other queries are tested against brute force."""
 
-SQL: dict[str, str] = {}
+_CHAT = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce("text", '') as body from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), e as (
+  select *, replace(replace(replace(body, '\', '\\'), '<', '\<'), '>', '\>') as eb,
+    replace(replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>'), chr(10), '\' || chr(10)) as er from t
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || body || chr(10), '' order by turn nulls first, role, eb)) as turns_sha256,
+  coalesce(sum(length(body)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(body, '' order by turn nulls first, role, eb) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(length(er) + length(eb) + 16)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+SQL: dict[str, str] = {"op1_chat_format": _CHAT}

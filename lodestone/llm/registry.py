@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, oracles
+from . import chat, fingerprints, mixing, oracles
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op8_entropy_mix": mixing.op8_entropy_mix,
 }
