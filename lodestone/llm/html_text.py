@@ -95,15 +95,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
 
 
 def walk(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
-    """Tokens with the features of the open elements around them; inline elements but links open none."""
+    """Tokens with the features of the open elements around them; elements that seldom close open none."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     frozen: tuple[tuple[str, ...], ...] = ()
     for kind, what, marks in tokens(page):
         if kind == "open" and (what not in _PARAGRAPH or marks):
             if what in ("li", "a", "dd", "dt", "td", "th", "tr", "option") and stack and stack[-1][0] == what:
                 stack.pop()
-            inside = (what, "li>a") if what == "a" and any(t == "li" for t, _ in stack[-2:]) else (what,)
-            stack.append((what, (*inside, *marks)))
+            stack.append((what, (what, *marks)))
             frozen = tuple(f for _, f in stack)
         elif kind == "close":
             for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
@@ -121,7 +120,7 @@ def walk(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
 def labelled_pages() -> list[str]:
     """Pages with their main text marked, in the common layouts of articles, posts and plain pages."""
     body = "".join(f"<p>The {a} of the {b} was <a href='/x'>{c}</a> and <em>held</em> for long.</p>" for a, b, c in (("first", "river", "wide"), ("name", "town", "old"), ("work", "day", "long")))
-    rest = "<h2>More words</h2><ul><li>one thing said here in full</li><li>another thing said here</li></ul><blockquote>It was said so.</blockquote><table><tr><td>one cell</td><td>two</td></tr></table><figure><figcaption>A view of it</figcaption></figure><pre>kept as is</pre><section><h2>A part</h2><p>Words of this part.</p></section><section><div><p>Words of that part.</p></div></section>"
+    rest = "<h2>More words</h2><ul><li>one thing said here in full</li><li>another thing said here</li></ul><ol><li>first of <a href='/y'>these</a> things</li></ol><blockquote>It was said so.</blockquote><table><tr><td>one cell</td><td>two</td></tr></table><figure><figcaption>A view of it</figcaption></figure><pre>kept as is</pre><section><h2>A part</h2><p>Words of this part.</p></section><section><div><p>Words of that part.</p></div></section>"
     head = "<h1>What is <b>told</b> here</h1>"
     links = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("home", "news", "sport"))
     kinds = [
