@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat, fingerprints, html_text, mixing, oracles
+from . import ann, chat, fingerprints, html_text, language, mixing, oracles
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op5_language_filters": language.op5_language_filters,
     "op6_learned_partitions": ann.op6_learned_partitions,
     "op10_html_text": html_text.op10_html_text,
     "op8_entropy_mix": mixing.op8_entropy_mix,
