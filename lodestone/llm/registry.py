@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, chat, fingerprints, html_text, language, mixing, oracles
+from . import ann, chat, fingerprints, html_text, language, mixing, oracles, orc_ids, packing
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_pack_windows": packing.op3_pack_windows,
+    "op4_orc_ids": orc_ids.op4_orc_ids,
     "op5_language_filters": language.op5_language_filters,
     "op6_learned_partitions": ann.op6_learned_partitions,
     "op10_html_text": html_text.op10_html_text,
