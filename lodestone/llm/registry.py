@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, fingerprints, html_text, language, mixing, oracles, orc_ids, packing
+from . import ann, chat, fingerprints, html_text, language, line_dedup, mixing, near_dedup, oracles, orc_ids, packing
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_orc_ids": orc_ids.op4_orc_ids,
     "op5_language_filters": language.op5_language_filters,
     "op6_learned_partitions": ann.op6_learned_partitions,
+    "op7_weighted_minhash": near_dedup.op7_weighted_minhash,
+    "op9_line_runs": line_dedup.op9_line_runs,
     "op10_html_text": html_text.op10_html_text,
     "op8_entropy_mix": mixing.op8_entropy_mix,
 }
