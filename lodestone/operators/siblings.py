@@ -1,0 +1,38 @@
+"""Structural neighbours of hits, versions and final limits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .rank import top
+
+
+def attach(primaries: DataFrame, corpus: DataFrame, distance: int) -> DataFrame:
+    """dieu, khoan, found_by, score 0: clauses of the corpus within ``distance`` of a primary clause of their article that are no
+    primaries; the first primary that brings a clause is kept. An equi-join on the article with a band on the clause."""
+    p = primaries.select("dieu", F.col("khoan").alias("p"))
+    near = corpus.join(p, "dieu").filter(F.abs(F.col("khoan") - F.col("p")).between(1, distance))
+    return near.join(primaries, ["dieu", "khoan"], "left_anti").groupBy("dieu", "khoan").agg(F.min("p").alias("found_by")).withColumn("score", F.lit(0.0))
+
+
+def expand(asked: DataFrame, corpus: DataFrame, limit: int = 30) -> DataFrame:
+    """All clauses of each asked article (q_dieu, q_khoan), 0.18 and 0.10 for the article, 0.10 for the clause, 0.03 for its level."""
+    score = F.round(F.lit(0.18) + 0.10 + F.when(F.col("khoan") == F.col("q_khoan"), 0.10).otherwise(0.0) + 0.03, 6)
+    found = asked.join(corpus, F.col("dieu") == F.col("q_dieu")).withColumn("score", score)
+    return top(found, ["q_dieu", "q_khoan"], [F.desc("score"), F.col("khoan")], limit)
+
+
+def without_superseded(hits: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """hits (query_id, source) without those whose source has a newer one among the question's hits."""
+    names = hits.sparkSession.createDataFrame(pairs, "newer string, older string")
+    gone = hits.join(names, F.col("source") == F.col("newer")).select("query_id", F.col("older").alias("source")).distinct()
+    return hits.join(gone, ["query_id", "source"], "left_anti")
+
+
+def limited(hits: DataFrame, k: int) -> DataFrame:
+    """hits (query_id, rank, article, clause) up to the final limit of each question."""
+    n = F.count("*").over(W.partitionBy("query_id"))
+    most = F.when(F.col("article") & F.col("clause"), max(k, 12)).when(F.col("article"), max(k, 8)).otherwise(k)
+    return hits.withColumn("n", n).filter(F.col("rank") <= F.least(most, F.col("n")))
