@@ -1,2 +1,122 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over segmentation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.operators import segment as S
+from lodestone.sources import table
+
+from . import sql
+
+#: A small law: two documents of pages.
+PAGES = [
+    ("law", 1, "Mở đầu\nCHƯƠNG I\nĐiều 5. Nội dung quản lý\n1. Cơ quan quản lý thực hiện đăng ký.\n2. Nội dung gồm:\na) khai báo;\nb) nộp tiền."),
+    ("law", 2, "CHƯƠNG II\nĐiều 16. Xử lý chậm nộp\n1. Các trường hợp:\na) nộp muộn;\nb) khai sai.\n2. Mức tính theo ngày.\n5. Trường hợp được miễn."),
+    ("law", 3, "Điều 17. Nội dung quản lý\n1. Cơ quan quản lý thực hiện đăng ký.\nđ) điểm riêng."),
+    ("note", 1, "Điều 1. Phạm vi\n1. Phạm vi chung.\n\nĐiều 2. Hiệu lực\nCó hiệu lực ngay."),
+]
+
+
+def _pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PAGES, "doc string, page int, text string")
+
+
+def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(S.fixed_windows(F.col("text"), 800, 100)).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.md5("chunk").alias("hash"))
+
+
+def line_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(S.packed_lines(F.col("text"), 1800)).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.md5("chunk").alias("hash"))
+
+
+def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.articles(_pages(spark)).select("doc", "dieu", "title", "text")
+
+
+def chapter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last view of each user before each of their purchases."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    from pyspark.sql import Window as W
+
+    before = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
+    return events.withColumn("view_id", before).filter("event_type = 'purchase'").select("user_id", "event_id", "view_id")
+
+
+def article_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.articles(_pages(spark)).select("doc", "dieu", "chapter", "first_page")
+
+
+def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.clauses(S.articles(_pages(spark))).select("doc", "dieu", "khoan", "text")
+
+
+def point_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.points(S.clauses(S.articles(_pages(spark)))).select("doc", "dieu", "khoan", "diem", "text")
+
+
+def refine_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.refined(_pages(spark)).select("doc", "dieu", "khoan", "diem", "level", "hash")
+
+
+def smart_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.chunked(table(spark, sf_dir, "documents"), S.smart_cuts)
+
+
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.chunked(table(spark, sf_dir, "documents"), S.recursive_cuts)
+
+
+QUERIES = {f.__name__: f for f in (fixed_window_chunks, line_pack_chunks, article_split, chapter_asof, article_chapters, clause_split, point_split, refine_chunks, smart_split, recursive_chunks)}
+
+_HEAD = r"(?i)(^|\n)([ \t]*(?:Đi.{0,2}u\s+\d+\.|CHƯƠNG\s+[IVXLCDM]+))"
+_ARTICLES = rf"""
+p as {sql.values(PAGES, 'doc, page, text')},
+w as (select doc, string_agg(text, chr(10) || chr(10) order by page) as t from p group by doc),
+parts as (select doc, generate_subscripts(s, 1) as pos, trim(unnest(s), ' ' || chr(10) || chr(9)) as part from (select doc, string_split(regexp_replace(t, '{_HEAD}', chr(1) || '\1\2', 'g'), chr(1)) as s from w)),
+c as (select *, nullif(upper(regexp_extract(part, '(?i)^CHƯƠNG\s+([IVXLCDM]+)', 1)), '') as ch from parts),
+h as (select *, last_value(ch ignore nulls) over (partition by doc order by pos) as chapter, regexp_extract(part, '(?i)^Đi.{{0,2}}u\s+(\d+)\.', 1) as no from c),
+art as (select doc, chapter, no::integer as dieu, trim(regexp_extract(part, '(?i)^Đi.{{0,2}}u\s+\d+\.\s*([^\n]+)', 1)) as title, part as text from h where no <> ''),
+fp as (select doc, no::integer as dieu, min(page) as first_page from (select doc, page, unnest(regexp_extract_all(text, '(?i)Đi.{{0,2}}u\s+(\d+)\.', 1)) as no from p) group by all),
+cl as (
+  select doc, dieu, title, regexp_extract(part, '^\n[ \t]*(\d+)\.\s+', 1)::integer as khoan, trim(regexp_replace(part, '^\n[ \t]*\d+\.\s+', ''), ' ' || chr(10) || chr(9)) as text
+  from (select doc, dieu, title, unnest(string_split(regexp_replace(chr(10) || regexp_replace(text, '^[^\n]*\n?', ''), '(\n[ \t]*\d+\.\s+)', chr(1) || '\1', 'g'), chr(1))) as part from art)
+  where regexp_extract(part, '^\n[ \t]*(\d+)\.\s+', 1) <> ''
+),
+pt as (
+  select doc, dieu, title, khoan, nullif(regexp_extract(part, '^\n[ \t]*([a-zđ])\)\s+', 1), '') as diem, trim(regexp_replace(part, '^\n[ \t]*[a-zđ]\)\s+', ''), ' ' || chr(10) || chr(9)) as text
+  from (select doc, dieu, title, khoan, unnest(string_split(regexp_replace(chr(10) || text, '(\n[ \t]*[a-zđ]\)\s+)', chr(1) || '\1', 'g'), chr(1))) as part from cl)
+  where trim(regexp_replace(part, '^\n[ \t]*[a-zđ]\)\s+', ''), ' ' || chr(10) || chr(9)) <> ''
+)
+"""
+
+ORACLE_SQL = {
+    "fixed_window_chunks": """
+select doc_id, unnest(range(0, greatest(0, length(text) - 1 - 100) // 700 + 1))::integer as chunk_index, md5(substring(text, unnest(range(0, greatest(0, length(text) - 1 - 100) // 700 + 1)) * 700 + 1, 800)) as hash from documents where length(text) > 0
+""",
+    "line_pack_chunks": r"""
+with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as ls from documents),
+f as (select doc_id, list_reduce(list_transform(ls, lambda x: [x]), lambda a, x: case when len(a) > 0 and length(a[-1]) + length(x[1]) + 1 <= 1800 then list_concat(a[1:-2], [a[-1] || chr(10) || x[1]]) else list_concat(a, x) end, []::varchar[]) as c from l)
+select doc_id, (generate_subscripts(c, 1) - 1)::integer as chunk_index, md5(unnest(c)) as hash from f
+""",
+    "article_split": f"with {_ARTICLES} select doc, dieu, title, text from art",
+    "chapter_asof": """
+select user_id, event_id, view_id from (select *, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as view_id from events) where event_type = 'purchase'
+""",
+    "article_chapters": f"with {_ARTICLES} select doc, dieu, chapter, coalesce(first_page, -1) as first_page from art left join fp using (doc, dieu)",
+    "clause_split": f"with {_ARTICLES} select doc, dieu, khoan, text from cl",
+    "point_split": f"with {_ARTICLES} select doc, dieu, khoan, diem, text from pt",
+    "refine_chunks": rf"""with {_ARTICLES},
+r as (
+  select doc, dieu, null::integer as khoan, null::varchar as diem, 1 as level, text from art
+  union all select doc, dieu, khoan, diem, case when diem is null then 2 else 3 end, concat_ws(chr(10), title, 'Khoản ' || khoan || '.', 'Điểm ' || diem || ')', text) from pt
+)
+select doc, dieu, khoan, diem, level, hash from (
+  select *, row_number() over (partition by hash order by doc, dieu, level, coalesce(khoan, 0), coalesce(list_position(['a','b','c','d','đ','e','g','h','i','k','l','m','n'], diem), 0)) as n
+  from (select *, md5(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) as hash from r)
+) where n = 1
+""",
+}

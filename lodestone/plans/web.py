@@ -1,2 +1,48 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over raw pages: links, hosts and article texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import web
+from lodestone.operators.rank import top
+from lodestone.sources import table
+
+
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with a title, absolute, the first of each address on a page."""
+    pages = table(spark, sf_dir, "pages")
+    links = pages.select("page_id", "url", F.posexplode(web.links(F.col("html"))).alias("pos", "a"))
+    rows = links.select("page_id", "pos", web.absolute(F.col("url"), F.col("a.href")).alias("link"), web.stripped(F.col("a.title")).alias("title")).filter("title <> '' and link <> ''")
+    return top(rows, ["page_id", "link"], [F.col("pos")], 1, "n").select("page_id", "link", "title")
+
+
+def html_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the article element where it has 300 characters at least."""
+    text = web.stripped(F.regexp_extract("html", r"(?is)<article[^>]*>(.*?)</article>", 1))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.alias("t"))
+    return rows.select("page_id", F.when(F.char_length("t") >= 300, F.char_length("t")).cast("bigint").alias("n_chars"), F.when(F.char_length("t") >= 300, F.md5("t")).alias("hash"))
+
+
+def page_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).agg(F.count("*").alias("n_pages"))
+
+
+QUERIES = {f.__name__: f for f in (html_links, html_article_text, page_host)}
+
+_STRIP = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
+
+ORACLE_SQL = {
+    "html_links": rf"""
+with a as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) as title,
+  generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1), 1) as pos from pages),
+b as (select page_id, pos, case when regexp_matches(href, '(?i)^https?://') then href when starts_with(href, '/') then regexp_extract(url, '^(\w+://[^/?#]+)', 1) || href when href = '' then '' else regexp_extract(url, '^(\w+://[^/?#]+)', 1) || '/' || href end as link, {_STRIP.format('title')} as title from a)
+select page_id, link, title from b where title <> '' and link <> '' qualify row_number() over (partition by page_id, link order by pos) = 1
+""",
+    "html_article_text": rf"""
+with t as (select page_id, {_STRIP.format("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} as t from pages)
+select page_id, case when length(t) >= 300 then length(t) end as n_chars, case when length(t) >= 300 then md5(t) end as hash from t
+""",
+    "page_host": r"select lower(regexp_extract(url, '^\w+://([^/:?#]+)', 1)) as host, count(*) as n_pages from pages group by 1",
+}
