@@ -1,2 +1,221 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over rules: questions, references, news, guards, evaluation and the feed."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import rules as V
+from lodestone.functions import text as T
+from lodestone.operators import questions as Q
+from lodestone.operators import rank as R
+from lodestone.sources import table
+from lodestone.streaming.feed import first_of_each
+
+from . import retrieval, sql
+
+QUESTIONS = [
+    ("q1", "Khoản 2 Điều 5 quy định gì về miễn tiền chậm nộp?"), ("q2", "hộ kinh doanh dưới 1 tỷ có phải nộp thuế không"), ("q3", "ngưỡng doanh thu hóa đơn điện tử"),
+    ("q4", "cho mình biết nội dung điều 1 của luật quản lý thuế"), ("q5", "Nghị định 68/2026 chương II điểm đ là gì"), ("q6", "Thông tư 18 về biên lai thu tiền phạt, mức phạt"),
+    ("q7", "hóa đơn điện tử khởi tạo từ máy tính tiền: thủ tục"), ("q8", "trách nhiệm đăng ký thuế"), ("q9", "xin chào"), ("q10", ""),
+]
+NEWS = [
+    (1, "Bỏ thuế khoán với hộ kinh doanh từ 2026", "Nghị định số 68/2026/NĐ-CP và 68/2026/NĐ-CP, Luật số 108/2025/QH15; 05/03/2026"),
+    (2, "Hóa đơn điện tử từ máy tính tiền", "Thông tư số 32/2025/TT-BTC có hiệu lực 1-6-2025"), (3, "Xử phạt chậm nộp", "Công văn số 123/TCT-CS và Quyết định số 5/QĐ"),
+    (4, "Sàn thương mại điện tử kê khai thay", "đăng ngày 2026-01-31"), (5, "Tin khác", None), (6, None, "mã số thuế là định danh cá nhân, nộp thuế"),
+]
+ASKED = [("a", "bỏ thuế khoán hộ kinh doanh kê khai"), ("b", "hóa đơn điện tử máy tính tiền"), ("c", "sàn thương mại điện tử"), ("d", "khác")]
+ITEMS = [
+    ("i1", "resolution", "Nghị quyết 198/2025/QH15", 4, None, ["miễn", "giảm"], ["nghị quyết"], ["không áp dụng"], ["Điều 4"]), ("i2", "resolution", None, None, None, [], [], [], []),
+    ("i3", "cross_document", "68-2026-ND-CP", 5, 2, ["doanh thu"], [], ["bắt buộc"], []), ("i4", None, "khác", None, 1, ["x"], ["y"], [], ["z"]), ("i5", "vat", None, 7, None, ["THUẾ"], [], [], []),
+]
+ANSWERS = [
+    ("i1", "Theo Nghị quyết, được Miễn theo Điều 4.", "198-2025-QH15", 4, None), ("i2", "Không rõ.", None, None, None), ("i3", "Doanh thu là bắt buộc.", "68-2026-ND-CP", 5, 3),
+    ("i4", "x y z", "khác", None, 1), ("i5", "thuế suất", "x", 8, None),
+]
+GUARDED = [
+    (1, "Tôi có phải nộp thuế không?", "Bạn không phải nộp thuế.", "Ngưỡng là 1 tỷ đồng."), (2, "Tôi có phải nộp thuế không?", "Bạn không phải nộp thuế.", "Hộ này không phải nộp thuế."),
+    (3, "Điều 5 là gì?", "Bạn không phải nộp thuế.", ""), (4, "có phải nộp thuế", "Có.", ""),
+]
+SAFE = "Chưa đủ căn cứ để kết luận."
+BOOSTS = [("license", 0.5), ("reserved", 0.25), ("ing", 0.01), ("ción", 0.05)]
+STOP, NOISE = ["All rights reserved", "licensed under"], ["Of.", "And ornd."]
+
+
+def query_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.analyzed(spark.createDataFrame(QUESTIONS, "query_id string, question string"))
+
+
+def legal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string")
+    return news.select("news_id", F.array_join(T.references(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))), "|").alias("refs"))
+
+
+def published_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string")
+    return news.select("news_id", T.published_at(F.coalesce("summary", F.lit(""))).alias("published_at"))
+
+
+def _news_text() -> Column:
+    return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
+
+
+def news_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string")
+    return news.select("news_id", T.first_class(_news_text(), V.NEWS_TOPICS, "general_tax_news").alias("topic"), T.weight_in(_news_text(), V.NEWS_WEIGHTS).alias("relevance"))
+
+
+def news_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string").select("news_id", "title", "summary", T.first_class(_news_text(), V.NEWS_TOPICS, "general_tax_news").alias("topic"), T.weight_in(_news_text(), V.NEWS_WEIGHTS).alias("relevance"))
+    asked = spark.createDataFrame(ASKED, "query_id string, query string")
+    score = Q.news_score(F.col("query"), F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.col("topic"), F.col("relevance"))
+    return asked.crossJoin(news).select("query_id", "news_id", F.round(score, 6).alias("score"))  # a few fixed rows
+
+
+def content_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", Q.cleaned_news(F.element_at(F.split("text", "\n"), 1), F.col("text"), STOP, NOISE).alias("t")).select("doc_id", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("hash"))
+
+
+def rule_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused hits with every rule's weight, ranked anew."""
+    hits = retrieval.rrf_fusion(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = Q.boosted(hits.select("query_id", "doc_id", "text", "score", "rank"), spark.createDataFrame(BOOSTS, "phrase string, weight double"))
+    total = found.withColumn("total", F.round(F.col("score") + F.col("boost"), 9))
+    return R.top(total, ["query_id"], [F.desc("total"), F.col("rank")], 10, "place").select("query_id", "doc_id", "total", "place")
+
+
+def answer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(GUARDED, "id int, question string, answer string, context string")
+    return rows.select("id", Q.guarded(F.col("answer"), F.col("question"), F.col("context"), SAFE).alias("answer"))
+
+
+def source_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one answer with its sources: turns in order, with a label."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" | ", F.col("conv_id").cast("string"), F.concat(F.lit("Điều "), F.col("turn").cast("string")), F.nullif("role", F.lit("user"))).alias("label"))
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "label"))).alias("s"))
+    return rows.select("conv_id", F.size("s").alias("n_sources"), F.array_join(F.transform("s", lambda x: x["label"]), "; ").alias("sources"))
+
+
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractive answer to every question: the first line of its best document, or a fixed one where none is found."""
+    best = retrieval.rrf_fusion(spark, sf_dir).filter("rank = 1").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return asked.join(best, "query_id", "left").select("query_id", "doc_id", F.coalesce(F.left(F.element_at(F.split("text", "\n"), 1), F.lit(200)), F.lit(SAFE)).alias("answer"))
+
+
+def _flags(spark: SparkSession) -> DataFrame:
+    items = spark.createDataFrame(ITEMS, "id string, category string, expected_document string, expected_dieu int, expected_khoan int, expected_keywords array<string>, must_contain array<string>, must_not_contain array<string>, expected_citation array<string>")
+    answers = spark.createDataFrame(ANSWERS, "id string, answer string, top_document string, top_dieu int, top_khoan int")
+    aliases = spark.createDataFrame([(k, a) for k, v in V.DOCUMENT_ALIASES.items() for a in v], "name string, alias string")
+    return Q.evaluated(items, answers, aliases)
+
+
+def eval_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark)
+
+
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.summary(_flags(spark))
+
+
+def eval_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.by_category(_flags(spark))
+
+
+def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.failures(_flags(spark))
+
+
+def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pass rates of labelled documents by source."""
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return labels.groupBy(F.coalesce("source", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n_items"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(F.col("toxic") == 1).alias("n_toxic"))
+
+
+def feed_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return first_of_each(spark, path, spark.read.parquet(path).schema, ["user_id", "event_type"], "ts")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (query_analyze, legal_refs, published_at, news_topic, news_score, content_cleaner, rule_boost, answer_guard, source_envelope, answer_batch, eval_flags, eval_summary, eval_category, eval_failures, eval_labels, feed_stream_dedup)
+}
+
+_QQ = "lower(trim(question))"
+_NT = "lower(coalesce(title, '') || ' ' || coalesce(summary, ''))"
+_NEWS = sql.values(NEWS, "news_id, title, summary")
+_WEIGHT = " + ".join(f"case when contains({_NT}, {sql.quoted(k)}) then {v}::double else 0 end" for k, v in V.NEWS_WEIGHTS.items())
+_SCORE = " + ".join(
+    [f"case when contains(q, {sql.quoted(p)}) then case when contains(t, {sql.quoted(p)}) then 4.0 when contains(x, {sql.quoted(p)}) then 2.0 else 0 end else 0 end" for p in V.QUERY_TERMS]
+    + [f"case when topic = {sql.quoted(n)} then case when contains(q, {sql.quoted(p)}) then 2.5 else 0 end + case when contains(t, {sql.quoted(p)}) then 2.0 when contains(x, {sql.quoted(p)}) then 1.0 else 0 end else 0 end" for n, ps in V.TOPIC_KEYWORDS.items() for p in ps]
+    + [f"case when {sql.first_class('q', V.QUERY_TOPICS)} = topic then 3.0 else 0 end", "relevance * 0.15"]
+)
+_REFS = ", ".join(f"list_transform(regexp_extract_all(s, {sql.quoted('(?i)' + f)}, 0), lambda x: trim(x))" for f in V.REFERENCE_FORMS)
+_ITEMS = sql.values(ITEMS, "id, category, expected_document, expected_dieu, expected_khoan, expected_keywords, must_contain, must_not_contain, expected_citation")
+_HELD = "list_filter({}, lambda k: contains(lower(answer), lower(k)))"
+_FLAGS = f"""
+with al as {sql.values([(k, a) for k, v in V.DOCUMENT_ALIASES.items() for a in v], 'name, alias')},
+f as (
+  select i.id, coalesce(category, 'unknown') as category,
+    expected_document is null or coalesce(case when exists (select 1 from al where name = expected_document) then exists (select 1 from al where name = expected_document and alias = top_document) else top_document = expected_document end, false) as document_correct,
+    expected_dieu is null or coalesce(expected_dieu = top_dieu, false) as dieu_correct, expected_khoan is null or coalesce(expected_khoan = top_khoan, false) as khoan_correct,
+    len({_HELD.format('expected_keywords')}) > 0 as keyword_match, len({_HELD.format('must_contain')}) = len(must_contain) as must_contain_match, len({_HELD.format('must_not_contain')}) = 0 as hallucination_safe,
+    len(expected_citation) = 0 or len({_HELD.format('expected_citation')}) > 0 as citation_correct
+  from {_ITEMS} i left join {sql.values(ANSWERS, 'id, answer, top_document, top_dieu, top_khoan')} a on i.id = a.id
+)"""
+_OK = " and ".join(Q.FLAGS)
+_CUT = "case when p is null then text else substring(text, 1, p - 1) end"
+
+ORACLE_SQL = {
+    "query_analyze": rf"""
+select query_id, try_cast(nullif(regexp_extract({_QQ}, 'điều\s+(\d+)', 1), '') as integer) as dieu, try_cast(nullif(regexp_extract({_QQ}, 'khoản\s+(\d+)', 1), '') as integer) as khoan,
+  nullif(regexp_extract({_QQ}, 'điểm\s+([a-zđ])', 1), '') as diem, upper(nullif(regexp_extract({_QQ}, 'chương\s+([ivxlcdm0-9]+)', 1), '')) as chuong, {sql.first_class(_QQ, V.INTENTS)} as intent,
+  {sql.first_class(_QQ, [(d[0], d[3]) for d in V.DOCUMENTS])} as ma_van_ban, coalesce({sql.first_class(_QQ, [(d[2], d[3]) for d in V.DOCUMENTS])}, {sql.first_class(_QQ, V.DOCUMENT_TYPES)}) as loai_van_ban,
+  array_to_string(list_filter([{', '.join(map(sql.quoted, V.LEGAL_PHRASES))}], lambda p: contains({_QQ}, p)), '|') as phrases, {sql.first_class(_QQ, V.TOPICS)} as chu_de, {sql.first_class(_QQ, V.LEGAL_TOPICS)} as legal_topic,
+  {sql.any_of(_QQ, V.AMENDMENT_PHRASES)} or {sql.any_of(_QQ, V.THRESHOLD_PHRASES)} as amendment from {sql.values(QUESTIONS, 'query_id, question')}
+""",
+    "legal_refs": f"""
+with n as (select news_id, coalesce(title, '') || ' ' || coalesce(summary, '') as s from {_NEWS}), r as (select news_id, flatten([{_REFS}]) as l from n)
+select news_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') as refs from r
+""",
+    "published_at": rf"""
+with n as (select news_id, coalesce(summary, '') as s from {_NEWS})
+select news_id, coalesce(strftime(try_strptime(nullif(replace(regexp_extract(s, '(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}})'), '-', '/'), ''), '%d/%m/%Y'), '%Y-%m-%d'), nullif(regexp_extract(s, '\d{{4}}-\d{{2}}-\d{{2}}'), '')) as published_at from n
+""",
+    "news_topic": f"select news_id, {sql.first_class(_NT, V.NEWS_TOPICS, 'general_tax_news')} as topic, ({_WEIGHT})::double as relevance from {_NEWS}",
+    "news_score": f"""
+with n as (select news_id, lower(coalesce(title, '')) as t, lower(coalesce(summary, '')) as x, {sql.first_class(_NT, V.NEWS_TOPICS, 'general_tax_news')} as topic, ({_WEIGHT})::double as relevance from {_NEWS}),
+a as (select query_id, lower(query) as q from {sql.values(ASKED, 'query_id, query')})
+select query_id, news_id, round(({_SCORE})::double, 6) as score from a, n
+""",
+    "content_cleaner": rf"""
+with d as (select doc_id, text, trim(string_split(text, chr(10))[1]) as title, list_min(list_filter([{', '.join(f'strpos(text, {sql.quoted(s)})' for s in STOP)}], lambda i: i > 0)) as p from documents),
+l as (select doc_id, title, list_filter(list_transform(string_split({_CUT}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '' and x not in ({', '.join(map(sql.quoted, NOISE))}) and not regexp_matches(x, '^(Địa chỉ:|Điện thoại:|Fax:)')) as ls from d),
+t as (select doc_id, array_to_string(list_filter(ls, lambda x, i: x <> title or i = list_position(ls, title)), chr(10)) as t from l)
+select doc_id, case when length(t) >= 200 then length(t) end as n_chars, case when length(t) >= 200 then md5(t) end as hash from t
+""",
+    "rule_boost": f"""
+with {retrieval._BM25}, {retrieval._EXACT}, {retrieval._FUSED},
+hit as (select query_id, doc_id, rank, round(score + coalesce((select sum(weight::double) from {sql.values(BOOSTS, 'phrase, weight')} b where contains(text, phrase)), 0), 9) as total from ranked join documents using (doc_id) where rank <= 10)
+select query_id, doc_id, total, row_number() over (partition by query_id order by total desc, rank)::integer as place from hit
+""",
+    "answer_guard": f"""
+select id, case when contains(lower(question), 'phải nộp thuế') and contains(lower(answer), 'không phải nộp thuế') and not contains(lower(context), 'không phải nộp thuế') then {sql.quoted(SAFE)} else answer end as answer
+from {sql.values(GUARDED, 'id, question, answer, context')}
+""",
+    "source_envelope": """
+select conv_id, count(*)::integer as n_sources, string_agg(concat_ws(' | ', conv_id::varchar, 'Điều ' || turn, nullif(role, 'user')), '; ' order by turn) as sources from conversations group by conv_id
+""",
+    "answer_batch": f"""
+with {retrieval._BM25}, {retrieval._EXACT}, {retrieval._FUSED}
+select item_id as query_id, doc_id, coalesce(left(string_split(d.text, chr(10))[1], 200), {sql.quoted(SAFE)}) as answer from benchmark b left join ranked r on b.item_id = r.query_id and rank = 1 left join documents d using (doc_id)
+""",
+    "eval_flags": f"{_FLAGS} select * from f",
+    "eval_summary": f"{_FLAGS} select metric, count(*) filter (where met) as n_true, count(*) as n_items, round(100 * avg(met::integer), 4) as percent from (unpivot (select id, {', '.join(Q.FLAGS)} from f) on {', '.join(Q.FLAGS)} into name metric value met) group by metric",
+    "eval_category": f"{_FLAGS} select category, count(*) as n_items, count(*) filter (where {_OK}) as n_perfect, count(*) filter (where not ({_OK})) as n_failing, round(avg(({_OK})::integer), 6) as rate from f group by category",
+    "eval_failures": f"{_FLAGS} select id, category, concat_ws(',', {', '.join(f'case when not {m} then {sql.quoted(m)} end' for m in Q.FLAGS)}) as failed from f where not ({_OK})",
+    "eval_labels": "select coalesce(source, 'unknown') as category, count(*) as n_items, count(*) filter (where quality = 1) as n_good, count(*) filter (where toxic = 1) as n_toxic from labels join documents using (doc_id) group by 1",
+    "feed_stream_dedup": "select distinct user_id, event_type from events",
+}
