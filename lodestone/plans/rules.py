@@ -134,8 +134,8 @@ def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return first_of_each(spark, path, spark.read.parquet(path).schema, ["user_id", "event_type"], "ts")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return first_of_each(spark, f"{sf_dir}/event[s].parquet", schema, ["user_id", "event_type"], "ts")  # a stream takes one file as a pattern only
 
 
 QUERIES = {
