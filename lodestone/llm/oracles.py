@@ -16,4 +16,12 @@ select conv_id, count(*)::bigint as n_turns,
 from e group by conv_id
 """
 
-SQL: dict[str, str] = {"op1_chat_format": _CHAT}
+#: These pages mark their main text by one article element, whose only inline tag is b and only reference &amp;.
+_PAGES = r"""
+with t as (
+  select page_id, url, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) as "text" from pages
+)
+select page_id, url, "text", length("text")::bigint as n_chars from t
+"""
+
+SQL: dict[str, str] = {"op1_chat_format": _CHAT, "op10_html_text": _PAGES}
