@@ -19,7 +19,7 @@ from e group by conv_id
 #: These pages mark their main text by one article element, whose only inline tag is b and only references &quot;, &lt;, &gt; and &amp;.
 _PAGES = r"""
 with t as (
-  select page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as "text" from pages
+  select page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as "text" from pages
 )
 select page_id, url, "text", length("text")::bigint as n_chars from t
 """
