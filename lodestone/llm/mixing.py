@@ -11,7 +11,7 @@ shrinking bracket, solve it for all sources at once. Documents enter a step only
 (source, size), an exact pre-aggregation, so a hot source costs no more than its distinct sizes.
 
 Rates become whole copies by rounding the running sum of rates from the largest size down; the few
-words still missing or in excess are then made up with the smallest documents. Copies of a size are
+words still missing or in excess are then made up with the smallest documents, and one of the nearest size. Copies of a size are
 dealt to its documents by hash, in SALTS groups, so a hot (source, size) never meets in one task.
 """
 
@@ -122,11 +122,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     words = F.when(F.col("size") > 0, F.col("room") * F.col("size")).otherwise(0)
     left = F.greatest(F.lit(0.0), F.abs("short") - (F.sum("words").over(up) - F.col("words")))
     moved = F.when(F.col("size") > 0, F.least(F.floor(F.col("left") / F.col("size")), F.col("room"))).otherwise(0)
-    quota = (
-        rounded.withColumn("short", short).withColumn("room", room).withColumn("words", words).withColumn("left", left)
-        .withColumn("quota", (F.col("some") + F.signum("short") * moved).cast("long"))
-        .select("k", "size", "c", "quota", F.col("source_size").alias("total"), "target")
-    )
+    made_up = rounded.withColumn("short", short).withColumn("room", room).withColumn("words", words).withColumn("left", left).withColumn("moved", moved)
+    # one more document, of the size nearest to what is left, where that brings the source nearer to its target
+    rest = F.abs("short") - F.sum(F.col("moved") * F.col("size")).over(whole)
+    miss = F.when((F.col("room") > F.col("moved")) & (F.abs(F.col("rest") - F.col("size")) < F.col("rest")), F.struct(F.abs(F.col("rest") - F.col("size")).alias("off"), "size"))
+    last = made_up.withColumn("rest", rest).withColumn("nearest", F.min(miss).over(whole))
+    extra = F.when(F.col("nearest.size") == F.col("size"), 1).otherwise(0)
+    quota = last.withColumn("quota", (F.col("some") + F.signum("short") * (F.col("moved") + extra)).cast("long")).select("k", "size", "c", "quota", F.col("source_size").alias("total"), "target")
     inner = W.partitionBy("k", "size").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
     share = F.floor(F.col("quota") * F.col("seen") / F.col("c")) - F.floor(F.col("quota") * (F.col("seen") - F.col("n")) / F.col("c"))
     dealt = (
