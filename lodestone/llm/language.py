@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, near_best: float = NEAR_BEST)
             texts, names = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
             for name in np.unique(names):
                 own = [t for t, x in zip(texts, names) if x == name]
-                for h, _ in grams(own, 1 << 22):
+                for h, _ in grams(own):
                     g, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "g", "n"])
 
