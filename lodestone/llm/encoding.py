@@ -8,16 +8,18 @@ single spaces or line ends is therefore the join of its words' ids. Any other te
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Words kept by a worker; others are encoded whenever they come.
-KEPT = 400_000
+#: Words, and runs of letters, kept by a worker; others are encoded whenever they come.
+KEPT, KEPT_RUNS = 300_000, 450_000
 SLICE = 1 << 20
 _SPACE = re.compile(r"\s")
-#: One run of letters that have a composed form and a plain lower case, and a closing mark.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: One run of letters that have a composed form and a plain lower case, and one of marks without apostrophes (these may
+#: join letters). Both vocabularies cut between the two.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class OddSpace(Exception):
@@ -35,13 +37,13 @@ def _byte_marks() -> dict[int, str]:
 class _Words(dict):
     """Ids (little-endian unsigned 32-bit, joined) by word."""
 
-    def __init__(self, encode) -> None:
+    def __init__(self, encode, most: int = KEPT) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
-        if len(self) < KEPT:
+        if len(self) < self.most:
             self[word] = ids
         return ids
 
@@ -56,26 +58,28 @@ class Encoder:
         self.spaced = self.tokenizer.normalizer is None
         self.words = _Words(self._spaced_word if self.spaced else self._dropped_word)
         self.firsts = _Words(lambda w: self._word(w, ""))
-        self._id = self.tokenizer.model.tokenize
+        self.runs = _Words(self._run, KEPT_RUNS)
+        self.model = self.tokenizer.model
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, piece: str) -> list[int]:
+    def _run(self, piece: str) -> bytes:
+        """A run that the vocabulary doesn't cut before its merges."""
         marks = _byte_marks()
-        return [t.id for t in self._id("".join(marks[b] for b in piece.encode()))]
+        return array("I", [t.id for t in self.model.tokenize("".join([marks[b] for b in piece.encode()]))]).tobytes()
 
     def _word(self, word: str, before: str) -> bytes:
-        if not word or _SPACE.search(word):
-            raise OddSpace
         plain = _PLAIN.fullmatch(word)
         if not plain:
+            if not word or _SPACE.search(word):
+                raise OddSpace
             return self._whole(before + word)
-        ids = self._ids("\n") if before == "\n" else []
-        ids += self._ids((" " if before == " " else "") + (plain[1] if self.spaced else plain[1].lower()))
-        if plain[2]:
-            ids += self._ids(plain[2])
-        return np.array(ids, "<u4").tobytes()
+        letters, marks = plain.groups()
+        ids = self.runs[" " + letters if before == " " else letters if self.spaced else letters.lower()]
+        if before == "\n":
+            ids = self.runs["\n"] + ids
+        return ids + self.runs[marks] if marks else ids
 
     def _spaced_word(self, word: str) -> bytes:
         return self._word(word[1:], "\n") if word[:1] == "\n" else self._word(word, " ")
