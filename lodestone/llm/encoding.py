@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words, and runs of letters, kept by a worker; others are encoded whenever they come.
-KEPT, KEPT_RUNS = 300_000, 450_000
+KEPT, KEPT_RUNS = 200_000, 300_000
 SLICE = 1 << 20
 _SPACE = re.compile(r"\s")
 #: One run of letters that have a composed form and a plain lower case, and one of marks without apostrophes (these may
