@@ -9,7 +9,11 @@ a pair whose weighted Jaccard similarity itself is at least THRESHOLD.
 Texts with the same words form one class, represented once, so a group of copies costs one row. In a
 bucket of a band no pairs of all members are made: each member meets one hub, chosen by hash, and
 what the links found leave apart meets further hubs, until a pass finds no link or PASSES passes are
-over. Linked classes are joined by contracting the links; labels, links and candidates stay distributed.
+over. That joins large groups cheaply. What buckets of three or more members still hold apart is then
+settled exactly: two texts of a similarity of at least THRESHOLD share a shingle among the rarest ones of
+each (see ``prefix``) and have sizes near to each other, so an equi-join on these shingles finds every pair
+that is left, and each is verified. Linked classes are joined by contracting the links; labels, links and
+candidates stay distributed.
 """
 
 from __future__ import annotations
@@ -130,6 +134,20 @@ def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     return float(common / (total - common)) if total else 1.0
 
 
+def prefix(v: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
+    """The rarest shingles of a multiset up to where the others weigh less than threshold times the whole, and its weight.
+
+    Weights that two multisets share are at least threshold times that of either where their similarity is threshold or
+    more, so they can't all lie behind both prefixes: in the order of rarity, the prefix that ends first would hold none of them.
+    """
+    x, n = np.unique(v, return_counts=True)
+    rare = idf[bucket(x)].astype(np.float64)
+    order = np.lexsort((x, -rare))
+    held = np.cumsum((n * rare)[order])
+    behind = held[-1] - held
+    return x[order][: int(np.argmax(behind < threshold * held[-1] * (1 - 1e-6))) + 1], float(held[-1])
+
+
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """ln((1 + N) / (1 + df)) + 1 of each bucket, over all rows of texts (norm). A task sums its documents; slices of
     the sums are added up by Spark, so SLICES short rows reach the driver whatever the input."""
@@ -228,21 +246,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(sim, pa.float64())], names=["a", "b", "u", "v", "sim"])
 
     labels, tested = None, None
-    for turn in range(PASSES):
-        at = members.withColumn("label", F.col("key"))
-        if labels is not None:
-            at = members.join(labels, "key", "left").select("band", "h", "key", F.coalesce("label", "key").alias("label"))
-        order = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
-        hubs = at.groupBy("band", "h").agg(F.min_by(F.struct("key", "label"), order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band", "h", "hub")
-        met = at.join(hubs, ["band", "h"]).filter("label != hub.label")
-        pairs = met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"), F.least("label", "hub.label").alias("u"), F.greatest("label", "hub.label").alias("v")).distinct()
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("label", F.col("key")) if labels is None else rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+    def settle(pairs: DataFrame) -> int:
+        """Verifies the pairs (a, b, u, v) not yet tested and joins the labels (u, v) of the links; returns how many links."""
+        nonlocal labels, tested
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         sides = pairs.join(vectors.select(F.col("key").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("key").alias("b"), F.col("v").alias("vb")), "b")
         new, links = _counted(sides.select("a", "b", "va", "vb", "u", "v").mapInArrow(verify, "a binary, b binary, u binary, v binary, sim double"), "tested", F.col("sim") >= threshold)
-        if not links:
-            break
         tested = new if tested is None else tested.unionByName(new)
+        if not links:
+            return 0
         roots = _components(new.filter(F.col("sim") >= threshold).select("u", "v").distinct())
         if labels is None:
             labels = written(roots.select(F.col("node").alias("key"), F.col("root").alias("label")), "labels")
@@ -251,12 +268,49 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             known = labels.join(moved, "label", "left").select("key", F.coalesce("root", "label").alias("label"))
             fresh = roots.select(F.col("node").alias("key"), F.col("root").alias("label")).join(labels, "key", "left_anti")
             labels = written(known.unionByName(fresh), "labels")
+        return links
+
+    def paired(met: DataFrame, x: str, y: str) -> DataFrame:
+        sides = (F.least(f"{x}key", f"{y}key").alias("a"), F.greatest(f"{x}key", f"{y}key").alias("b"))
+        return met.select(*sides, F.least(f"{x}label", f"{y}label").alias("u"), F.greatest(f"{x}label", f"{y}label").alias("v")).distinct()
+
+    for turn in range(PASSES):
+        at = labelled(members)
+        order = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
+        hubs = at.groupBy("band", "h").agg(F.min_by(F.struct("key", "label"), order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band", "h", "hub")
+        if not settle(paired(at.join(hubs, ["band", "h"]).filter("label != hub.label"), "", "hub.")):
+            break
+
+    # a bucket of two is settled by its hub; members of the others that are still apart meet by their rarest shingles
+    def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                keys, shingle, sizes = [], [], []
+                for key, v in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
+                    x, size = prefix(np.frombuffer(v, np.uint32), idf.value, threshold)
+                    keys += [key] * len(x)
+                    shingle.append(x)
+                    sizes += [size] * len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(shingle).astype(np.int64)), pa.array(sizes, pa.float64())], names=["key", "s", "size"])
+
+    at = labelled(members)
+    apart = at.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2").select("band", "h")
+    left, n_left = _counted(at.join(apart, ["band", "h"]).select("key").distinct(), "left", F.lit(True))
+    if n_left:
+        rows = labelled(written(vectors.join(left, "key").select("key", "v").mapInArrow(rarest, "key binary, s bigint, size double"), "rarest"))
+        # of the label with most rows of a shingle no two are paired, so a group already joined costs no square of its size
+        counts = rows.groupBy("s", "label").agg(F.count("*").alias("n"))
+        most = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n")).filter("n > 1").select("s", "most")
+        held = written(rows.join(most, "s"), "held")
+        met = held.filter("label != most").alias("x").join(held.alias("y"), "s").filter(F.col("x.label") != F.col("y.label"))
+        near = F.least("x.size", "y.size") >= threshold * (1 - 1e-6) * F.greatest("x.size", "y.size")
+        settle(paired(met.filter(near), "x.", "y."))
     every = signed.select("d", "key").distinct()
     if labels is None:
         return every.join(classes.select("key", F.col("d").alias("group_d")), "key").select("d", "key", "group_d")
-    labelled = classes.select("key", "d").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = labelled.groupBy("label").agg(F.min("d").alias("group_d"))
-    return every.join(labelled.select("key", "label"), "key").join(least, "label").select("d", "key", "group_d")
+    placed = labelled(classes.select("key", "d"))
+    least = placed.groupBy("label").agg(F.min("d").alias("group_d"))
+    return every.join(placed.select("key", "label"), "key").join(least, "label").select("d", "key", "group_d")
 
 
 def _id(column: str) -> Column:
