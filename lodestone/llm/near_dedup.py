@@ -1,7 +1,9 @@
 """MinHash near-deduplication by improved consistent weighted sampling over TF-IDF word shingles.
 
 A text is the multiset of its WIDTH-word shingles, lower case. A shingle weighs its count times the inverse
-document frequency of its hash bucket (FEATURES buckets, counted over all documents). ICWS draws, per
+document frequency, counted exactly for every shingle (64-bit hash) over all documents: documents are dealt into chunks, a
+chunk sends its distinct shingles and their counts to slices of the hash range, and gets the frequencies back, so no
+table of all shingles is held anywhere. ICWS draws, per
 document and sample, one shingle with its quantised weight, such that two documents draw the same with a
 probability equal to their weighted Jaccard similarity. BANDS bands of BAND draws give candidates; a link is
 a pair whose weighted Jaccard similarity itself is at least THRESHOLD.
@@ -32,8 +34,8 @@ from .common import table, words, written
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, BAND = 16, 4
-FEATURES = 1 << 18
-SLICES = 64
+#: Characters of a chunk of documents, and of all documents for each slice of the hash range.
+CHUNK, SLICE = 4_000_000, 24_000_000
 PASSES = 6
 KEPT = 300_000
 _NULL_ID = -(1 << 63)
@@ -54,18 +56,18 @@ _hashes = _Hashes()
 
 
 def shingles(text: str) -> np.ndarray:
-    """Hashes (32 bits) of the runs of WIDTH words, rising, repeated as they repeat; of all words where there are fewer."""
+    """Hashes of the runs of WIDTH words, rising, repeated as they repeat; of all words where there are fewer."""
     w = text.split(" ") if text else []
     if not w:
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
     n = min(WIDTH, len(w))
     out = np.full(len(w) - n + 1, np.uint64(n))
     for k in range(n):
         out = out * _M1 + h[k : k + len(out)]
         out ^= out >> np.uint64(29)
-    out = (out * _M2) >> np.uint64(32)
-    return np.sort(out.astype(np.uint32))
+    out *= _M2
+    return np.sort(out ^ (out >> np.uint64(32)))
 
 
 def normal(text: Column) -> Column:
@@ -120,61 +122,75 @@ def bands(who: np.ndarray, level: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint32(FEATURES - 1)).astype(np.intp)
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((1 + n) / (1 + df.astype(np.float64))) + 1
 
 
-def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two shingle multisets; two empty ones are alike."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    total = (n * idf[bucket(x)]).sum() + (m * idf[bucket(y)]).sum()
-    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    common = (np.minimum(n[i], m[j]) * idf[bucket(both)]).sum()
+def packed(h: np.ndarray, df: np.ndarray, count: np.ndarray) -> bytes:
+    """A vector of distinct shingles: the upper halves of their hashes, their document frequencies and counts."""
+    return np.concatenate([(h >> np.uint64(32)).astype(np.uint32), df.astype(np.uint32), count.astype(np.uint32)]).tobytes()
+
+
+def unpacked(v: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, counts and inverse document frequencies; n is the number of documents."""
+    x, df, count = np.frombuffer(v, np.uint32).reshape(3, -1)
+    y, first, at = np.unique(x, return_index=True, return_inverse=True)
+    return y, np.bincount(at, count, len(y)), idf(df[first], n)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two vectors (see unpacked); two empty ones are alike."""
+    total = (a[1] * a[2]).sum() + (b[1] * b[2]).sum()
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    common = np.minimum(a[1][i] * a[2][i], b[1][j] * b[2][j]).sum()
     return float(common / (total - common)) if total else 1.0
 
 
-def prefix(v: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, float]:
-    """The rarest shingles of a multiset up to where the others weigh less than threshold times the whole, and its weight.
+def prefix(v: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, float]:
+    """The rarest shingles of a vector up to where the others weigh less than threshold times the whole, and its weight.
 
-    Weights that two multisets share are at least threshold times that of either where their similarity is threshold or
+    Weights that two vectors share are at least threshold times that of either where their similarity is threshold or
     more, so they can't all lie behind both prefixes: in the order of rarity, the prefix that ends first would hold none of them.
     """
-    x, n = np.unique(v, return_counts=True)
-    rare = idf[bucket(x)].astype(np.float64)
+    x, n, rare = v
     order = np.lexsort((x, -rare))
     held = np.cumsum((n * rare)[order])
     behind = held[-1] - held
     return x[order][: int(np.argmax(behind < threshold * held[-1] * (1 - 1e-6))) + 1], float(held[-1])
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln((1 + N) / (1 + df)) + 1 of each bucket, over all rows of texts (norm). A task sums its documents; slices of
-    the sums are added up by Spark, so SLICES short rows reach the driver whatever the input."""
-    part = FEATURES // SLICES
+def _shingled(keys: list, texts: list) -> dict:
+    """Distinct shingles and their counts by key."""
+    out = {}
+    for key, t in zip(keys, texts, strict=True):
+        if key not in out:
+            out[key] = np.unique(shingles(t), return_counts=True)
+    return out
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(FEATURES, np.int64), 0
-        for b in batches:
-            n += b.num_rows
-            for t in b.column(0).to_pylist():
-                df[np.unique(bucket(shingles(t)))] += 1
-        if n:
-            held = [df[i * part : (i + 1) * part].tobytes() for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array(held, pa.binary())], names=["slice", "n", "df"])
-
-    def add(key: tuple, sums: pa.Table) -> pa.Table:
-        df, n = np.zeros(part, np.int64), sum(sums.column("n").to_pylist())
-        for x in sums.column("df").to_pylist():
-            df += np.frombuffer(x, np.int64)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([df.tobytes()], pa.binary())})
-
-    schema = "slice int, n bigint, df binary"
-    got = texts.select("norm").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    df, n = np.zeros(FEATURES, np.int64), 0
-    for r in got:
-        df[r["slice"] * part : (r["slice"] + 1) * part], n = np.frombuffer(r["df"], np.int64), r["n"]
-    return np.log((1 + n) / (1 + df)) + 1
+
+def frequencies(dealt: DataFrame, slices: int) -> DataFrame:
+    """c, slice, df: document frequencies of the distinct shingles of each chunk c of dealt (c, d, key, norm), in order."""
+
+    def send(t: pa.Table) -> pa.Table:
+        keys = t.column("key").to_pylist()
+        held = _shingled(keys, t.column("norm").to_pylist())
+        h, n = np.unique(np.concatenate([held[k][0] for k in keys]), return_counts=True)
+        of = ((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+        cut = np.searchsorted(of, np.arange(slices + 1, dtype=np.uint64))
+        rows = [(i, h[x:y].tobytes(), n[x:y].astype(np.uint32).tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+        c = t.column("c")[0].as_py()
+        return pa.table({"c": pa.array([c] * len(rows), pa.int64()), "slice": pa.array([r[0] for r in rows], pa.int32()), "h": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+        n = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("n").to_pylist()])
+        _, at = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(at, n).astype(np.uint32)[at]
+        ends = np.cumsum([len(x) for x in parts])
+        return pa.table({"c": t.column("c"), "slice": t.column("slice"), "df": pa.array([x.tobytes() for x in np.split(df, ends[:-1])], pa.binary())})
+
+    sent = dealt.groupBy("c").applyInArrow(send, "c bigint, slice int, h binary, n binary")
+    return sent.groupBy("slice").applyInArrow(add, "c bigint, slice int, df binary")
 
 
 def _counted(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
@@ -205,44 +221,38 @@ def _components(edges: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """d, key, group_d: for every distinct (document, words), the least document of its near-duplicate group."""
-    spark = docs.sparkSession
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length(F.col("text"))), F.lit(0)).alias("chars")).first()
+    n_docs = size["n"]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), normal(F.col("text")).alias("norm"))
     texts = texts.withColumn("key", _key(F.col("norm")))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(texts).astype(np.float32))  # FEATURES numbers
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_idf, known = np.log(idf.value), {}
-        for b in batches:
-            sigs = []
-            for key, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    h, n = np.unique(shingles(t), return_counts=True)
-                    known[key] = bands(*icws(h, (log_idf[bucket(h)] + np.log(n)).astype(np.float32))) if len(h) else None
-                sigs.append(known[key])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.list_(pa.int64()))], names=["d", "key", "bands"])
-
-    signed = written(texts.select("d", "key", "norm").mapInArrow(sign, "d bigint, key binary, bands array<bigint>"), "signed")
+    dealt = texts.select(F.pmod(F.xxhash64("d", "key"), F.lit(size["chars"] // CHUNK + 1)).alias("c"), "d", "key", "norm")
+
+    def sign(t: pa.Table, sums: pa.Table) -> pa.Table:
+        keys, known = t.column("key").to_pylist(), {}
+        held = _shingled(keys, t.column("norm").to_pylist())
+        h = np.unique(np.concatenate([x for x, _ in held.values()])) if held else np.empty(0, np.uint64)
+        parts = sorted(zip(sums.column("slice").to_pylist(), sums.column("df").to_pylist(), strict=True))
+        df = np.concatenate([np.frombuffer(x, np.uint32) for _, x in parts]) if parts else np.empty(0, np.uint32)
+        for key, (x, n) in held.items():
+            f = df[np.searchsorted(h, x)]
+            known[key] = (bands(*icws((x >> np.uint64(32)).astype(np.uint32), np.log(idf(f, n_docs) * n).astype(np.float32))) if len(x) else None, packed(x, f, n))
+        sigs = pa.array([known[k][0] for k in keys], pa.list_(pa.int64()))
+        return pa.table({"d": t.column("d"), "key": t.column("key"), "bands": sigs, "v": pa.array([known[k][1] for k in keys], pa.binary())})
+
+    sums = frequencies(dealt, size["chars"] // SLICE + 1)
+    signed = written(dealt.groupBy("c").cogroup(sums.groupBy("c")).applyInArrow(sign, "d bigint, key binary, bands array<bigint>, v binary"), "signed")
     classes = signed.groupBy("key").agg(F.min("d").alias("d"), F.first("bands").alias("bands"))
     rows = classes.select("key", F.posexplode("bands").alias("band", "h"))
     crowded = rows.groupBy("band", "h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("band", "h")
     members = written(rows.join(crowded, ["band", "h"]), "members")
     wanted = members.select("key").distinct().join(classes.select("key", "d"), "key")
 
-    def vector(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                s = b.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array([shingles(t).tobytes() for t in s.column(1).to_pylist()], pa.binary())], names=["key", "v"])
-
-    found = texts.join(wanted, ["d", "key"]).select("key", "norm").mapInArrow(vector, "key binary, v binary").dropDuplicates(["key"])
-    vectors = written(found, "vectors")
+    vectors = written(signed.select("d", "key", "v").join(wanted, ["d", "key"]).select("key", "v").dropDuplicates(["key"]), "vectors")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            sim = [similarity(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), idf.value) for p, q in zip(x, y, strict=True)]
+            sim = [similarity(unpacked(p, n_docs), unpacked(q, n_docs)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(sim, pa.float64())], names=["a", "b", "u", "v", "sim"])
 
     labels, tested = None, None
@@ -287,7 +297,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 keys, shingle, sizes = [], [], []
                 for key, v in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
-                    x, size = prefix(np.frombuffer(v, np.uint32), idf.value, threshold)
+                    x, size = prefix(unpacked(v, n_docs), threshold)
                     keys += [key] * len(x)
                     shingle.append(x)
                     sizes += [size] * len(x)

@@ -324,6 +324,16 @@ def test_near_pairs_in_a_family_with_a_template(spark):
     assert got == {i: i - i % 2 if i < 200 else i for i in range(600)}
 
 
+def test_shingle_weights_with_very_many_shingles(spark):
+    """A rare shingle stays rare where millions of others are counted."""
+    from lodestone.llm.near_dedup import near_duplicates
+
+    passage = [f"t{k}" for k in range(1004)]
+    rows = [(i, " ".join([*passage, *(f"w{i}x{k}" for k in range(300_000 if i < 12 else 70))])) for i in range(14)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(14)}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     from lodestone.llm.near_dedup import keep_one, near_duplicates
 
