@@ -32,12 +32,17 @@ _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Elements whose content is no text of the page.
 _RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "select", "object", "canvas", "math", "audio", "video", "button")
 _END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in _RAW}
+#: Raw elements that go on to the end of the page where they are not closed.
+_REST = {"script", "style", "textarea", "title", "iframe"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Elements that run on within a line; every other tag ends a block.
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", *_RAW}
 #: Blocks that an unclosed inline element can't leave.
 _PARAGRAPH = {"p", "br", "b", "i", "em", "strong", "span", "font", "u", "small"}
 
+#: Blocks that end an open paragraph.
+_ENDS_P = {"p", "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "dd", "dt", "main", "menu", "nav", "ol", "pre", "search", "section", "summary", "table", "ul"}
+
 #: Score of a tag that always begins or ends the main text; of a furniture word, per unit of its log-odds. The latter is
 #: small, as such words are dropped wherever they stand, and a notice must not part a short end from its article.
 EDGE, FURNITURE = 40.0, 0.03
@@ -45,8 +50,9 @@ EDGE, FURNITURE = 40.0, 0.03
 
 def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
     """("text", s, []), ("open" | "close" | "void", tag, words of its attributes). Comments, declarations and raw
-    elements are passed over; an unclosed comment or raw element ends the page."""
+    elements are passed over; an unclosed comment, script or the like (_REST) ends the page."""
     at, n = 0, len(page)
+    unclosed: set[str] = set()
     while at < n:
         m = _MARK.search(page, at)
         if not m:
@@ -79,8 +85,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
             yield "close", tag, []
             continue
         if tag in _END and not shown.endswith("/>"):
-            end = _END[tag].search(page, at)
-            at = n if not end else end.end()
+            end = None if tag in unclosed else _END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in _REST:
+                at = n
+            else:
+                unclosed.add(tag)
             yield "void", tag, []
             continue
         marks = []
@@ -100,22 +111,36 @@ def walk(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
     """Tokens with the features of the open elements around them; elements that seldom close open none."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     frozen: tuple[tuple[str, ...], ...] = ()
+    standing: Counter[str] = Counter()  # open elements by tag
+
+    def end(i: int, j: int | None = None) -> None:
+        nonlocal frozen
+        standing.subtract(t for t, _ in stack[i:j])
+        del stack[i:j]
+        frozen = tuple(f for _, f in stack)
+
     for kind, what, marks in tokens(page):
+        if kind != "close" and what in _ENDS_P and standing["p"]:
+            i = len(stack) - 1
+            while i >= 0 and stack[i][0] in _INLINE:
+                i -= 1
+            if i >= 0 and stack[i][0] == "p":
+                end(i)
         if kind == "open" and (what not in _PARAGRAPH or marks):
             if what in ("li", "a", "dd", "dt", "td", "th", "tr", "option") and stack and stack[-1][0] == what:
-                stack.pop()
+                end(len(stack) - 1)
+            if what in ("html", "body"):  # their classes tell of the page, not of its words
+                marks = [x for x in marks if x[0] == "#"]
             stack.append((what, (what, *marks)))
+            standing[what] += 1
             frozen = tuple(f for _, f in stack)
-        elif kind == "close":
-            for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[i][0] == what:
-                    # a close tag ends what stands open inside its element, but an inline one doesn't leave a block
-                    if what == "a" and any(t not in _INLINE for t, _ in stack[i + 1 :]):
-                        del stack[i]
-                    else:
-                        del stack[i:]
-                    frozen = tuple(f for _, f in stack)
-                    break
+        elif kind == "close" and standing[what]:
+            i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == what)
+            # a close tag ends what stands open inside its element, but an inline one doesn't leave a block
+            if what == "a" and any(t not in _INLINE for t, _ in stack[i + 1 :]):
+                end(i, i + 1)
+            else:
+                end(i)
         yield kind, what, frozen
 
 
@@ -189,6 +214,42 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def wrappers(items: list[tuple[str, str, tuple]], by_word: dict[str, float]) -> set[int]:
+    """Ids of the elements that furniture words in class, id or role name, but that wrap the page: most of its words
+    stand in them, and outside of them and of other furniture stand few, and no h1, main or article."""
+    total, held = 0, Counter()
+    for kind, what, stack in items:
+        if kind == "text" and (n := len(what.split())):
+            total += n
+            held.update(dict.fromkeys(map(id, stack), n))
+    named = {i for i, n in held.items() if 2 * n > total}
+    chain: dict[int, int] = {}  # each stands in the one before it
+    for _, _, stack in items:
+        for f in stack:
+            if id(f) in named and id(f) not in chain and any(x[0] == "." and x in by_word for x in f):
+                chain[id(f)] = len(chain)
+    if not chain:
+        return set()
+    clean, landmark = Counter(), Counter()  # by how many of the chain stand around
+    for kind, what, stack in items:
+        if kind in ("text", "open"):
+            inside = [id(f) in chain for f in stack]
+            if not any(x in by_word for f, c in zip(stack, inside, strict=True) for x in f if not c or x[0] != "."):
+                if kind == "text":
+                    clean[sum(inside)] += len(what.split())
+                elif what in ("h1", "main", "article"):
+                    landmark[sum(inside)] += 1  # with the element itself, where it is of the chain
+    out: set[int] = set()
+    few = marked = 0
+    for i, k in chain.items():
+        few += clean[k]
+        marked += landmark[k]
+        if 10 * few >= held[i] or marked:
+            break
+        out.add(i)
+    return out
+
+
 def extract(page: str | None) -> str:
     """Main text of a page; blocks joined by one space, white space runs within them one space."""
     if not page:
@@ -196,15 +257,18 @@ def extract(page: str | None) -> str:
     by_word, by_tag = weights()
     scores: list[float] = []
     shown: list[str] = []
-    known: dict[tuple, float] = {}
-    for kind, what, stack in walk(page):
+    known: dict[int, float] = {}
+    items = list(walk(page))
+    wrap = wrappers(items, by_word)
+    for kind, what, stack in items:
         if kind == "text":
-            if stack not in known:
-                known[stack] = min((by_word.get(f, 1.0) for fs in stack for f in fs), default=1.0)
+            at = id(stack)
+            if at not in known:
+                known[at] = min((by_word.get(f, 1.0) for fs in stack for f in fs if f[0] != "." or id(fs) not in wrap), default=1.0)
             text = entities.unescape(what) if "&" in what else what
             n = len(text.split())
-            scores.append(known[stack] * n)
-            shown.append(text if known[stack] > 0 else " ")
+            scores.append(known[at] * n)
+            shown.append(text if known[at] > 0 else " ")
         else:
             scores.append(by_tag.get(what if kind != "close" else f"/{what}", -0.05 if what in _INLINE else -0.2))
             shown.append("" if what in _INLINE else " ")

@@ -471,6 +471,27 @@ def test_extraction_of_pages(spark):
     assert best_region([-1.0]) == (0, 0)
 
 
+def test_extraction_of_unclosed_elements_and_wrappers():
+    from lodestone.llm.html_text import extract
+
+    story = "<p>The first river was wide and held for long.</p>" * 30
+    said = " ".join(["The first river was wide and held for long."] * 30)
+    for block in ("aside", "nav", "div class=comments"):
+        many = "".join(f"<p class=x>note {i}" for i in range(100))
+        deep = "".join(f"<div class=x>note {i}" for i in range(100))
+        for inner in (many, deep):
+            tail = "" if block.startswith("div") and inner is deep else story
+            page = f"<body><article>{story}<{block}>{inner}</{block.split()[0]}>{tail}</article></body>"
+            assert extract(page) == (f"{said} {said}" if tail else said)
+    for tag in ("button", "select", "svg", "math", "object", "canvas", "noscript"):
+        assert extract(f"<article>{story}<{tag}>{story}</article>").startswith(said) and extract(f"<div><{tag}></div><article>{story}</article>") == said
+    foot = "<footer><p>Words at the end.</p></footer>"
+    assert extract(f"<body class='has-sidebar'><article>{story}</article>{foot}</body>") == said
+    for name in ("with-header", "search-results"):
+        assert extract(f"<body><div class='{name}'><div class='page-sidebar'><h1>Told</h1>{story}</div></div>{foot}</body>") == f"Told {said}"
+    assert extract(f"<body><article><h1>Told</h1>{story}</article><div class=comments>{story * 9}</div></body>") == f"Told {said}"
+
+
 def test_extraction_of_odd_rows(spark):
     from lodestone.llm.html_text import extract_text
 
