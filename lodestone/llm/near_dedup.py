@@ -146,8 +146,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray
     return float(common / (total - common)) if total else 1.0
 
 
-def prefix(v: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, float]:
-    """The rarest shingles of a vector up to where the others weigh less than threshold times the whole, and its weight.
+def prefix(v: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The rarest shingles of a vector up to where the others weigh less than threshold times the whole; what each weighs
+    with all behind it; and the weight of the whole.
 
     Weights that two vectors share are at least threshold times that of either where their similarity is threshold or
     more, so they can't all lie behind both prefixes: in the order of rarity, the prefix that ends first would hold none of them.
@@ -156,7 +157,8 @@ def prefix(v: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> tu
     order = np.lexsort((x, -rare))
     held = np.cumsum((n * rare)[order])
     behind = held[-1] - held
-    return x[order][: int(np.argmax(behind < threshold * held[-1] * (1 - 1e-6))) + 1], float(held[-1])
+    k = int(np.argmax(behind < threshold * held[-1] * (1 - 1e-6))) + 1
+    return x[order][:k], (behind + (n * rare)[order])[:k], float(held[-1])
 
 
 def _shingled(keys: list, texts: list) -> dict:
@@ -295,26 +297,29 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                keys, shingle, sizes = [], [], []
+                keys, shingle, rests, sizes = [], [], [], []
                 for key, v in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
-                    x, size = prefix(unpacked(v, n_docs), threshold)
+                    x, rest, size = prefix(unpacked(v, n_docs), threshold)
                     keys += [key] * len(x)
                     shingle.append(x)
+                    rests.append(rest)
                     sizes += [size] * len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(shingle).astype(np.int64)), pa.array(sizes, pa.float64())], names=["key", "s", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(shingle).astype(np.int64)), pa.array(np.concatenate(rests)), pa.array(sizes, pa.float64())], names=["key", "s", "rest", "size"])
 
     at = labelled(members)
     apart = at.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2").select("band", "h")
     left, n_left = _counted(at.join(apart, ["band", "h"]).select("key").distinct(), "left", F.lit(True))
     if n_left:
-        rows = labelled(written(vectors.join(left, "key").select("key", "v").mapInArrow(rarest, "key binary, s bigint, size double"), "rarest"))
+        rows = labelled(written(vectors.join(left, "key").select("key", "v").mapInArrow(rarest, "key binary, s bigint, rest double, size double"), "rarest"))
         # of the label with most rows of a shingle no two are paired, so a group already joined costs no square of its size
         counts = rows.groupBy("s", "label").agg(F.count("*").alias("n"))
         most = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n")).filter("n > 1").select("s", "most")
         held = written(rows.join(most, "s"), "held")
         met = held.filter("label != most").alias("x").join(held.alias("y"), "s").filter(F.col("x.label") != F.col("y.label"))
         near = F.least("x.size", "y.size") >= threshold * (1 - 1e-6) * F.greatest("x.size", "y.size")
-        settle(paired(met.filter(near), "x.", "y."))
+        # from the first shingle that both have on, each must weigh as much as the two share: threshold / (1 + threshold) of their sum
+        first = F.least("x.rest", "y.rest") >= threshold / (1 + threshold) * (1 - 1e-6) * (F.col("x.size") + F.col("y.size"))
+        settle(paired(met.filter(near & first), "x.", "y."))
     every = signed.select("d", "key").distinct()
     if labels is None:
         return every.join(classes.select("key", F.col("d").alias("group_d")), "key").select("d", "key", "group_d")
