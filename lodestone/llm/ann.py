@@ -188,7 +188,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS
     if usual is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.filter(F.col("n") == usual["n"])
-    chosen = rows.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE).select("v").toPandas()
+    chosen = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
     router = spark.sparkContext.broadcast(fit(_matrix(list(chosen["v"])), parts, k, target))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -258,6 +258,19 @@ def test_recall_and_ties(spark):
     assert nearest(small, F.col("vec_id") == 0).count() == 2 and nearest(small.limit(0), F.col("vec_id") == 0).count() == 0 and nearest(small, F.lit(False)).count() == 0
 
 
+def test_partitions_are_fitted_on_distinct_vectors(spark, monkeypatch):
+    from lodestone.llm import ann
+
+    fit, seen = ann.fit, []
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    monkeypatch.setattr(ann, "fit", lambda x, *a: seen.append(np.unique(x, axis=0)) or fit(x, *a))
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 8)).tolist()
+    rows = [(i, base[i // 40]) for i in range(2400)]  # 40 copies of each
+    ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert len(seen[0]) == 50
+
+
 # 7 near duplicates
 
 
