@@ -1,19 +1,19 @@
 """MinHash near-deduplication by improved consistent weighted sampling over TF-IDF word shingles.
 
 A text is the multiset of its WIDTH-word shingles, lower case. A shingle weighs its count times the inverse
-document frequency, counted exactly for every shingle (64-bit hash) over all documents: documents are dealt into chunks, a
-chunk sends its distinct shingles and their counts to slices of the hash range, and gets the frequencies back, so no
-table of all shingles is held anywhere. ICWS draws, per
+document frequency, counted for every shingle over all documents: documents are dealt into chunks, a chunk sends its
+distinct shingles and their counts to slices of the hash range, and gets the frequencies back, so no
+table of all shingles is held anywhere. The hashes sent have at least SPARE bits more than the number of shingles needs,
+so hardly one in 2^SPARE shares its own, at any size of the input. ICWS draws, per
 document and sample, one shingle with its quantised weight, such that two documents draw the same with a
 probability equal to their weighted Jaccard similarity. BANDS bands of BAND draws give candidates; a link is
 a pair whose weighted Jaccard similarity itself is at least THRESHOLD.
 
 Texts with the same words form one class, represented once, so a group of copies costs one row. In a
-bucket of a band no pairs of all members are made: each member meets one hub, chosen by hash, and
-what the links found leave apart meets further hubs, until a pass finds no link or PASSES passes are
-over. That joins large groups cheaply. What buckets of three or more members still hold apart is then
-settled exactly: two texts of a similarity of at least THRESHOLD share a shingle among the rarest ones of
-each (see ``prefix``) and have sizes near to each other, so an equi-join on these shingles finds every pair
+bucket of a band no pairs of all members are made: each member meets one hub, chosen by hash. HUBS turns of that join
+large groups cheaply; they are no cap, as what buckets of three or more members still hold apart after them is settled
+exactly: two texts of a similarity of at least THRESHOLD share a shingle among the rarest ones of
+each (see ``rarest``) and have sizes near to each other, so an equi-join on these shingles finds every pair
 that is left, and each is verified. Linked classes are joined by contracting the links; labels, links and
 candidates stay distributed.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +31,35 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, words, written
+from .common import table, written
 
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, BAND = 16, 4
 #: Characters of a chunk of documents, and of all documents for each slice of the hash range.
-CHUNK, SLICE = 4_000_000, 24_000_000
-PASSES = 6
-KEPT = 300_000
+CHUNK, SLICE = 4_000_000, 8_000_000
+SPARE = 11
+HUBS = 3
 _NULL_ID = -(1 << 63)
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Counts of quantiles for the two gamma variables of a draw.
+_R_BITS, _C_BITS = 12, 16
 
 
-class _Hashes(dict):
-    """64-bit hashes by word; a bounded number is kept."""
+class Hashes(dict):
+    """64-bit hashes by word, held for the documents of one chunk."""
 
     def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT:
-            self[word] = h
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_hashes = _Hashes()
-
-
-def shingles(text: str) -> np.ndarray:
+def shingles(words: list[str], hashes: Hashes) -> np.ndarray:
     """Hashes of the runs of WIDTH words, rising, repeated as they repeat; of all words where there are fewer."""
-    w = text.split(" ") if text else []
-    if not w:
+    if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
-    n = min(WIDTH, len(w))
-    out = np.full(len(w) - n + 1, np.uint64(n))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = min(WIDTH, len(words))
+    out = np.full(len(words) - n + 1, np.uint64(n))
     for k in range(n):
         out = out * _M1 + h[k : k + len(out)]
         out ^= out >> np.uint64(29)
@@ -70,52 +67,81 @@ def shingles(text: str) -> np.ndarray:
     return np.sort(out ^ (out >> np.uint64(32)))
 
 
-def normal(text: Column) -> Column:
-    return F.array_join(words(F.lower(text)), " ")
+@lru_cache(1)
+def _draws(n: int) -> tuple[np.ndarray, ...]:
+    """Quantiles of the gamma distribution of shape 2, logarithms of finer ones, and two odd factors for each of n samples."""
+    x = np.concatenate([np.linspace(0, 1, 20001)[1:] ** 2, np.linspace(1, 40, 200001)[1:]])
+    q = lambda bits: np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), 1 - (1 + x) * np.exp(-x), x)
+    odd = np.random.default_rng(7).integers(0, 1 << 31, (2, n)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    return q(_R_BITS).astype(np.float32), np.log(q(_C_BITS)).astype(np.float32), odd[0][:, None], odd[1][:, None]
+
+
+class _Room:
+    """Arrays that the draws of up to ``width`` shingles are computed in, again and again."""
 
+    def __init__(self, n: int, width: int) -> None:
+        self.u, self.v = np.empty((n, width), np.uint32), np.empty((n, width), np.uint32)
+        self.at = np.empty((n, width), np.intp)
+        self.r, self.c, self.t, self.b = (np.empty((n, width), np.float32) for _ in range(4))
 
-def _key(normal_text: Column) -> Column:
-    return F.to_binary(F.md5(normal_text), F.lit("hex"))
 
+@lru_cache(2)
+def _room(n: int, width: int) -> _Room:
+    return _Room(n, width)
 
-@lru_cache(1)
-def _draws(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Quantiles of the gamma distribution of shape 2, their logarithms, and a seed for each of n samples."""
-    x = np.concatenate([np.linspace(0, 1, 20001)[1:] ** 2, np.linspace(1, 40, 200001)[1:]])
-    q = np.interp((np.arange(1 << 16) + 0.5) / (1 << 16), 1 - (1 + x) * np.exp(-x), x)
-    return q.astype(np.float32), np.log(q).astype(np.float32), np.random.default_rng(7).integers(0, 1 << 63, n).astype(np.uint64)
 
+def icws(h: np.ndarray, log_weight: np.ndarray, n: int = BANDS * BAND, width: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The drawn shingle and quantised weight of each of n samples, from distinct shingles (64-bit) and their weights.
 
-def icws(h: np.ndarray, log_weight: np.ndarray, n: int = BANDS * BAND) -> tuple[np.ndarray, np.ndarray]:
-    """The drawn shingle and quantised weight of each of n samples, from distinct shingles and their weights."""
-    gamma, log_gamma, seeds = _draws(n)
+    With r and c of gamma distribution and b uniform, all by hash of shingle and sample: t = floor(log(weight) / r + b), and
+    the shingle of the least log(c) - r * (t - b + 1) is drawn.
+    """
+    gamma, log_gamma, m1, m2 = _draws(n)
+    low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
     best = np.full(n, np.inf, np.float32)
-    who, level = np.zeros(n, np.uint32), np.zeros(n, np.int32)
-    for at in range(0, len(h), 512):
-        x = h[at : at + 512].astype(np.uint64) * _M1
-        z = x[None, :] ^ seeds[:, None]
-        z ^= z >> np.uint64(31)
-        z *= _M2
-        z ^= z >> np.uint64(29)
-        z *= _M3
-        z ^= z >> np.uint64(32)
-        r = gamma[(z & np.uint64(0xFFFF)).astype(np.intp)]
-        beta = (z >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(log_weight[None, at : at + 512] / r + beta)
-        a = log_gamma[((z >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.intp)] - r * (t - beta + np.float32(1))
-        i = a.argmin(1)
-        least = a[np.arange(n), i]
+    who, level, every = np.zeros(n, np.uint32), np.zeros(n, np.int32), np.arange(n)
+    room = _room(n, width)
+    for at in range(0, len(low), width):
+        x, y = low[at : at + width], high[at : at + width]
+        u, v, i, r, c, t, b = (z[:, : len(x)] for z in (room.u, room.v, room.at, room.r, room.c, room.t, room.b))
+        np.multiply(m1, x, out=u)
+        np.right_shift(u, np.uint32(15), out=v)
+        u ^= v
+        u *= np.uint32(0x2C1B3C6D)
+        u ^= y
+        u *= m2
+        np.right_shift(u, np.uint32(32 - _R_BITS), out=i, casting="unsafe")
+        np.take(gamma, i, out=r, mode="clip")
+        np.right_shift(u, np.uint32(13), out=v)
+        v ^= u
+        v *= np.uint32(0x297A2D39)
+        np.right_shift(v, np.uint32(32 - _C_BITS), out=i, casting="unsafe")
+        np.take(log_gamma, i, out=c, mode="clip")
+        np.left_shift(v, np.uint32(17), out=u)
+        u ^= v
+        u *= np.uint32(0x85EBCA6B)
+        u >>= np.uint32(8)
+        np.multiply(u, np.float32(2.0**-24), out=b, casting="unsafe")
+        np.divide(log_weight[at : at + width], r, out=t)
+        t += b
+        np.floor(t, out=t)
+        np.subtract(t, b, out=b)
+        b += np.float32(1)
+        b *= r
+        c -= b
+        i = c.argmin(1)
+        least = c[every, i]
         better = least < best
         best = np.where(better, least, best)
-        who = np.where(better, h[at : at + 512][i], who)
-        level = np.where(better, t[np.arange(n), i].astype(np.int32), level)
+        who = np.where(better, y[i], who)
+        level = np.where(better, t[every, i].astype(np.int32), level)
     return who, level
 
 
 def bands(who: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each band's draws."""
+    """A 64-bit hash of each band's place and draws."""
     z = (who.astype(np.uint64) << np.uint64(32)) ^ level.astype(np.int64).view(np.uint64)
-    out = np.full(BANDS, np.uint64(1))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _M2
     for k in range(BAND):
         out = (out ^ z.reshape(BANDS, BAND)[:, k]) * _M1
         out ^= out >> np.uint64(32)
@@ -127,69 +153,89 @@ def idf(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def packed(h: np.ndarray, df: np.ndarray, count: np.ndarray) -> bytes:
-    """A vector of distinct shingles: the upper halves of their hashes, their document frequencies and counts."""
-    return np.concatenate([(h >> np.uint64(32)).astype(np.uint32), df.astype(np.uint32), count.astype(np.uint32)]).tobytes()
+    """A vector of distinct rising shingles: the upper halves of their hashes, their document frequencies and counts."""
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.intp)
+    n = np.add.reduceat(count, first) if len(x) else count
+    return np.concatenate([x[first], df[first].astype(np.uint32), n.astype(np.uint32)]).tobytes()
 
 
 def unpacked(v: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, counts and inverse document frequencies; n is the number of documents."""
+    """Distinct rising hashes, weights and document frequencies; n is the number of documents."""
     x, df, count = np.frombuffer(v, np.uint32).reshape(3, -1)
-    y, first, at = np.unique(x, return_index=True, return_inverse=True)
-    return y, np.bincount(at, count, len(y)), idf(df[first], n)
+    return x, count * idf(df, n), df
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
     """Weighted Jaccard similarity of two vectors (see unpacked); two empty ones are alike."""
-    total = (a[1] * a[2]).sum() + (b[1] * b[2]).sum()
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i] * a[2][i], b[1][j] * b[2][j]).sum()
-    return float(common / (total - common)) if total else 1.0
+    total = a[1].sum() + b[1].sum()
+    if not total:
+        return 1.0
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    same = a[0][at] == b[0]
+    common = np.minimum(a[1][at[same]], b[1][same]).sum()
+    return float(common / (total - common))
+
+
+def rarest(v: tuple[np.ndarray, ...], threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The rarest shingles of a vector up to where the others weigh less than threshold times the whole, as far as any other
+    document has them; what each weighs with all behind it; and the weight of the whole.
+
+    Two vectors of similarity threshold or more share at least threshold / (1 + threshold) of their summed weights, which is no
+    less than threshold times that of either. All they share stands, in the order of rarity, at or behind the first
+    shingle of both, so that one weighs as much with all behind it, in both.
+    """
+    x, weight, df = v
+    order = np.lexsort((x, df))
+    held = np.cumsum(weight[order])
+    rest = held[-1] - held + weight[order]
+    k = order[rest >= threshold * held[-1] * (1 - 1e-6)]
+    shared = df[k] > 1
+    return x[k][shared], rest[: len(k)][shared], float(held[-1])
 
 
-def prefix(v: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """The rarest shingles of a vector up to where the others weigh less than threshold times the whole; what each weighs
-    with all behind it; and the weight of the whole.
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of a row of numbers, all least ones first, so that the high ones, mostly 0, are compressed away."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
-    Weights that two vectors share are at least threshold times that of either where their similarity is threshold or
-    more, so they can't all lie behind both prefixes: in the order of rarity, the prefix that ends first would hold none of them.
-    """
-    x, n, rare = v
-    order = np.lexsort((x, -rare))
-    held = np.cumsum((n * rare)[order])
-    behind = held[-1] - held
-    k = int(np.argmax(behind < threshold * held[-1] * (1 - 1e-6))) + 1
-    return x[order][:k], (behind + (n * rare)[order])[:k], float(held[-1])
+
+def _numbers(b: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _shingled(keys: list, texts: list) -> dict:
-    """Distinct shingles and their counts by key."""
-    out = {}
+    """Words' key, distinct shingles and their counts by key of the text."""
+    out, hashes = {}, Hashes()
     for key, t in zip(keys, texts, strict=True):
         if key not in out:
-            out[key] = np.unique(shingles(t), return_counts=True)
+            w = t.as_py().lower().split()
+            out[key] = (md5(" ".join(w).encode("utf-8", "surrogatepass")).digest(), *np.unique(shingles(w, hashes), return_counts=True))
     return out
 
 
-def frequencies(dealt: DataFrame, slices: int) -> DataFrame:
-    """c, slice, df: document frequencies of the distinct shingles of each chunk c of dealt (c, d, key, norm), in order."""
+def frequencies(dealt: DataFrame, slices: int, bits: int) -> DataFrame:
+    """c, slice, df: document frequencies of the distinct shingle hashes (upper bits) of each chunk c of dealt (c, d, rk, text), in order."""
+    down = np.uint64(64 - bits)
 
     def send(t: pa.Table) -> pa.Table:
-        keys = t.column("key").to_pylist()
-        held = _shingled(keys, t.column("norm").to_pylist())
-        h, n = np.unique(np.concatenate([held[k][0] for k in keys]), return_counts=True)
-        of = ((h >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
-        cut = np.searchsorted(of, np.arange(slices + 1, dtype=np.uint64))
-        rows = [(i, h[x:y].tobytes(), n[x:y].astype(np.uint32).tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if x < y]
+        keys = t.column("rk").to_pylist()
+        held = _shingled(keys, t.column("text"))
+        h, n = np.unique(np.concatenate([held[k][1] >> down for k in keys]), return_counts=True)
+        cut = np.searchsorted(h, [(i << bits) // slices for i in range(slices)])
+        rows = [(i, _planes(np.diff(h[x:y], prepend=np.uint64(0))), _planes(n[x:y].astype(np.uint32))) for i, (x, y) in enumerate(zip(cut, [*cut[1:], len(h)], strict=True)) if x < y]
         c = t.column("c")[0].as_py()
         return pa.table({"c": pa.array([c] * len(rows), pa.int64()), "slice": pa.array([r[0] for r in rows], pa.int32()), "h": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("n").to_pylist()])
+        parts = [np.cumsum(_numbers(x.as_py(), np.uint64), dtype=np.uint64) for x in t.column("h")]
+        n = np.concatenate([_numbers(x.as_py(), np.uint32) for x in t.column("n")])
         _, at = np.unique(np.concatenate(parts), return_inverse=True)
         df = np.bincount(at, n).astype(np.uint32)[at]
         ends = np.cumsum([len(x) for x in parts])
-        return pa.table({"c": t.column("c"), "slice": t.column("slice"), "df": pa.array([x.tobytes() for x in np.split(df, ends[:-1])], pa.binary())})
+        return pa.table({"c": t.column("c"), "slice": t.column("slice"), "df": pa.array([_planes(x) for x in np.split(df, ends[:-1])], pa.binary())})
 
     sent = dealt.groupBy("c").applyInArrow(send, "c bigint, slice int, h binary, n binary")
     return sent.groupBy("slice").applyInArrow(add, "c bigint, slice int, df binary")
@@ -221,40 +267,46 @@ def _components(edges: DataFrame) -> DataFrame:
             return done
 
 
+def _text_key(text: Column) -> Column:
+    return F.to_binary(F.md5(F.coalesce(text, F.lit(""))), F.lit("hex"))
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """d, key, group_d: for every distinct (document, words), the least document of its near-duplicate group."""
-    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length(F.col("text"))), F.lit(0)).alias("chars")).first()
-    n_docs = size["n"]
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), normal(F.col("text")).alias("norm"))
-    texts = texts.withColumn("key", _key(F.col("norm")))
-    dealt = texts.select(F.pmod(F.xxhash64("d", "key"), F.lit(size["chars"] // CHUNK + 1)).alias("c"), "d", "key", "norm")
+    """d, rk, group_d: for every distinct (document, text), the least document of its near-duplicate group."""
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("chars")).first()
+    n_docs, bits = size["n"], min(64, size["chars"].bit_length() + SPARE)
+    down = np.uint64(64 - bits)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", _text_key(F.col("text")))
+    dealt = texts.select(F.pmod(F.xxhash64("d", "rk"), F.lit(size["chars"] // CHUNK + 1)).alias("c"), "d", "rk", "text")
 
     def sign(t: pa.Table, sums: pa.Table) -> pa.Table:
-        keys, known = t.column("key").to_pylist(), {}
-        held = _shingled(keys, t.column("norm").to_pylist())
-        h = np.unique(np.concatenate([x for x, _ in held.values()])) if held else np.empty(0, np.uint64)
+        raw = t.column("rk").to_pylist()
+        held = _shingled(raw, t.column("text"))
+        h = np.unique(np.concatenate([x >> down for _, x, _ in held.values()])) if held else np.empty(0, np.uint64)
         parts = sorted(zip(sums.column("slice").to_pylist(), sums.column("df").to_pylist(), strict=True))
-        df = np.concatenate([np.frombuffer(x, np.uint32) for _, x in parts]) if parts else np.empty(0, np.uint32)
-        for key, (x, n) in held.items():
-            f = df[np.searchsorted(h, x)]
-            known[key] = (bands(*icws((x >> np.uint64(32)).astype(np.uint32), np.log(idf(f, n_docs) * n).astype(np.float32))) if len(x) else None, packed(x, f, n))
-        sigs = pa.array([known[k][0] for k in keys], pa.list_(pa.int64()))
-        return pa.table({"d": t.column("d"), "key": t.column("key"), "bands": sigs, "v": pa.array([known[k][1] for k in keys], pa.binary())})
-
-    sums = frequencies(dealt, size["chars"] // SLICE + 1)
-    signed = written(dealt.groupBy("c").cogroup(sums.groupBy("c")).applyInArrow(sign, "d bigint, key binary, bands array<bigint>, v binary"), "signed")
-    classes = signed.groupBy("key").agg(F.min("d").alias("d"), F.first("bands").alias("bands"))
-    rows = classes.select("key", F.posexplode("bands").alias("band", "h"))
-    crowded = rows.groupBy("band", "h").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low != high").select("band", "h")
-    members = written(rows.join(crowded, ["band", "h"]), "members")
-    wanted = members.select("key").distinct().join(classes.select("key", "d"), "key")
-
-    vectors = written(signed.select("d", "key", "v").join(wanted, ["d", "key"]).select("key", "v").dropDuplicates(["key"]), "vectors")
+        df = np.concatenate([_numbers(x, np.uint32) for _, x in parts]) if parts else np.empty(0, np.uint32)
+        signs, vectors = {}, {}
+        for key, x, n in held.values():
+            if key not in signs:
+                f = df[np.searchsorted(h, x >> down)]
+                signs[key] = bands(*icws(x, np.log(idf(f, n_docs) * n).astype(np.float32))) if len(x) else None
+                vectors[key] = packed(x, f, n)
+        keys = [held[k][0] for k in raw]
+        return pa.table({"d": t.column("d"), "rk": t.column("rk"), "key": pa.array(keys, pa.binary()), "bands": pa.array([signs[k] for k in keys], pa.list_(pa.int64())), "v": pa.array([vectors.pop(k, None) for k in keys], pa.binary())})
+
+    sums = frequencies(dealt, size["chars"] // SLICE + 1, bits)
+    signed = written(dealt.groupBy("c").cogroup(sums.groupBy("c")).applyInArrow(sign, "d bigint, rk binary, key binary, bands array<bigint>, v binary"), "signed")
+    classes = signed.groupBy("key").agg(F.min("d").alias("d"))
+    rows = signed.filter("v is not null").select("key", F.explode("bands").alias("h"))
+    # whether a bucket has several members is told by a number of each, which aggregates by hash
+    crowded = rows.withColumn("k", F.xxhash64("key")).groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low != high").select("h")
+    members = written(rows.join(crowded, "h").distinct(), "members")
+    wanted = members.select("key").distinct()
+    vectors = written(signed.filter("v is not null").select("key", "v").join(wanted, "key").dropDuplicates(["key"]), "vectors")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            sim = [similarity(unpacked(p, n_docs), unpacked(q, n_docs)) for p, q in zip(x, y, strict=True)]
+            sim = [similarity(unpacked(p.as_py(), n_docs), unpacked(q.as_py(), n_docs)) for p, q in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), b.column(5), pa.array(sim, pa.float64())], names=["a", "b", "u", "v", "sim"])
 
     labels, tested = None, None
@@ -286,46 +338,44 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         sides = (F.least(f"{x}key", f"{y}key").alias("a"), F.greatest(f"{x}key", f"{y}key").alias("b"))
         return met.select(*sides, F.least(f"{x}label", f"{y}label").alias("u"), F.greatest(f"{x}label", f"{y}label").alias("v")).distinct()
 
-    for turn in range(PASSES):
+    for turn in range(HUBS):
         at = labelled(members)
         order = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
-        hubs = at.groupBy("band", "h").agg(F.min_by(F.struct("key", "label"), order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("band", "h", "hub")
-        if not settle(paired(at.join(hubs, ["band", "h"]).filter("label != hub.label"), "", "hub.")):
+        hubs = at.groupBy("h").agg(F.min_by(F.struct("key", "label"), order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("h", "hub")
+        if not settle(paired(at.join(hubs, "h").filter("label != hub.label"), "", "hub.")):
             break
 
     # a bucket of two is settled by its hub; members of the others that are still apart meet by their rarest shingles
-    def rarest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rare_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                keys, shingle, rests, sizes = [], [], [], []
-                for key, v in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
-                    x, rest, size = prefix(unpacked(v, n_docs), threshold)
-                    keys += [key] * len(x)
-                    shingle.append(x)
-                    rests.append(rest)
-                    sizes += [size] * len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(shingle).astype(np.int64)), pa.array(np.concatenate(rests)), pa.array(sizes, pa.float64())], names=["key", "s", "rest", "size"])
+                found = [(key, *rarest(unpacked(v.as_py(), n_docs), threshold)) for key, v in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256), strict=True)]
+                keys = [key for key, x, _, _ in found for _ in range(len(x))]
+                columns = [np.concatenate([f[1] for f in found]).astype(np.int64), np.concatenate([f[2] for f in found]), np.concatenate([np.full(len(f[1]), f[3]) for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, columns)], names=["key", "s", "rest", "size"])
 
     at = labelled(members)
-    apart = at.groupBy("band", "h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2").select("band", "h")
-    left, n_left = _counted(at.join(apart, ["band", "h"]).select("key").distinct(), "left", F.lit(True))
+    apart = at.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2").select("h")
+    left, n_left = _counted(at.join(apart, "h").select("key").distinct(), "left", F.lit(True))
     if n_left:
-        rows = labelled(written(vectors.join(left, "key").select("key", "v").mapInArrow(rarest, "key binary, s bigint, rest double, size double"), "rarest"))
+        rare = labelled(written(vectors.join(left, "key").select("key", "v").mapInArrow(rare_rows, "key binary, s bigint, rest double, size double"), "rarest"))
         # of the label with most rows of a shingle no two are paired, so a group already joined costs no square of its size
-        counts = rows.groupBy("s", "label").agg(F.count("*").alias("n"))
+        counts = rare.groupBy("s", "label").agg(F.count("*").alias("n"))
         most = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n")).filter("n > 1").select("s", "most")
-        held = written(rows.join(most, "s"), "held")
-        met = held.filter("label != most").alias("x").join(held.alias("y"), "s").filter(F.col("x.label") != F.col("y.label"))
-        near = F.least("x.size", "y.size") >= threshold * (1 - 1e-6) * F.greatest("x.size", "y.size")
-        # from the first shingle that both have on, each must weigh as much as the two share: threshold / (1 + threshold) of their sum
-        first = F.least("x.rest", "y.rest") >= threshold / (1 + threshold) * (1 - 1e-6) * (F.col("x.size") + F.col("y.size"))
-        settle(paired(met.filter(near & first), "x.", "y."))
-    every = signed.select("d", "key").distinct()
+        held = written(rare.join(most, "s").withColumn("main", F.col("label") == F.col("most")).drop("most"), "held")
+        # x is the smaller one, so of its shingles only those count that weigh, with all behind, half of what both must share at least
+        share = threshold / (1 + threshold) * (1 - 1e-6)
+        small = held.filter(F.col("rest") >= 2 * share * F.col("size")).alias("x")
+        both = F.col("x.size") + F.col("y.size")
+        near = (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") <= F.col("y.size")) & (F.least("x.rest", "y.rest") >= share * both)
+        met = [paired(small.filter(mine).join(held.filter(other).alias("y"), near), "x.", "y.") for mine, other in (("not main", F.lit(True)), ("main", ~F.col("main")))]
+        settle(met[0].unionByName(met[1]).distinct())
+    every = signed.select("d", "rk", "key").distinct()
     if labels is None:
-        return every.join(classes.select("key", F.col("d").alias("group_d")), "key").select("d", "key", "group_d")
-    placed = labelled(classes.select("key", "d"))
+        return every.join(classes.select("key", F.col("d").alias("group_d")), "key").select("d", "rk", "group_d")
+    placed = labelled(classes)
     least = placed.groupBy("label").agg(F.min("d").alias("group_d"))
-    return every.join(placed.select("key", "label"), "key").join(least, "label").select("d", "key", "group_d")
+    return every.join(placed.select("key", "label"), "key").join(least, "label").select("d", "rk", "group_d")
 
 
 def _id(column: str) -> Column:
@@ -333,25 +383,28 @@ def _id(column: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a distinct (doc_id, words): doc_id, class_id (least doc_id of its near-duplicate group) and kept.
+    """One row a distinct (doc_id, text): doc_id, class_id (least doc_id of its near-duplicate group) and kept.
 
     Null is the least id. One document of each group is kept: the one with the least id, and of several texts
-    under that id the one with the least hash. Texts without words are alike; a text of fewer than WIDTH words is one
-    shingle. Other columns are ignored; an empty table gives an empty result.
+    under that id the one with the least hash. Null counts as the empty text; texts without words are alike; a text of fewer
+    than WIDTH words is one shingle. Other columns are ignored; an empty table gives an empty result.
     """
     found = near_classes(docs, threshold)
-    first = found.filter("d = group_d").groupBy("group_d").agg(F.min("key").alias("first"))  # repeated ids only differ here
+    first = found.filter("d = group_d").groupBy("group_d").agg(F.min("rk").alias("first"))  # repeated ids only differ here
     out = found.join(first, "group_d")
-    return out.select(_id("d").alias("doc_id"), _id("group_d").alias("class_id"), ((F.col("d") == F.col("group_d")) & (F.col("key") == F.col("first"))).alias("kept"))
+    return out.select(_id("d").alias("doc_id"), _id("group_d").alias("class_id"), ((F.col("d") == F.col("group_d")) & (F.col("rk") == F.col("first"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay when one of each near-duplicate group does; columns as they are."""
+    """The rows of docs that stay when one of each near-duplicate group does; columns as they are.
+
+    Of rows that agree in doc_id and text the one whose columns have the least hash stays, so reruns agree.
+    """
     found = near_classes(docs, threshold).filter("d = group_d")
-    stay = found.groupBy(F.col("d").alias("__d")).agg(F.min("key").alias("__key"))
-    keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "__key": _key(normal(F.col("text")))})
-    again = W.partitionBy("__d", "__key").orderBy(F.lit(1))
-    return keyed.join(stay, ["__d", "__key"]).withColumn("__n", F.row_number().over(again)).filter("__n = 1").select(*(f"`{c}`" for c in docs.columns))
+    stay = found.groupBy(F.col("d").alias("__d")).agg(F.min("rk").alias("__rk"))
+    keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "__rk": _text_key(F.col("text")), "__h": F.xxhash64(*(f"`{c}`" for c in docs.columns))})
+    again = W.partitionBy("__d", "__rk").orderBy("__h")
+    return keyed.join(stay, ["__d", "__rk"]).withColumn("__n", F.row_number().over(again)).filter("__n = 1").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -361,7 +361,7 @@ def test_draws_agree_as_often_as_weights_overlap():
     from lodestone.llm.near_dedup import icws
 
     rng = np.random.default_rng(6)
-    h = rng.integers(0, 1 << 32, 300).astype(np.uint32)
+    h = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     w = rng.uniform(0.5, 3, 300)
     v = np.where(rng.random(300) < 0.3, 0, w * rng.choice([1, 1, 2], 300))
     a = icws(h, np.log(w).astype(np.float32), 4000)
