@@ -25,8 +25,9 @@ from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,30 +42,34 @@ SPARE = 11
 HUBS = 3
 _NULL_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Hash of the word that splitting makes of a text without words.
+_EMPTY = pd.util.hash_array(np.array([""], object), categorize=False)[0]
 #: Counts of quantiles for the two gamma variables of a draw.
 _R_BITS, _C_BITS = 12, 16
 
 
-class Hashes(dict):
-    """64-bit hashes by word, held for the documents of one chunk."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of all texts, one behind the other, and where each text's begin and end."""
+    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
+    coded = words.flatten().dictionary_encode()
+    hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])
+    return hashes[coded.indices.to_numpy()] if len(hashes) else np.empty(0, np.uint64), ends
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-def shingles(words: list[str], hashes: Hashes) -> np.ndarray:
-    """Hashes of the runs of WIDTH words, rising, repeated as they repeat; of all words where there are fewer."""
-    if not words:
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of WIDTH words of a text, of all words where there are fewer; none of no words."""
+    if not len(h) or len(h) == 1 and h[0] == _EMPTY:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(WIDTH, len(words))
-    out = np.full(len(words) - n + 1, np.uint64(n))
+    n = min(WIDTH, len(h))
+    out = np.full(len(h) - n + 1, np.uint64(n))
     for k in range(n):
-        out = out * _M1 + h[k : k + len(out)]
+        out *= _M1
+        out += h[k : k + len(out)]
         out ^= out >> np.uint64(29)
     out *= _M2
-    return np.sort(out ^ (out >> np.uint64(32)))
+    out ^= out >> np.uint64(32)
+    return out
 
 
 @lru_cache(1)
@@ -76,65 +81,69 @@ def _draws(n: int) -> tuple[np.ndarray, ...]:
     return q(_R_BITS).astype(np.float32), np.log(q(_C_BITS)).astype(np.float32), odd[0][:, None], odd[1][:, None]
 
 
-class _Room:
-    """Arrays that the draws of up to ``width`` shingles are computed in, again and again."""
-
-    def __init__(self, n: int, width: int) -> None:
-        self.u, self.v = np.empty((n, width), np.uint32), np.empty((n, width), np.uint32)
-        self.at = np.empty((n, width), np.intp)
-        self.r, self.c, self.t, self.b = (np.empty((n, width), np.float32) for _ in range(4))
-
-
 @lru_cache(2)
-def _room(n: int, width: int) -> _Room:
-    return _Room(n, width)
+def _room(n: int) -> tuple[np.ndarray, ...]:
+    """Arrays that blocks of n draws are computed in, again and again."""
+    return np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, np.intp), *(np.empty(n, np.float32) for _ in range(4))
 
 
-def icws(h: np.ndarray, log_weight: np.ndarray, n: int = BANDS * BAND, width: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """The drawn shingle and quantised weight of each of n samples, from distinct shingles (64-bit) and their weights.
+def _costs(h: np.ndarray, log_weight: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cost and the quantised weight of each of n samples and at most ``width`` distinct shingles (64-bit).
 
-    With r and c of gamma distribution and b uniform, all by hash of shingle and sample: t = floor(log(weight) / r + b), and
-    the shingle of the least log(c) - r * (t - b + 1) is drawn.
+    With r and c of gamma distribution and b uniform, all by hash of shingle and sample: t = floor(log(weight) / r + b), at a
+    cost of log(c) - r * (t - b + 1).
     """
     gamma, log_gamma, m1, m2 = _draws(n)
-    low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
-    best = np.full(n, np.inf, np.float32)
-    who, level, every = np.zeros(n, np.uint32), np.zeros(n, np.int32), np.arange(n)
-    room = _room(n, width)
-    for at in range(0, len(low), width):
-        x, y = low[at : at + width], high[at : at + width]
-        u, v, i, r, c, t, b = (z[:, : len(x)] for z in (room.u, room.v, room.at, room.r, room.c, room.t, room.b))
-        np.multiply(m1, x, out=u)
-        np.right_shift(u, np.uint32(15), out=v)
-        u ^= v
-        u *= np.uint32(0x2C1B3C6D)
-        u ^= y
-        u *= m2
-        np.right_shift(u, np.uint32(32 - _R_BITS), out=i, casting="unsafe")
-        np.take(gamma, i, out=r, mode="clip")
-        np.right_shift(u, np.uint32(13), out=v)
-        v ^= u
-        v *= np.uint32(0x297A2D39)
-        np.right_shift(v, np.uint32(32 - _C_BITS), out=i, casting="unsafe")
-        np.take(log_gamma, i, out=c, mode="clip")
-        np.left_shift(v, np.uint32(17), out=u)
-        u ^= v
-        u *= np.uint32(0x85EBCA6B)
-        u >>= np.uint32(8)
-        np.multiply(u, np.float32(2.0**-24), out=b, casting="unsafe")
-        np.divide(log_weight[at : at + width], r, out=t)
-        t += b
-        np.floor(t, out=t)
-        np.subtract(t, b, out=b)
-        b += np.float32(1)
-        b *= r
-        c -= b
-        i = c.argmin(1)
-        least = c[every, i]
-        better = least < best
-        best = np.where(better, least, best)
-        who = np.where(better, y[i], who)
-        level = np.where(better, t[every, i].astype(np.int32), level)
+    u, v, i, r, c, t, b = (z[: n * len(h)].reshape(n, len(h)) for z in _room(n * width))
+    np.multiply(m1, h.astype(np.uint32), out=u)
+    np.right_shift(u, np.uint32(15), out=v)
+    u ^= v
+    u *= np.uint32(0x2C1B3C6D)
+    u ^= (h >> np.uint64(32)).astype(np.uint32)
+    u *= m2
+    np.right_shift(u, np.uint32(32 - _R_BITS), out=i, casting="unsafe")
+    np.take(gamma, i, out=r, mode="clip")
+    np.right_shift(u, np.uint32(13), out=v)
+    v ^= u
+    v *= np.uint32(0x297A2D39)
+    np.right_shift(v, np.uint32(32 - _C_BITS), out=i, casting="unsafe")
+    np.take(log_gamma, i, out=c, mode="clip")
+    np.left_shift(v, np.uint32(17), out=u)
+    u ^= v
+    u *= np.uint32(0x85EBCA6B)
+    u >>= np.uint32(8)
+    np.multiply(u, np.float32(2.0**-24), out=b, casting="unsafe")
+    np.divide(log_weight, r, out=t)
+    t += b
+    np.floor(t, out=t)
+    np.subtract(t, b, out=b)
+    b += np.float32(1)
+    b *= r
+    c -= b
+    return c, t
+
+
+def icws(h: np.ndarray, log_weight: np.ndarray, sizes: list[int], n: int = BANDS * BAND, width: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The drawn shingle (upper half of its hash) and quantised weight, [text, sample], of texts that stand one behind the
+    other, each with ``sizes`` distinct shingles, of at least one: the shingle of the least cost is drawn."""
+    ends = np.cumsum(sizes)
+    best = np.full((len(sizes), n), np.inf, np.float32)
+    who, level, every = np.zeros((len(sizes), n), np.uint32), np.zeros((len(sizes), n), np.int32), np.arange(n)
+    k = 0
+    for at in range(0, len(h), width):
+        x = h[at : at + width]
+        cost, t = _costs(x, log_weight[at : at + width], n, width)
+        start = 0
+        while start < len(x):
+            end = min(len(x), int(ends[k]) - at)
+            i = cost[:, start:end].argmin(1) + start
+            least = cost[every, i]
+            better = least < best[k]
+            np.copyto(best[k], least, where=better)
+            np.copyto(who[k], (x[i] >> np.uint64(32)).astype(np.uint32), where=better)
+            np.copyto(level[k], t[every, i].astype(np.int32), where=better)
+            start = end
+            k += end + at == ends[k]
     return who, level
 
 
@@ -206,14 +215,12 @@ def _numbers(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _shingled(keys: list, texts: list) -> dict:
-    """Words' key, distinct shingles and their counts by key of the text."""
-    out, hashes = {}, Hashes()
-    for key, t in zip(keys, texts, strict=True):
-        if key not in out:
-            w = t.as_py().lower().split()
-            out[key] = (md5(" ".join(w).encode("utf-8", "surrogatepass")).digest(), *np.unique(shingles(w, hashes), return_counts=True))
-    return out
+def _shingled(keys: list, texts: pa.ChunkedArray) -> dict:
+    """Key of the words, distinct rising shingles and their counts, by key of the text."""
+    first = {key: i for i, key in reversed(list(enumerate(keys)))}
+    h, ends = word_hashes(texts.take(pa.array(first.values())).combine_chunks())
+    parts = [h[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return {key: (md5(x.tobytes()).digest(), *np.unique(shingles(x), return_counts=True)) for key, x in zip(first, parts, strict=True)}
 
 
 def frequencies(dealt: DataFrame, slices: int, bits: int) -> DataFrame:
@@ -285,14 +292,19 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         h = np.unique(np.concatenate([x >> down for _, x, _ in held.values()])) if held else np.empty(0, np.uint64)
         parts = sorted(zip(sums.column("slice").to_pylist(), sums.column("df").to_pylist(), strict=True))
         df = np.concatenate([_numbers(x, np.uint32) for _, x in parts]) if parts else np.empty(0, np.uint32)
-        signs, vectors = {}, {}
+        signs, vectors, log_weights, sized = {}, {}, [], {}
         for key, x, n in held.values():
-            if key not in signs:
+            if key not in vectors:
                 f = df[np.searchsorted(h, x >> down)]
-                signs[key] = bands(*icws(x, np.log(idf(f, n_docs) * n).astype(np.float32))) if len(x) else None
                 vectors[key] = packed(x, f, n)
+                if len(x):
+                    log_weights.append(np.log(idf(f, n_docs) * n).astype(np.float32))
+                    sized[key] = x
+        if sized:
+            who, level = icws(np.concatenate(list(sized.values())), np.concatenate(log_weights), [len(x) for x in sized.values()])
+            signs = {key: bands(a, b) for key, a, b in zip(sized, who, level, strict=True)}
         keys = [held[k][0] for k in raw]
-        return pa.table({"d": t.column("d"), "rk": t.column("rk"), "key": pa.array(keys, pa.binary()), "bands": pa.array([signs[k] for k in keys], pa.list_(pa.int64())), "v": pa.array([vectors.pop(k, None) for k in keys], pa.binary())})
+        return pa.table({"d": t.column("d"), "rk": t.column("rk"), "key": pa.array(keys, pa.binary()), "bands": pa.array([signs.get(k) for k in keys], pa.list_(pa.int64())), "v": pa.array([vectors.pop(k, None) for k in keys], pa.binary())})
 
     sums = frequencies(dealt, size["chars"] // SLICE + 1, bits)
     signed = written(dealt.groupBy("c").cogroup(sums.groupBy("c")).applyInArrow(sign, "d bigint, rk binary, key binary, bands array<bigint>, v binary"), "signed")
