@@ -24,8 +24,8 @@ from .common import table, written
 FIT_ROWS = 1_000
 ROWS, HASHES = 1 << 18, 2
 NEAR_BEST, LEAST_COUNT = 0.25, 3
-CHUNK = 1 << 19
-REJECT_BELOW = 0.3
+#: Characters that are turned into grams at a time.
+CHUNK = 1 << 17
 UNKNOWN = "und"
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -49,47 +49,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def grams(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram hashes, index of each one's text) in chunks of about ``size`` characters. Long texts come in pieces that
-    share a border, so no gram is lost; a null has none."""
+    """(gram hashes, index of each one's text), about ``size`` characters at a time; a null has none.
+
+    A text longer than that comes in pieces. Each goes on from the last codes of the one before, and a gram belongs to
+    the piece that it ends in, so all pieces together have the grams of the whole text, each as often.
+    """
     held: list[str] = []
     index: list[int] = []
     n = 0
     for i, t in enumerate(texts):
         t = (t or "").lower()
-        for at in range(0, len(t), size):
-            held.append(t[max(0, at - 3) : at + size] if at else t[:size])
-            index.append(i)
-            n += len(held[-1])
-            if n >= size:
-                yield _grams(held, index)
-                held, index, n = [], [], 0
+        if len(t) > size:
+            before = np.zeros(1, np.uint32)
+            for at in range(0, len(t), size):
+                piece = _codes(t[at : at + size] + (" " if at + size >= len(t) else ""), int(before[-1]))
+                stream = np.concatenate([before, piece])
+                h, _ = _grams(stream, np.zeros(len(stream), np.int64), len(before))
+                yield h, np.full(len(h), i)
+                before = stream[-3:]
+            continue
+        held.append(t)
+        index.append(i)
+        n += len(t)
+        if n >= size:
+            yield _joined(held, index)
+            held, index, n = [], [], 0
     if held:
-        yield _grams(held, index)
+        yield _joined(held, index)
+
 
+def _codes(text: str, before: int) -> np.ndarray:
+    """Code points of the letters, with one 0 for what stands between words; ``before`` is the code ahead of the text."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    a = np.where(_letters()[a], a, 0).astype(np.uint32)
+    return a[(a != 0) | (np.concatenate([[before], a[:-1]]) != 0)]
 
-def _grams(texts: list[str], index: list[int]) -> tuple[np.ndarray, np.ndarray]:
+
+def _joined(texts: list[str], index: list[int]) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(f" {' '.join(texts)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.asarray(index, np.int64), [len(t) + 1 for t in texts])
     owner = np.concatenate([owner[:1], owner])
     a = np.where(_letters()[a], a, 0)
     keep = (a != 0) | (np.concatenate([[1], a[:-1]]) != 0)  # one border between words
-    a, owner = a[keep].astype(np.uint64), owner[keep]
-    out, who = [], []
+    h, w = _grams(a[keep].astype(np.uint32), owner[keep], 0)
+    order = np.argsort(w, kind="stable")
+    return h[order], w[order]
+
+
+def _grams(a: np.ndarray, owner: np.ndarray, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a stream of codes that end at or behind place ``old``, and the owners of the codes that they end at (a border
+    belongs to the text before it)."""
+    a, out, who = a.astype(np.uint64), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for n in (3, 4):
-        if len(a) < n:
+        first = max(0, old - n + 1)
+        m = len(a) - n + 1 - first
+        if m <= 0:
             continue
-        m = len(a) - n + 1
         h = np.full(m, np.uint64(n))
+        inner = np.ones(m, bool)
         for k in range(n):
-            h = h * _MIX[0] + a[k : k + m]
-        inner = np.logical_and.reduce([a[k : k + m] != 0 for k in range(1, n - 1)])
+            part = a[first + k : first + k + m]
+            h = h * _MIX[0] + part
+            if 0 < k < n - 1:
+                inner &= part != 0
         out.append(mixed(h[inner]))
-        who.append(owner[:m][inner])
-    if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h, w = np.concatenate(out), np.concatenate(who)
-    order = np.argsort(w, kind="stable")
-    return h[order], w[order]
+        who.append(owner[first + n - 1 : first + n - 1 + m][inner])
+    return np.concatenate(out), np.concatenate(who)
 
 
 def rows_of(h: np.ndarray) -> list[np.ndarray]:
@@ -172,23 +197,31 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, near_best: float = NEAR_BEST)
     return Filters(langs, masks, np.minimum(0.9, fill**HASHES))
 
 
+def _told(docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of docs with lang_pred and score; a text is sent once."""
+    shown = docs.select(*(f"`{c}`" for c in keep))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema)
+    text = [c.lower() for c in keep].index("text") if "text" in map(str.lower, keep) else len(keep)
+    used = shown if text < len(keep) else docs.select(*(f"`{c}`" for c in keep), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # ROWS masks, whatever the input
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                langs, score = shared.value.predict(b.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+
+    return used.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with lang_pred and score (0 to 1: the best language's part of all languages' corrected counts).
 
     A null text or one without letters is ``und`` with score 0; letters without known grams give the first
     language by name with score 0; every row stays; columns named as an added one give way.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    used = docs.select(*(f"`{c}`" for c in kept), F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema if f.name != "__text")
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # ROWS masks, whatever the input
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, score = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
-
-    return used.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return _told(docs, filters, [c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
 
 
 def held_out() -> Column:
@@ -200,13 +233,25 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     return predict(docs, filters or fit(docs.filter(~held_out())))
 
 
-def keep_known(docs: DataFrame, least: float = REJECT_BELOW) -> DataFrame:
-    """The documents whose language is told: not ``und`` and of at least that score; columns stay as they are."""
-    found = identify(docs.withColumn("__doc", F.struct(*docs.columns)).select("doc_id", "text", "lang", "__doc").select("__doc", "doc_id", "text", "lang"))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__doc.*")
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents whose language is told: all but ``und``, those without letters; columns stay as they are.
+
+    The score doesn't decide, as it is shared among all languages that are alike, so good texts would go the sooner the more are learned.
+    """
+    filters = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out())))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                langs, _ = filters.value.predict(b.column(at).to_pylist())
+                yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = predict(docs.select("doc_id", held_out().alias("held_out"), "text"), fit(docs.filter(~held_out())))
+    found = _told(docs.select("doc_id", held_out().alias("held_out"), "text"), fit(docs.filter(~held_out())), ["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score")
