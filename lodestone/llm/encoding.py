@@ -7,14 +7,17 @@ single spaces or line ends is therefore the join of its words' ids. Any other te
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Words, and runs of letters, kept by a worker; others are encoded whenever they come.
-KEPT, KEPT_RUNS = 200_000, 300_000
+#: Bytes of words, and of runs of letters, kept during a task; others are encoded whenever they come.
+KEPT, KEPT_RUNS = 24 << 20, 24 << 20
+#: What an entry takes besides its word and ids.
+_ENTRY = 200
 SLICE = 1 << 20
 _SPACE = re.compile(r"\s")
 #: One run of letters that have a composed form and a plain lower case, and one of marks without apostrophes (these may
@@ -35,18 +38,35 @@ def _byte_marks() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids (little-endian unsigned 32-bit, joined) by word."""
+    """Ids (little-endian unsigned 32-bit, joined) by word, up to ``most`` bytes."""
 
     def __init__(self, encode, most: int = KEPT) -> None:
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.left = encode, most
+        self.most = most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
-        if len(self) < self.most:
+        if self.left > 0:
             self[word] = ids
+            self.left -= _ENTRY + len(word) + len(ids)
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.left = self.most
+
+
+# How the two known kinds of vocabulary normalise text and cut it before their merges.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_FORMS = [
+    (None, _BYTES | {"use_regex": True}),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]},
+    ),
+]
+
 
 class Encoder:
     """spaced: a space before a word is part of its token; else white space is dropped and case folded."""
@@ -55,7 +75,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = self.tokenizer.normalizer is None
+        form = json.loads(self.tokenizer.to_str())
+        self.spaced = form["normalizer"] is None
+        # any other way of cutting text than the two that this module knows encodes every text whole
+        self.known = (form["normalizer"], form["pre_tokenizer"]) in _FORMS and form["model"]["type"] == "BPE"
         self.words = _Words(self._spaced_word if self.spaced else self._dropped_word)
         self.firsts = _Words(lambda w: self._word(w, ""))
         self.runs = _Words(self._run, KEPT_RUNS)
@@ -87,10 +110,17 @@ class Encoder:
     def _dropped_word(self, word: str) -> bytes:
         return self._word(word, "") if word else b""
 
+    def forget(self) -> None:
+        """Drops the tables, so that a worker that waits for its next task holds none."""
+        for held in (self.words, self.firsts, self.runs):
+            held.clear()
+
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text, as joined little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.known:
+            return self._whole(text)
         try:
             return b"".join(self._slices(text))
         except OddSpace:

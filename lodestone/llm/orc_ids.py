@@ -42,6 +42,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = END) -> No
                 lists = pa.ListArray.from_arrays(pa.array(n), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), lists], names=["doc_id", "part", "row", "ids"])
                 row += len(ids)
+        enc.forget()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")

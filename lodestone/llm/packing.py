@@ -106,10 +106,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
                 total = len(ids) // 4
                 for key, pieces in windows.add(total, lambda at, n: (doc, at, n, _crc(ids, at, n), total)):  # noqa: B023
                     closed(key, pieces, False)
-            yield flush()
+            if ready:
+                yield flush()
         for key, pieces in windows.rest():
             closed(key, pieces, True)
         yield flush()
+        enc.forget()
 
     first = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{PIECE}, open boolean, part bigint"), "pieces")
 
