@@ -1,15 +1,17 @@
-"""Line deduplication: suffixes of line sequences, named by distributed prefix doubling.
+"""Line deduplication: a suffix array over line sequences, by distributed prefix doubling.
 
-The corpus is one sequence of lines by (doc_id, line), with a separator after each document. Level 0 names
-every line that occurs again by its first place. Level k + 1 joins the names of a place and of the place
-2^k lines on, and names each pair that occurs again by its first place: the suffixes that share their
-first 2^(k+1) lines, an interval of the suffix array whose longest common prefix is at least that long.
-Places whose prefix is unique leave at each level, so the work shrinks to the repeated runs.
+The corpus is one sequence of lines by (doc_id, line), with a separator after each document. Level 0 ranks the
+lines that occur again. Level k + 1 joins the ranks of a place and of the place 2^k lines on, and ranks the pairs that
+occur again, so it orders suffixes by their first 2^(k+1) lines: those of one rank are an interval of the suffix
+array whose longest common prefix is at least that long. Ranks are numbered over range partitions. Places whose prefix is
+unique leave at each level, so the work shrinks to the repeated runs.
 
-Two suffixes have a common prefix of t lines, 2^k <= t < 2^(k+1), exactly if their names at level k agree
-at both ends of it. A run of t lines with at least ``min_words`` words that occurs earlier is a later copy. All
+Two suffixes have a common prefix of t lines, 2^k <= t < 2^(k+1), exactly if their ranks at level k agree
+at both ends of it, which gives the interval of any length without the whole array. A run of t lines with at least
+``min_words`` words that occurs earlier is a later copy. All
 maximal runs with that many words are unions of the shortest such runs that start or end at each line, so
-it is enough to test those: all lines of later copies are deleted, and the first copy of a run stays.
+it is enough to test those: all lines of later copies are deleted. The first copy of a run stays, but for lines in which it
+overlaps an earlier one: of six equal lines of 30 words the first stays.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import ordinals, table, written
 
 MIN_WORDS = 50
 _NULL_ID = -(1 << 63)
@@ -77,36 +79,43 @@ def _place() -> Column:
     return F.struct("d", "th", "pos")
 
 
-def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with name, the first place (d, th, pos) among the rows that agree in ``by``, where there are several."""
-    again = rows.groupBy(*by).agg(F.min(_place()).alias("name"), F.max(_place()).alias("__last")).filter("name != __last").drop("__last")
-    return rows.join(again, by)
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the rank of their ``by`` columns among those that several rows agree in; others leave.
+
+    The ranks are a table of their own before rows meet them, so a frequent key is counted in each task first, and its rows are
+    dealt to several tasks where Spark finds their partition skewed.
+    """
+    again = rows.groupBy(*by).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first != last").select(*by)
+    return rows.join(ordinals(again, *map(F.col, by), name="rank"), by)
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, th, start, n: runs of lines of at least min_words words that occur earlier in the corpus."""
-    level = written(_named(written(lines(docs, min_words), "lines"), ["h"]).groupBy("d", "th", "pos").agg(F.first("name").alias("name"), F.first("fwd").alias("fwd"), F.first("bwd").alias("bwd")), "level0")
+    level = _ranked(written(lines(docs, min_words), "lines"), ["h"]).groupBy("d", "th", "pos").agg(F.first("rank").alias("rank"), F.first("fwd").alias("fwd"), F.first("bwd").alias("bwd"))
+    level = written(level, "level0")
     runs = (
         level.select("d", "th", F.explode(F.array(F.struct(F.col("pos").alias("start"), F.col("fwd").alias("n")), F.struct((F.col("pos") - F.col("bwd") + 1).alias("start"), F.col("bwd").alias("n")))).alias("r"))
         .select("d", "th", "r.start", "r.n").filter("n > 0").distinct()
     )
     runs = written(runs, "runs")
     longest = runs.agg(F.max("n")).first()[0] or 0
-    level = level.select("d", "th", "pos", "name")
+    level = level.select("d", "th", "pos", "rank")
     found, k = None, 0
     while (1 << k) <= longest:
         own = runs.filter((F.col("n") >= 1 << k) & (F.col("n") < 2 << k))
-        head = own.join(level.withColumnsRenamed({"pos": "start", "name": "head"}), ["d", "th", "start"])
-        tail = level.select("d", "th", F.col("pos").alias("at"), F.col("name").alias("tail"))
+        head = own.join(level.withColumnsRenamed({"pos": "start", "rank": "head"}), ["d", "th", "start"])
+        tail = level.select("d", "th", F.col("pos").alias("at"), F.col("rank").alias("tail"))
         both = head.withColumn("at", F.col("start") + F.col("n") - (1 << k)).join(tail, ["d", "th", "at"])
-        copies = _named(both.select("d", "th", F.col("start").alias("pos"), "n", "head", "tail"), ["n", "head", "tail"]).filter(_place() != F.col("name"))
-        copies = copies.select("d", "th", F.col("pos").alias("start"), "n")
+        both = written(both.select("d", "th", F.col("start").alias("pos"), "n", "head", "tail"), "ends")
+        interval = ["n", "head", "tail"]
+        firsts = written(both.groupBy(*interval).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).filter("first != last").select(*interval, "first"), "intervals")
+        copies = both.join(firsts, interval).filter(_place() != F.col("first")).select("d", "th", F.col("pos").alias("start"), "n")
         found = copies if found is None else found.unionByName(copies)
         if (2 << k) > longest:
             break
-        ahead = level.select("d", "th", (F.col("pos") - (1 << k)).alias("pos"), F.col("name").alias("b"))
-        pairs = level.select("d", "th", "pos", F.col("name").alias("a")).join(ahead, ["d", "th", "pos"])
-        level = written(_named(pairs, ["a", "b"]).select("d", "th", "pos", "name"), "level")
+        ahead = level.select("d", "th", (F.col("pos") - (1 << k)).alias("pos"), F.col("rank").alias("b"))
+        pairs = written(level.select("d", "th", "pos", F.col("rank").alias("a")).join(ahead, ["d", "th", "pos"]), "pairs")
+        level = written(_ranked(pairs, ["a", "b"]).select("d", "th", "pos", "rank"), "level")
         k += 1
     if found is None:
         return docs.sparkSession.createDataFrame([], "d bigint, th binary, start int, n int")
