@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fitting takes a bounded sample (SAMPLE vectors): its k-nearest-neighbour graph is cut into balanced parts
+Fitting takes a bounded sample (SAMPLE vectors a part): its k-nearest-neighbour graph is cut into balanced parts
 (median splits along leading directions, then capacity-bounded moves of nodes to the part of most of their
 neighbours), and a small classifier learns the part of a vector. It deals every vector of the table to its
 most probable part. A query goes to as many of its most probable parts as held-out sample queries needed
-for TARGET recall against brute force, and all vectors of those parts are ranked by exact cosine.
+for TARGET recall against brute force, or more where these hold too few vectors, and all vectors of those parts are
+ranked by exact cosine. The number of parts grows with the table, PART vectors a part, from LEAST_PARTS up to MOST_PARTS (beyond
+that parts grow).
 
 Parts are searched in blocks of (part, block of vectors, block of queries), so neither a part that holds
 much of the table nor a frequent vector lands in one task.
@@ -24,8 +26,15 @@ from pyspark.sql import Window as W
 
 from .common import table, written
 
-SAMPLE, HELD_OUT, PARTS, DEGREE, HIDDEN, TARGET = 6000, 400, 16, 10, 64, 0.97
-BLOCK, QUERY_BLOCK = 20_000, 2_000
+SAMPLE, HELD_OUT, DEGREE, HIDDEN, TARGET = 375, 400, 10, 64, 0.97
+PART, LEAST_PARTS, MOST_PARTS = 20_000, 16, 64
+#: A task holds one block of each: about 10 MB of vectors of 64 components.
+BLOCK, QUERY_BLOCK = 20_000, 20_000
+
+
+def parts_of(rows: int) -> int:
+    """The number of parts for so many vectors: a power of two."""
+    return min(MOST_PARTS, max(LEAST_PARTS, 1 << max(0, -(-rows // PART) - 1).bit_length()))
 
 
 @dataclass
@@ -113,7 +122,7 @@ def train(x: np.ndarray, part: np.ndarray, parts: int, hidden: int = HIDDEN, epo
     return tuple(w)
 
 
-def fit(x: np.ndarray, parts: int = PARTS, k: int = 5, target: float = TARGET) -> Router:
+def fit(x: np.ndarray, parts: int = LEAST_PARTS, k: int = 5, target: float = TARGET) -> Router:
     """A router from sample vectors (rows); the last of them are held out to find the probes."""
     x = np.unique(unit(x), axis=0)
     x = x[np.random.default_rng(2).permutation(len(x))]
@@ -174,7 +183,7 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
     return pd.concat(out, ignore_index=True)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS, target: float = TARGET) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, parts: int | None = None, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row (all, if fewer), nearest first.
 
     Rows whose vector is null, empty, zero or holds null or non-finite components take no part, nor do rows
@@ -185,31 +194,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS
     rows = written(valid_vectors(vectors).withColumn("n", F.octet_length("v")), "vectors")
     usual = rows.groupBy("n").count().orderBy(F.desc("count"), "n").first()
     out_schema = "query_id bigint, vec_id bigint, score double"
+    none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if usual is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return none
     rows = rows.filter(F.col("n") == usual["n"])
-    chosen = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
-    router = spark.sparkContext.broadcast(fit(_matrix(list(chosen["v"])), parts, k, target))
+    parts = parts or parts_of(usual["count"])
+    chosen = rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(int(SAMPLE * parts)).toPandas()
+    fitted = fit(_matrix(list(chosen["v"])), parts, k, target)
+    router = spark.sparkContext.broadcast(fitted)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                order = router.value.order(unit(_matrix(b.column(1).to_pylist())))[:, : router.value.probes].astype(np.int32)
+                order = router.value.order(unit(_matrix(b.column(1).to_pylist()))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["vec_id", "v", "parts"])
 
-    routed = written(rows.select("vec_id", "v").mapInArrow(route, "vec_id bigint, v binary, parts array<int>"), "routed")
-    asks = is_query
-    sizes = {r["p"]: r for r in routed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a part
-    asked = {r["p"]: r["n"] for r in routed.filter(asks).select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
-    blocks = {p: -(-r["n"] // BLOCK) for p, r in sizes.items()}
-    groups = {p: -(-n // QUERY_BLOCK) for p, n in asked.items()}
+    routed = written(rows.select("vec_id", "v").mapInArrow(route, "vec_id bigint, v binary, parts array<int>").select("vec_id", "v", F.col("parts")[0].alias("p"), F.when(is_query, F.col("parts")).alias("parts")), "routed")
+    # of copies of a row one counts, and one candidate may be the query itself
+    sizes = {r["p"]: r["n"] for r in routed.groupBy("p").agg(F.count("*").alias("n"), F.approx_count_distinct("vec_id").alias("ids")).select("p", F.least("n", (F.col("ids") * 0.8).cast("long")).alias("n")).collect()}  # one row a part
+    lookup = lambda d, at, other: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in sorted(d.items()) for x in kv)), at), F.lit(other))
+    upto = F.aggregate("parts", F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("n")), lambda acc, p: F.when((acc["n"] >= fitted.probes) & (acc["held"] > 2 * k), acc).otherwise(F.struct((acc["held"] + lookup(sizes, p, 0)).cast("bigint").alias("held"), (acc["n"] + 1).alias("n"))))
+    asks = routed.filter("parts is not null").select("vec_id", "v", F.explode(F.slice("parts", F.lit(1), upto["n"])).alias("p"))
+    asked = {r["p"]: r["n"] for r in asks.groupBy("p").agg(F.count("*").alias("n")).collect()}
     if not asked:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    lookup = lambda d: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in sorted(d.items()) for x in kv)), F.col("p")), F.lit(1))
-    h = F.xxhash64("vec_id")
-    held = routed.withColumn("p", F.col("parts")[0]).withColumns({"cb": F.pmod(h, lookup(blocks)), "qb": F.explode(F.sequence(F.lit(0), lookup(groups) - 1))}).select("p", "cb", F.col("qb").cast("int").alias("qb"), "vec_id", "v")
-    sent = routed.filter(asks).withColumn("p", F.explode("parts")).withColumns({"qb": F.pmod(h, lookup(groups)).cast("int"), "cb": F.explode(F.sequence(F.lit(0), lookup(blocks) - 1))}).select("p", F.col("cb").cast("bigint").alias("cb"), "qb", "vec_id", "v")
+        return none
+    blocks = {p: -(-n // BLOCK) for p, n in {r["p"]: r["n"] for r in routed.groupBy("p").agg(F.count("*").alias("n")).collect()}.items()}
+    groups = {p: -(-n // QUERY_BLOCK) for p, n in asked.items()}
+    h, p = F.xxhash64("vec_id"), F.col("p")
+    held = routed.withColumns({"cb": F.pmod(h, lookup(blocks, p, 1)), "qb": F.explode(F.sequence(F.lit(0), lookup(groups, p, 1) - 1))}).select("p", "cb", F.col("qb").cast("int").alias("qb"), "vec_id", "v")
+    sent = asks.withColumns({"qb": F.pmod(h, lookup(groups, p, 1)).cast("int"), "cb": F.explode(F.sequence(F.lit(0), lookup(blocks, p, 1) - 1))}).select("p", F.col("cb").cast("bigint").alias("cb"), "qb", "vec_id", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
