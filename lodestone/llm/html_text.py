@@ -6,7 +6,8 @@ the greatest sum, and the words of that region that do not stand under furniture
 
 All weights come from ``labelled_pages``: small pages whose main text is marked by ``data-main``. A tag's
 weight grows with the share of its occurrences that begin or end the main text; a word's weight is the least log-odds
-of the elements around it, told apart by tag, and by the words in class, id and role.
+of the elements around it, told apart by tag, and by the words in class, id and role. A name of several words of which
+one is unknown ("share-price") tells little: it only lowers the score (DOUBT), and the region decides.
 """
 
 from __future__ import annotations
@@ -46,12 +47,23 @@ _ENDS_P = {"p", "address", "article", "aside", "blockquote", "center", "details"
 #: Score of a tag that always begins or ends the main text; of a furniture word, per unit of its log-odds. The latter is
 #: small, as such words are dropped wherever they stand, and a notice must not part a short end from its article.
 EDGE, FURNITURE = 40.0, 0.03
+#: Score of a word under a name that holds a furniture word and one that neither the labels nor LAYOUT know.
+DOUBT = 0.25
+#: Words that tell in names where or how a thing is laid out, not what it is.
+LAYOUT = set("area article articles bar block bottom box button buttons col column container content desktop entry global group holder icon icons inner item items js left link links list main mobile module outer page panel post posts primary region right row section secondary site slot title top unit user users wrap wrapper zone".split())
+
+
+@lru_cache(1)
+def labelled_words() -> frozenset[str]:
+    """The words in class, id and role of the labelled pages."""
+    named = re.compile(r"(?:class|id|role)=('[^']*'|[^\s>']+)")
+    return frozenset(x.lower() for page in labelled_pages() for v in named.findall(page) for x in _PIECE.findall(v))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
     """("text", s, []), ("open" | "close" | "void", tag, words of its attributes). Comments, declarations and raw
     elements are passed over; an unclosed comment, script or the like (_REST) ends the page."""
-    at, n = 0, len(page)
+    at, n, known = 0, len(page), labelled_words()
     unclosed: set[str] = set()
     while at < n:
         m = _MARK.search(page, at)
@@ -103,7 +115,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
                 elif k == "data-main":
                     marks.append("#main" if v == "1" else "#other")
                 elif k != "style":
-                    marks += [f".{x.lower()}" for x in _PIECE.findall(v)]
+                    for name in v.split():
+                        pieces = [x.lower() for x in _PIECE.findall(name)]
+                        sure = len(pieces) < 2 or all(x in LAYOUT or x in known for x in pieces)
+                        marks += [f"{'.' if sure else '?'}{x}" for x in pieces]
         yield ("void" if tag in _VOID or shown.endswith("/>") else "open"), tag, marks
 
 
@@ -264,7 +279,7 @@ def extract(page: str | None) -> str:
         if kind == "text":
             at = id(stack)
             if at not in known:
-                known[at] = min((by_word.get(f, 1.0) for fs in stack for f in fs if f[0] != "." or id(fs) not in wrap), default=1.0)
+                known[at] = min((DOUBT if f[0] == "?" and f".{f[1:]}" in by_word else by_word.get(f, 1.0) for fs in stack for f in fs if f[0] not in ".?" or id(fs) not in wrap), default=1.0)
             text = entities.unescape(what) if "&" in what else what
             n = len(text.split())
             scores.append(known[at] * n)
