@@ -279,7 +279,7 @@ def _text_key(text: Column) -> Column:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """d, rk, group_d: for every distinct (document, text), the least document of its near-duplicate group."""
+    """d, rk, group, group_d: for every distinct (document, text), its near-duplicate group and the least document of that."""
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("chars")).first()
     n_docs, bits = size["n"], min(64, size["chars"].bit_length() + SPARE)
     down = np.uint64(64 - bits)
@@ -382,12 +382,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         near = (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") <= F.col("y.size")) & (F.least("x.rest", "y.rest") >= share * both)
         met = [paired(small.filter(mine).join(held.filter(other).alias("y"), near), "x.", "y.") for mine, other in (("not main", F.lit(True)), ("main", ~F.col("main")))]
         settle(met[0].unionByName(met[1]).distinct())
+    placed = labelled(classes).withColumnRenamed("label", "group")
+    least = placed.groupBy("group").agg(F.min("d").alias("group_d"))
     every = signed.select("d", "rk", "key").distinct()
-    if labels is None:
-        return every.join(classes.select("key", F.col("d").alias("group_d")), "key").select("d", "rk", "group_d")
-    placed = labelled(classes)
-    least = placed.groupBy("label").agg(F.min("d").alias("group_d"))
-    return every.join(placed.select("key", "label"), "key").join(least, "label").select("d", "rk", "group_d")
+    return every.join(placed.select("key", "group"), "key").join(least, "group").select("d", "rk", "group", "group_d")
 
 
 def _id(column: str) -> Column:
@@ -397,23 +395,26 @@ def _id(column: str) -> Column:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a distinct (doc_id, text): doc_id, class_id (least doc_id of its near-duplicate group) and kept.
 
-    Null is the least id. One document of each group is kept: the one with the least id, and of several texts
-    under that id the one with the least hash. Null counts as the empty text; texts without words are alike; a text of fewer
+    Null is the least id. One text of each group is kept: the one of the least id, and of several texts
+    under that id the one of the least hash. Null counts as the empty text; texts without words are alike; a text of fewer
     than WIDTH words is one shingle. Other columns are ignored; an empty table gives an empty result.
     """
     found = near_classes(docs, threshold)
-    first = found.filter("d = group_d").groupBy("group_d").agg(F.min("rk").alias("first"))  # repeated ids only differ here
-    out = found.join(first, "group_d")
+    out = found.join(_first(found), "group")
     return out.select(_id("d").alias("doc_id"), _id("group_d").alias("class_id"), ((F.col("d") == F.col("group_d")) & (F.col("rk") == F.col("first"))).alias("kept"))
 
 
+def _first(found: DataFrame) -> DataFrame:
+    return found.filter("d = group_d").groupBy("group").agg(F.min("rk").alias("first"))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay when one of each near-duplicate group does; columns as they are.
+    """The rows of docs that stay when one of each near-duplicate group does (see near_duplicates); columns as they are.
 
     Of rows that agree in doc_id and text the one whose columns have the least hash stays, so reruns agree.
     """
-    found = near_classes(docs, threshold).filter("d = group_d")
-    stay = found.groupBy(F.col("d").alias("__d")).agg(F.min("rk").alias("__rk"))
+    found = near_classes(docs, threshold)
+    stay = found.join(_first(found), "group").filter("d = group_d and rk = first").select(F.col("d").alias("__d"), F.col("rk").alias("__rk"))
     keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "__rk": _text_key(F.col("text")), "__h": F.xxhash64(*(f"`{c}`" for c in docs.columns))})
     again = W.partitionBy("__d", "__rk").orderBy("__h")
     return keyed.join(stay, ["__d", "__rk"]).withColumn("__n", F.row_number().over(again)).filter("__n = 1").select(*(f"`{c}`" for c in docs.columns))
