@@ -78,6 +78,87 @@ QUERY_TOPICS = [
     ("ecommerce_tax", ["thương mại điện tử", "sàn thương mại điện tử", "gian lận thuế", "trục lợi thuế"]),
 ]
 
+# Words of link titles that are no news, and of those that are.
+NEWS_IGNORED = [
+    "trang chủ", "liên hệ", "sơ đồ", "đăng nhập", "english", "rss", "facebook", "youtube", "hỏi đáp về thuế", "tổ chức ngành thuế", "địa chỉ cơ quan thuế",
+    "tin bài về thuế", "chính sách thuế", "ứng dụng hỗ trợ người nộp thuế",
+]
+NEWS_WANTED = [
+    "hộ kinh doanh", "cá nhân kinh doanh", "hóa đơn điện tử", "máy tính tiền", "thuế khoán", "bỏ phương thức thuế khoán", "kê khai", "nộp thuế điện tử",
+    "thương mại điện tử", "sàn thương mại điện tử", "mã số thuế", "định danh cá nhân", "doanh thu", "thuế gtgt", "thuế tncn", "xử phạt", "chậm nộp",
+]
+
+# What ends the content of a news page, lines that are no content, their beginnings, and hints of related news.
+NEWS_ENDS = [
+    "Thuế Việt Nam - Trang thông tin điện tử của Cục Thuế", "Cơ quan chủ quản: Bộ Tài chính", "Ghi rõ nguồn", "Bạn đã nhấn vào một liên kết",
+    "gdt.gov.vn không chịu trách nhiệm", "Chức năng này đang được xây dựng",
+]
+NEWS_NOISE = ["Ứng dụng hỗ trợ người nộp thuế", "NGÀNH THUẾ COI TRỌNG, XÂY DỰNG VÀ GÌN GIỮ CÁC GIÁ TRỊ “MINH BẠCH – CHUYÊN NGHIỆP – LIÊM CHÍNH – ĐỔI MỚI\""]
+NEWS_NOISE_STARTS = ["Địa chỉ:", "Điện thoại:", "Fax:"]
+NEWS_RELATED = [
+    "Cục Thuế gửi THƯ NGỎ", "Không tiếp tay cho các hành vi gian lận thuế", "Tăng cường phối hợp đào tạo liên ngành", "Mua bán hóa đơn giá trị gia tăng trái phép",
+    "Bộ trưởng Ngô Văn Tuấn tiếp", "Báo chí và ngành Thuế Việt Nam:", "Bế giảng lớp bồi dưỡng", "Khẩn trương giải quyết vướng mắc", "Khai giảng lớp bồi dưỡng",
+    "Tình hình thực hiện nhiệm vụ trọng tâm", "Sổ tay thuế cho hộ, cá nhân kinh doanh", "Kiểm soát doanh thu đa kênh", "Bản tin Thuế tuần",
+]
+
+# Misprints and what they stand for; the second list by pattern.
+NEWS_TYPOS = [
+    ("hóađơn", "hóa đơn"), ("mua bángiả", "mua bán giả"), ("cánhân", "cá nhân"), ("việctập trung", "việc tập trung"), ("mở rộngcác", "mở rộng các"),
+    ("quản lývà", "quản lý và"), ("người nộpthuế", "người nộp thuế"), ("trướcthời hạn", "trước thời hạn"), ("truy thu,xử phạt", "truy thu, xử phạt"),
+    ("hơn.Đặc biệt", "hơn. Đặc biệt"), ("thương mại điệntử", "thương mại điện tử"), ("khuế khoán", "thuế khoán"), ("hgân hàng", "ngân hàng"),
+    ("lính vực", "lĩnh vực"), ("thương maị", "thương mại"), ("tuy nhiện", "tuy nhiên"),
+]
+NEWS_TYPO_FORMS = [
+    (r"(?iu)hóa[\x{200B}\x{FEFF}\x{A0}]*đơn", "hóa đơn"), (r"(?iu)cá[\x{200B}\x{FEFF}\x{A0}]*nhân", "cá nhân"), (r"(?iu)thương mại[\x{200B}\x{FEFF}\x{A0}]*điện tử", "thương mại điện tử"),
+    (r"(?imu)^hó Cục trưởng(?![\p{L}\p{N}_])", "Phó Cục trưởng"), (r"(?imu)^ục trưởng(?![\p{L}\p{N}_])", "Cục trưởng"), (r"(?iu)Phó C\s*\n\s*ục trưởng", "Phó Cục trưởng"),
+]
+
+# Boosts of a chunk for a question, each a condition and its weight. Names: q_* are the question's, others the
+# chunk's; t and ti are its text and the title of its article in lower case.
+BOOSTS = [
+    ("q_dieu is not null and dieu = q_dieu", 0.35), ("q_dieu is not null and coalesce(dieu <> q_dieu, true)", -0.08),
+    ("q_khoan is not null and khoan = q_khoan", 0.25), ("q_khoan is not null and dieu = q_dieu and khoan is null", 0.04),
+    ("q_diem is not null and lower(diem) = lower(q_diem)", 0.10), ("loai_van_ban = q_loai", 0.05), ("chu_de = q_chu_de", 0.05),
+    ("q_mien and contains(t, 'miễn tiền chậm nộp')", 0.25), ("q_mien and contains(ti, 'miễn tiền chậm nộp')", 0.30), ("q_mien and dieu = 16", 0.30),
+    ("q_mien and dieu = 16 and khoan = 5", 0.40), ("q_mien and dieu = 21", -0.20),
+    ("q_topic = 'nguong_doanh_thu' and ma_van_ban = '141_2026_ND_CP'", 2.0), ("q_topic = 'nguong_doanh_thu' and ma_van_ban = '68_2026_ND_CP'", 0.20),
+    ("q_topic = 'nguong_doanh_thu' and contains(t, '01 tỷ đồng')", 0.50), ("q_topic = 'nguong_doanh_thu' and contains(t, '1 tỷ đồng')", 0.50),
+    ("q_topic = 'nguong_doanh_thu' and contains(t, '1.000.000.000')", 0.50),
+    ("q_topic = 'hoa_don_dien_tu' and ma_van_ban = '70_2025_ND_CP'", 0.25), ("q_topic = 'hoa_don_dien_tu' and (contains(t, 'hóa đơn điện tử') or contains(ti, 'hóa đơn điện tử'))", 0.20),
+    ("q_topic = 'hoa_don_may_tinh_tien' and ma_van_ban = '70_2025_ND_CP'", 0.35), ("q_topic = 'hoa_don_may_tinh_tien' and (contains(t, 'máy tính tiền') or contains(ti, 'máy tính tiền'))", 0.25),
+    ("q_topic = 'hoa_don_may_tinh_tien' and dieu = 11", 0.20),
+    ("q_topic = 'ho_kinh_doanh' and ma_van_ban = '68_2026_ND_CP'", 0.10), ("q_topic = 'ho_kinh_doanh' and ma_van_ban = '141_2026_ND_CP'", 0.50),
+    ("q_topic = 'tien_cham_nop_phat' and ma_van_ban = '18_2023_TT_BTC'", 0.30), ("q_topic = 'tien_cham_nop_phat' and (contains(t, 'chậm nộp phạt') or contains(t, 'tiền chậm nộp phạt'))", 0.25),
+    ("q_amend and ma_van_ban = '141_2026_ND_CP'", 0.60), ("q_amend and contains(t, '01 tỷ đồng')", 0.30), ("q_amend and contains(t, '1 tỷ đồng')", 0.30), ("q_amend and contains(t, 'sửa đổi')", 0.20),
+    ("q_amend and ma_van_ban = '141_2026_ND_CP'", 2.0), ("q_amend and contains(t, 'sửa đổi')", 0.50),
+]
+#: Boost of each exact phrase of the question in the text, and in the title.
+PHRASE_BOOSTS = (0.08, 0.10)
+
+# The topic in which a newer document replaces an older one, and both codes.
+SUPERSEDES = ("nguong_doanh_thu", "141_2026_ND_CP", "68_2026_ND_CP")
+
+# Places put first for questions on late payment, with their priority: article, clause (any if none).
+LATE_PHRASE = "miễn tiền chậm nộp"
+LATE_PRIORITY = [(16, 5, 100), (16, None, 80), (21, None, 20)]
+
+# The labelled questions of the published evaluation.
+BENCHMARK = [
+    ("NR198_001", "Nghị quyết 198 quy định gì về hộ kinh doanh?", "Nghị quyết 198/2025/QH15", ["hộ kinh doanh"], "resolution"),
+    ("NR198_002", "Nghị quyết 198 có định hướng gì đối với thuế khoán?", "Nghị quyết 198/2025/QH15", ["thuế khoán"], "resolution"),
+    ("NR198_003", "Nghị quyết 198 có quy định gì về lệ phí môn bài?", "Nghị quyết 198/2025/QH15", ["lệ phí môn bài"], "resolution"),
+    ("CROSS_004", "Doanh thu dưới 1 tỷ đồng thì nghĩa vụ thuế của hộ kinh doanh được quy định ở những văn bản nào?", None, ["Nghị định 68", "Nghị định 141"], "cross_document"),
+    ("CROSS_005", "Hộ kinh doanh sử dụng hóa đơn điện tử cần tham khảo những văn bản nào?", None, ["Nghị định 70", "Thông tư 32"], "cross_document"),
+    ("CROSS_006", "Khi chậm nộp thuế hoặc chậm nộp tiền phạt thì cần tham khảo những văn bản nào?", None, ["Luật quản lý thuế", "Thông tư 18"], "cross_document"),
+]
+
+# What replaces an answer that its context doesn't bear out, and an empty one.
+GUARD_ANSWER = (
+    "Context hiện tại chỉ cho biết nghĩa vụ khai/thông báo doanh thu và quy định về trường hợp phát sinh khai, nộp thuế khi vượt ngưỡng. "
+    'Tôi chưa thấy quy định trực tiếp trong context để kết luận "không phải nộp thuế".'
+)
+EMPTY_ANSWER = "Hệ thống chưa tạo được câu trả lời từ dữ liệu hiện có."
+
 # Forms of references to legal documents, in the order of their results.
 REFERENCE_FORMS = [
     r"Luật\s+số\s+\d+/\d{4}/[A-ZĐ\-]+", r"Nghị định\s+số\s+\d+/\d{4}/NĐ-CP", r"Thông tư\s+số\s+\d+/\d{4}/TT-BTC", r"Công văn\s+số\s+\d+/[A-Z0-9\-]+",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,13 @@ from pyspark.sql import functions as F
 from . import rules
 
 NOT_WORD = r"[^\p{L}\p{N}_]+"
+#: A white space character of any script.
+WS = r"[\s\p{Z}]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def tokens(text: Column) -> Column:
@@ -17,19 +25,40 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda x: x != "")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+
+
 def content_hash(text: Column) -> Column:
-    return F.md5(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "))
+    return F.md5(F.regexp_replace(stripped(F.lower(text)), f"{WS}+", " "))
 
 
 def slug(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(F.trim(text)), NOT_WORD, "_"), F.lit("_"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(stripped(F.lower(text)), NOT_WORD, "_"), "_+", "_"), F.lit("_"))
+
+
+def _replaced(text: Column, steps: tuple) -> Column:
+    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
+
+
+#: "Điều" with blanks that recognition put between its letters.
+_SPACED = (r"(?iu)(?<![\p{L}\p{N}_])Đ\s*i\s*ề\s*u(?![\p{L}\p{N}_])", "Điều")
 
 
 def clean_page(text: Column) -> Column:
-    """Line ends made alike, blanks joined, at most one empty line, no blank before marks."""
-    for form, to in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r" +([,.;:])", "$1")):
-        text = F.regexp_replace(text, form, to)
-    return F.trim(text)
+    """Line ends made alike, blanks joined, at most one empty line, no white space before marks, "Đ i ề u" closed up."""
+    return stripped(_replaced(text, ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"\s+([,.;:])", "$1"), _SPACED)))
+
+
+def normal_legal(text: Column) -> Column:
+    """As clean_page for marks of the law: a heading's number joins its "Điều", words cut at line ends join by their hyphen, and
+    points ("a)", "a.1)") begin lines."""
+    steps = (
+        (r"\r\n?", "\n"), _SPACED, (r"(?iu)Điều\s*\n\s*(\d+)\.", "Điều $1."), (r"([\p{L}\p{N}_])\s*-\s*\n\s*([\p{L}\p{N}_])", "$1-$2"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
+        (r"(?iu)(?<!\n)\s([a-zđ]\)\s+)", "\n$1"), (r"(?iu)(?<!\n)\s([a-zđ]\.\d+\)\s+)", "\n$1"),
+    )
+    return stripped(_replaced(text, steps))
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
@@ -57,12 +86,11 @@ def references(text: Column) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
-def published_at(text: Column) -> Column:
-    """The first date in the text, as an ISO string: day/month/year with slashes or dashes, or year-month-day."""
-    day = F.regexp_extract(text, r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", 0)
-    iso = F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}", 0)
-    at = F.coalesce(F.try_to_timestamp(F.nullif(F.replace(day, F.lit("-"), F.lit("/")), F.lit("")), F.lit("d/M/yyyy")), F.try_to_timestamp(F.nullif(iso, F.lit("")), F.lit("yyyy-MM-dd")))
-    return F.date_format(at, "yyyy-MM-dd")
+def first_date(candidates: Column) -> Column:
+    """The first date in an array of texts, in their order, as an ISO time of day 00:00: day/month/year, or else with dashes."""
+    forms = ((r"(?<![\p{L}\p{N}_])\d{1,2}/\d{1,2}/\d{4}(?![\p{L}\p{N}_])", "d/M/yyyy"), (r"(?<![\p{L}\p{N}_])\d{1,2}-\d{1,2}-\d{4}(?![\p{L}\p{N}_])", "d-M-yyyy"))
+    dated = lambda t: F.coalesce(*(F.try_to_timestamp(F.nullif(F.regexp_extract(t, form, 0), F.lit("")), F.lit(shape)) for form, shape in forms))
+    return F.date_format(F.get(F.filter(F.transform(candidates, dated), lambda x: x.isNotNull()), F.lit(0)), "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def point_order(point: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules
+from .text import WS
+
 _LINK = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 
 
@@ -13,21 +18,41 @@ def links(html: Column) -> Column:
     return F.zip_with(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(_LINK), F.lit(2)), lambda h, t: F.struct(h.alias("href"), t.alias("title")))
 
 
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def decoded(text: Column) -> Column:
+    """The common entities as characters, each once."""
+    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), _ENTITIES, text)
+
+
 def stripped(html: Column) -> Column:
-    """Text without tags, the common entities decoded, white space joined."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
-    for entity, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(to))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Text of markup: tags go, then entities are decoded, white space is joined."""
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(html, "<[^>]*>", " ")), f"{WS}+", " "))
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """href as an absolute address: whole ones stay, others stand under the host of base; an empty one stays empty."""
-    host = F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1)
-    return F.when(href.rlike("(?i)^https?://"), href).when(href == "", "").when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(host, F.lit("/"), href))
+def feed_text(escaped: Column) -> Column:
+    """Text of a feed's field, which holds escaped markup: entities are decoded first, then tags go."""
+    return F.trim(F.regexp_replace(F.regexp_replace(decoded(escaped), "<[^>]+>", " "), f"{WS}+", " "))
 
 
-def news_link(title: Column, url: Column, wanted: list[str], ignored: list[str], mark: str = "urile=wcm", least: int = 20) -> Column:
+def absolute(base: Column, href: Column) -> Column:
+    """href as an absolute address under base: whole ones stay; "//host", "/path", "?query", "#part" and relative ones ("x",
+    "./x", "../x") stand where base puts them; an empty one stays empty."""
+    scheme, host = F.regexp_extract(base, r"^(\w+:)", 1), F.regexp_extract(base, r"^(\w+://[^/?#]+)", 1)
+    plain = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(plain, r"^(\w+://[^/]+(?:/.*)?)/[^/]*$", 1)
+    path = F.regexp_replace(F.concat(F.when(folder == "", host).otherwise(folder), F.lit("/"), href), r"/\./", "/")
+    for _ in range(4):  # one level up each
+        path = F.regexp_replace(path, r"^(\w+://[^/]+)((?:/[^/]+)*?)/(?!\.\./)[^/]+/\.\./", "$1$2/")
+    path = F.regexp_replace(path, r"^(\w+://[^/]+)/(?:\.\./)+", "$1/")
+    return (
+        F.when(href.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), href).when(href == "", "").when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(host, href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href)).when(href.startswith("?"), F.concat(plain, href)).otherwise(path)
+    )
+
+
+def news_link(title: Column, url: Column, wanted: list[str] = rules.NEWS_WANTED, ignored: list[str] = rules.NEWS_IGNORED, mark: str = "urile=wcm", least: int = 20) -> Column:
     """Whether a link leads to news: a long enough title, the mark in its address, no ignored word and a wanted one."""
     from .text import contains_any
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
@@ -28,12 +29,6 @@ def analyzed(questions: DataFrame) -> DataFrame:
     )
 
 
-def boosted(hits: DataFrame, boosts: DataFrame) -> DataFrame:
-    """hits (query_id, doc_id, text, score) with the weights of every rule (phrase, weight) whose phrase the text holds."""
-    more = hits.join(boosts, F.contains("text", F.col("phrase"))).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("boost"))
-    return hits.join(more, ["query_id", "doc_id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
-
-
 def guarded(answer: Column, question: Column, context: Column, replacement: str) -> Column:
     """replacement where the question asks about a duty that the answer denies and the context doesn't."""
     said, asked, held = F.lower(answer), F.lower(question), F.lower(context)
@@ -54,56 +49,73 @@ def news_score(query: Column, title: Column, text: Column, topic: Column, releva
     return reduce(lambda a, b: a + b, [*terms, *words]) + intent + F.coalesce(relevance, zero) * 0.15
 
 
-def cleaned_news(title: Column, content: Column, stop: list[str], noise: list[str]) -> Column:
-    """Content up to the first stop phrase, without noise lines and repeated titles; null below 200 characters."""
-    at = F.array_min(F.filter(F.array(*(F.instr(content, s) for s in stop)), lambda i: i > 0))
-    cut = F.when(at.isNull(), content).otherwise(F.substring(content, F.lit(1), at - 1))
-    lines = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: (x != "") & ~x.isin(noise) & ~x.rlike("^(Địa chỉ:|Điện thoại:|Fax:)"))
-    first = F.array_position(lines, F.trim(title))
-    kept = F.filter(lines, lambda x, i: (x != F.trim(title)) | (i + 1 == first))
-    joined = F.array_join(kept, "\n")
-    return F.when(F.char_length(joined) >= 200, joined)
-
-
 FLAGS = ["document_correct", "dieu_correct", "khoan_correct", "keyword_match", "must_contain_match", "hallucination_safe", "citation_correct"]
 
 
 def evaluated(items: DataFrame, answers: DataFrame, aliases: DataFrame) -> DataFrame:
-    """id, category and the flags of every item: does the answer's top source and text meet what the item expects?
+    """id, category, the flags of every item, citation_required: does the answer's top source and text meet what the item expects?
 
-    No expectation is met by anything, but an item without keywords matches none.
+    Items: id, category, expected_document, expected_dieu, acceptable_dieu, expected_khoan (as text), acceptable_khoan, expected_keywords,
+    must_contain, must_not_contain, expected_citation. Acceptable places go before the expected one. No expectation is met by
+    anything, but an item without keywords matches none; all citations must be there. An item without an answer has an empty one.
     """
     rows = items.join(answers, "id", "left")
     names = aliases.groupBy("name").agg(F.collect_set("alias").alias("known"))
     rows = rows.join(names, F.col("expected_document") == F.col("name"), "left")
     said = F.lower(F.coalesce("answer", F.lit("")))
-    none = F.array().cast("array<string>")
-    got = lambda c: F.coalesce(c, none)
-    held = lambda c: F.transform(got(F.col(c)), lambda k: F.contains(said, F.lower(k)))
+    list_ = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    held = lambda c: F.transform(list_(c), lambda k: F.contains(said, F.lower(k)))
     any_, all_ = (lambda a: F.exists(a, lambda x: x)), (lambda a: F.forall(a, lambda x: x))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+
+    def at(expected: str, acceptable: str, top: str) -> Column:
+        return F.when(F.size(F.coalesce(F.col(acceptable), F.array())) > 0, yes(F.array_contains(acceptable, F.col(top)))).otherwise(F.col(expected).isNull() | yes(F.col(expected) == F.col(top)))
+
     return rows.select(
         "id", F.coalesce("category", F.lit("unknown")).alias("category"),
-        (F.col("expected_document").isNull() | F.coalesce(F.array_contains(F.coalesce("known", F.array("expected_document")), F.col("top_document")), F.lit(False))).alias("document_correct"),
-        (F.col("expected_dieu").isNull() | F.coalesce(F.col("expected_dieu") == F.col("top_dieu"), F.lit(False))).alias("dieu_correct"),
-        (F.col("expected_khoan").isNull() | F.coalesce(F.col("expected_khoan") == F.col("top_khoan"), F.lit(False))).alias("khoan_correct"),
+        (F.col("expected_document").isNull() | yes(F.array_contains(F.coalesce("known", F.array("expected_document")), F.col("top_document")))).alias("document_correct"),
+        at("expected_dieu", "acceptable_dieu", "top_dieu").alias("dieu_correct"), at("expected_khoan", "acceptable_khoan", "top_khoan").alias("khoan_correct"),
         any_(held("expected_keywords")).alias("keyword_match"), all_(held("must_contain")).alias("must_contain_match"), (~any_(held("must_not_contain"))).alias("hallucination_safe"),
-        ((F.size(got(F.col("expected_citation"))) == 0) | any_(held("expected_citation"))).alias("citation_correct"),
+        all_(held("expected_citation")).alias("citation_correct"), (F.size(list_("expected_citation")) > 0).alias("citation_required"),
     )
 
 
+def _perfect() -> Column:
+    return reduce(lambda a, b: a & b, map(F.col, FLAGS))
+
+
 def summary(flags: DataFrame) -> DataFrame:
-    """metric, n_true, n_items, percent."""
-    long = flags.unpivot(["id"], FLAGS, "metric", "met")
+    """metric, n_true, n_items, percent; the metric "perfect" counts items that meet all."""
+    long = flags.withColumn("perfect", _perfect()).unpivot(["id"], [*FLAGS, "perfect"], "metric", "met")
     return long.groupBy("metric").agg(F.count_if("met").alias("n_true"), F.count("*").alias("n_items"), F.round(100 * F.avg(F.col("met").cast("double")), 4).alias("percent"))
 
 
-def by_category(flags: DataFrame) -> DataFrame:
-    """category, n_items, n_perfect, n_failing, rate."""
-    ok = reduce(lambda a, b: a & b, map(F.col, FLAGS))
-    return flags.withColumn("ok", ok).groupBy("category").agg(F.count("*").alias("n_items"), F.count_if("ok").alias("n_perfect"), F.count_if(~F.col("ok")).alias("n_failing"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("rate"))
+def breakdown(flags: DataFrame) -> DataFrame:
+    """place, metric, n: how many items miss each metric that any misses, the most first, then by name."""
+    long = flags.unpivot(["id"], FLAGS, "metric", "met").filter(~F.col("met")).groupBy("metric").agg(F.count("*").alias("n"))
+    return long.select(F.row_number().over(W.orderBy(F.desc("n"), "metric")).alias("place"), "metric", "n")  # a row a metric
 
 
-def failures(flags: DataFrame) -> DataFrame:
-    """id, category, failed: the metrics that each failing item misses, in order."""
-    missed = F.filter(F.array(*(F.when(~F.col(m), F.lit(m)) for m in FLAGS)), lambda x: x.isNotNull())
-    return flags.select("id", "category", F.array_join(missed, ",").alias("failed")).filter("failed <> ''")
+def by_category(flags: DataFrame) -> DataFrame:
+    """category, n_items, n_perfect, n_failing, rate."""
+    return flags.withColumn("ok", _perfect()).groupBy("category").agg(F.count("*").alias("n_items"), F.count_if("ok").alias("n_perfect"), F.count_if(~F.col("ok")).alias("n_failing"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("rate"))
+
+
+def failures(flags: DataFrame, items: DataFrame) -> DataFrame:
+    """id, category, failed (the metrics that each failing item misses, in order), expected (what those on document and place expect)."""
+    missed = F.array_compact(F.array(*(F.when(~F.col(m), F.lit(m)) for m in FLAGS)))
+    wanted = [F.when(~F.col(m), F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c).cast("string"), F.lit("None")))) for m, label, c in (("document_correct", "Expected Doc", "expected_document"), ("dieu_correct", "Expected Điều", "expected_dieu"), ("khoan_correct", "Expected Khoản", "expected_khoan"))]
+    rows = flags.join(items.select("id", "expected_document", "expected_dieu", "expected_khoan"), "id")
+    return rows.select("id", "category", F.array_join(missed, ", ").alias("failed"), F.concat_ws("; ", *wanted).alias("expected")).filter("failed <> ''")
+
+
+def report(flags: DataFrame) -> DataFrame:
+    """section, place, line: the report of an evaluation, a line a metric, a category (failing ones once more, the most first), a missed metric."""
+    share = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("/"), F.col(b).cast("string"), F.lit(" ("), F.format_number(100 * F.col(a) / F.col(b), 1), F.lit("%)"))
+    order = F.array_position(F.array(*map(F.lit, [*FLAGS, "perfect"])), F.col("metric")).cast("int")
+    one = summary(flags).select(F.lit("summary").alias("section"), order.alias("place"), F.concat("metric", F.lit(": "), share("n_true", "n_items")).alias("line"))
+    groups = by_category(flags)
+    two = groups.select(F.lit("category").alias("section"), F.row_number().over(W.orderBy("category")).alias("place"), F.concat("category", F.lit(": "), share("n_perfect", "n_items")).alias("line"))
+    three = breakdown(flags).select(F.lit("breakdown").alias("section"), "place", F.concat("metric", F.lit(": "), F.col("n").cast("string")).alias("line"))
+    four = groups.filter("n_failing > 0").select(F.lit("failures").alias("section"), F.row_number().over(W.orderBy(F.desc("n_failing"), "category")).alias("place"), F.concat("category", F.lit(" "), F.col("n_failing").cast("string")).alias("line"))
+    return one.unionByName(two).unionByName(three).unionByName(four)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.functions.text import tokens
+from lodestone.sources.shared import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF = 60
@@ -24,7 +27,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     counts as often. Postings are kept for question words only, and meet the questions before any shuffle
     when Spark finds the questions small; scores are summed in each task first.
     """
-    held = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    held = written(docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t")), "words")  # split once, read three times
     whole = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = held.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     raw = df.crossJoin(whole).select("token", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))  # one row
@@ -38,27 +41,57 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return top(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
-def nearest(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
-    """query_id, vec_id, distance (squared L2), score (1 - distance), rank of the k nearest vectors by a full scan."""
+def nearest(vectors: DataFrame, asked: Column, k: int, block: int = 4096) -> DataFrame:
+    """query_id, vec_id, distance (squared L2), score (1 - distance), rank of the k nearest vectors to those that ``asked`` picks."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    queries = rows.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = rows.crossJoin(queries).select("query_id", "vec_id", F.round(square, 6).alias("distance"))
-    return top(near, ["query_id"], [F.col("distance"), F.col("vec_id")], k).withColumn("score", F.round(1 - F.col("distance"), 6))
+    return near(rows, rows.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), k, block)
+
+
+def near(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """As nearest, for queries (query_id, q) over rows (vec_id, v). A column want_x of queries lets those rows take part only whose x equals it,
+    where it isn't null.
+
+    A full scan, in blocks of vectors and of queries: a task holds one of each and gives k rows a query.
+    """
+    wants = [c for c in queries.columns if c.startswith("want_")]
+    n = {c: df.count() // block + 1 for c, df in (("vb", rows), ("qb", queries))}
+    held = rows.withColumns({"vb": F.pmod(F.xxhash64("vec_id"), F.lit(n["vb"])), "qb": F.explode(F.sequence(F.lit(0), F.lit(n["qb"] - 1)))})
+    sent = queries.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(n["qb"])).cast("int"), "vb": F.explode(F.sequence(F.lit(0), F.lit(n["vb"] - 1)))}).withColumn("vb", F.col("vb").cast("bigint"))
+
+    def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "distance": []}
+        if len(q) and len(v):
+            ids, x = v["vec_id"].to_numpy(), np.stack(v["v"].to_numpy())
+            for _, one in q.iterrows():
+                d = np.round(((x - one["q"]) ** 2).sum(1), 6)
+                for w in wants:
+                    if one[w] is not None:
+                        d = np.where((v[w[5:]] == one[w]).to_numpy(), d, np.inf)
+                at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                at = at[np.isfinite(d[at])]
+                at = at[np.lexsort((ids[at], d[at]))[:k]]
+                out["query_id"] += [one["query_id"]] * len(at)
+                out["vec_id"] += ids[at].tolist()
+                out["distance"] += d[at].tolist()
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
+
+    found = sent.groupBy("vb", "qb").cogroup(held.groupBy("vb", "qb")).applyInPandas(search, "query_id bigint, vec_id bigint, distance double")
+    return top(found, ["query_id"], [F.col("distance"), F.col("vec_id")], k).select("query_id", "vec_id", "distance", "rank", F.round(1 - F.col("distance"), 6).alias("score"))
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, rank: the first k documents that hold each phrase (query_id, phrase).
 
     A document that holds a phrase holds its inner words as words, so the longest of them finds the
-    candidates by an equi-join; only phrases without inner words are tried on every document.
+    candidates by an equi-join of ids, and texts meet them after; phrases without inner words are all tried on every document.
     """
     inner = F.expr("slice(words, 2, greatest(size(words) - 2, 0))")
     keyed = phrases.withColumn("words", tokens(F.col("phrase"))).select("query_id", "phrase", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("anchor"))
-    by_word = docs.select("doc_id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("anchor")).join(keyed.filter("anchor is not null"), "anchor")
-    by_scan = docs.crossJoin(keyed.filter("anchor is null"))
-    hits = by_word.select("query_id", "doc_id", "text", "phrase").unionByName(by_scan.select("query_id", "doc_id", "text", "phrase")).filter(F.contains("text", F.col("phrase")))
-    return top(hits.select("query_id", "doc_id"), ["query_id"], [F.col("doc_id")], k)
+    by_word = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("anchor")).join(keyed.filter("anchor is not null"), "anchor").select("doc_id", "query_id", "phrase")
+    long = by_word.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("phrase")))
+    short = keyed.filter("anchor is null").select("query_id", "phrase")
+    by_scan = docs.join(short, F.contains("text", F.col("phrase")))
+    return top(long.select("query_id", "doc_id").unionByName(by_scan.select("query_id", "doc_id")), ["query_id"], [F.col("doc_id")], k)
 
 
 def fuse(lists: dict[str, DataFrame], k: int) -> DataFrame:
@@ -87,3 +120,16 @@ def pack_context(blocks: DataFrame, budget: int, between: str = "\n\n---\n\n") -
     kept = full.withColumn("upto", upto).filter(F.col("upto") <= budget)
     rows = kept.groupBy("query_id").agg(F.count("*").alias("n_blocks"), F.max("upto").alias("n_chars"), F.sort_array(F.collect_list(F.struct("rank", "block"))).alias("b"))
     return rows.select("query_id", "n_blocks", "n_chars", F.array_join(F.transform("b", lambda x: x["block"]), between).alias("context"))
+
+
+def packed(blocks: Column, budget: int) -> Column:
+    """The blocks of an array, in order, up to the first beyond the budget; blank ones are passed over."""
+    full = F.filter(blocks, lambda b: F.trim(b) != "")
+    kept = F.array().cast("array<string>")
+    start = F.struct(kept.alias("kept"), F.lit(0).alias("n"))
+
+    def step(acc: Column, b: Column) -> Column:
+        n = acc["n"] + F.char_length(b)
+        return F.struct(F.when(n <= budget, F.array_append(acc["kept"], b)).otherwise(acc["kept"]).alias("kept"), n.alias("n"))
+
+    return F.aggregate(full, start, step, lambda acc: acc["kept"])

@@ -1,93 +1,68 @@
-"""Queries over rules: questions, references, news, guards, evaluation and the feed."""
+"""Queries over question analysis, guards, sources and evaluation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import blocks as B
 from lodestone.functions import rules as V
 from lodestone.functions import text as T
 from lodestone.operators import questions as Q
-from lodestone.operators import rank as R
 from lodestone.sources import table
 from lodestone.streaming.feed import first_of_each
 
-from . import retrieval, sql
-
-QUESTIONS = [
-    ("q1", "Khoản 2 Điều 5 quy định gì về miễn tiền chậm nộp?"), ("q2", "hộ kinh doanh dưới 1 tỷ có phải nộp thuế không"), ("q3", "ngưỡng doanh thu hóa đơn điện tử"),
-    ("q4", "cho mình biết nội dung điều 1 của luật quản lý thuế"), ("q5", "Nghị định 68/2026 chương II điểm đ là gì"), ("q6", "Thông tư 18 về biên lai thu tiền phạt, mức phạt"),
-    ("q7", "hóa đơn điện tử khởi tạo từ máy tính tiền: thủ tục"), ("q8", "trách nhiệm đăng ký thuế"), ("q9", "xin chào"), ("q10", ""),
-]
-NEWS = [
-    (1, "Bỏ thuế khoán với hộ kinh doanh từ 2026", "Nghị định số 68/2026/NĐ-CP và 68/2026/NĐ-CP, Luật số 108/2025/QH15; 05/03/2026"),
-    (2, "Hóa đơn điện tử từ máy tính tiền", "Thông tư số 32/2025/TT-BTC có hiệu lực 1-6-2025"), (3, "Xử phạt chậm nộp", "Công văn số 123/TCT-CS và Quyết định số 5/QĐ"),
-    (4, "Sàn thương mại điện tử kê khai thay", "đăng ngày 2026-01-31"), (5, "Tin khác", None), (6, None, "mã số thuế là định danh cá nhân, nộp thuế"),
-]
-ASKED = [("a", "bỏ thuế khoán hộ kinh doanh kê khai"), ("b", "hóa đơn điện tử máy tính tiền"), ("c", "sàn thương mại điện tử"), ("d", "khác")]
-ITEMS = [
-    ("i1", "resolution", "Nghị quyết 198/2025/QH15", 4, None, ["miễn", "giảm"], ["nghị quyết"], ["không áp dụng"], ["Điều 4"]), ("i2", "resolution", None, None, None, [], [], [], []),
-    ("i3", "cross_document", "68-2026-ND-CP", 5, 2, ["doanh thu"], [], ["bắt buộc"], []), ("i4", None, "khác", None, 1, ["x"], ["y"], [], ["z"]), ("i5", "vat", None, 7, None, ["THUẾ"], [], [], []),
-]
-ANSWERS = [
-    ("i1", "Theo Nghị quyết, được Miễn theo Điều 4.", "198-2025-QH15", 4, None), ("i2", "Không rõ.", None, None, None), ("i3", "Doanh thu là bắt buộc.", "68-2026-ND-CP", 5, 3),
-    ("i4", "x y z", "khác", None, 1), ("i5", "thuế suất", "x", 8, None),
-]
-GUARDED = [
-    (1, "Tôi có phải nộp thuế không?", "Bạn không phải nộp thuế.", "Ngưỡng là 1 tỷ đồng."), (2, "Tôi có phải nộp thuế không?", "Bạn không phải nộp thuế.", "Hộ này không phải nộp thuế."),
-    (3, "Điều 5 là gì?", "Bạn không phải nộp thuế.", ""), (4, "có phải nộp thuế", "Có.", ""),
-]
-SAFE = "Chưa đủ căn cứ để kết luận."
-BOOSTS = [("license", 0.5), ("reserved", 0.25), ("ing", 0.01), ("ción", 0.05)]
-STOP, NOISE = ["All rights reserved", "licensed under"], ["Of.", "And ornd."]
+from . import corpus, retrieval, sql
 
 
 def query_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.analyzed(spark.createDataFrame(QUESTIONS, "query_id string, question string"))
+    return Q.analyzed(corpus.questions(spark, sf_dir))
 
 
-def legal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string")
-    return news.select("news_id", F.array_join(T.references(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))), "|").alias("refs"))
+def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of every benchmark text as a request; some blank, short, long or missing."""
+    i, text = F.col("item_id"), F.col("text")
+    asked = F.when(i % 7 == 0, F.lit("   ")).when(i % 7 == 1, F.left(text, F.lit(1))).when(i % 7 == 2, F.repeat(text, F.lit(40))).when(i % 7 != 3, text)
+    return table(spark, sf_dir, "benchmark").select(i.alias("query_id"), B.status(asked).alias("status"))
 
 
-def published_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string")
-    return news.select("news_id", T.published_at(F.coalesce("summary", F.lit(""))).alias("published_at"))
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question with a chunk as its context, and an answer that denies a duty for every second one."""
+    context = corpus.chunks(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("text").alias("context"))
+    answer = F.when(F.col("query_id") % 2 == 0, F.lit("Bạn KHÔNG phải nộp thuế.")).otherwise("Bạn phải nộp thuế.")
+    return corpus.questions(spark, sf_dir).join(context, "query_id").withColumn("answer", answer)
 
 
-def _news_text() -> Column:
-    return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
-
-
-def news_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string")
-    return news.select("news_id", T.first_class(_news_text(), V.NEWS_TOPICS, "general_tax_news").alias("topic"), T.weight_in(_news_text(), V.NEWS_WEIGHTS).alias("relevance"))
+def answer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered(spark, sf_dir).select("query_id", Q.guarded(F.col("answer"), F.col("question"), F.col("context"), V.GUARD_ANSWER).alias("answer"))
 
 
-def news_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    news = spark.createDataFrame(NEWS, "news_id int, title string, summary string").select("news_id", "title", "summary", T.first_class(_news_text(), V.NEWS_TOPICS, "general_tax_news").alias("topic"), T.weight_in(_news_text(), V.NEWS_WEIGHTS).alias("relevance"))
-    asked = spark.createDataFrame(ASKED, "query_id string, query string")
-    score = Q.news_score(F.col("query"), F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.col("topic"), F.col("relevance"))
-    return asked.crossJoin(news).select("query_id", "news_id", F.round(score, 6).alias("score"))  # a few fixed rows
+def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractive answer to every question: the first line of its context, or the empty one's."""
+    found = retrieval._answers(spark, sf_dir).select("query_id", F.split("context", "\n", 2)[0].alias("said"))
+    return corpus.questions(spark, sf_dir).join(found, "query_id", "left").select("query_id", F.coalesce(F.nullif("said", F.lit("")), F.lit(V.EMPTY_ANSWER)).alias("answer"))
 
 
-def content_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", Q.cleaned_news(F.element_at(F.split("text", "\n"), 1), F.col("text"), STOP, NOISE).alias("t")).select("doc_id", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("hash"))
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for every question from its context, shortened to 2800 characters."""
+    found = retrieval._answers(spark, sf_dir).select("query_id", "context")
+    out = corpus.questions(spark, sf_dir).join(found, "query_id", "left").withColumn("prompt", B.prompt(F.col("question"), B.shortened(F.coalesce("context", F.lit("")), 2800)))
+    return out.select("query_id", F.char_length("prompt").cast("bigint").alias("n_chars"), F.md5("prompt").alias("hash"))
 
 
-def rule_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused hits with every rule's weight, ranked anew."""
-    hits = retrieval.rrf_fusion(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    found = Q.boosted(hits.select("query_id", "doc_id", "text", "score", "rank"), spark.createDataFrame(BOOSTS, "phrase string, weight double"))
-    total = found.withColumn("total", F.round(F.col("score") + F.col("boost"), 9))
-    return R.top(total, ["query_id"], [F.desc("total"), F.col("rank")], 10, "place").select("query_id", "doc_id", "total", "place")
+def citation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk as a context and as a reranking model sees it."""
+    c = corpus.chunks(spark, sf_dir)
+    block = B.context_block(F.nullif("ten_van_ban", F.lit("141-2026-ND-CP")), F.col("dieu"), F.col("khoan"), F.col("diem"), F.col("text"))
+    header = B.rerank_header(F.col("ten_van_ban"), F.when(F.col("doc_id") % 3 > 0, F.col("tieu_de_dieu")), F.col("dieu"), F.col("khoan"), F.col("diem"), F.when(F.col("doc_id") % 2 == 0, F.lit("khoản")))
+    return c.select("doc_id", F.md5(block).alias("block"), F.md5(B.rerank_text(header, F.col("text"))).alias("rerank"))
 
 
-def answer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(GUARDED, "id int, question string, answer string, context string")
-    return rows.select("id", Q.guarded(F.col("answer"), F.col("question"), F.col("context"), SAFE).alias("answer"))
+def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What identifies a chunk: its chunk_id, else its id, else its place and the beginning of its text."""
+    c = corpus.chunks(spark, sf_dir)
+    key = B.identity(F.when(F.col("doc_id") % 3 == 0, F.col("chunk_id")), F.when(F.col("doc_id") % 3 == 1, F.col("doc_id").cast("string")), F.col("ma_van_ban"), F.col("dieu"), F.col("khoan"), F.col("diem"), F.col("text"))
+    return c.select("doc_id", key.alias("key"))
 
 
 def source_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,34 +72,58 @@ def source_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.size("s").alias("n_sources"), F.array_join(F.transform("s", lambda x: x["label"]), "; ").alias("sources"))
 
 
-def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An extractive answer to every question: the first line of its best document, or a fixed one where none is found."""
-    best = retrieval.rrf_fusion(spark, sf_dir).filter("rank = 1").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    return asked.join(best, "query_id", "left").select("query_id", "doc_id", F.coalesce(F.left(F.element_at(F.split("text", "\n"), 1), F.lit(200)), F.lit(SAFE)).alias("answer"))
-
-
-def _flags(spark: SparkSession) -> DataFrame:
-    items = spark.createDataFrame(ITEMS, "id string, category string, expected_document string, expected_dieu int, expected_khoan int, expected_keywords array<string>, must_contain array<string>, must_not_contain array<string>, expected_citation array<string>")
-    answers = spark.createDataFrame(ANSWERS, "id string, answer string, top_document string, top_dieu int, top_khoan int")
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published items, and every benchmark text as one with expectations from its id."""
+    published = spark.createDataFrame(V.BENCHMARK, "id string, question string, expected_document string, expected_keywords array<string>, category string")
+    none = F.array().cast("array<string>")
+    published = published.select("id", "category", "expected_document", F.lit(None).cast("int").alias("expected_dieu"), F.array().cast("array<int>").alias("acceptable_dieu"), F.lit(None).cast("string").alias("expected_khoan"), none.alias("acceptable_khoan"), "expected_keywords", none.alias("must_contain"), none.alias("must_not_contain"), none.alias("expected_citation"))
+    i = F.col("item_id")
+    one = lambda c, *values: F.when(c, F.array(*values)).otherwise(none)
+    own = table(spark, sf_dir, "benchmark").select(
+        i.cast("string").alias("id"), corpus._of(["resolution", "cross_document", "vat", None], i % 4).alias("category"), corpus._of(["Nghị quyết 198/2025/QH15", "68-2026-ND-CP", "khác", None, None], i % 5).alias("expected_document"),
+        F.when(i % 3 == 0, 4).alias("expected_dieu"), F.when(i % 6 == 0, F.array(F.lit(4), F.lit(5), F.lit(0))).otherwise(F.array().cast("array<int>")).alias("acceptable_dieu"), F.when(i % 4 == 1, "2").alias("expected_khoan"),
+        one(i % 8 == 1, F.lit("1"), F.lit("2")).alias("acceptable_khoan"), one(i % 7 > 0, F.left("text", F.lit(12))).alias("expected_keywords"), one(i % 3 == 1, F.lit("ĐIỀU")).alias("must_contain"),
+        one(i % 5 == 2, F.lit("bắt buộc")).alias("must_not_contain"), one(i % 4 == 3, F.lit("Điều"), F.lit("điều 3")).alias("expected_citation"),
+    )
+    return published.unionByName(own)
+
+
+def _given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to the items; none for some."""
+    published = spark.createDataFrame([(b[0], b[1]) for b in V.BENCHMARK], "id string, answer string").select("id", "answer", F.lit("198-2025-QH15").alias("top_document"), F.lit(10).alias("top_dieu"), F.lit("6").alias("top_khoan"))
+    i = F.col("item_id")
+    said = F.concat(F.when(i % 2 == 0, F.left("text", F.lit(40))).otherwise("không rõ"), F.lit(" Điều "), (i % 6).cast("string"), F.when(i % 10 == 2, " bắt buộc").otherwise(""))
+    own = table(spark, sf_dir, "benchmark").filter("item_id % 9 < 8").select(i.cast("string").alias("id"), said.alias("answer"), corpus._of(["198-2025-QH15", "68-2026-ND-CP", "khác", None], i % 4).alias("top_document"), (i % 6).cast("int").alias("top_dieu"), (i % 3).cast("string").alias("top_khoan"))
+    return published.unionByName(own)
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = spark.createDataFrame([(k, a) for k, v in V.DOCUMENT_ALIASES.items() for a in v], "name string, alias string")
-    return Q.evaluated(items, answers, aliases)
+    return Q.evaluated(_items(spark, sf_dir), _given(spark, sf_dir), aliases)
 
 
 def eval_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark)
+    return _flags(spark, sf_dir)
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.summary(_flags(spark))
+    return Q.summary(_flags(spark, sf_dir))
 
 
 def eval_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.by_category(_flags(spark))
+    return Q.by_category(_flags(spark, sf_dir))
 
 
 def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.failures(_flags(spark))
+    return Q.failures(_flags(spark, sf_dir), _items(spark, sf_dir))
+
+
+def eval_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.breakdown(_flags(spark, sf_dir))
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.report(_flags(spark, sf_dir))
 
 
 def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,87 +134,87 @@ def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return first_of_each(spark, f"{sf_dir}/event[s].parquet", schema, ["user_id", "event_type"], "ts")  # a stream takes one file as a pattern only
+    return first_of_each(spark, f"{sf_dir}/event[s].parquet", schema, ["user_id", "event_type"])  # a stream takes one file as a pattern only
 
 
 QUERIES = {
     f.__name__: f
-    for f in (query_analyze, legal_refs, published_at, news_topic, news_score, content_cleaner, rule_boost, answer_guard, source_envelope, answer_batch, eval_flags, eval_summary, eval_category, eval_failures, eval_labels, feed_stream_dedup)
-}
-
-_QQ = "lower(trim(question))"
-_NT = "lower(coalesce(title, '') || ' ' || coalesce(summary, ''))"
-_NEWS = sql.values(NEWS, "news_id, title, summary")
-_WEIGHT = " + ".join(f"case when contains({_NT}, {sql.quoted(k)}) then {v}::double else 0 end" for k, v in V.NEWS_WEIGHTS.items())
-_SCORE = " + ".join(
-    [f"case when contains(q, {sql.quoted(p)}) then case when contains(t, {sql.quoted(p)}) then 4.0 when contains(x, {sql.quoted(p)}) then 2.0 else 0 end else 0 end" for p in V.QUERY_TERMS]
-    + [f"case when topic = {sql.quoted(n)} then case when contains(q, {sql.quoted(p)}) then 2.5 else 0 end + case when contains(t, {sql.quoted(p)}) then 2.0 when contains(x, {sql.quoted(p)}) then 1.0 else 0 end else 0 end" for n, ps in V.TOPIC_KEYWORDS.items() for p in ps]
-    + [f"case when {sql.first_class('q', V.QUERY_TOPICS)} = topic then 3.0 else 0 end", "relevance * 0.15"]
-)
-_REFS = ", ".join(f"list_transform(regexp_extract_all(s, {sql.quoted('(?i)' + f)}, 0), lambda x: trim(x))" for f in V.REFERENCE_FORMS)
-_ITEMS = sql.values(ITEMS, "id, category, expected_document, expected_dieu, expected_khoan, expected_keywords, must_contain, must_not_contain, expected_citation")
-_HELD = "list_filter({}, lambda k: contains(lower(answer), lower(k)))"
+    for f in (
+        query_analyze, request_status, answer_guard, answer_batch, prompts, citation_blocks, chunk_keys, source_envelope, eval_flags, eval_summary, eval_category, eval_failures, eval_breakdown, eval_report, eval_labels,
+        feed_stream_dedup,
+    )
+}
+
+_ONE = "case when {0} then [{1}]::varchar[] else []::varchar[] end"
+_ITEMS = f"""
+items as (
+  select id, category, expected_document, null::integer as expected_dieu, []::integer[] as acceptable_dieu, null::varchar as expected_khoan, []::varchar[] as acceptable_khoan, expected_keywords, []::varchar[] as must_contain, []::varchar[] as must_not_contain, []::varchar[] as expected_citation
+  from {sql.values(V.BENCHMARK, 'id, question, expected_document, expected_keywords, category')}
+  union all
+  select item_id::varchar, {corpus._pick(['resolution', 'cross_document', 'vat', None], 'item_id % 4')}, {corpus._pick(['Nghị quyết 198/2025/QH15', '68-2026-ND-CP', 'khác', None, None], 'item_id % 5')}, case when item_id % 3 = 0 then 4 end,
+    case when item_id % 6 = 0 then [4, 5, 0] else []::integer[] end, case when item_id % 4 = 1 then '2' end, {_ONE.format('item_id % 8 = 1', "'1', '2'")}, {_ONE.format('item_id % 7 > 0', 'left("text", 12)')}, {_ONE.format('item_id % 3 = 1', "'ĐIỀU'")},
+    {_ONE.format('item_id % 5 = 2', "'bắt buộc'")}, {_ONE.format('item_id % 4 = 3', "'Điều', 'điều 3'")} from benchmark),
+given as (
+  select id, question as answer, '198-2025-QH15' as top_document, 10 as top_dieu, '6' as top_khoan from {sql.values(V.BENCHMARK, 'id, question, expected_document, expected_keywords, category')}
+  union all
+  select item_id::varchar, case when item_id % 2 = 0 then left("text", 40) else 'không rõ' end || ' Điều ' || (item_id % 6) || case when item_id % 10 = 2 then ' bắt buộc' else '' end, {corpus._pick(['198-2025-QH15', '68-2026-ND-CP', 'khác', None], 'item_id % 4')}, (item_id % 6)::integer, (item_id % 3)::varchar
+  from benchmark where item_id % 9 < 8)"""
+_HELD = "len(list_filter({0}, lambda k: contains(lower(coalesce(answer, '')), lower(k))))"
 _FLAGS = f"""
-with al as {sql.values([(k, a) for k, v in V.DOCUMENT_ALIASES.items() for a in v], 'name, alias')},
+with {_ITEMS}, al as {sql.values([(k, a) for k, v in V.DOCUMENT_ALIASES.items() for a in v], 'name, alias')},
 f as (
   select i.id, coalesce(category, 'unknown') as category,
     expected_document is null or coalesce(case when exists (select 1 from al where name = expected_document) then exists (select 1 from al where name = expected_document and alias = top_document) else top_document = expected_document end, false) as document_correct,
-    expected_dieu is null or coalesce(expected_dieu = top_dieu, false) as dieu_correct, expected_khoan is null or coalesce(expected_khoan = top_khoan, false) as khoan_correct,
-    len({_HELD.format('expected_keywords')}) > 0 as keyword_match, len({_HELD.format('must_contain')}) = len(must_contain) as must_contain_match, len({_HELD.format('must_not_contain')}) = 0 as hallucination_safe,
-    len(expected_citation) = 0 or len({_HELD.format('expected_citation')}) > 0 as citation_correct
-  from {_ITEMS} i left join {sql.values(ANSWERS, 'id, answer, top_document, top_dieu, top_khoan')} a on i.id = a.id
+    case when len(acceptable_dieu) > 0 then coalesce(list_contains(acceptable_dieu, top_dieu), false) else expected_dieu is null or coalesce(expected_dieu = top_dieu, false) end as dieu_correct,
+    case when len(acceptable_khoan) > 0 then coalesce(list_contains(acceptable_khoan, top_khoan), false) else expected_khoan is null or coalesce(expected_khoan = top_khoan, false) end as khoan_correct,
+    {_HELD.format('expected_keywords')} > 0 as keyword_match, {_HELD.format('must_contain')} = len(must_contain) as must_contain_match, {_HELD.format('must_not_contain')} = 0 as hallucination_safe,
+    {_HELD.format('expected_citation')} = len(expected_citation) as citation_correct, len(expected_citation) > 0 as citation_required, expected_document, expected_dieu, expected_khoan
+  from items i left join given a on i.id = a.id
 )"""
 _OK = " and ".join(Q.FLAGS)
-_CUT = "case when p is null then text else substring(text, 1, p - 1) end"
+_METRICS = f"m as (unpivot (select id, {', '.join(Q.FLAGS)}, {_OK} as perfect from f) on {', '.join(Q.FLAGS)}, perfect into name metric value met)"
+_SHARE = "{0}::varchar || '/' || {1} || ' (' || printf('%.1f', 100.0 * {0} / {1}) || '%)'"
+_NAME = "coalesce(nullif(ten_van_ban, '141-2026-ND-CP'), 'Không rõ văn bản')"
+_STRIPPED = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 
 ORACLE_SQL = {
-    "query_analyze": rf"""
-select query_id, try_cast(nullif(regexp_extract({_QQ}, 'điều\s+(\d+)', 1), '') as integer) as dieu, try_cast(nullif(regexp_extract({_QQ}, 'khoản\s+(\d+)', 1), '') as integer) as khoan,
-  nullif(regexp_extract({_QQ}, 'điểm\s+([a-zđ])', 1), '') as diem, upper(nullif(regexp_extract({_QQ}, 'chương\s+([ivxlcdm0-9]+)', 1), '')) as chuong, {sql.first_class(_QQ, V.INTENTS)} as intent,
-  {sql.first_class(_QQ, [(d[0], d[3]) for d in V.DOCUMENTS])} as ma_van_ban, coalesce({sql.first_class(_QQ, [(d[2], d[3]) for d in V.DOCUMENTS])}, {sql.first_class(_QQ, V.DOCUMENT_TYPES)}) as loai_van_ban,
-  array_to_string(list_filter([{', '.join(map(sql.quoted, V.LEGAL_PHRASES))}], lambda p: contains({_QQ}, p)), '|') as phrases, {sql.first_class(_QQ, V.TOPICS)} as chu_de, {sql.first_class(_QQ, V.LEGAL_TOPICS)} as legal_topic,
-  {sql.any_of(_QQ, V.AMENDMENT_PHRASES)} or {sql.any_of(_QQ, V.THRESHOLD_PHRASES)} as amendment from {sql.values(QUESTIONS, 'query_id, question')}
-""",
-    "legal_refs": f"""
-with n as (select news_id, coalesce(title, '') || ' ' || coalesce(summary, '') as s from {_NEWS}), r as (select news_id, flatten([{_REFS}]) as l from n)
-select news_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') as refs from r
+    "query_analyze": f"with {corpus.QUESTIONS} select query_id, {retrieval.analysis('question')} from questions",
+    "request_status": """
+select item_id as query_id, case when length(coalesce(q, '')) not between 2 and 2000 then 422 when trim(coalesce(q, '')) = '' then 400 else 200 end as status
+from (select item_id, case item_id % 7 when 0 then '   ' when 1 then left(text, 1) when 2 then repeat(text, 40) when 3 then null else text end as q from benchmark)
 """,
-    "published_at": rf"""
-with n as (select news_id, coalesce(summary, '') as s from {_NEWS})
-select news_id, coalesce(strftime(try_strptime(nullif(replace(regexp_extract(s, '(\d{{1,2}})[/-](\d{{1,2}})[/-](\d{{4}})'), '-', '/'), ''), '%d/%m/%Y'), '%Y-%m-%d'), nullif(regexp_extract(s, '\d{{4}}-\d{{2}}-\d{{2}}'), '')) as published_at from n
+    "answer_guard": f"""with {corpus.CHUNKS}, {corpus.QUESTIONS}
+select query_id, case when contains(lower(question), 'phải nộp thuế') and query_id % 2 = 0 and not contains(lower(text), 'không phải nộp thuế') then {sql.quoted(V.GUARD_ANSWER)} when query_id % 2 = 0 then 'Bạn KHÔNG phải nộp thuế.' else 'Bạn phải nộp thuế.' end as answer
+from questions join chunks on doc_id = query_id
 """,
-    "news_topic": f"select news_id, {sql.first_class(_NT, V.NEWS_TOPICS, 'general_tax_news')} as topic, ({_WEIGHT})::double as relevance from {_NEWS}",
-    "news_score": f"""
-with n as (select news_id, lower(coalesce(title, '')) as t, lower(coalesce(summary, '')) as x, {sql.first_class(_NT, V.NEWS_TOPICS, 'general_tax_news')} as topic, ({_WEIGHT})::double as relevance from {_NEWS}),
-a as (select query_id, lower(query) as q from {sql.values(ASKED, 'query_id, query')})
-select query_id, news_id, round(({_SCORE})::double, 6) as score from a, n
+    "answer_batch": f"with {retrieval._CONTEXT} select query_id, coalesce(nullif(string_split(context, chr(10))[1], ''), {sql.quoted(V.EMPTY_ANSWER)}) as answer from questions left join ctx using (query_id)",
+    "prompts": rf"""with {retrieval._CONTEXT},
+p as (select query_id, 'Chỉ trả lời dựa trên ngữ cảnh sau và nêu căn cứ.' || chr(10) || chr(10) || case when length(x) > 2800 then rtrim(regexp_replace(left(x, 2800), ' [^ ]*$', '')) || ' [...]' else x end || chr(10) || chr(10) || 'Câu hỏi: ' || question as prompt
+  from (select query_id, question, coalesce(context, '') as x from questions left join ctx using (query_id)))
+select query_id, length(prompt)::bigint as n_chars, md5(prompt) as hash from p
 """,
-    "content_cleaner": rf"""
-with d as (select doc_id, text, trim(string_split(text, chr(10))[1]) as title, list_min(list_filter([{', '.join(f'strpos(text, {sql.quoted(s)})' for s in STOP)}], lambda i: i > 0)) as p from documents),
-l as (select doc_id, title, list_filter(list_transform(string_split({_CUT}, chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '' and x not in ({', '.join(map(sql.quoted, NOISE))}) and not regexp_matches(x, '^(Địa chỉ:|Điện thoại:|Fax:)')) as ls from d),
-t as (select doc_id, array_to_string(list_filter(ls, lambda x, i: x <> title or i = list_position(ls, title)), chr(10)) as t from l)
-select doc_id, case when length(t) >= 200 then length(t) end as n_chars, case when length(t) >= 200 then md5(t) end as hash from t
-""",
-    "rule_boost": f"""
-with {retrieval._BM25}, {retrieval._EXACT}, {retrieval._FUSED},
-hit as (select query_id, doc_id, rank, round(score + coalesce((select sum(weight::double) from {sql.values(BOOSTS, 'phrase, weight')} b where contains(text, phrase)), 0), 9) as total from ranked join documents using (doc_id) where rank <= 10)
-select query_id, doc_id, total, row_number() over (partition by query_id order by total desc, rank)::integer as place from hit
-""",
-    "answer_guard": f"""
-select id, case when contains(lower(question), 'phải nộp thuế') and contains(lower(answer), 'không phải nộp thuế') and not contains(lower(context), 'không phải nộp thuế') then {sql.quoted(SAFE)} else answer end as answer
-from {sql.values(GUARDED, 'id, question, answer, context')}
+    "citation_blocks": f"""with {corpus.CHUNKS}
+select doc_id, md5('[' || concat_ws(' | ', {_NAME}, 'Điều ' || dieu, 'Khoản ' || khoan, 'Điểm ' || diem) || ']' || chr(10) || chr(10) || '    ' || {_STRIPPED}) as block,
+  md5(concat_ws(chr(10), 'Văn bản: ' || ten_van_ban, case when doc_id % 3 > 0 then tieu_de_dieu else 'Điều ' || dieu end, 'Khoản ' || khoan, 'Điểm ' || diem, case when doc_id % 2 = 0 then 'Đơn vị nội dung: khoản' end) || chr(10) || chr(10) || {_STRIPPED}) as rerank from chunks
 """,
+    "chunk_keys": f"with {corpus.CHUNKS} select doc_id, case doc_id % 3 when 0 then chunk_id when 1 then doc_id::varchar else ma_van_ban || '|' || dieu || '|' || coalesce(khoan::varchar, '') || '|' || coalesce(diem, '') || '|' || left(text, 100) end as key from chunks",
     "source_envelope": """
 select conv_id, count(*)::integer as n_sources, string_agg(concat_ws(' | ', conv_id::varchar, 'Điều ' || turn, nullif(role, 'user')), '; ' order by turn) as sources from conversations group by conv_id
 """,
-    "answer_batch": f"""
-with {retrieval._BM25}, {retrieval._EXACT}, {retrieval._FUSED}
-select item_id as query_id, doc_id, coalesce(left(string_split(d.text, chr(10))[1], 200), {sql.quoted(SAFE)}) as answer from benchmark b left join ranked r on b.item_id = r.query_id and rank = 1 left join documents d using (doc_id)
-""",
-    "eval_flags": f"{_FLAGS} select * from f",
-    "eval_summary": f"{_FLAGS} select metric, count(*) filter (where met) as n_true, count(*) as n_items, round(100 * avg(met::integer), 4) as percent from (unpivot (select id, {', '.join(Q.FLAGS)} from f) on {', '.join(Q.FLAGS)} into name metric value met) group by metric",
+    "eval_flags": f"{_FLAGS} select * exclude (expected_document, expected_dieu, expected_khoan) from f",
+    "eval_summary": f"{_FLAGS}, {_METRICS} select metric, count(*) filter (where met) as n_true, count(*) as n_items, round(100 * avg(met::integer), 4) as percent from m group by metric",
     "eval_category": f"{_FLAGS} select category, count(*) as n_items, count(*) filter (where {_OK}) as n_perfect, count(*) filter (where not ({_OK})) as n_failing, round(avg(({_OK})::integer), 6) as rate from f group by category",
-    "eval_failures": f"{_FLAGS} select id, category, concat_ws(',', {', '.join(f'case when not {m} then {sql.quoted(m)} end' for m in Q.FLAGS)}) as failed from f where not ({_OK})",
+    "eval_failures": f"""{_FLAGS} select id, category, concat_ws(', ', {', '.join(f'case when not {m} then {sql.quoted(m)} end' for m in Q.FLAGS)}) as failed,
+  concat_ws('; ', case when not document_correct then 'Expected Doc: ' || coalesce(expected_document, 'None') end, case when not dieu_correct then 'Expected Điều: ' || coalesce(expected_dieu::varchar, 'None') end, case when not khoan_correct then 'Expected Khoản: ' || coalesce(expected_khoan, 'None') end) as expected from f where not ({_OK})
+""",
+    "eval_breakdown": f"{_FLAGS}, {_METRICS} select row_number() over (order by n desc, metric)::integer as place, metric, n from (select metric, count(*) as n from m where not met and metric <> 'perfect' group by 1)",
+    "eval_report": f"""{_FLAGS}, {_METRICS},
+c as (select category, count(*) as n, count(*) filter (where {_OK}) as p from f group by 1)
+select 'summary' as section, list_position([{', '.join(map(sql.quoted, [*Q.FLAGS, 'perfect']))}], metric)::integer as place, metric || ': ' || {_SHARE.format('t', 'n')} as line from (select metric, count(*) filter (where met) as t, count(*) as n from m group by 1)
+union all select 'category', row_number() over (order by category)::integer, category || ': ' || {_SHARE.format('p', 'n')} from c
+union all select 'breakdown', row_number() over (order by n desc, metric)::integer, metric || ': ' || n from (select metric, count(*) as n from m where not met and metric <> 'perfect' group by 1)
+union all select 'failures', row_number() over (order by n - p desc, category)::integer, category || ' ' || (n - p) from c where n > p
+""",
     "eval_labels": "select coalesce(source, 'unknown') as category, count(*) as n_items, count(*) filter (where quality = 1) as n_good, count(*) filter (where toxic = 1) as n_toxic from labels join documents using (doc_id) group by 1",
     "feed_stream_dedup": "select distinct user_id, event_type from events",
 }

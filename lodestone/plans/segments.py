@@ -3,24 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import normal_legal, point_order
 from lodestone.operators import segment as S
+from lodestone.operators.rank import top
 from lodestone.sources import table
 
-from . import sql
-
-#: A small law: two documents of pages.
-PAGES = [
-    ("law", 1, "Mở đầu\nCHƯƠNG I\nĐiều 5. Nội dung quản lý\n1. Cơ quan quản lý thực hiện đăng ký.\n2. Nội dung gồm:\na) khai báo;\nb) nộp tiền."),
-    ("law", 2, "CHƯƠNG II\nĐiều 16. Xử lý chậm nộp\n1. Các trường hợp:\na) nộp muộn;\nb) khai sai.\n2. Mức tính theo ngày.\n5. Trường hợp được miễn."),
-    ("law", 3, "Điều 17. Nội dung quản lý\n1. Cơ quan quản lý thực hiện đăng ký.\nđ) điểm riêng."),
-    ("note", 1, "Điều 1. Phạm vi\n1. Phạm vi chung.\n\nĐiều 2. Hiệu lực\nCó hiệu lực ngay."),
-]
-
-
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAGES, "doc string, page int, text string")
+from . import corpus
 
 
 def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,63 +25,134 @@ def line_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.articles(_pages(spark)).select("doc", "dieu", "title", "text")
+    return S.articles(corpus.pages(spark, sf_dir)).select("doc", "pos", "dieu", "title", F.md5("text").alias("hash"))
 
 
-def chapter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last view of each user before each of their purchases."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    from pyspark.sql import Window as W
+def article_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.articles(corpus.pages(spark, sf_dir)).select("doc", "pos", "dieu", "chapter", "first_page")
 
-    before = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
-    return events.withColumn("view_id", before).filter("event_type = 'purchase'").select("user_id", "event_id", "view_id")
 
+def appendix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the appendices behind the articles."""
+    return S.appendices(corpus.pages(spark, sf_dir)).select("doc", "idx", "title", F.md5("text").alias("hash"))
 
-def article_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.articles(_pages(spark)).select("doc", "dieu", "chapter", "first_page")
+
+def legal_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pages(spark, sf_dir).select("doc", "page", F.md5(normal_legal(F.col("text"))).alias("hash"))
 
 
 def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.clauses(S.articles(_pages(spark))).select("doc", "dieu", "khoan", "text")
+    return S.clauses(S.articles(corpus.pages(spark, sf_dir))).select("doc", "pos", "khoan", "head", F.md5("clause").alias("hash"))
 
 
 def point_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.points(S.clauses(S.articles(_pages(spark)))).select("doc", "dieu", "khoan", "diem", "text")
+    return S.points(S.clauses(S.articles(corpus.pages(spark, sf_dir)))).select("doc", "pos", "khoan", "diem", F.md5("said").alias("hash"))
 
 
 def refine_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.refined(_pages(spark)).select("doc", "dieu", "khoan", "diem", "level", "hash")
+    """Every content once, without cuts by size (refine_cut has them)."""
+    return S.refined(corpus.pages(spark, sf_dir), most=1 << 30).select("doc", "pos", "dieu", "khoan", "diem", "level", "unit", "idx", F.col("n_parts").cast("bigint").alias("n_parts"), "chunk_id", "hash")
+
+
+def refine_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As refine_chunks, with texts of more than 2200 characters cut."""
+    return S.refined(corpus.pages(spark, sf_dir)).select("doc", "pos", "khoan", "diem", "level", "unit", "idx", "n_parts", "chunk_id", "hash")
+
+
+def legal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each article in legal order: clause, level, point, place."""
+    rows = S.refined(corpus.pages(spark, sf_dir), most=1 << 30, once=False)
+    place = F.row_number().over(W.partitionBy("doc", "pos").orderBy(F.coalesce("khoan", F.lit(0)), "level", point_order(F.col("diem")), "idx"))
+    return rows.withColumn("place", place).select("doc", "pos", "khoan", "diem", "idx", "place")
+
+
+def chapter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last view of each user before each of their purchases."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    before = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
+    return events.withColumn("view_id", before).filter("event_type = 'purchase'").select("user_id", "event_id", "view_id")
 
 
 def smart_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.chunked(table(spark, sf_dir, "documents"), S.smart_cuts)
+    docs = S.chunked(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), S.smart_cuts)
+    return docs.select("doc_id", "lang", "chunk_index", F.md5("text").alias("hash"))
 
 
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.chunked(table(spark, sf_dir, "documents"), S.recursive_cuts)
+    return S.chunked(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), S.recursive_cuts)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (fixed_window_chunks, line_pack_chunks, article_split, article_chapters, appendix_blocks, legal_normalise, clause_split, point_split, refine_chunks, refine_cut, legal_order, chapter_asof, smart_split, recursive_chunks)
+}
+
+_WS = r"[\s\p{Z}]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _steps(x: str, steps: list[tuple[str, str]]) -> str:
+    for form, to in steps:
+        x = f"regexp_replace({x}, '{form}', {to}, 'g')"
+    return _strip(x)
 
 
-QUERIES = {f.__name__: f for f in (fixed_window_chunks, line_pack_chunks, article_split, chapter_asof, article_chapters, clause_split, point_split, refine_chunks, smart_split, recursive_chunks)}
+_LF = "chr(10)"
+_DIEU = (r"(?i)(^|[^\p{L}\p{N}_])Đ\s*i\s*ề\s*u([^\p{L}\p{N}_]|$)", r"'\1Điều\2'")
+_LINES = [(r"\r\n?", _LF)]
 
-_HEAD = r"(?i)(^|\n)([ \t]*(?:Đi.{0,2}u\s+\d+\.|CHƯƠNG\s+[IVXLCDM]+))"
+
+def _clean(x: str) -> str:
+    return _steps(x, [*_LINES, (r"[ \t]+", "' '"), (r"\n{3,}", f"{_LF} || {_LF}"), (r"\s+([,.;:])", r"'\1'"), _DIEU])
+
+
+def _normal(x: str) -> str:
+    return _steps(x, [
+        *_LINES, _DIEU, (r"(?i)Điều\s*\n\s*(\d+)\.", r"'Điều \1.'"), (r"([\p{L}\p{N}_])\s*-\s*\n\s*([\p{L}\p{N}_])", r"'\1-\2'"), (r"[ \t]+", "' '"), (r"\n{3,}", f"{_LF} || {_LF}"),
+        (r"(?i)(^|[^\n])\s([a-zđ]\)\s+)", rf"'\1' || {_LF} || '\2'"), (r"(?i)(^|[^\n])\s([a-zđ]\.\d+\)\s+)", rf"'\1' || {_LF} || '\2'"),
+    ])
+
+
+_CHAPTER = r"(?i)Chương\s+[IVXLC]+(?:\s*\n+|\s+)[A-ZÀ-Ỹ0-9 ,\-/()]+"
+_APPENDIX = r"(?i)\n((phụ lục|danh sách các biểu mẫu)([^\p{L}\p{N}_]|$)|mẫu số(\s*[: ]|\s+\d+))"
+_BLOCK = r"(?i)((phụ lục|danh sách các biểu mẫu)([^\p{L}\p{N}_]|$)|mẫu số([: ]|\s+\d+))"
+_NUMBERED = _strip("regexp_replace(" + _strip("part") + r", '^\d+\.\s+', '')")
+_LETTERED = _strip("regexp_replace(" + _strip("part") + r", '(?i)^[a-zđ]\)\s+', '')")
 _ARTICLES = rf"""
-p as {sql.values(PAGES, 'doc, page, text')},
-w as (select doc, string_agg(text, chr(10) || chr(10) order by page) as t from p group by doc),
-parts as (select doc, generate_subscripts(s, 1) as pos, trim(unnest(s), ' ' || chr(10) || chr(9)) as part from (select doc, string_split(regexp_replace(t, '{_HEAD}', chr(1) || '\1\2', 'g'), chr(1)) as s from w)),
-c as (select *, nullif(upper(regexp_extract(part, '(?i)^CHƯƠNG\s+([IVXLCDM]+)', 1)), '') as ch from parts),
-h as (select *, last_value(ch ignore nulls) over (partition by doc order by pos) as chapter, regexp_extract(part, '(?i)^Đi.{{0,2}}u\s+(\d+)\.', 1) as no from c),
-art as (select doc, chapter, no::integer as dieu, trim(regexp_extract(part, '(?i)^Đi.{{0,2}}u\s+\d+\.\s*([^\n]+)', 1)) as title, part as text from h where no <> ''),
-fp as (select doc, no::integer as dieu, min(page) as first_page from (select doc, page, unnest(regexp_extract_all(text, '(?i)Đi.{{0,2}}u\s+(\d+)\.', 1)) as no from p) group by all),
-cl as (
-  select doc, dieu, title, regexp_extract(part, '^\n[ \t]*(\d+)\.\s+', 1)::integer as khoan, trim(regexp_replace(part, '^\n[ \t]*\d+\.\s+', ''), ' ' || chr(10) || chr(9)) as text
-  from (select doc, dieu, title, unnest(string_split(regexp_replace(chr(10) || regexp_replace(text, '^[^\n]*\n?', ''), '(\n[ \t]*\d+\.\s+)', chr(1) || '\1', 'g'), chr(1))) as part from art)
-  where regexp_extract(part, '^\n[ \t]*(\d+)\.\s+', 1) <> ''
+{corpus.PAGES},
+cp as (select doc, page, {_clean('text')} as text from pages_of),
+w as (select doc, string_agg(text, chr(10) || chr(10) order by page) filter (where text <> '') as t from cp group by doc),
+parts as (select doc, generate_subscripts(s, 1) - 1 as pos, unnest(s) as part from (select doc, string_split(regexp_replace({_strip(f"string_split_regex(t, '{_APPENDIX}')[1]")}, '(?i)(Đi.{{0,2}}u\s+\d+\.\s*[^\n]+)', chr(1) || '\1', 'g'), chr(1)) as s from w)),
+c as (select *, regexp_replace({_strip(f"regexp_extract_all(part, '{_CHAPTER}')[-1]")}, '\s*\n+\s*', ' - ', 'g') as ch from parts),
+h as (select *, last_value(ch ignore nulls) over (partition by doc order by pos rows between unbounded preceding and 1 preceding) as chapter, regexp_extract(part, '(?i)^Đi.{{0,2}}u\s+(\d+)\.', 1) as no from c),
+fp as (select doc, no::integer as dieu, min(page) as first_page from (select doc, page, unnest(regexp_extract_all(text, '(?i)Đi.{{0,2}}u\s+(\d+)\.', 1)) as no from cp) group by all),
+art as (select doc, pos::integer as pos, chapter, no::integer as dieu, 'Điều ' || no::integer || '. ' || {_strip(r"regexp_extract(part, '(?i)^Đi.{0,2}u\s+\d+\.\s*([^\n]+)', 1)")} as title, {_strip('part')} as text from h where no <> ''),
+nt as (select *, {_normal('text')} as n from art),
+ti as (select *, {_strip('string_split(n, chr(10))[1]')} as first, regexp_extract({_strip('string_split(n, chr(10))[1]')}, '(?i)^(Điều\s+\d+\.\s+.*?)(\s+\d+\.\s+|$)', 1) as tt, string_split(n, chr(10))[2:] as rest from nt),
+bd as (select *, case when tt = '' then first else {_strip('tt')} end as head, {_strip(f"array_to_string(case when tt = '' or {_strip('substring(first, length(tt) + 1)')} = '' then rest else list_concat([{_strip('substring(first, length(tt) + 1)')}], rest) end, chr(10))")} as body from ti),
+cs as (select doc, pos, dieu, title, head, string_split(regexp_replace(chr(10) || body, '\n\s*(\d+\.\s)', chr(1) || '\1', 'g'), chr(1)) as s from bd),
+ce as (select doc, pos, dieu, title, head, {_strip('s[1]')} as preface, generate_subscripts(s[2:], 1) - 1 as k, unnest(s[2:]) as part from cs),
+cl as (select doc, pos, dieu, title, head, k::integer as k, regexp_extract(part, '^(\d+)\.', 1)::integer as khoan, {_strip("case when k = 0 and preface <> '' then preface || chr(10) else '' end || " + _NUMBERED)} as clause from ce),
+pl2 as (select *, array_to_string(list_filter(list_transform(string_split({_normal('clause')}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10)) as ls from cl),
+ps as (select doc, pos, dieu, title, head, k, khoan, string_split(regexp_replace(chr(10) || ls, '(?i)\n\s*([a-zđ]\)\s)', chr(1) || '\1', 'g'), chr(1)) as s from pl2),
+pe as (select doc, pos, dieu, title, head, k, khoan, generate_subscripts(s, 1) - 1 as p, unnest(s) as part from ps),
+pt as (select * from (select doc, pos, dieu, title, head, k, khoan, p, lower(nullif(regexp_extract(part, '(?i)^([a-zđ])\)\s', 1), '')) as diem, {_LETTERED} as said from pe) where said <> '')
+"""
+_SLUG = r"trim(regexp_replace(regexp_replace({_x}, '[^\p{{L}}\p{{N}}_]+', '_', 'g'), '_+', '_', 'g'), '_')"
+_REFINED = rf"""{_ARTICLES},
+sv as (select *, max(diem is not null) over (partition by doc, pos, k) as several from pt),
+rw as (
+  select doc, pos, dieu, title, null::integer as khoan, null::varchar as diem, 1 as level, -1 as k, 0 as p, 'toàn_bộ_điều' as unit, {_normal('text')} as text from art
+  union all
+  select doc, pos, dieu, title, khoan, diem, case when diem is null then 2 else 3 end, k, p, 'khoản_' || khoan || case when diem is not null then '_điểm_' || diem when several then '_mở_đầu' else '' end,
+    {_normal("head || chr(10) || chr(10) || 'Khoản ' || khoan || '.' || case when diem is null then ' ' || said else chr(10) || 'Điểm ' || diem || ') ' || said end")} from sv
 ),
-pt as (
-  select doc, dieu, title, khoan, nullif(regexp_extract(part, '^\n[ \t]*([a-zđ])\)\s+', 1), '') as diem, trim(regexp_replace(part, '^\n[ \t]*[a-zđ]\)\s+', ''), ' ' || chr(10) || chr(9)) as text
-  from (select doc, dieu, title, khoan, unnest(string_split(regexp_replace(chr(10) || text, '(\n[ \t]*[a-zđ]\)\s+)', chr(1) || '\1', 'g'), chr(1))) as part from cl)
-  where trim(regexp_replace(part, '^\n[ \t]*[a-zđ]\)\s+', ''), ' ' || chr(10) || chr(9)) <> ''
-)
+nb as (select *, row_number() over (partition by doc, pos order by k, p) as idx, count(*) over (partition by doc, pos) as n_parts, concat_ws(chr(10), 'Văn bản: ' || doc, title, 'Khoản ' || khoan, 'Điểm ' || diem, 'Đơn vị nội dung: ' || unit) as hd from rw),
+md as (select *, concat_ws('_', doc::varchar, 'dieu' || dieu, 'khoan' || khoan, 'diem' || diem, unit, 'chunk' || idx) as chunk_id, case when starts_with(text, hd) then text else hd || chr(10) || chr(10) || text end as full_text from nb),
+hs as (select *, md5(regexp_replace({_strip('lower(full_text)')}, '{_WS}+', ' ', 'g')) as hash from md)
 """
 
 ORACLE_SQL = {
@@ -102,21 +164,38 @@ with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10))
 f as (select doc_id, list_reduce(list_transform(ls, lambda x: [x]), lambda a, x: case when len(a) > 0 and length(a[-1]) + length(x[1]) + 1 <= 1800 then list_concat(a[1:-2], [a[-1] || chr(10) || x[1]]) else list_concat(a, x) end, []::varchar[]) as c from l)
 select doc_id, (generate_subscripts(c, 1) - 1)::integer as chunk_index, md5(unnest(c)) as hash from f
 """,
-    "article_split": f"with {_ARTICLES} select doc, dieu, title, text from art",
+    "article_split": f"with {_ARTICLES} select doc, pos, dieu, title, md5(text) as hash from art",
     "chapter_asof": """
 select user_id, event_id, view_id from (select *, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as view_id from events) where event_type = 'purchase'
 """,
-    "article_chapters": f"with {_ARTICLES} select doc, dieu, chapter, coalesce(first_page, -1) as first_page from art left join fp using (doc, dieu)",
-    "clause_split": f"with {_ARTICLES} select doc, dieu, khoan, text from cl",
-    "point_split": f"with {_ARTICLES} select doc, dieu, khoan, diem, text from pt",
-    "refine_chunks": rf"""with {_ARTICLES},
+    "article_chapters": f"with {_ARTICLES} select doc, pos, dieu, chapter, coalesce(first_page, -1) as first_page from art left join fp using (doc, dieu)",
+    "appendix_blocks": rf"""with {_ARTICLES},
+tl as (select doc, {_strip(f"substring(t, length(string_split_regex(t, '{_APPENDIX}')[1]) + 1)")} as t from w),
+bl as (select doc, list_filter(list_transform(string_split(regexp_replace(t, '{_BLOCK}', chr(1) || '\1', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') as b from tl where t <> '')
+select doc, generate_subscripts(b, 1)::integer as idx, left({_strip('string_split(unnest(b), chr(10))[1]')}, 200) as title, md5(unnest(b)) as hash from bl
+""",
+    "legal_normalise": f"with {corpus.PAGES} select doc, page, md5({_normal('text')}) as hash from pages_of",
+    "clause_split": f"with {_ARTICLES} select doc, pos, khoan, head, md5(clause) as hash from cl",
+    "point_split": f"with {_ARTICLES} select doc, pos, khoan, diem, md5(said) as hash from pt",
+    "refine_chunks": f"with {_REFINED} select doc, pos, dieu, khoan, diem, level, unit, idx::integer as idx, n_parts, chunk_id, hash from (select *, row_number() over (partition by hash order by doc, pos, idx) as n from hs) where n = 1",
+    "legal_order": f"""with {_REFINED}
+select doc, pos, khoan, diem, idx::integer as idx, row_number() over (partition by doc, pos order by coalesce(khoan, 0), level, case when diem is null then 0 else coalesce(list_position(['a','b','c','d','đ','e','g','h','i','k','l','m','n'], diem), 99) end, idx)::integer as place from hs
+""",
+    "smart_split": rf"""
+with recursive d as (select doc_id, lang, {_strip('text')} as t from documents),
 r as (
-  select doc, dieu, null::integer as khoan, null::varchar as diem, 1 as level, text from art
-  union all select doc, dieu, khoan, diem, case when diem is null then 2 else 3 end, concat_ws(chr(10), title, 'Khoản ' || khoan || '.', 'Điểm ' || diem || ')', text) from pt
+  select doc_id, lang, t, 0 as chunk_index, 0 as start, case when length(t) <= 2200 then length(t) end as cut from d
+  union all
+  select doc_id, lang, t, case when done is not null then chunk_index + 1 else chunk_index end, case when done is not null then next else start end, case when done is null then best when length(t) - next <= 2200 then length(t) end from (
+    select *, case when cut is not null and cut < length(t) then case when back > start then back else cut end end as next, cut as done,
+      start + 1320 + coalesce(case when p1 > 0 then 880 - p1 + 1 when p2 > 0 then 880 - p2 + 1 when p3 > 0 then 880 - p3 + 1 when p4 > 0 then 880 - p4 + 1 when p5 > 0 then 880 - p5 + 1 when p6 > 0 then 880 - p6 + 1 when p7 > 0 then 880 - p7 + 1 end, 880) as best
+    from (
+      select *, reverse(substring(t, start + 1321, 880)) as win, strpos(reverse(substring(t, start + 1321, 880)), chr(10) || chr(10)) as p1, strpos(reverse(substring(t, start + 1321, 880)), chr(10)) as p2,
+        strpos(reverse(substring(t, start + 1321, 880)), ' .') as p3, strpos(reverse(substring(t, start + 1321, 880)), ' ;') as p4, strpos(reverse(substring(t, start + 1321, 880)), ' :') as p5, strpos(reverse(substring(t, start + 1321, 880)), ' ,') as p6, strpos(reverse(substring(t, start + 1321, 880)), ' ') as p7,
+        greatest(0, length(regexp_extract(substring(t, 1, greatest(cut - 200, 0) + 1), '(?s)^(.*)\s', 1))) as back
+      from r where cut is null or cut < length(t))
+  )
 )
-select doc, dieu, khoan, diem, level, hash from (
-  select *, row_number() over (partition by hash order by doc, dieu, level, coalesce(khoan, 0), coalesce(list_position(['a','b','c','d','đ','e','g','h','i','k','l','m','n'], diem), 0)) as n
-  from (select *, md5(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) as hash from r)
-) where n = 1
+select doc_id, lang, chunk_index::integer as chunk_index, md5({_strip('substring(t, start + 1, cut - start)')}) as hash from r where cut is not null
 """,
 }
