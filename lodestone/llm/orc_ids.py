@@ -21,6 +21,8 @@ from .common import new_path, partitions, table, written
 from .encoding import encoder
 
 STRIPE, STRIDE, END = 16 << 20, 1_000, 2
+#: Rows after which a writer looks whether its stripe is full, so that long documents don't fill its memory.
+CHECK = 500
 SCHEMA = "doc_id bigint, part int, row bigint, ids array<int>"
 
 
@@ -42,12 +44,11 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, end: int = END) -> No
                 lists = pa.ListArray.from_arrays(pa.array(n), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), lists], names=["doc_id", "part", "row", "ids"])
                 row += len(ids)
-        enc.forget()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").option("orc.stripe.size", STRIPE).option("orc.create.index", "true").option("orc.row.index.stride", STRIDE)
+        ordered.mapInArrow(run, SCHEMA).write.option("compression", "zstd").option("orc.stripe.size", STRIPE).option("orc.rows.between.memory.checks", CHECK).option("orc.create.index", "true").option("orc.row.index.stride", STRIDE)
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
     )
 

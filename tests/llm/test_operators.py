@@ -87,14 +87,16 @@ def test_op2_against_brute_force(spark):
 
     docs = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
     got = {r["doc_id"]: r for r in op2_fingerprints(spark, SF).collect()}
-    err = []
+    err, next_err = [], []
     for i, (k, a) in enumerate(docs):
         b = docs[(i + 1) % len(docs)][1]
+        y = shingle_set(b)
+        next_err.append(abs(got[k]["near_next"] - len(shingle_set(a) & y) / len(shingle_set(a) | y)))
         e = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
         assert got[k]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and got[k]["n_chars"] == len(a)
         x, y = shingle_set(a), shingle_set(e)
         err.append(abs(got[k]["near_edited"] - len(x & y) / len(x | y)))
-    assert np.mean(err) < 0.06
+    assert np.mean(err) < 0.06 and np.mean(next_err) < 0.01 and max(next_err) < 0.5
     alike = collections.defaultdict(set)
     for k, a in docs:
         alike[a].add(got[k]["fingerprint"])
@@ -114,6 +116,17 @@ def test_next_rows_over_odd_ids(spark):
     assert one[0]["next_text"] == one[0]["text"]
 
 
+def test_chats_and_fingerprints_of_no_rows_and_clashing_columns(spark):
+    from lodestone.llm.chat import PART, format_chats
+    from lodestone.llm.fingerprints import fingerprints, with_next
+
+    assert format_chats(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{PART}>")).count() == 0
+    assert fingerprints(odd_docs(spark).limit(0)).count() == 0
+    out = fingerprints(odd_docs(spark).withColumn("Sketch", F.lit("clash")).withColumn("h", F.lit(1)))
+    assert out.count() == 7 and [c.lower() for c in out.columns].count("sketch") == 1 and dict(out.dtypes)["sketch"] == "array<bigint>"
+    assert with_next(odd_docs(spark).withColumn("r", F.lit(1)), "doc_id", ["text"], 3).count() == 7
+
+
 # 3, 4 tokens
 
 
@@ -197,6 +210,50 @@ def test_orc_round_trip_and_pruning(spark, tmp_path):
     assert spans(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_orc_files_hold_stripes_indexes_and_bloom_filters(spark, tmp_path, monkeypatch):
+    import glob
+
+    from lodestone.llm import orc_ids
+
+    monkeypatch.setattr(orc_ids, "STRIPE", 64 << 10)
+    docs = spark.range(24_000).select((F.col("id") * 7).alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat("id", F.lit(str(k)))) for k in range(2))).alias("text"))
+    orc_ids.write_ids(docs.coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "ids"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stripes = 0
+    for f in glob.glob(f"{tmp_path}/ids/*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        stripes += reader.getStripes().size()
+        assert reader.getRowIndexStride() == orc_ids.STRIDE
+        footer = rows.readStripeFooter(reader.getStripes().get(0))
+        kinds = {(s.getColumn(), str(s.getKind())) for s in footer.getStreamsList()}
+        assert (1, "BLOOM_FILTER_UTF8") in kinds and {(c, "ROW_INDEX") for c in range(6)} <= kinds and not [c for c, k in kinds if k == "BLOOM_FILTER_UTF8" and c != 1]
+        assert {str(footer.getColumns(c).getKind()) for c in (1, 2, 3, 5)} == {"DIRECT_V2"}  # run-length integers
+        rows.close()
+    assert stripes > len(glob.glob(f"{tmp_path}/ids/*.orc")) and orc_ids.read_ids(spark, str(tmp_path / "ids")).filter("doc_id = 7777").count() == 1
+
+
+def test_token_queries_over_a_whole_table(spark):
+    from lodestone.llm.orc_ids import op4_orc_ids
+    from lodestone.llm.packing import op3_pack_windows
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    at, want = 0, []
+    for k in sorted(docs):
+        ids = ids_of("byte_bpe_50k.json", docs[k])
+        want.append((k, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in op4_orc_ids(spark, SF).collect()) == want
+    held = collections.defaultdict(list)
+    for r in op3_pack_windows(spark, SF).collect():
+        held[r["doc_id"]].append((r["start"], r["length"]))
+        ids = ids_of("word_bpe_49k.json", docs[r["doc_id"]])
+        assert r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]]) and r["doc_tokens"] == len(ids)
+    for k, parts in held.items():
+        assert [a for a, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1]]
+    assert set(held) == set(docs)
+
+
 # 5 language
 
 
@@ -324,6 +381,38 @@ def test_recall_and_ties(spark):
     assert nearest(small, F.col("vec_id") == 0).count() == 2 and nearest(small.limit(0), F.col("vec_id") == 0).count() == 0 and nearest(small, F.lit(False)).count() == 0
 
 
+def test_search_query_over_a_whole_table(spark):
+    from lodestone.llm.ann import op6_learned_partitions, parts_of, unit
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = collections.defaultdict(list)
+    for r in sorted(op6_learned_partitions(spark, SF).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = unit(x) @ unit(x)[i]
+        s[i] = -9
+        best = set(ids[np.argsort(-s)[:5]].tolist())
+        found = got[int(ids[i])]
+        assert len(found) == 5 and all(abs(sc - s[np.flatnonzero(ids == v)[0]]) < 1e-9 for v, sc in found)
+        hits += len(best & {v for v, _ in found})
+    assert hits / (5 * len(got)) >= 0.9 and set(got) == set(ids[ids % 50 == 0].tolist())
+    assert [parts_of(n) for n in (0, 1, 320_000, 320_001, 10**9)] == [16, 16, 16, 32, 64]
+
+
+def test_queries_always_get_their_share_of_candidates(spark):
+    """A probe that would visit one nearly empty part goes on to others; clashing columns are ignored."""
+    from lodestone.llm import ann
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(400, 8)) * 0.01 + np.eye(8)[0], rng.normal(size=(3, 8)) * 0.01 - np.eye(8)[0]])
+    rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, p int, parts int")
+    got = collections.Counter(r["query_id"] for r in ann.nearest(df, F.col("vec_id") >= 400, parts=16, target=0.01).collect())
+    assert got == {400: 5, 401: 5, 402: 5}
+
+
 def test_partitions_are_fitted_on_distinct_vectors(spark, monkeypatch):
     from lodestone.llm import ann
 
@@ -403,6 +492,32 @@ def test_near_pairs_in_a_family_with_a_template(spark):
     assert got == {i: i - i % 2 if i < 200 else i for i in range(600)}
 
 
+def test_all_links_just_above_the_threshold(spark):
+    """200 pairs of a similarity just above the threshold among 400 texts that share a passage; all others are just below it."""
+    from lodestone.llm.near_dedup import near_duplicates
+
+    passage, rows = [f"t{k}" for k in range(1724)], []
+    for i in range(400):
+        own = i - i % 2
+        rows.append((i, " ".join([*(f"u{own}x{k}" for k in range(5)), *passage, *(f"v{i}x{k}" for k in range(30))])))
+    bags = [collections.Counter(tuple(r[1].split()[j : j + 5]) for j in range(len(r[1].split()) - 4)) for r in rows]
+    df = collections.Counter(k for b in bags for k in b)
+    weight = {k: np.log(401 / (1 + v)) + 1 for k, v in df.items()}
+    like = lambda a, b: sum(weight[k] for k in a.keys() & b.keys()) / sum(weight[k] for k in a.keys() | b.keys())
+    assert 0.8 <= like(bags[0], bags[1]) < 0.84 and 0.76 < like(bags[0], bags[2]) < 0.8
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
+def test_near_query_over_a_whole_table(spark):
+    from lodestone.llm.near_dedup import op7_weighted_minhash
+
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    want = brute_classes(docs)
+    got = op7_weighted_minhash(spark, SF).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want and {r["doc_id"] for r in got if r["kept"]} == set(want.values())
+
+
 def test_shingle_weights_with_very_many_shingles(spark):
     """A rare shingle stays rare where millions of others are counted."""
     from lodestone.llm.near_dedup import near_duplicates
@@ -520,6 +635,13 @@ def test_line_runs_against_brute_force(spark):
     assert all(r["n_lines"] == len(dict(rows)[k].split("\n")) and (r["n_chars"] == len(want[k]) if r["n_removed"] else r["n_chars"] == 1) for k, r in got.items())
 
 
+def test_line_query_over_a_whole_table(spark):
+    from lodestone.llm.line_dedup import op9_line_runs
+
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    assert {r["doc_id"]: r["text"] for r in op9_line_runs(spark, SF).collect()} == brute_lines(docs)
+
+
 def test_line_dedup_of_odd_rows(spark):
     from lodestone.llm.line_dedup import dedup_lines, drop_copied_lines
 
