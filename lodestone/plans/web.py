@@ -54,7 +54,7 @@ _STRIP = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(r
 _LINKS = r"""a as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) as title,
   generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1), 1) - 1 as pos from p)"""
 
-_NODES = r"list_filter(list_transform(string_split_regex({}, '<!--.*?-->|<[^>]*>'), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '#'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '')".replace("'#'", "'\"'")
+_NODES = r"list_filter(list_transform(string_split_regex({}, '<!--.*?-->|<[^>]*>'), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '#'), '&#x27;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '')".replace("'#'", "'\"'")
 
 ORACLE_SQL = {
     "html_links": rf"""

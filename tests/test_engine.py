@@ -293,3 +293,12 @@ def test_bm25_pushes_nothing_but_needed_columns(spark):
 
     plan = bm25_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_the_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"], cwd=ROOT, check=True)
