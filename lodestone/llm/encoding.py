@@ -14,10 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Bytes of words, and of runs of letters, kept during a task; others are encoded whenever they come.
-KEPT, KEPT_RUNS = 24 << 20, 24 << 20
+#: Bytes of words kept by a worker for its vocabulary; others are encoded whenever they come.
+KEPT = 40 << 20
 #: What an entry takes besides its word and ids.
 _ENTRY = 200
+#: Places that tell, by hash, whether a word came before; one that comes once is not kept.
+_SEEN = 1 << 20
 SLICE = 1 << 20
 _SPACE = re.compile(r"\s")
 #: One run of letters that have a composed form and a plain lower case, and one of marks without apostrophes (these may
@@ -38,24 +40,23 @@ def _byte_marks() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids (little-endian unsigned 32-bit, joined) by word, up to ``most`` bytes."""
+    """Ids (little-endian unsigned 32-bit, joined) by word, up to ``most`` bytes; a word is kept from its second time on."""
 
     def __init__(self, encode, most: int = KEPT) -> None:
         super().__init__()
-        self.encode, self.left = encode, most
-        self.most = most
+        self.encode, self.left, self.seen = encode, most, bytearray(_SEEN)
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
         if self.left > 0:
-            self[word] = ids
-            self.left -= _ENTRY + len(word) + len(ids)
+            at = hash(word) & (_SEEN - 1)
+            if self.seen[at]:
+                self[word] = ids
+                self.left -= _ENTRY + len(word) + len(ids)
+            else:
+                self.seen[at] = 1
         return ids
 
-    def clear(self) -> None:
-        super().clear()
-        self.left = self.most
-
 
 # How the two known kinds of vocabulary normalise text and cut it before their merges.
 _BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
@@ -80,17 +81,19 @@ class Encoder:
         # any other way of cutting text than the two that this module knows encodes every text whole
         self.known = (form["normalizer"], form["pre_tokenizer"]) in _FORMS and form["model"]["type"] == "BPE"
         self.words = _Words(self._spaced_word if self.spaced else self._dropped_word)
-        self.firsts = _Words(lambda w: self._word(w, ""))
-        self.runs = _Words(self._run, KEPT_RUNS)
-        self.model = self.tokenizer.model
+        self.firsts = _Words(lambda w: self._word(w, ""), KEPT // 8)
+        self.model, self.marks = self.tokenizer.model, _byte_marks()
+        self.space, self.line = self.marks[0x20], None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _run(self, piece: str) -> bytes:
-        """A run that the vocabulary doesn't cut before its merges."""
-        marks = _byte_marks()
-        return array("I", [t.id for t in self.model.tokenize("".join([marks[b] for b in piece.encode()]))]).tobytes()
+        """A run that the vocabulary doesn't cut before its merges, as the vocabulary shows it."""
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _shown(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.marks)
 
     def _word(self, word: str, before: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
@@ -99,10 +102,18 @@ class Encoder:
                 raise OddSpace
             return self._whole(before + word)
         letters, marks = plain.groups()
-        ids = self.runs[" " + letters if before == " " else letters if self.spaced else letters.lower()]
-        if before == "\n":
-            ids = self.runs["\n"] + ids
-        return ids + self.runs[marks] if marks else ids
+        if not self.spaced:
+            letters = letters.lower()
+        if not letters.isascii():
+            letters = self._shown(letters)
+        if before == " ":
+            ids = self._run(self.space + letters)
+        else:
+            ids = self._run(letters)
+            if before == "\n":
+                self.line = self.line or self._run(self._shown("\n"))
+                ids = self.line + ids
+        return ids + self._run(marks) if marks else ids
 
     def _spaced_word(self, word: str) -> bytes:
         return self._word(word[1:], "\n") if word[:1] == "\n" else self._word(word, " ")
@@ -110,11 +121,6 @@ class Encoder:
     def _dropped_word(self, word: str) -> bytes:
         return self._word(word, "") if word else b""
 
-    def forget(self) -> None:
-        """Drops the tables, so that a worker that waits for its next task holds none."""
-        for held in (self.words, self.firsts, self.runs):
-            held.clear()
-
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text, as joined little-endian unsigned 32-bit integers."""
         if not text:
@@ -144,11 +150,7 @@ class Encoder:
                 raise OddSpace
 
 
-_encoders: dict[str, Encoder] = {}
-
-
+@lru_cache(1)
 def encoder(path: str) -> Encoder:
-    """This process's encoder for a vocabulary file; Python workers live over many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """This process's encoder for a vocabulary file; Python workers live over many tasks, and hold one vocabulary's words at a time."""
+    return Encoder(path)

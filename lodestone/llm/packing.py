@@ -111,7 +111,6 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
         for key, pieces in windows.rest():
             closed(key, pieces, True)
         yield flush()
-        enc.forget()
 
     first = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{PIECE}, open boolean, part bigint"), "pieces")
 
