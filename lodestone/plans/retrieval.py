@@ -347,6 +347,11 @@ union all select query_id, doc_id, s, sources || '+reranker', row_number() over
     "retrieve": f"with {_FINAL} select * from final",
     "hybrid_retrieve": f"with {_CONTEXT} select query_id, sources, n_blocks, md5(context) as context_hash from ctx",
     "source_projection": f"with {_CONTEXT} select query_id, rank, ten_van_ban as document, ma_van_ban as document_code, loai_van_ban, dieu, khoan, diem, tieu_de_dieu as title, chu_de, score, sources as retrieval_source from bl",
+    "response_json": f"""with {_CONTEXT},
+ls as (select query_id, list({{'document': ten_van_ban, 'document_code': ma_van_ban, 'dieu': dieu, 'khoan': khoan, 'diem': diem, 'title': tieu_de_dieu, 'retrieval_source': sources}} order by rank) as sources from bl group by 1),
+an as (select query_id, question, ls.sources, coalesce(context, '') as context, case when string_split(coalesce(context, ''), chr(10))[1] = '' then {sql.quoted(V.EMPTY_ANSWER)} else string_split(context, chr(10))[1] || ': không phải nộp thuế' end as answer from questions left join ls using (query_id) left join ctx using (query_id))
+select query_id, to_json({{'question': trim(question), 'answer': case when contains(lower(question), 'phải nộp thuế') and contains(lower(answer), 'không phải nộp thuế') and not contains(lower(context), 'không phải nộp thuế') then {sql.quoted(V.GUARD_ANSWER)} else answer end, 'sources': sources}})::varchar as body from an
+""",
     "context_pack": """
 with b as (select conv_id as query_id, turn as rank, '[' || role || '] ' || text as block from conversations),
 u as (select *, sum(length(block)) over (partition by query_id order by rank) as upto from b where trim(block) <> '')
