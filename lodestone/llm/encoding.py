@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of words kept by a worker for its vocabulary; others are encoded whenever they come.
-KEPT = 40 << 20
+KEPT = 80 << 20
 #: What an entry takes besides its word and ids.
 _ENTRY = 200
 #: Places that tell, by hash, whether a word came before; one that comes once is not kept.
