@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, filter_audit, fingerprints, html_text, language, line_dedup, lloyd, mixing, near_dedup, oracles, orc_ids, packing
+from . import ann, chat, filter_audit, fingerprints, html_text, language, line_dedup, lloyd, mixing, near_dedup, ngram_lm, oracles, orc_ids, packing
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_line_runs": line_dedup.op9_line_runs,
     "op10_html_text": html_text.op10_html_text,
     "op8_entropy_mix": mixing.op8_entropy_mix,
+    "op11_deleted_interpolation": ngram_lm.op11_deleted_interpolation,
     "op12_lloyd": lloyd.op12_lloyd,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
