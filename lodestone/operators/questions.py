@@ -13,7 +13,7 @@ from lodestone.functions import text as T
 
 
 def analyzed(questions: DataFrame) -> DataFrame:
-    """questions (query_id, question) with what they name and ask for."""
+    """questions (query_id, question) with what they name and ask for; a number beyond 32 bits names no place."""
     q = F.lower(F.trim("question"))
     no = lambda form: F.nullif(F.regexp_extract(q, form, 1), F.lit(""))
 
@@ -22,7 +22,7 @@ def analyzed(questions: DataFrame) -> DataFrame:
 
     topic = T.first_class(q, rules.LEGAL_TOPICS)
     return questions.select(
-        "query_id", no(r"điều\s+(\d+)").cast("int").alias("dieu"), no(r"khoản\s+(\d+)").cast("int").alias("khoan"), no(r"điểm\s+([a-zđ])").alias("diem"),
+        "query_id", no(r"điều\s+(\d+)").try_cast("int").alias("dieu"), no(r"khoản\s+(\d+)").try_cast("int").alias("khoan"), no(r"điểm\s+([a-zđ])").alias("diem"),
         F.upper(no(r"chương\s+([ivxlcdm0-9]+)")).alias("chuong"), T.first_class(q, rules.INTENTS).alias("intent"), named(0).alias("ma_van_ban"),
         F.coalesce(named(2), T.first_class(q, rules.DOCUMENT_TYPES)).alias("loai_van_ban"), F.array_join(T.phrases_in(q, rules.LEGAL_PHRASES), "|").alias("phrases"),
         T.first_class(q, rules.TOPICS).alias("chu_de"), topic.alias("legal_topic"), (T.contains_any(q, rules.AMENDMENT_PHRASES) | F.coalesce(topic == "nguong_doanh_thu", F.lit(False))).alias("amendment"),

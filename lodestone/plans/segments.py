@@ -128,18 +128,18 @@ w as (select doc, string_agg(text, chr(10) || chr(10) order by page) filter (whe
 parts as (select doc, generate_subscripts(s, 1) - 1 as pos, unnest(s) as part from (select doc, string_split(regexp_replace({_strip(f"string_split_regex(t, '{_APPENDIX}')[1]")}, '(?i)(Đi.{{0,2}}u\s+\d+\.\s*[^\n]+)', chr(1) || '\1', 'g'), chr(1)) as s from w)),
 c as (select *, regexp_replace({_strip(f"regexp_extract_all(part, '{_CHAPTER}')[-1]")}, '\s*\n+\s*', ' - ', 'g') as ch from parts),
 h as (select *, last_value(ch ignore nulls) over (partition by doc order by pos rows between unbounded preceding and 1 preceding) as chapter, regexp_extract(part, '(?i)^Đi.{{0,2}}u\s+(\d+)\.', 1) as no from c),
-fp as (select doc, no::integer as dieu, min(page) as first_page from (select doc, page, unnest(regexp_extract_all(text, '(?i)Đi.{{0,2}}u\s+(\d+)\.', 1)) as no from cp) group by all),
-art as (select doc, pos::integer as pos, chapter, no::integer as dieu, 'Điều ' || no::integer || '. ' || {_strip(r"regexp_extract(part, '(?i)^Đi.{0,2}u\s+\d+\.\s*([^\n]+)', 1)")} as title, {_strip('part')} as text from h where no <> ''),
+fp as (select doc, try_cast(no as integer) as dieu, min(page) as first_page from (select doc, page, unnest(regexp_extract_all(text, '(?i)Đi.{{0,2}}u\s+(\d+)\.', 1)) as no from cp) group by all),
+art as (select doc, pos::integer as pos, chapter, try_cast(no as integer) as dieu, 'Điều ' || regexp_replace(no, '^0+([0-9])', '\1') || '. ' || {_strip(r"regexp_extract(part, '(?i)^Đi.{0,2}u\s+\d+\.\s*([^\n]+)', 1)")} as title, {_strip('part')} as text from h where no <> ''),
 nt as (select *, {_normal('text')} as n from art),
 ti as (select *, {_strip('string_split(n, chr(10))[1]')} as first, regexp_extract({_strip('string_split(n, chr(10))[1]')}, '(?i)^(Điều\s+\d+\.\s+.*?)(\s+\d+\.\s+|$)', 1) as tt, string_split(n, chr(10))[2:] as rest from nt),
 bd as (select *, case when tt = '' then first else {_strip('tt')} end as head, {_strip(f"array_to_string(case when tt = '' or {_strip('substring(first, length(tt) + 1)')} = '' then rest else list_concat([{_strip('substring(first, length(tt) + 1)')}], rest) end, chr(10))")} as body from ti),
 cs as (select doc, pos, dieu, title, head, string_split(regexp_replace(chr(10) || body, '\n\s*(\d+\.\s)', chr(1) || '\1', 'g'), chr(1)) as s from bd),
 ce as (select doc, pos, dieu, title, head, {_strip('s[1]')} as preface, generate_subscripts(s[2:], 1) - 1 as k, unnest(s[2:]) as part from cs),
-cl as (select doc, pos, dieu, title, head, k::integer as k, regexp_extract(part, '^(\d+)\.', 1)::integer as khoan, {_strip("case when k = 0 and preface <> '' then preface || chr(10) else '' end || " + _NUMBERED)} as clause from ce),
+cl as (select doc, pos, dieu, title, head, k::integer as k, try_cast(regexp_extract(part, '^(\d+)\.', 1) as integer) as khoan, {_strip("case when k = 0 and preface <> '' then preface || chr(10) else '' end || " + _NUMBERED)} as clause from ce),
 pl2 as (select *, array_to_string(list_filter(list_transform(string_split({_normal('clause')}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), chr(10)) as ls from cl),
 ps as (select doc, pos, dieu, title, head, k, khoan, string_split(regexp_replace(chr(10) || ls, '(?i)\n\s*([a-zđ]\)\s)', chr(1) || '\1', 'g'), chr(1)) as s from pl2),
 pe as (select doc, pos, dieu, title, head, k, khoan, generate_subscripts(s, 1) - 1 as p, unnest(s) as part from ps),
-pt as (select * from (select doc, pos, dieu, title, head, k, khoan, p, lower(nullif(regexp_extract(part, '(?i)^([a-zđ])\)\s', 1), '')) as diem, {_LETTERED} as said from pe) where said <> '')
+pt as (select * from (select doc, pos, dieu, title, head, k, khoan, p, lower(nullif(regexp_extract(part, '(?i)^([a-zđ])\)(\s|$)', 1), '')) as diem, {_LETTERED} as said from pe) where said <> '')
 """
 _SLUG = r"trim(regexp_replace(regexp_replace({_x}, '[^\p{{L}}\p{{N}}_]+', '_', 'g'), '_+', '_', 'g'), '_')"
 _REFINED = rf"""{_ARTICLES},
