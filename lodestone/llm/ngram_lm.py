@@ -6,7 +6,7 @@ estimates from the kept fold, one set of weights for each bucket of contexts tha
 the counts of both folds.
 
 Texts become blocks of BLOCK tokens at most, word numbers with one table of word hashes a block, each of one fold. A block
-asks for the counts of its distinct n-grams, 64-bit hashes cut into slices of the hash range. A slice adds up what all blocks
+asks for the counts of its distinct n-grams, numbers of KEY_BITS bits (a hash and the order) cut into slices of their range. A slice adds up what all blocks
 hold of its n-grams and tells every block the totals in the order asked. A frequent n-gram is one entry a block, so no word
 is hot, and a block cuts only at slices that it holds something of. The exchange is by slice, then by block; nothing is gathered in
 the driver but the weights and four totals.
@@ -31,6 +31,8 @@ DELETED = 10
 BLOCK = 1 << 21
 #: Bytes of a text that become tokens at a time; a slice has about so many n-grams.
 PIECE, SLICE = 1 << 23, 1 << 21
+#: Of 10^13 n-grams, about one in 2,000 shares its number with another.
+KEY_BITS = 56
 END, START = b"\n", b"\n\n"  # no words, as words hold no white space
 _EDGE, _STEP = np.uint64(xxhash.xxh3_64_intdigest(START)), np.uint64(0x9E3779B97F4A7C15)
 #: Weights before learning, and how many deleted tokens they count as. Rows: known trigram context, only the last word known, neither.
@@ -122,8 +124,8 @@ def blocks(docs: DataFrame, size: int = BLOCK, piece: int = PIECE) -> DataFrame:
 
 
 def _key(hashes: np.ndarray, order: int) -> np.ndarray:
-    """Hashes as keys, whose last two bits are the order."""
-    return (hashes & ~np.uint64(3)) | np.uint64(order)
+    """Hashes as keys of KEY_BITS bits, whose last two are the order."""
+    return (hashes >> np.uint64(64 - KEY_BITS)) & ~np.uint64(3) | np.uint64(order)
 
 
 class Grams:
@@ -145,14 +147,16 @@ class Grams:
         for k in (0, 1):
             self.scored[start[context > k] + k] = False
         self.docs = np.repeat(np.arange(len(tokens)), tokens)
-        with np.errstate(over="ignore"):
-            pair = mixed(two * _STEP + h)
-            triple = mixed(mixed(three * _STEP + two) * _STEP + h)
-        own = mixed(hashes)
-        groups = [np.unique(_key(k, order), return_inverse=True) for order, k in enumerate((own, pair, triple), 1)]
-        self.keys = np.sort(np.concatenate([u for u, _ in groups]))
-        to = [np.searchsorted(self.keys, u) for u, _ in groups]
-        self.word, self.pair, self.triple = to[0][groups[0][1]][ids], to[1][groups[1][1]], to[2][groups[2][1]]
+        made, inverse = [], []
+        for order in (1, 2, 3):
+            with np.errstate(over="ignore"):
+                k = mixed(hashes if order == 1 else two * _STEP + h if order == 2 else mixed(three * _STEP + two) * _STEP + h)
+            u, at = np.unique(_key(k, order), return_inverse=True)
+            made.append(u)
+            inverse.append((at[ids] if order == 1 else at).astype(np.int32))
+        del h, two, three, k, at
+        self.keys = np.sort(np.concatenate(made))
+        self.word, self.pair, self.triple = (np.searchsorted(self.keys, u).astype(np.int32)[at] for u, at in zip(made, inverse, strict=True))
         self.count = sum(np.bincount(at[self.scored], minlength=len(self.keys)) for at in (self.word, self.pair, self.triple))
 
 
@@ -271,7 +275,7 @@ def score(docs: DataFrame, size: int = BLOCK, piece: int = PIECE, slice_keys: in
     every = sum(r["tokens"] for r in sums.values())
     if not every:
         return spark.createDataFrame([], "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    shift = 64 - (max(4 * partitions(spark), 3 * every // slice_keys) - 1).bit_length()
+    shift = KEY_BITS - (max(4 * partitions(spark), 3 * every // slice_keys) - 1).bit_length()
     asked = coded.select("block", "fold", "words", "ids", "tokens", "context").mapInArrow(lambda rows: _ask(rows, shift), "slice bigint, block bigint, fold int, keys binary, counts binary")
     told = written(asked.groupBy("slice").applyInArrow(_tell, _TOLD), "told")
     words = told.filter("block = -1").agg(F.sum("kept_words"), F.sum("all_words")).first()
