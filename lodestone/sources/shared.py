@@ -20,8 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/lodestone/{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone/{uuid.uuid4().hex}/{name}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out anew where its scan has fewer splits than there are cores, for heavy work on every row. df is a scan, without shuffles."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
