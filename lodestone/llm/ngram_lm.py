@@ -28,7 +28,7 @@ from .language import mixed
 
 KEPT, DELETED_FOLD, HELD_OUT = 0, 1, 2
 DELETED = 10
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bytes of a text that become tokens at a time; a slice has about so many n-grams.
 PIECE, SLICE = 1 << 23, 1 << 21
 #: Of 10^13 n-grams, about one in 2,000 shares its number with another.
