@@ -14,6 +14,8 @@ the driver but the weights and four totals.
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -81,17 +83,20 @@ def _blocks(batches: Iterable[pa.RecordBatch], size: int, piece: int) -> Iterato
     from pyspark import TaskContext
 
     part, made, seen = TaskContext.get().partitionId(), 0, 0
-    held: dict[int, list[tuple[int, int | None, list[bytes], int]]] = {KEPT: [], DELETED_FOLD: [], HELD_OUT: []}
+    held: dict[int, list[tuple[int, int | None, array, int]]] = {KEPT: [], DELETED_FOLD: [], HELD_OUT: []}
+    words = {fold: defaultdict() for fold in held}  # the number of each word of a block
     load = dict.fromkeys(held, 0)
+    for w in words.values():
+        w.default_factory = w.__len__
 
     def block(fold: int) -> pa.RecordBatch:
         nonlocal made
         rows = held[fold]
-        words = pa.array([w for r in rows for w in r[2]], pa.binary()).dictionary_encode()
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-        ids = words.indices.to_numpy().astype("<i4")
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words[fold]), np.uint64, len(words[fold]))
+        ids = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
         row = [(part << 32) + made, fold, packed(hashes), packed(ids), [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [r[3] for r in rows]]
         made, held[fold], load[fold] = made + 1, [], 0
+        words[fold].clear()
         types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
 
@@ -109,7 +114,8 @@ def _blocks(batches: Iterable[pa.RecordBatch], size: int, piece: int) -> Iterato
                         mine = tokens[j : j + size]
                         if load[fold] and load[fold] + len(mine) > size:
                             yield block(fold)
-                        held[fold].append((row, doc_id, before + mine, len(before)))
+                        number = words[fold]
+                        held[fold].append((row, doc_id, array("i", [number[w] for w in before + mine]), len(before)))
                         load[fold] += len(mine)
                         before = (([START, START] if not before else before) + mine)[-2:]
     for fold, rows in held.items():
@@ -211,8 +217,8 @@ class Estimates:
         one, two = (np.where(g.first, docs, np.roll(counts[at], 1))[g.scored] for at in (g.word, g.pair))
         self.docs, self.word = g.docs[g.scored], counts[g.word][g.scored]
         with np.errstate(invalid="ignore", divide="ignore"):
-            p = np.stack([counts[g.triple][g.scored] / two, counts[g.pair][g.scored] / one, self.word / max(tokens, 1), np.full(len(one), 1 / (words + 1))], axis=1)
-        self.p = np.nan_to_num(p, nan=0.0, posinf=0.0)
+            p = [counts[g.triple][g.scored] / two, counts[g.pair][g.scored] / one, self.word / max(tokens, 1)]
+        self.p = [np.nan_to_num(x, copy=False, nan=0.0, posinf=0.0) for x in p] + [1 / (words + 1)]
         bits = lambda n: np.frexp(n.astype(np.float64))[1].astype(np.int64)
         self.bucket = np.where(two > 0, bits(two), np.where(one > 0, BITS + bits(one), 2 * BITS))
 
@@ -221,8 +227,8 @@ def _cells(block: dict, told: pa.Table, totals: dict) -> pa.Table:
     """Deleted tokens counted by bucket and the steps of their estimates' logarithms."""
     e = Estimates(block, told, totals, deleted=False)
     with np.errstate(divide="ignore"):
-        steps = np.where(e.p[:, :3] > 0, np.round(np.log2(e.p[:, :3]) * STEPS), 1).astype(np.int64)
-    rows, n = np.unique(np.column_stack([e.bucket, steps]), axis=0, return_counts=True)
+        steps = [np.where(x > 0, np.round(np.log2(x) * STEPS), 1).astype(np.int64) for x in e.p[:3]]
+    rows, n = np.unique(np.column_stack([e.bucket, *steps]), axis=0, return_counts=True)
     return pa.table({"bucket": pa.array(rows[:, 0], pa.int32()), "three": pa.array(rows[:, 1], pa.int32()), "two": pa.array(rows[:, 2], pa.int32()), "one": pa.array(rows[:, 3], pa.int32()), "n": pa.array(n, pa.int64())})
 
 
@@ -253,7 +259,7 @@ def _scores(block: dict, told: pa.Table, totals: dict, weights: np.ndarray) -> p
     docs = len(block["docs"])
     sums = lambda x: np.bincount(e.docs, x, docs)
     base = np.log10((e.word + 1) / (totals["all_tokens"] + totals["all_words"] + 1))
-    score = np.log10((e.p * weights[e.bucket]).sum(1))
+    score = np.log10(sum(x * weights[e.bucket, i] for i, x in enumerate(e.p)))
     columns = [block["docs"], block["doc_ids"], [block["fold"] == HELD_OUT] * docs, sums(np.ones(len(e.docs))).astype(np.int64), sums(e.word > 0).astype(np.int64), sums(base), sums(score)]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _SCORED.split(", ")])
