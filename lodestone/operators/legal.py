@@ -13,8 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
+from lodestone.functions.blocks import rerank_header, rerank_text
 from lodestone.functions.text import point_order
 
+from . import grams as G
+from .models import Make
+from .models import reranked as called
 from .rank import RRF, top
 
 #: Columns that a filter may name.
@@ -73,36 +77,39 @@ def structured(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("branch", "doc_id"))).drop("branch")
 
 
-def _phrases_of(text: Column) -> Column:
-    """The phrases that questions can ask for and the text holds: the fixed ones, and "Điều 1" for each number's beginning, likewise clauses, and points."""
-    fixed = F.filter(F.array(*map(F.lit, rules.LEGAL_PHRASES)), lambda p: F.contains(text, p))
-    numbers = F.regexp_extract_all(text, F.lit(r"(?:Điều|Khoản|khoản) \d+"), F.lit(0))
-    begun = F.flatten(F.transform(numbers, lambda m: F.transform(F.sequence(F.instr(m, " ") + 1, F.char_length(m)), lambda n: F.left(m, n))))
-    return F.array_distinct(F.concat(fixed, begun, F.regexp_extract_all(text, F.lit(r"(?:Điểm|điểm) [a-zđ]"), F.lit(0))))
+def _holders(chunks: DataFrame, phrases: DataFrame, texts: list[str], index: G.GramIndex | None, whole_case: bool) -> DataFrame:
+    """phrase, doc_id of the chunks one of whose columns ``texts`` holds the phrase; with ``whole_case`` letter for letter, else in any case."""
+    index = index or G.build(chunks, texts)
+    said = (lambda c: c) if whole_case else F.lower
+    met = G.candidates(index, phrases).join(chunks.select("doc_id", *texts), "doc_id")
+    return met.filter(reduce(lambda a, b: a | b, (F.coalesce(F.contains(said(F.col(t)), said(F.col("phrase"))), F.lit(False)) for t in texts))).select("phrase", "doc_id")
 
 
-def exact(chunks: DataFrame, asked: DataFrame, k: int = 20) -> DataFrame:
+def exact(chunks: DataFrame, asked: DataFrame, k: int = 20, index: G.GramIndex | None = None) -> DataFrame:
     """query_id, doc_id, rank: for each phrase of the question and each place that it names, the first k chunks that hold the words,
     of those the ones that pass the question's filters; one phrase behind the other, repeats included.
 
-    Every chunk tells once which phrases it holds, so neither questions nor phrases are tried on all chunks.
+    Each distinct phrase is looked up once in an index of substrings (that of the chunks' text, made here where none is given).
     """
     wants = _wants(asked)
     named = lambda label, c: F.concat(F.lit(label), F.col(c).cast("string"))
     own = F.array_compact(F.array(named("Điều ", "dieu"), named("Khoản ", "khoan"), named("khoản ", "khoan"), named("Điểm ", "diem"), named("điểm ", "diem")))
     phrases = asked.select("query_id", *wants, F.posexplode(F.concat(F.filter(F.split("phrases", r"\|"), lambda x: x != ""), own)).alias("at", "phrase"))
-    held = chunks.select("doc_id", F.explode(_phrases_of(F.col("text"))).alias("phrase")).join(phrases.select("phrase").distinct(), "phrase")
+    held = _holders(chunks, phrases, ["text"], index, whole_case=True)
     first = top(held, ["phrase"], [F.col("doc_id")], k, "n").join(chunks.select("doc_id", *(w[5:] for w in wants)), "doc_id")
     met = phrases.join(first, "phrase").filter(_passes(wants))
     return met.select("query_id", "doc_id", F.row_number().over(W.partitionBy("query_id").orderBy("at", "doc_id")).alias("rank"))
 
 
-def contains_lookup(chunks: DataFrame, phrases: DataFrame, k: int = 20) -> DataFrame:
+def contains_lookup(chunks: DataFrame, phrases: DataFrame, k: int = 20, index: G.GramIndex | None = None) -> DataFrame:
     """query_id, doc_id, rank: the first k chunks whose text or title holds a phrase (query_id, phrase) in any case, among those that pass
-    the phrase's filters (want_ columns). Filters go before the limit."""
+    the phrase's filters (want_ columns). Filters go before the limit. An empty phrase finds none.
+
+    Phrases are looked up in an index of substrings (that of the chunks' text and tieu_de_dieu, made here where none is given).
+    """
     wants = _wants(phrases)
-    c = chunks.select("doc_id", F.lower("text").alias("t"), F.lower("tieu_de_dieu").alias("ti"), *(w[5:] for w in wants))
-    met = c.join(phrases.withColumn("p", F.lower("phrase")), (F.contains("t", F.col("p")) | F.contains("ti", F.col("p"))) & _passes(wants))
+    held = _holders(chunks, phrases, ["text", "tieu_de_dieu"], index, whole_case=False)
+    met = held.join(phrases, "phrase").join(chunks.select("doc_id", *(w[5:] for w in wants)), "doc_id").filter(_passes(wants))
     return top(met.select("query_id", "doc_id"), ["query_id"], [F.col("doc_id")], k)
 
 
@@ -120,11 +127,11 @@ def boosted(hits: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [*conditions, *each])
 
 
-def fused(lists: dict[str, DataFrame], chunks: DataFrame, asked: DataFrame, k: int = 20) -> DataFrame:
+def fused(lists: dict[str, DataFrame], chunks: DataFrame, asked: DataFrame, k: int = 20, rrf: int = RRF) -> DataFrame:
     """query_id, doc_id, score, sources, rank: reciprocal ranks of all lists added up and the rules' boosts; equal ones by first list and rank."""
     rows = reduce(DataFrame.unionByName, (df.select("query_id", "doc_id", "rank", F.lit(i).alias("list"), F.lit(name).alias("name")) for i, (name, df) in enumerate(lists.items())))
     seen = F.array_sort(F.collect_list(F.struct("list", "rank", "name")))
-    added = rows.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("rrf"), F.min(F.struct("list", "rank")).alias("first"), F.array_join(F.array_distinct(F.transform(seen, lambda x: x["name"])), "+").alias("sources"))
+    added = rows.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (rrf + F.col("rank"))).alias("rrf"), F.min(F.struct("list", "rank")).alias("first"), F.array_join(F.array_distinct(F.transform(seen, lambda x: x["name"])), "+").alias("sources"))
     c = chunks.select("doc_id", "ma_van_ban", "loai_van_ban", "chu_de", "dieu", "khoan", "diem", F.lower("text").alias("t"), F.lower("tieu_de_dieu").alias("ti"))
     q = boost(asked).select("query_id", "q_dieu", "q_khoan", "q_diem", "q_loai", "q_chu_de", "q_topic", "q_amend", "q_mien", "phrases")
     met = added.join(c, "doc_id").join(q, "query_id")
@@ -169,9 +176,13 @@ def expanded(hits: DataFrame, chunks: DataFrame, asked: DataFrame, limit: int =
     return every.select("query_id", "doc_id", "score", "sources", place.alias("rank"), "added")
 
 
+def final_limit(k: int) -> Column:
+    return F.when(F.col("dieu").isNotNull() & F.col("khoan").isNotNull(), max(k, 12)).when(F.col("dieu").isNotNull(), max(k, 8)).otherwise(k)
+
+
 def limited(hits: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """hits up to each question's limit: at least 12 where it names article and clause, 8 where an article, else k."""
-    q = asked.select("query_id", F.when(F.col("dieu").isNotNull() & F.col("khoan").isNotNull(), max(k, 12)).when(F.col("dieu").isNotNull(), max(k, 8)).otherwise(k).alias("most"))
+    q = asked.select("query_id", final_limit(k).alias("most"))
     return hits.join(q, "query_id").filter(F.col("rank") <= F.col("most")).drop("most")
 
 
@@ -180,15 +191,20 @@ def skips_rerank(asked: DataFrame) -> Column:
     return (F.col("dieu").isNotNull() & F.col("khoan").isNotNull()) | F.coalesce(F.col("legal_topic") == rules.SUPERSEDES[0], F.lit(False))
 
 
-def reranked(hits: DataFrame, chunks: DataFrame, asked: DataFrame, scorer, k: int = 5) -> DataFrame:
-    """hits of the questions that aren't passed over, ordered anew by scorer(question, text), the first k; other hits as they are.
+def reranked(hits: DataFrame, chunks: DataFrame, asked: DataFrame, make: Make, k: int = 5, most: int = 5) -> DataFrame:
+    """hits of the questions that aren't passed over, as make()'s function orders all of them anew: the first ``most`` of its results, k at most or what the
+    question's limit allows; the hits of other questions up to their limit.
 
-    scorer takes two columns and gives a score; equal scores keep their order; sources name it.
+    The function gets a question and its chunks, as models.reranked states: their text is header and body, as blocks.rerank_text puts them.
     """
-    q = asked.select("query_id", "question", skips_rerank(asked).alias("skips"))
-    met = hits.join(q, "query_id").join(chunks.select("doc_id", "text"), "doc_id")
-    new = met.filter(~F.col("skips")).withColumn("score", F.round(scorer(F.col("question"), F.col("text")), 9)).withColumn("sources", F.concat("sources", F.lit("+reranker"))).withColumnRenamed("rank", "was")
-    return top(new, ["query_id"], [F.desc("score"), F.col("was")], k).select(*hits.columns).unionByName(met.filter("skips").select(*hits.columns))
+    q = asked.select("query_id", "question", skips_rerank(asked).alias("skips"), final_limit(k).alias("most"))
+    met = hits.join(q, "query_id")
+    have = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    header = rerank_header(have("ten_van_ban"), have("tieu_de_dieu"), have("dieu"), have("khoan"), have("diem"), have("don_vi_con"))
+    sent = met.filter(~F.col("skips")).join(chunks.select("doc_id", have("chunk_id").alias("chunk_id"), rerank_text(header, F.col("text")).alias("body")), "doc_id")
+    new = called(sent.withColumn("id", F.col("doc_id").cast("string")), make, "query_id", "question", "id", "chunk_id", "body", "rank").filter(F.col("rank") <= F.least(F.lit(most), "most"))
+    named = F.when(F.contains("sources", F.lit("reranker")), F.col("sources")).otherwise(F.concat("sources", F.lit("+reranker")))
+    return new.withColumns({"sources": named, "score": F.round("score", 9)}).select(*hits.columns).unionByName(met.filter(F.col("skips") & (F.col("rank") <= F.col("most"))).select(*hits.columns))
 
 
 def without_older(hits: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -220,10 +236,10 @@ def by_location(chunks: DataFrame, places: DataFrame) -> DataFrame:
     return met.filter("(p_ma is null or ma_van_ban = p_ma) and ma_van_ban <> '' and (p_khoan is null or khoan = p_khoan) and (p_diem is null or lower(diem) = lower(p_diem))")
 
 
-def finished(hits: DataFrame, chunks: DataFrame, asked: DataFrame, k: int = 5, scorer=None) -> DataFrame:
-    """query_id, doc_id, score, sources, added, rank: hits (see fused) with siblings, limits, versions, priorities and places."""
-    rows = limited(expanded(attached(hits, chunks, asked), chunks, asked), asked, k)
-    if scorer:
-        rows = reranked(rows, chunks, asked, scorer, k)
+def finished(hits: DataFrame, chunks: DataFrame, asked: DataFrame, k: int = 5, make: Make | None = None, most: int = 5, neighbors: int = 1, limit: int = 30) -> DataFrame:
+    """query_id, doc_id, score, sources, added, rank: hits (see fused) with siblings, limits, versions, priorities and places. Where make is given,
+    its function orders all of a question's hits and siblings anew before the limit."""
+    rows = expanded(attached(hits, chunks, asked, neighbors), chunks, asked, limit)
+    rows = reranked(rows, chunks, asked, make, k, most) if make else limited(rows, asked, k)
     rows = located(prioritised(without_older(rows, chunks, asked), chunks, asked), chunks, asked)
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).drop("place")

@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 from math import sqrt
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 
-Make = Callable[[], Callable[[list], list]]
+Make = Callable[[], Callable[..., list]]
 
 
 def _called(rows: DataFrame, inputs: list[str], output: str, kind: str, make: Make, batch: int, tasks: int | None) -> DataFrame:
@@ -46,6 +47,34 @@ def scored(rows: DataFrame, make: Make, question: str = "question", text: str =
     return _called(rows, [question, text], "score", "double", make, batch, tasks)
 
 
+def reranked(rows: DataFrame, make: Make, query: str = "query_id", question: str = "question", id_: str = "id", chunk_id: str = "chunk_id", text: str = "text", rank: str = "rank") -> DataFrame:
+    """rows of each query as a reranking function orders them: score is what it gives, rank its order from 1.
+
+    The function gets (question, chunks), the query's rows in order as dicts with id, chunk_id and text, and gives results, dicts with id or
+    chunk_id and score, the best first. A result stands for the row of its id, else of its chunk_id (of rows that share one the last); it is dropped where
+    there is none; a row that is named twice stands twice. A blank question gives no rows. A query's rows go to one call: some tens, as the lists before are cut.
+    """
+    names = rows.columns
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(rank, kind="stable")
+        asked = f[question].iloc[0]
+        if asked is None or not str(asked).strip():
+            return f.iloc[:0]
+        ids, chunks = f[id_].tolist(), f[chunk_id].tolist()
+        results = make()(asked.strip(), [{"id": i, "chunk_id": c, "text": t} for i, c, t in zip(ids, chunks, f[text], strict=True)])
+        by_id = {i: n for n, i in enumerate(ids) if i}
+        by_chunk = {c: n for n, c in enumerate(chunks) if c}
+        found = [(by_id.get(r.get("id") or None, by_chunk.get(r.get("chunk_id") or None)), float(r.get("score") or 0.0)) for r in results]
+        found = [(n, s) for n, s in found if n is not None]
+        last = dict(found)  # a row that is named twice has the later score
+        out = f.iloc[[n for n, _ in found]].copy()
+        out["score"], out[rank] = [last[n] for n, _ in found], range(1, len(found) + 1)
+        return out[names]
+
+    return rows.groupBy(query).applyInPandas(run, rows.schema)
+
+
 def answered(rows: DataFrame, make: Make, prompt: str = "prompt", batch: int = 1, tasks: int | None = None) -> DataFrame:
     """rows with answer to each prompt."""
     return _called(rows, [prompt], "answer", "string", make, batch, tasks)
@@ -75,6 +104,20 @@ def shared_words() -> Make:
     return lambda: lambda pairs: [one(p) for p in pairs]
 
 
+def word_reranker() -> Make:
+    """Chunks by the part of the question's distinct words that their text holds, equal ones in order; scores have 9 decimals."""
+
+    def words(text: str) -> set[str]:
+        return set(regex.findall(r"[\p{L}\p{N}_]+", (text or "").lower()))
+
+    def order(question: str, chunks: list[dict]) -> list[dict]:
+        asked = words(question)
+        scores = [round(len(asked & words(c["text"])) / max(1, len(asked)), 9) for c in chunks]
+        return [{"id": chunks[i]["id"], "score": scores[i]} for i in sorted(range(len(chunks)), key=lambda i: -scores[i])]
+
+    return lambda: order
+
+
 def first_line() -> Make:
     """The first line of the prompt."""
     return lambda: lambda prompts: [p.split("\n")[0] for p in prompts]

@@ -74,12 +74,8 @@ def _weight(tf: Column, dl: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
 
 
-def bm25(index: Postings, questions: DataFrame, k: int, first: int = FIRST) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of each question (query_id, text).
-
-    Okapi weights; an idf below 0 becomes FLOOR times the mean idf of all words; a word repeated in a question counts as often; scores have 6
-    decimals and ties end at the smaller doc_id.
-    """
+def _asked(index: Postings, questions: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """The weight of every word of a question, what each block can give it at most (place: the most promising first), and the mean length."""
     mean = index.words / index.n if index.words else 1.0
     asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qn"))
     floor = index.tokens.agg((F.avg("raw") * FLOOR).alias("floor"))
@@ -87,19 +83,40 @@ def bm25(index: Postings, questions: DataFrame, k: int, first: int = FIRST) -> D
     weighted = known.select("query_id", "token", (F.col("qn") * F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))).alias("w"))
     heads = index.blocks.select("token", "block", "most_tf", "least_dl").join(weighted, "token")
     most = heads.groupBy("query_id", "block").agg(F.sum(F.greatest(F.lit(0.0), F.col("w") * _weight(F.col("most_tf"), F.col("least_dl"), mean))).alias("most"))
-    most = most.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "block")))
-
-    def scores(of: DataFrame) -> DataFrame:
-        met = index.blocks.select("token", "block", "entries").join(weighted, "token").join(of.select("query_id", "block"), ["query_id", "block"])
-        one = met.select("query_id", "w", F.inline("entries"))
-        return one.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * _weight(F.col("tf"), F.col("dl"), mean)), 6).alias("score"))
+    return weighted, most.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "block"))), mean
 
-    def best(rows: DataFrame) -> DataFrame:
-        return top(rows, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
-    begun = best(scores(most.filter(F.col("place") <= first)))
+def _begun(index: Postings, weighted: DataFrame, most: DataFrame, mean: float, k: int, first: int) -> tuple[DataFrame, DataFrame]:
+    """The k best of a question's first blocks, and the further blocks that can still change them."""
+    begun = _best(_scores(index, weighted, most.filter(F.col("place") <= first), mean), k)
     least = begun.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    more = most.filter(F.col("place") > first).join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("most") + SLACK >= F.col("least")))
-    return best(begun.select("query_id", "doc_id", "score").unionByName(scores(more)))
+    more = most.filter(F.col("place") > first).join(least, "query_id", "left")
+    return begun, more.filter(F.col("least").isNull() | (F.col("most") + SLACK >= F.col("least")))
+
+
+def _scores(index: Postings, weighted: DataFrame, of: DataFrame, mean: float) -> DataFrame:
+    met = index.blocks.select("token", "block", "entries").join(weighted, "token").join(of.select("query_id", "block"), ["query_id", "block"])
+    one = met.select("query_id", "w", F.inline("entries"))
+    return one.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * _weight(F.col("tf"), F.col("dl"), mean)), 6).alias("score"))
+
+
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    return top(rows, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
+def bm25(index: Postings, questions: DataFrame, k: int, first: int = FIRST) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best documents of each question (query_id, text).
+
+    Okapi weights; an idf below 0 becomes FLOOR times the mean idf of all words; a word repeated in a question counts as often; scores have 6
+    decimals and ties end at the smaller doc_id.
+    """
+    weighted, most, mean = _asked(index, questions)
+    begun, more = _begun(index, weighted, most, mean, k, first)
+    return _best(begun.select("query_id", "doc_id", "score").unionByName(_scores(index, weighted, more, mean)), k)
 
 
+def blocks_read(index: Postings, questions: DataFrame, k: int, first: int = FIRST) -> tuple[int, int]:
+    """How many blocks hold a word of a question, and how many of these bm25 reads in full, over all questions."""
+    weighted, most, mean = _asked(index, questions)
+    more = _begun(index, weighted, most, mean, k, first)[1]
+    return most.count(), most.filter(F.col("place") <= first).count() + more.count()

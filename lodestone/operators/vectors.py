@@ -35,9 +35,14 @@ def cells_of(rows: int) -> int:
 
 
 def fitted(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Centroids of sample rows by Lloyd's rounds; fewer where there are fewer distinct rows."""
-    x = np.unique(x, axis=0)
-    c = x[np.random.default_rng(0).permutation(len(x))[:cells]]
+    """Centroids of sample rows by Lloyd's rounds from rows drawn far apart; fewer where there are fewer distinct rows."""
+    x, rng = np.unique(x, axis=0), np.random.default_rng(0)
+    first = [int(rng.integers(len(x)))]
+    gap = ((x - x[first[0]]) ** 2).sum(1)
+    while len(first) < cells and gap.any():
+        first.append(int(rng.choice(len(x), p=gap / gap.sum())))
+        gap = np.minimum(gap, ((x - x[first[-1]]) ** 2).sum(1))
+    c = x[first]
     for _ in range(rounds):
         at = nearest_cell(x, c)[0]
         n = np.bincount(at, minlength=len(c))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.engine import Engine
 from lodestone.functions import rules as V
 from lodestone.sources import table
 
@@ -18,6 +19,10 @@ CODES = ["108_2025_QH15", "68_2026_ND_CP", "70_2025_ND_CP", "18_2023_TT_BTC", "1
 NAMES = ["Luật quản lý thuế 108/2025/QH15", "68-2026-ND-CP", "70-2025-ND-CP", "Thông tư 18/2023/TT-BTC", "141-2026-ND-CP", "Thông tư 32/2025/TT-BTC"]
 TYPES = ["luật", "nghị_định", "nghị_định", "thông_tư", "nghị_định", "thông_tư"]
 TOPICS = ["quản_lý_thuế", "hóa_đơn_chứng_từ", "hộ_kinh_doanh", None]
+ISSUERS = ["Quốc hội", "Chính phủ", "Chính phủ", "Bộ Tài chính", "Chính phủ", "Bộ Tài chính"]
+SINCE = ["2026-07-01", "2026-01-01", "2025-06-01", "2023-03-21", "2026-01-15", "2025-05-31"]
+STATES = ["hết_hiệu_lực", "còn_hiệu_lực", "còn_hiệu_lực", "còn_hiệu_lực"]
+CHAPTERS = ["Chương I", "Chương II", "Chương III"]
 ARTICLES = [1, 5, 11, 16, 21]
 POINTS = ["a", "b", "c", "đ"]
 SAID = ["01 tỷ đồng", "sửa đổi", "máy tính tiền", "tiền chậm nộp phạt", "1.000.000.000", "miễn tiền chậm nộp", "hóa đơn điện tử", "", "", "", "không phải nộp thuế"]
@@ -41,20 +46,23 @@ def _chunk_columns() -> dict[str, Column]:
     code = _of(CODES, i % 6)
     return {
         "ma_van_ban": F.when(i < OWN, code).otherwise(F.concat_ws("_", code, F.floor(i / OWN).cast("string"))), "ten_van_ban": _of(NAMES, i % 6), "loai_van_ban": _of(TYPES, i % 6), "chu_de": _of(TOPICS, i % 4),
+        "co_quan_ban_hanh": _of(ISSUERS, i % 6), "trang_thai_hieu_luc": _of(STATES, i % 4), "ngay_hieu_luc": _of(SINCE, i % 6), "chuong": _of(CHAPTERS, n % 3), "trang_bat_dau": (i % 40 + 1).cast("int"),
         "dieu": _of(ARTICLES, n % 5), "khoan": khoan, "diem": F.when(khoan.isin(2, 4), _of(POINTS, i % 4)), "phrase": _of(V.LEGAL_PHRASES, i % len(V.LEGAL_PHRASES)), "said": _of(SAID, i % len(SAID)),
     }
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id (the order of the corpus), chunk_id, code, name, type, topic, source, article and its title, clause, point, level, text."""
+    """doc_id (the order of the corpus), chunk_id, code, name, type, topic, source, article and its title, clause, point, level, unit, text, and who issued
+    the law, since when and whether it holds, its chapter and page."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("body")).withColumns(_chunk_columns())
     title = F.concat(F.lit("Điều "), F.col("dieu").cast("string"), F.lit(". "), F.col("phrase"))
     d = d.withColumns({"tieu_de_dieu": title, "level": F.when(F.col("diem").isNotNull(), 3).when(F.col("khoan").isNotNull(), 2).otherwise(1)})
     named = lambda label, c: F.concat(F.lit(label), F.col(c).cast("string"))
     text = F.concat_ws("\n", "tieu_de_dieu", named("Khoản ", "khoan"), named("Điểm ", "diem"), F.nullif("said", F.lit("")), "body")
+    unit = F.coalesce(F.concat(F.lit("khoản_"), F.col("khoan").cast("string"), F.coalesce(F.concat(F.lit("_điểm_"), "diem"), F.lit(""))), F.lit("toàn_bộ_điều"))
     return d.select(
         "doc_id", F.concat_ws("_", "ma_van_ban", named("dieu", "dieu"), named("khoan", "khoan"), named("diem", "diem"), named("chunk", "doc_id")).alias("chunk_id"), "ma_van_ban", "ten_van_ban", "loai_van_ban",
-        "chu_de", "source", "dieu", "tieu_de_dieu", "khoan", "diem", "level", text.alias("text"),
+        "chu_de", "source", "dieu", "tieu_de_dieu", "khoan", "diem", "level", text.alias("text"), "co_quan_ban_hanh", "trang_thai_hieu_luc", "ngay_hieu_luc", "chuong", "trang_bat_dau", unit.alias("don_vi_con"),
     )
 
 
@@ -63,6 +71,24 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(_of(ASKED, F.col("item_id") % len(ASKED)), F.col("text")).alias("question"))
 
 
+_ENGINES: dict[tuple, Engine] = {}
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, v: the vector of a chunk or question is that of its id."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine over these tables: one a session for as long as their files stay as they are, so its indexes are made once."""
+    files = [table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in ("documents", "embeddings")]
+    state = files[0].unionByName(files[1]).agg(F.count("*"), F.sum(F.xxhash64(*files[0].columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _ENGINES:
+        _ENGINES[key] = Engine(spark, chunks(spark, sf_dir), vectors(spark, sf_dir))
+    return _ENGINES[key]
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, page, text: every document as pages of a law, two lines a page, its lines as headings, clauses and points."""
     lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("i", "line"))
@@ -99,11 +125,13 @@ CHUNKS = f"""
 c0 as (
   select doc_id, source, text as body, case when doc_id < {OWN} then {_CODE} else {_CODE} || '_' || (doc_id // {OWN}) end as ma_van_ban, {_pick(NAMES, 'doc_id % 6')} as ten_van_ban, {_pick(TYPES, 'doc_id % 6')} as loai_van_ban,
     {_pick(TOPICS, 'doc_id % 4')} as chu_de, {_pick(ARTICLES, '(doc_id // 6) % 5')}::integer as dieu, nullif((doc_id // 30) % 7, 0)::integer as khoan,
-    case when (doc_id // 30) % 7 in (2, 4) then {_pick(POINTS, 'doc_id % 4')} end as diem, {_pick(V.LEGAL_PHRASES, f'doc_id % {len(V.LEGAL_PHRASES)}')} as phrase, {_pick(SAID, f'doc_id % {len(SAID)}')} as said
+    case when (doc_id // 30) % 7 in (2, 4) then {_pick(POINTS, 'doc_id % 4')} end as diem, {_pick(V.LEGAL_PHRASES, f'doc_id % {len(V.LEGAL_PHRASES)}')} as phrase, {_pick(SAID, f'doc_id % {len(SAID)}')} as said,
+    {_pick(ISSUERS, 'doc_id % 6')} as co_quan_ban_hanh, {_pick(STATES, 'doc_id % 4')} as trang_thai_hieu_luc, {_pick(SINCE, 'doc_id % 6')} as ngay_hieu_luc, {_pick(CHAPTERS, '(doc_id // 6) % 3')} as chuong, (doc_id % 40 + 1)::integer as trang_bat_dau
   from documents),
 chunks as (
   select doc_id, concat_ws('_', ma_van_ban, 'dieu' || dieu, 'khoan' || khoan, 'diem' || diem, 'chunk' || doc_id) as chunk_id, ma_van_ban, ten_van_ban, loai_van_ban, chu_de, source, dieu, 'Điều ' || dieu || '. ' || phrase as tieu_de_dieu, khoan, diem,
-    case when diem is not null then 3 when khoan is not null then 2 else 1 end as level, concat_ws(chr(10), 'Điều ' || dieu || '. ' || phrase, 'Khoản ' || khoan, 'Điểm ' || diem, nullif(said, ''), body) as text
+    case when diem is not null then 3 when khoan is not null then 2 else 1 end as level, concat_ws(chr(10), 'Điều ' || dieu || '. ' || phrase, 'Khoản ' || khoan, 'Điểm ' || diem, nullif(said, ''), body) as text,
+    co_quan_ban_hanh, trang_thai_hieu_luc, ngay_hieu_luc, chuong, trang_bat_dau, coalesce('khoản_' || khoan || coalesce('_điểm_' || diem, ''), 'toàn_bộ_điều') as don_vi_con
   from c0)"""
 QUESTIONS = f"questions as (select item_id as query_id, {_pick(ASKED, f'item_id % {len(ASKED)}')} || text as question from benchmark)"
 PAGES = """

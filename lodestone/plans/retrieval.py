@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import blocks as B
+from lodestone.engine import SOURCE
 from lodestone.functions import rules as V
-from lodestone.functions import text as T
 from lodestone.operators import legal as L
+from lodestone.operators import postings as P
 from lodestone.operators import rank as R
-from lodestone.operators.questions import analyzed, guarded
+from lodestone.operators import vectors as X
+from lodestone.operators.models import word_reranker
+from lodestone.operators.questions import guarded
 from lodestone.sources import table
 from lodestone.sources.shared import written
 
@@ -30,21 +32,46 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _words(spark: SparkSession, sf_dir: str) -> P.Postings:
+    """The word index of the documents: one a session for as long as the table stays as it is."""
+    held = corpus.engine(spark, sf_dir)
+    if not hasattr(held, "documents"):
+        held.documents = P.build(_docs(spark, sf_dir))
+    return held.documents
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), TOP)
+    """From postings that this session has built before, or builds now."""
+    return P.bm25(_words(spark, sf_dir), _questions(spark, sf_dir), TOP)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full scan in blocks."""
     return R.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 10)
 
 
+def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.vectors(spark, sf_dir).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+
+def dense_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of dense_topk from the cells of the vector index that can hold them."""
+    return X.search(X.build(corpus.vectors(spark, sf_dir)), _vector_queries(spark, sf_dir), 10)
+
+
+def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks nearest to every question among those of the document or type that it names, from the index."""
+    held, asked = corpus.engine(spark, sf_dir), _asked(spark, sf_dir)
+    queries = asked.join(corpus.vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "q", "want_ma_van_ban", "want_loai_van_ban")
+    return X.search(held.vectors, queries, KEPT).select("query_id", F.col("vec_id").alias("doc_id"), "distance", "rank")
+
+
 def exact_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.phrase_hits(_docs(spark, sf_dir), _questions(spark, sf_dir).withColumnRenamed("text", "phrase"), TOP)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = corpus.questions(spark, sf_dir)
-    return L.wanted(analyzed(q).join(q, "query_id"))
+    return corpus.engine(spark, sf_dir).analyzed(corpus.questions(spark, sf_dir))
 
 
 def structured_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,43 +79,33 @@ def structured_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.exact(corpus.chunks(spark, sf_dir), _asked(spark, sf_dir))
+    held = corpus.engine(spark, sf_dir)
+    return L.exact(held.chunks, _asked(spark, sf_dir), index=held.phrases)
 
 
 def contains_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first chunks whose text or title holds the question's first phrase in any case."""
+    held = corpus.engine(spark, sf_dir)
     asked = _asked(spark, sf_dir).filter("phrases <> ''").withColumn("phrase", F.upper(F.split("phrases", r"\|")[0]))
-    return L.contains_lookup(corpus.chunks(spark, sf_dir), asked.select("query_id", "phrase", "want_ma_van_ban", "want_loai_van_ban"))
-
-
-def _filtered(hits: DataFrame, chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Ranked hits that pass the filters of their question, the first k."""
-    met = hits.withColumnRenamed("rank", "was").join(chunks.select("doc_id", "ma_van_ban", "loai_van_ban"), "doc_id").join(asked.select("query_id", "want_ma_van_ban", "want_loai_van_ban"), "query_id")
-    return R.top(met.filter(L._passes(["want_ma_van_ban", "want_loai_van_ban"])), ["query_id"], [F.col("was")], k).select("query_id", "doc_id", "rank")
+    return L.contains_lookup(held.chunks, asked.select("query_id", "phrase", "want_ma_van_ban", "want_loai_van_ban"), index=held.phrases)
 
 
-def _lists(spark: SparkSession, sf_dir: str, chunks: DataFrame, asked: DataFrame) -> dict[str, DataFrame]:
-    words = R.bm25(chunks.select("doc_id", "text"), asked.select("query_id", F.col("question").alias("text")), 2 * KEPT)
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    rows = vectors.join(chunks.select(F.col("doc_id").alias("vec_id"), "ma_van_ban", "loai_van_ban"), "vec_id")
-    queries = asked.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").select("query_id", "q", "want_ma_van_ban", "want_loai_van_ban")
-    return {
-        "structured": L.structured(chunks, asked), "exact": L.exact(chunks, asked), "bm25": _filtered(words, chunks, asked, KEPT),
-        "dense": R.near(rows, queries, KEPT).select("query_id", F.col("vec_id").alias("doc_id"), "rank"),
-    }
+def _question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
 
 def _flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks, questions and fused hits; the latter two, some rows a question, are written once for what follows."""
-    chunks, asked = corpus.chunks(spark, sf_dir), written(_asked(spark, sf_dir), "asked")
-    return chunks, asked, written(L.fused(_lists(spark, sf_dir, chunks, asked), chunks, asked, KEPT), "fused")
+    held = corpus.engine(spark, sf_dir)
+    asked, hits = held.fused(corpus.questions(spark, sf_dir), FINAL, KEPT, None, _question_vectors(spark, sf_dir))
+    return held.chunks, asked, hits
 
 
 def list_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every ranked list of every question, before fusion."""
-    chunks, asked = corpus.chunks(spark, sf_dir), written(_asked(spark, sf_dir), "asked")
+    asked = written(_asked(spark, sf_dir), "asked")
     rows = None
-    for name, df in _lists(spark, sf_dir, chunks, asked).items():
+    for name, df in corpus.engine(spark, sf_dir).lists(asked, KEPT, _question_vectors(spark, sf_dir)).items():
         one = df.select("query_id", F.lit(name).alias("list"), "doc_id")
         rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy("query_id", "list").agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_chunks"))
@@ -144,35 +161,31 @@ def location_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.located(hits, chunks, asked).select("query_id", "doc_id", "rank")
 
 
-def _overlap(question, text):
-    """The part of the question's distinct words that a text holds: what a reranking model is put in place of."""
-    words = F.array_distinct(T.tokens(question))
-    return F.size(F.array_intersect(words, T.tokens(text))) / F.greatest(F.size(words), F.lit(1))
-
-
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fused hits ordered anew, five a question; questions that pass the reranking over keep theirs."""
+    """The fused hits ordered anew, five a question; questions that pass the reranking over keep theirs up to their limit."""
     chunks, asked, hits = _flow(spark, sf_dir)
-    return L.reranked(hits.withColumn("added", F.lit(False)), chunks, asked, _overlap, FINAL).select("query_id", "doc_id", "score", "sources", "rank")
+    return L.reranked(hits.withColumn("added", F.lit(False)), chunks, asked, word_reranker(), FINAL).select("query_id", "doc_id", "score", "sources", "rank")
 
 
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow: query_id, doc_id, score, sources, added, rank."""
-    chunks, asked, hits = _flow(spark, sf_dir)
-    return L.finished(hits, chunks, asked, FINAL)
+    return corpus.engine(spark, sf_dir).retrieve(corpus.questions(spark, sf_dir), FINAL, KEPT, None, _question_vectors(spark, sf_dir))
+
+
+def retrieve_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow with all candidates and their siblings ordered anew before the limit."""
+    return corpus.engine(spark, sf_dir).retrieve(corpus.questions(spark, sf_dir), FINAL, KEPT, None, _question_vectors(spark, sf_dir), word_reranker())
 
 
-SHOWN = ["ten_van_ban", "ma_van_ban", "loai_van_ban", "dieu", "khoan", "diem", "tieu_de_dieu", "chu_de"]
+def retrieve_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow within the laws that hold, for the caller's filters and limits."""
+    filters = {"trang_thai_hieu_luc": "còn_hiệu_lực", "co_quan_ban_hanh": "all", "page": 3}
+    return corpus.engine(spark, sf_dir).retrieve(corpus.questions(spark, sf_dir), 3, KEPT, filters, _question_vectors(spark, sf_dir))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, sources (array of the final hits by rank), n_blocks, context."""
-    hits = retrieve(spark, sf_dir)
-    met = hits.withColumnRenamed("sources", "retrieval_source").join(corpus.chunks(spark, sf_dir), "doc_id")
-    block = B.context_block(F.col("ten_van_ban"), F.col("dieu"), F.col("khoan"), F.col("diem"), F.col("text"))
-    source = F.struct("rank", "doc_id", *SHOWN, "score", "retrieval_source")
-    one = met.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("block"), source.alias("s")))).alias("r"))
-    return one.select("query_id", F.transform("r", lambda x: x["s"]).alias("sources"), R.packed(F.transform("r", lambda x: x["block"]), BUDGET).alias("kept")).select("query_id", "sources", F.size("kept").cast("bigint").alias("n_blocks"), F.array_join("kept", "\n\n---\n\n").alias("context"))
+    return corpus.engine(spark, sf_dir).sources(retrieve(spark, sf_dir))
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +195,9 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources of every answer as rows: document, code, place, title, score, where it came from; names as a client reads them."""
-    rows = _answers(spark, sf_dir).select("query_id", F.posexplode("sources").alias("at", "s"))
-    return rows.select("query_id", F.col("s.rank").alias("rank"), F.col("s.ten_van_ban").alias("document"), F.col("s.ma_van_ban").alias("document_code"), "s.loai_van_ban", "s.dieu", "s.khoan", "s.diem", F.col("s.tieu_de_dieu").alias("title"), "s.chu_de", "s.score", "s.retrieval_source")
+    """The sources of every answer as rows: document and what is known of it, place, title, page, score, where it came from."""
+    rows = _answers(spark, sf_dir).select("query_id", F.explode("sources").alias("s"))
+    return rows.select("query_id", *(f"s.{c}" for c in ("rank", *SOURCE, "score", "retrieval_source")))
 
 
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +206,7 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = q.join(_answers(spark, sf_dir), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
     first = F.coalesce(F.split("context", "\n", 2)[0], F.lit(""))
     answer = guarded(F.when(first == "", F.lit(V.EMPTY_ANSWER)).otherwise(F.concat(first, F.lit(": không phải nộp thuế"))), F.col("question"), F.col("context"), V.GUARD_ANSWER)
-    shown = F.transform("sources", lambda s: F.struct(s["ten_van_ban"].alias("document"), s["ma_van_ban"].alias("document_code"), s["dieu"].alias("dieu"), s["khoan"].alias("khoan"), s["diem"].alias("diem"), s["tieu_de_dieu"].alias("title"), s["retrieval_source"].alias("retrieval_source")))
+    shown = F.transform("sources", lambda s: F.struct(s["ten_van_ban"].alias("document"), s["ma_van_ban"].alias("document_code"), s["dieu"].alias("dieu"), s["khoan"].alias("khoan"), s["diem"].alias("diem"), s["tieu_de_dieu"].alias("title"), F.format_number(s["score"], 6).alias("score"), s["retrieval_source"].alias("retrieval_source"), s["trang_bat_dau"].alias("page"), F.struct(*(s[c].alias(c) for c in SOURCE)).alias("metadata")))
     body = F.to_json(F.struct(F.trim("question").alias("question"), answer.alias("answer"), shown.alias("sources")), {"ignoreNullFields": "false"})
     return met.select("query_id", body.alias("body"))
 
@@ -216,8 +229,8 @@ def news_rank_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, dense_topk, exact_phrase_hits, structured_lookup, exact_lookup, contains_lookup, list_counts, rrf_fusion, rule_boost, sibling_attach, sibling_expand, final_limit, version_filter, priority_sort,
-        location_lookup, location_filter, rerank, retrieve, hybrid_retrieve, source_projection, response_json, context_pack, news_rank_dedup,
+        bm25_topk, dense_topk, dense_indexed, dense_filtered, exact_phrase_hits, structured_lookup, exact_lookup, contains_lookup, list_counts, rrf_fusion, rule_boost, sibling_attach, sibling_expand, final_limit, version_filter, priority_sort,
+        location_lookup, location_filter, rerank, retrieve, retrieve_reranked, retrieve_filtered, hybrid_retrieve, source_projection, response_json, context_pack, news_rank_dedup,
     )
 }
 
@@ -262,6 +275,13 @@ def analysis(question: str) -> str:
 
 
 _PASS = "(want_ma is null or c.ma_van_ban = want_ma) and (want_loai is null or c.loai_van_ban = want_loai)"
+_RERANKED = rf"""
+rm as (select h.*, (q_dieu is not null and q_khoan is not null) or coalesce(q_topic, '') = 'nguong_doanh_thu' as skips, case when q_dieu is not null and q_khoan is not null then 12 when q_dieu is not null then 8 else {FINAL} end as most,
+    {sql.tokens('question')} as qt, concat_ws(chr(10), 'Văn bản: ' || ten_van_ban, tieu_de_dieu, 'Khoản ' || c.khoan, 'Điểm ' || c.diem, 'Đơn vị nội dung: ' || don_vi_con) || chr(10) || chr(10) || text as body
+  from %s h join chunks c using (doc_id) join qq using (query_id)),
+rs as (select *, round(len(list_intersect(list_distinct(qt), list_distinct({sql.tokens('body')})))::double / greatest(len(list_distinct(qt)), 1), 9) as s from rm where not skips),
+rr as (select query_id, doc_id, score, sources, rank::integer as rank, added from rm where skips and rank <= most
+  union all select query_id, doc_id, s, sources || '+reranker', place::integer, added from (select *, row_number() over (partition by query_id order by s desc, rank) as place from rs) where place <= least({FINAL}, most))"""
 _ASKED = f"""{corpus.CHUNKS}, {corpus.QUESTIONS},
 asked as (select *, ma_van_ban as want_ma, case when ma_van_ban is null then loai_van_ban end as want_loai from (select query_id, question, {analysis('question')} from questions))"""
 
@@ -314,8 +334,14 @@ def _versions(hits: str) -> str:
 
 _PLACE = "row_number() over (partition by query_id order by case when contains(lower(question), 'miễn tiền chậm nộp') then case when dieu = 16 and khoan = 5 then 100 when dieu = 16 then 80 when dieu = 21 then 20 else 0 end end desc nulls last, case when contains(lower(question), 'miễn tiền chậm nộp') then score end desc nulls last, rank)"
 _LOCATED = "(q_dieu is null or (dieu = q_dieu and (q_khoan is null or khoan is null or khoan = q_khoan)))"
-_FINAL = f"""{_EXPANDED},
-final as (select query_id, doc_id, score, sources, added, row_number() over (partition by query_id order by place)::integer as rank from (select *, {_PLACE} as place from {_versions('lim')}) where {_LOCATED})"""
+
+
+def _final(hits: str) -> str:
+    return f"final as (select query_id, doc_id, score, sources, added, row_number() over (partition by query_id order by place)::integer as rank from (select *, {_PLACE} as place from {_versions(hits)}) where {_LOCATED})"
+
+
+_FINAL = f"{_EXPANDED}, {_final('lim')}"
+_HOLDS = " and c.trang_thai_hieu_luc = 'còn_hiệu_lực'"
 _CONTEXT = rf"""{_FINAL},
 bl as (select query_id, rank, doc_id, sources, score, c.*  exclude (doc_id), '[' || concat_ws(' | ', ten_van_ban, 'Điều ' || dieu, 'Khoản ' || khoan, 'Điểm ' || diem) || ']' || chr(10) || chr(10) || '    ' || regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as block from final join chunks c using (doc_id)),
 up as (select *, sum(length(block)) over (partition by query_id order by rank) as upto from bl),
@@ -324,6 +350,7 @@ ctx as (select query_id, string_agg(doc_id || ':' || sources, ', ' order by rank
 ORACLE_SQL = {
     "bm25_topk": f"with {_BM25} select query_id, doc_id, score, rank::integer as rank from bm25",
     "dense_topk": f"with {_NEAR} select query_id, vec_id, distance, rank::integer as rank, round(1 - distance, 6) as score from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from near) where rank <= 10",
+    "dense_indexed": f"with {_NEAR} select query_id, vec_id, distance, rank::integer as rank, round(1 - distance, 6) as score from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from near) where rank <= 10",
     "exact_phrase_hits": f"with {_EXACT} select query_id, doc_id, rank::integer as rank from exact",
     "structured_lookup": f"with {_ASKED}, {_STRUCTURED} select query_id, doc_id, rank::integer as rank from structured",
     "exact_lookup": f"with {_ASKED}, {_PHRASES} select query_id, doc_id, rank::integer as rank from exact",
@@ -338,17 +365,15 @@ ORACLE_SQL = {
     "priority_sort": f"with {_FUSED} select query_id, doc_id, score, {_PLACE}::integer as place from (select f.*, c.dieu, c.khoan, q.question from fused f join cq c using (doc_id) join qq q using (query_id))",
     "location_lookup": f"with {_ASKED} select query_id, chunk_id, 1.0::double as score, 'location' as retrieval_source from asked q join chunks c on c.dieu = q.dieu and (q.ma_van_ban is null or c.ma_van_ban = q.ma_van_ban) and (q.khoan is null or c.khoan = q.khoan) and (q.diem is null or c.diem = q.diem)",
     "location_filter": f"with {_FUSED} select query_id, doc_id, rank::integer as rank from fused join cq using (doc_id) join qq using (query_id) where {_LOCATED}",
-    "rerank": f"""with {_FUSED},
-m as (select f.query_id, doc_id, f.score, sources, f.rank, (q_dieu is not null and q_khoan is not null) or coalesce(q_topic, '') = 'nguong_doanh_thu' as skips, round(len(list_intersect(list_distinct({sql.tokens('question')}), list_distinct({sql.tokens('c.text')})))::double / greatest(len(list_distinct({sql.tokens('question')})), 1), 9) as s
-  from fused f join chunks c using (doc_id) join qq using (query_id))
-select query_id, doc_id, score, sources, rank::integer as rank from m where skips
-union all select query_id, doc_id, s, sources || '+reranker', row_number() over (partition by query_id order by s desc, rank)::integer as place from m where not skips qualify place <= {FINAL}
-""",
+    "rerank": f"with {_FUSED}, fa as (select *, false as added from fused), {_RERANKED % 'fa'} select query_id, doc_id, score, sources, rank from rr",
+    "retrieve_reranked": f"with {_EXPANDED}, {_RERANKED % 'expanded'}, {_final('rr')} select * from final",
+    "retrieve_filtered": f"with {_FINAL.replace(_PASS, _PASS + _HOLDS).replace(f'else {FINAL} end)', 'else 3 end)')} select * from final",
+    "dense_filtered": f"with {_ASKED} select query_id, doc_id, distance, rank::integer as rank from (select a.query_id, c.doc_id, {_L2} as distance, row_number() over (partition by a.query_id order by {_L2}, c.doc_id) as rank from asked a join embeddings q on q.vec_id = a.query_id, embeddings v join chunks c on c.doc_id = v.vec_id where {_PASS}) where rank <= {KEPT}",
     "retrieve": f"with {_FINAL} select * from final",
     "hybrid_retrieve": f"with {_CONTEXT} select query_id, sources, n_blocks, md5(context) as context_hash from ctx",
-    "source_projection": f"with {_CONTEXT} select query_id, rank, ten_van_ban as document, ma_van_ban as document_code, loai_van_ban, dieu, khoan, diem, tieu_de_dieu as title, chu_de, score, sources as retrieval_source from bl",
+    "source_projection": f"with {_CONTEXT} select query_id, rank, {', '.join(SOURCE)}, score, sources as retrieval_source from bl",
     "response_json": f"""with {_CONTEXT},
-ls as (select query_id, list({{'document': ten_van_ban, 'document_code': ma_van_ban, 'dieu': dieu, 'khoan': khoan, 'diem': diem, 'title': tieu_de_dieu, 'retrieval_source': sources}} order by rank) as sources from bl group by 1),
+ls as (select query_id, list({{'document': ten_van_ban, 'document_code': ma_van_ban, 'dieu': dieu, 'khoan': khoan, 'diem': diem, 'title': tieu_de_dieu, 'score': format('{{:.6f}}', score), 'retrieval_source': sources, 'page': trang_bat_dau, 'metadata': {{{', '.join(f"'{c}': {c}" for c in SOURCE)}}}}} order by rank) as sources from bl group by 1),
 an as (select query_id, question, ls.sources, coalesce(context, '') as context, case when string_split(coalesce(context, ''), chr(10))[1] = '' then {sql.quoted(V.EMPTY_ANSWER)} else string_split(context, chr(10))[1] || ': không phải nộp thuế' end as answer from questions left join ls using (query_id) left join ctx using (query_id))
 select query_id, to_json({{'question': trim(question), 'answer': case when contains(lower(question), 'phải nộp thuế') and contains(lower(answer), 'không phải nộp thuế') and not contains(lower(context), 'không phải nộp thuế') then {sql.quoted(V.GUARD_ANSWER)} else answer end, 'sources': sources}})::varchar as body from an
 """,

@@ -244,10 +244,142 @@ def test_hits_get_siblings_versions_and_places(spark):
     assert more == [(1, 2, "exact"), (2, 20, "bm25"), (3, 3, "sibling_expand"), (4, 4, "sibling_expand"), (5, 1, "sibling"), (6, 5, "sibling")]
     final = L.finished(hits, c, q, 2)
     assert rows(final, "query_id", "rank", "doc_id") == [(1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, 3), (2, 5, 4), (2, 6, 5), (2, 7, 6), (3, 1, 20), (4, 1, 22), (4, 2, 23), (5, 1, 1), (5, 2, 20)]
-    from lodestone.plans.retrieval import _overlap
+    from lodestone.operators.models import word_reranker
 
-    again = L.reranked(hits.withColumn("added", F.lit(False)), c.withColumn("text", F.when(F.col("doc_id") == 20, "xin chào").otherwise("x")), q, _overlap, 1)
-    assert rows(again.filter("query_id in (3, 5)"), "query_id", "doc_id", "sources") == [(3, 20, "bm25"), (3, 21, "bm25"), (5, 20, "bm25+reranker")]
+    greeted = c.withColumn("text", F.when(F.col("doc_id") == 20, "xin chào").otherwise("x"))
+    again = L.reranked(hits.withColumn("added", F.lit(False)), greeted, q, word_reranker(), 1)
+    assert rows(again.filter("query_id in (3, 5)"), "query_id", "doc_id", "sources") == [(3, 21, "bm25"), (5, 20, "bm25+reranker")]
+    # the chunk that answers is the last of the hits and siblings, beyond the limit
+    last = c.withColumn("text", F.when(F.col("doc_id") == 4, "xin chào").otherwise("x"))
+    assert rows(L.expanded(L.attached(hits, c, q), c, q).filter("query_id = 5"), "rank", "doc_id")[-2:] == [(4, 3), (5, 4)]
+    assert 4 not in {r["doc_id"] for r in L.finished(hits, last, q, 2).filter("query_id = 5").collect()}
+    assert rows(L.finished(hits, last, q, 2, word_reranker(), 1).filter("query_id = 5"), "rank", "doc_id", "sources") == [(1, 4, "sibling+reranker")]
+
+
+def test_reranking_results_meet_their_rows(spark):
+    from lodestone.operators.models import reranked
+
+    rows_ = [(1, "q", "1", "a", "x", 1), (1, "q", "2", "b", "y", 2), (1, "q", "3", "b", "z", 3), (2, " ", "4", "c", "x", 1), (3, "q3", None, None, None, 1)]
+    df = spark.createDataFrame(rows_, "query_id long, question string, id string, chunk_id string, body string, rank int").withColumn("score", F.lit(0.0))
+
+    def order(question, chunks):
+        if question == "q3":
+            return []
+        assert [c["text"] for c in chunks] == ["x", "y", "z"]
+        # by id, by chunk_id alone (the last that has it), one that there is not, one named twice
+        return [{"id": "2", "score": 0.9}, {"chunk_id": "b", "score": 0.8}, {"id": "9", "score": 0.7}, {"id": "9", "chunk_id": "a", "score": None}, {"id": "2", "score": 0.1}]
+
+    got = reranked(df, lambda: order, text="body").orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["id"], r["score"]) for r in got] == [(1, 1, "2", 0.1), (1, 2, "3", 0.8), (1, 3, "1", 0.0), (1, 4, "2", 0.1)]
+
+
+def test_no_number_mark_or_empty_point_stops_or_alters_a_batch(spark):
+    from lodestone.operators import segment as S
+    from lodestone.operators.questions import analyzed
+
+    long = "9" * 40
+    q = spark.createDataFrame([(1, f"điều {long} khoản 00003 là gì"), (2, f"khoản {long}, điều 7"), (3, None), (4, "\x00\x01"), (5, "")], "query_id long, question string")
+    assert rows(analyzed(q).filter("query_id <= 2"), "query_id", "dieu", "khoan") == [(1, None, 3), (2, 7, None)] and analyzed(q).count() == 5
+    text = f"Điều {long}. Dài\n1. abc\x01def ghi\n{long}. xyz\n003. tiếp\na)\nb) khai\nĐiều 2. Hai\n1. Các mục:\na)\nb) x\x01y\n2. Hết\na)"
+    pages = spark.createDataFrame([("d", 1, text), ("m", 1, "\x01\x01"), ("p", 1, "...;;;"), ("n", 1, None)], "doc string, page int, text string")
+    found = {r["dieu"]: r for r in S.articles(pages).collect()}
+    assert set(found) == {None, 2} and found[None]["title"] == f"Điều {long}. Dài" and "abc\x01def ghi" in found[None]["text"]
+    parts = S.points(S.clauses(S.articles(pages))).collect()
+    assert sorted((r["dieu"] or 0, r["no"], r["khoan"] or 0, r["diem"] or "", r["said"]) for r in parts) == [
+        (0, "1", 1, "", "abc\x01def ghi"), (0, "3", 3, "", "tiếp"), (0, "3", 3, "a", "a)"), (0, "3", 3, "b", "khai"), (0, long, 0, "", "xyz"),
+        (2, "1", 1, "", "Các mục:"), (2, "1", 1, "a", "a)"), (2, "1", 1, "b", "x\x01y"), (2, "2", 2, "", "Hết\na)"),
+    ]
+    units = {r["unit"] for r in S.refined(pages).collect()}
+    assert f"khoản_{long}" in units and "khoản_3_điểm_a" in units
+
+
+def test_clauses_of_long_articles_only_and_names_of_windows(spark):
+    from lodestone.operators import segment as S
+
+    pages = spark.createDataFrame([("d", 1, "Điều 1. Ngắn\n1. a\n2. b\nĐiều 2. Dài\n1. " + "từ " * 200)], "doc string, page int, text string")
+    got = S.refined(pages, most=300, always=False).collect()
+    assert {(r["dieu"], r["khoan"]) for r in got} == {(1, None), (2, None), (2, 1)}
+    bare = spark.createDataFrame([("d", 1, "Điều 3. Không khoản\n" + "từ " * 300)], "doc string, page int, text string")
+    assert {r["unit"].rstrip("0123456789") for r in S.refined(bare, most=300, whole=False).collect()} == {"cửa_sổ_điều_"}
+
+
+def words_of(rng, n, size):
+    return " ".join(rng.choice([f"từ{rng.randrange(size)}", "thuế", "Điều 5", "x_y"]) for _ in range(n))
+
+
+def test_postings_give_the_ranks_of_a_scan(spark):
+    import random
+
+    from lodestone.operators import postings as P
+    from lodestone.operators.rank import bm25
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, words_of(rng, rng.randrange(60), 300)) for i in range(400)] + [(900, ""), (901, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, words_of(rng, 4, 300)) for i in range(20)] + [(30, "không có"), (31, ""), (32, "thuế thuế thuế")], "query_id long, text string")
+    index = P.build(docs, block=8)
+    want = rows(bm25(docs.fillna(""), asked, 5), "query_id", "rank", "doc_id", "score")
+    for first in (1, 4, 100):
+        assert rows(P.bm25(index, asked, 5, first), "query_id", "rank", "doc_id", "score") == want
+    assert P.build(docs.limit(0)).n == 0 and P.bm25(P.build(docs.limit(0)), asked, 5).count() == 0
+
+
+def test_blocks_that_cannot_matter_are_not_read(spark):
+    from lodestone.operators import postings as P
+
+    # one word in all documents, one in few: once these are read, no other block reaches them
+    docs = spark.createDataFrame([(i, "thuế " * 3 + ("hiếm " * 4 if i < 6 else f"từ{i}")) for i in range(500)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "thuế hiếm")], "query_id long, text string")
+    index = P.build(docs, block=10)
+    held, read = P.blocks_read(index, asked, 3)
+    assert held > 40 and read < held / 2
+    assert rows(P.bm25(index, asked, 3), "rank", "doc_id") == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_substrings_are_found_as_by_scanning(spark):
+    import random
+
+    from lodestone.operators import grams as G
+    from lodestone.operators import legal as L
+
+    rng = random.Random(5)
+    texts = [words_of(rng, rng.randrange(30), 50) for _ in range(120)] + ["", None, "ΟΔΟΣΑ 𝒳y", "a", "Ab\n c", "x" * 5000]
+    chunks = spark.createDataFrame([(i, t, None if i % 3 else f"Điều {i}") for i, t in enumerate(texts)], "doc_id long, text string, tieu_de_dieu string")
+    phrases = ["từ1", "THUẾ ĐIỀU", "u", "ΟΔΟΣ", "𝒳Y", "b\n ", "zzzz", "", None, "điều 3", "xxxx"]
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id long, phrase string")
+    index = G.build(chunks, ["text", "tieu_de_dieu"])
+    got = rows(L.contains_lookup(chunks, asked, 1000, index), "query_id", "doc_id")
+    # Spark's own lower() decides, as both sides of a scan would use it
+    scan = chunks.join(asked.filter("phrase <> ''"), F.contains(F.lower("text"), F.lower("phrase")) | F.contains(F.lower("tieu_de_dieu"), F.lower("phrase")))
+    assert got == rows(scan, "query_id", "doc_id") and len({g[0] for g in got}) >= 7
+    plan = L.contains_lookup(chunks, asked, 20, index)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert L._holders(chunks, spark.createDataFrame([("ΟΔΟΣ",)], "phrase string"), ["text"], index, True).count() == 1
+    assert G.candidates(G.build(chunks.limit(0), ["text"]), asked).count() == 0
+
+
+def test_vector_index_is_exact_and_respects_filters(spark):
+    import numpy as np
+
+    from lodestone.operators import rank as R
+    from lodestone.operators import vectors as V
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 8)) * 6
+    x = np.concatenate([centres[i % 20] + rng.normal(size=8) for i in range(1000)]).reshape(-1, 8).round(3)
+    data = [(i, [float(c) for c in v], "rare" if i % 97 == 0 else "often") for i, v in enumerate(x)] + [(2000, None, "often"), (2001, [float("nan")] * 8, "often"), (2002, [1.0], "often"), (None, [0.0] * 8, "often"), (2003, [], None)]
+    every = spark.createDataFrame(data, "vec_id long, v array<double>, kind string")
+    good = every.filter("vec_id < 1000")
+    index = V.build(every)
+    assert index.n == 1000
+    asked = good.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.when(F.col("vec_id") % 80 == 0, F.lit("rare")).alias("want_kind"))
+    for q in (asked.drop("want_kind"), asked):
+        want = rows(R.near(good, q, 10), "query_id", "rank", "vec_id", "distance")
+        assert rows(V.search(index, q, 10, probes=2), "query_id", "rank", "vec_id", "distance") == want
+        near = {r[:1] + r[2:3] for r in rows(V.search(index, q, 10, probes=4, exact=False), "query_id", "rank", "vec_id")}
+        assert len(near & {r[:1] + r[2:3] for r in want}) >= 0.95 * len(want)
+        assert {r[:2] for r in rows(V.search(index, q, 10, probes=1, exact=False), "query_id", "rank")} == {r[:2] for r in want}  # few pass the filter, yet all ranks are filled
+    assert V.share(index, asked, 4) < 0.5
+    assert V.search(V.build(every.limit(0)), asked, 3).count() == 0
 
 
 def test_news_search_chunks_and_contexts(spark):
