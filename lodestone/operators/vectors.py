@@ -177,7 +177,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = PROBES,
     return found.select("query_id", "vec_id", "distance", "rank", F.round(1 - F.col("distance"), 6).alias("score"))
 
 
-def share(index: VectorIndex, queries: DataFrame, k: int, probes: int = PROBES) -> float:
+def share(index: VectorIndex, queries: DataFrame, probes: int = PROBES) -> float:
     """The part of the vectors that a search of ``probes`` cells alone compares a question with, on average."""
     cells = index.cells
     n = cells.agg(F.sum("n")).first()[0] or 1
