@@ -714,3 +714,208 @@ def test_extraction_of_odd_rows(spark):
     got = {(r["page_id"], r["n_chars"]): r["text"] for r in extract_text(df).collect()}
     assert got[(1, 0)] == "" and got[(None, 3)] == "a b" and got[(2, 0)] == "" and (2, 9999) in got
     assert extract_text(df.limit(0)).count() == 0
+
+
+# 11 language model scores
+
+
+def lm_tokens(text):
+    import re
+
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", lower) if w] + ["\n"]
+
+
+def brute_scores(docs, weights):
+    """n_tokens, n_known, train_tokens, base_score, score of each (doc_id, text), by dictionaries."""
+    one, two, three, n_docs = collections.Counter(), collections.Counter(), collections.Counter(), 0
+    grams = lambda text: [tuple(p) for w in [["", "", *lm_tokens(text)]] for p in zip(w, w[1:], w[2:], strict=False)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    for i, text in docs:
+        if not held(i):
+            n_docs += 1
+            for g in grams(text):
+                one[g[2]] += 1
+                two[g[1:]] += 1
+                three[g] += 1
+    n, v, out = sum(one.values()), len(one), []
+    for i, text in docs:
+        base = score = 0.0
+        for at, (a, b, c) in enumerate(grams(text)):
+            base += np.log10((one[c] + 1) / (n + v + 1))
+            pair, word = (n_docs, n_docs) if at == 0 else (two[a, b], one[b])
+            k = pair.bit_length() if pair else 64 + word.bit_length() if word else 128
+            p = [three[a, b, c] / pair if pair else 0, two[b, c] / word if word else 0, one[c] / max(n, 1), 1 / (v + 1)]
+            score += np.log10(np.dot(weights[k], p))
+        words = lm_tokens(text)
+        out.append((held(i), len(words), sum(one[w] > 0 for w in words), n, round(base, 6), round(score, 6)))
+    return out
+
+
+def lm_scores(monkeypatch, run):
+    """The rows of a run, and the weights that it learned."""
+    from lodestone.llm import ngram_lm
+
+    kept, learned = [], ngram_lm.learned
+    monkeypatch.setattr(ngram_lm, "learned", lambda *a, **k: kept.append(learned(*a, **k)) or kept[-1])
+    return run().collect(), kept[0] if kept else None
+
+
+def lm_row(r):
+    return (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6))
+
+
+def test_lm_scores_of_a_whole_table(spark, monkeypatch):
+    from lodestone.llm.ngram_lm import op11_deleted_interpolation
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows, weights = lm_scores(monkeypatch, lambda: op11_deleted_interpolation(spark, SF))
+    want = dict(zip((i for i, _ in docs), brute_scores(docs, weights), strict=True))
+    assert {r["doc_id"]: lm_row(r) for r in rows} == want
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.85 * sum(r["base_score"] for r in held)  # far likelier than by words alone
+    assert np.allclose(weights.sum(1), 1) and (weights[:, 3] > 0).all()
+
+
+def test_lm_scores_of_odd_rows_and_texts_in_pieces(spark, monkeypatch):
+    from lodestone.llm.ngram_lm import score
+
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs(spark).collect()] + [(7, "\n\t \x0b"), (8, "a b c a b c d"), (10, "x" * 300 + " y"), (19, "A b C")]
+    rows += [(100 + i, "a b c " * (i % 5)) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "clash", 1.0, 1) for i, t in rows], "doc_id long, text string, held_out string, score double, block int")
+    key = lambda i, r: (str(i), r)
+    for sizes in ({}, {"size": 7, "piece": 50, "slice_keys": 64}):
+        got, weights = lm_scores(monkeypatch, lambda sizes=sizes: score(df, **sizes))
+        assert sorted(key(r["doc_id"], lm_row(r)) for r in got) == sorted(key(i, w) for (i, _), w in zip(rows, brute_scores(rows, weights), strict=True))
+    assert score(df.limit(0)).count() == 0
+    alone = score(df.filter("doc_id = 19")).first()  # remainder 2: nothing is learned from
+    assert zlib.crc32(b"19") % 7 == 2 and (alone["held_out"], alone["n_known"], alone["train_tokens"], alone["base_score"]) == (True, 0, 0, 0.0) and alone["score"] < 0
+
+
+def test_lm_weights_maximise_the_likelihood(spark):
+    from lodestone.llm.ngram_lm import STEPS, learned
+
+    rng = random.Random(2)
+    cells = [(5, rng.randrange(-40, 0), rng.randrange(-60, -10), rng.randrange(-90, -40), rng.randrange(1, 50)) for _ in range(200)]
+    weights = learned(spark.createDataFrame(cells, "bucket int, three int, two int, one int, n long"), {"kept_words": 1000}, rounds=300, tolerance=1e-7)[5]
+    p = np.array([[2 ** (x / STEPS) for x in c[1:4]] + [1 / 1001] for c in cells])
+    n = np.array([c[4] for c in cells])
+    best = (n * np.log(p @ weights)).sum()
+    for _ in range(200):
+        other = np.abs(weights + np.array([rng.gauss(0, 0.05) for _ in range(4)]))
+        assert (n * np.log(p @ (other / other.sum()))).sum() <= best + 5  # the few prior tokens aside
+
+
+# 12 centroids
+
+
+def brute_lloyd(vectors, clusters=8, rounds=10, size=64):
+    kept = [(i, [int(np.floor(1024.0 * float(c))) for c in v]) for i, v in vectors if v is not None and len(v) == size and all(c is not None and np.isfinite(c) for c in v)]
+    order = sorted(kept, key=lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), [c.to_bytes(4, "little", signed=True) for c in r[1]]))
+    centroids = [v for _, v in order[:clusters]]
+    nearest = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), k) for k, c in enumerate(centroids))
+    for _ in range(rounds):
+        groups = collections.defaultdict(list)
+        for _, v in kept:
+            groups[nearest(v)[1]].append(v)
+        centroids = [[sum(c) // len(groups[k]) for c in zip(*groups[k], strict=True)] if groups[k] else c for k, c in enumerate(centroids)]
+    at = [(i, *nearest(v)) for i, v in kept]
+    inertia = collections.Counter()
+    for _, d, k in at:
+        inertia[k] += d
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return sorted((str(i), k, d, inertia[k], sum(inertia.values()), sha[k]) for i, d, k in at)
+
+
+def lloyd_rows(df):
+    return sorted((str(r["vec_id"]), r["cluster"], r["distance"], r["cluster_inertia"], r["inertia"], r["centroid_sha256"]) for r in df.collect())
+
+
+def test_lloyd_against_brute_force(spark):
+    from lodestone.llm.lloyd import MOST, lloyd, op12_lloyd
+
+    data = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    assert lloyd_rows(op12_lloyd(spark, SF)) == brute_lloyd(data)
+    rng = random.Random(4)
+    one = [float(rng.gauss(0, 3)) for _ in range(64)]
+    odd = [(i, [rng.gauss(0, 2) for _ in range(64)]) for i in range(20)] + [(3, one), (3, one), (None, one), (None, [1.0] * 64), (50, None), (51, []), (52, [1.0] * 63), (53, [1.0] * 63 + [None]), (54, [1.0] * 63 + [float("nan")]), (55, [float("inf")] * 64), (56, [0.0] * 64), (57, [-1e4] * 64)]
+    df = spark.createDataFrame([(i, v, "c", 1) for i, v in odd], "vec_id long, embedding array<double>, cluster string, v int")
+    assert lloyd_rows(lloyd(df)) == brute_lloyd(odd)
+    few = [x for x in odd if x[0] in (3, None)]
+    assert lloyd_rows(lloyd(df.filter("vec_id = 3 or vec_id is null"))) == brute_lloyd(few)
+    assert lloyd(df.limit(0)).count() == 0 and lloyd(df.filter("vec_id = 52")).count() == 0
+    far = lloyd(spark.createDataFrame([(1, [1e300] * 64), (2, [-1e300] * 64)], "vec_id long, embedding array<double>"), clusters=1, rounds=0).collect()
+    assert sorted(r["distance"] for r in far) == [0, 64 * (2 * MOST) ** 2]  # held, not out of 64 bits
+
+
+# 13 filters
+
+
+def brute_audit(docs, labels):
+    import itertools
+    import re
+
+    marks = collections.defaultdict(lambda: [0, 0])
+    for i, quality, toxic in labels:
+        if i is not None:
+            marks[i] = [marks[i][0] or int(quality == 1), marks[i][1] or int(toxic == 1)]
+    least, out = {}, collections.Counter()
+    for i, text, _ in docs:
+        if i is not None:
+            least[text or ""] = min(i, least.get(text or "", i))
+    orders, parts = ["".join(p) for p in itertools.permutations("ABCDE")], set()
+    for i, text, lang in docs:
+        text, part = text or "", lang or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = {f for f, bad in zip("ABCDE", (len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * len(re.findall("[A-Z]", text)) > 3 * len(text), bool(re.search("[#$%&*|]", text)), i is not None and i > least[text]), strict=True) if bad}
+        parts.add(part)
+        good, toxic = marks[i] if i is not None else (0, 0)
+        for order in orders:
+            first = next((s for s, f in enumerate(order, 1) if f in fails), 9)
+            for step, f in enumerate(order, 1):
+                key = (part, order, step)
+                for what, n in (("kept", step < first), ("removed", step == first), ("redundant", step > first and f in fails), ("unique", fails == {f}), ("good", good * (step == first)), ("toxic", toxic * (step == first))):
+                    out[(*key, what)] += int(n)
+                if step == first:
+                    for o in orders:
+                        out[(part, o, o.index(f) + 1, "shapley")] += 1
+    return sorted((p, o, s, *(out[p, o, s, w] for w in ("kept", "removed", "redundant", "unique", "good", "toxic", "shapley"))) for p in parts for o in orders for s in range(1, 6))
+
+
+def audit_rows(df):
+    return sorted((r["part"], r["filter_order"], r["step"], r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["good_lost"], r["toxic_lost"], r["shapley"]) for r in df.collect())
+
+
+def test_audit_against_brute_force(spark):
+    from lodestone.llm.filter_audit import audit
+
+    rng = random.Random(6)
+    plain = [" ".join(f"w{rng.randrange(400)}" for _ in range(250)) for _ in range(6)]
+    texts = [*plain, "x " * 250, "short", "UPPER " * 210, plain[0] + " #", "", None, "é" * 30 + " A", "w " * 40_000, " \t"]
+    docs = [(rng.randrange(40) if rng.random() < 0.9 else None, rng.choice(texts), rng.choice(["en", "fr", None, ""])) for _ in range(300)]
+    docs += [(i, "hot copy", "en") for i in range(1000, 1400)] + [(5, "tie", "en"), (5, "tie", "en"), (6, "tie", "fr"), (None, "lone", "fr"), (None, "lone", "fr"), (9, "lone", "fr")]
+    labels = [(i, rng.randrange(2), rng.randrange(2)) for i in range(30)] + [(1, 1, 0), (1, 0, 1), (None, 1, 1), (2, None, None)]
+    ldf = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ddf = spark.createDataFrame([(*d, 1, "c", 0) for d in docs], "doc_id long, text string, lang string, mask int, part string, fp int")
+    want = brute_audit(docs, labels)
+    for n in (1, 4, 60):  # in 60 ranges the copies go on over many
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert audit_rows(audit(ddf, ldf)) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert audit(ddf.limit(0), ldf).count() == 0 and audit_rows(audit(ddf, ldf.limit(0))) == brute_audit(docs, [])
+
+
+def test_texts_of_one_fingerprint_stay_apart(spark, monkeypatch):
+    from lodestone.llm import filter_audit
+
+    monkeypatch.setattr(filter_audit.F, "xxhash64", lambda *a: F.lit(7).cast("long") + 0 * F.length(a[0]))
+    docs = [(i, t, "en") for i, t in enumerate("a b a c b c d a".split())]
+    for n in (1, 3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            got = {r["doc_id"]: r["mask"] & 16 for r in filter_audit.masks(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == {0: 0, 1: 0, 2: 16, 3: 0, 4: 16, 5: 16, 6: 0, 7: 16}
