@@ -3,7 +3,8 @@
 Documents fall into blocks of about BLOCK by the hash of their id, and a word has one row a block that holds it: its documents with their
 counts and lengths, and the largest count and least length among them. From the latter alone follows how much a block can give a
 question at most. A question's FIRST most promising blocks are read in full; its k-th score there is what any other block must reach to be read at
-all. So ranks are those of a full scan, and a frequent word is spread over as many rows as there are blocks.
+all. So ranks are those of a full scan, and a frequent word is spread over as many rows as there are blocks. A search runs jobs while it is built: the
+questions' words, blocks and first hits are written once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lodestone.functions.text import tokens
-from lodestone.sources.shared import new_path, spread
+from lodestone.sources.shared import new_path, spread, written
 
 from .rank import FLOOR, K1, B, top
 
@@ -80,15 +81,16 @@ def _asked(index: Postings, questions: DataFrame) -> tuple[DataFrame, DataFrame,
     asked = questions.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qn"))
     floor = index.tokens.agg((F.avg("raw") * FLOOR).alias("floor"))
     known = asked.join(index.tokens, "token").crossJoin(floor)  # one row
-    weighted = known.select("query_id", "token", (F.col("qn") * F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))).alias("w"))
+    weighted = written(known.select("query_id", "token", (F.col("qn") * F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw"))).alias("w")), "weighted")
     heads = index.blocks.select("token", "block", "most_tf", "least_dl").join(weighted, "token")
     most = heads.groupBy("query_id", "block").agg(F.sum(F.greatest(F.lit(0.0), F.col("w") * _weight(F.col("most_tf"), F.col("least_dl"), mean))).alias("most"))
-    return weighted, most.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "block"))), mean
+    placed = most.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("most"), "block")))
+    return weighted, written(placed, "most"), mean
 
 
 def _begun(index: Postings, weighted: DataFrame, most: DataFrame, mean: float, k: int, first: int) -> tuple[DataFrame, DataFrame]:
     """The k best of a question's first blocks, and the further blocks that can still change them."""
-    begun = _best(_scores(index, weighted, most.filter(F.col("place") <= first), mean), k)
+    begun = written(_best(_scores(index, weighted, most.filter(F.col("place") <= first), mean), k), "begun")
     least = begun.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     more = most.filter(F.col("place") > first).join(least, "query_id", "left")
     return begun, more.filter(F.col("least").isNull() | (F.col("most") + SLACK >= F.col("least")))
