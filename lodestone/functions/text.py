@@ -46,19 +46,22 @@ def _replaced(text: Column, steps: tuple) -> Column:
 _SPACED = (r"(?iu)(?<![\p{L}\p{N}_])Đ\s*i\s*ề\s*u(?![\p{L}\p{N}_])", "Điều")
 
 
+CLEAN_STEPS = ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"\s+([,.;:])", "$1"), _SPACED)
+LEGAL_STEPS = (
+    (r"\r\n?", "\n"), _SPACED, (r"(?iu)Điều\s*\n\s*(\d+)\.", "Điều $1."), (r"([\p{L}\p{N}_])\s*-\s*\n\s*([\p{L}\p{N}_])", "$1-$2"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
+    (r"(?iu)(?<!\n)\s([a-zđ]\)\s+)", "\n$1"), (r"(?iu)(?<!\n)\s([a-zđ]\.\d+\)\s+)", "\n$1"),
+)
+
+
 def clean_page(text: Column) -> Column:
     """Line ends made alike, blanks joined, at most one empty line, no white space before marks, "Đ i ề u" closed up."""
-    return stripped(_replaced(text, ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"\s+([,.;:])", "$1"), _SPACED)))
+    return stripped(_replaced(text, CLEAN_STEPS))
 
 
 def normal_legal(text: Column) -> Column:
     """As clean_page for marks of the law: a heading's number joins its "Điều", words cut at line ends join by their hyphen, and
     points ("a)", "a.1)") begin lines."""
-    steps = (
-        (r"\r\n?", "\n"), _SPACED, (r"(?iu)Điều\s*\n\s*(\d+)\.", "Điều $1."), (r"([\p{L}\p{N}_])\s*-\s*\n\s*([\p{L}\p{N}_])", "$1-$2"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
-        (r"(?iu)(?<!\n)\s([a-zđ]\)\s+)", "\n$1"), (r"(?iu)(?<!\n)\s([a-zđ]\.\d+\)\s+)", "\n$1"),
-    )
-    return stripped(_replaced(text, steps))
+    return stripped(_replaced(text, LEGAL_STEPS))
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:

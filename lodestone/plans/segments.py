@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import tables
 from lodestone.functions.text import normal_legal, point_order
 from lodestone.operators import segment as S
 from lodestone.operators.rank import top
@@ -82,9 +85,43 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chunked(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), S.recursive_cuts)
 
 
+def _sql(spark: SparkSession, rows: DataFrame, text: str) -> DataFrame:
+    """What SQL says of rows, under the name given_rows in the text."""
+    tables.register(spark)
+    name = f"given_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    return spark.sql(text.replace("given_rows", name))
+
+
+def sql_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of clause_split by a table function."""
+    rows = S.articles(corpus.pages(spark, sf_dir)).select("doc", "pos", "text")
+    return _sql(spark, rows, "SELECT doc, pos, khoan, head, md5(clause) AS hash FROM lodestone_clauses(TABLE(given_rows) PARTITION BY doc ORDER BY pos)")
+
+
+def sql_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of point_split by a table function over those of another."""
+    rows = S.articles(corpus.pages(spark, sf_dir)).select("doc", "pos", "text")
+    return _sql(spark, rows, """
+        WITH c AS (SELECT * FROM lodestone_clauses(TABLE(given_rows) PARTITION BY doc))
+        SELECT doc, pos, khoan, diem, md5(said) AS hash FROM lodestone_points(TABLE(c) PARTITION BY doc)""")
+
+
+def sql_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of fixed_window_chunks by a table function."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _sql(spark, rows, "SELECT doc_id, chunk_index, md5(chunk) AS hash FROM lodestone_windows_of(TABLE(given_rows) PARTITION BY (doc_id), 800, 100)")
+
+
+def sql_news_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under their titles as chunks of news, by a table function."""
+    rows = corpus.news(spark, sf_dir).select("news_id", "title", F.col("text").alias("content"))
+    return _sql(spark, rows, "SELECT news_id, chunk_index, md5(chunk) AS hash FROM lodestone_news_chunks(TABLE(given_rows) PARTITION BY (news_id), 1800)")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (fixed_window_chunks, line_pack_chunks, article_split, article_chapters, appendix_blocks, legal_normalise, clause_split, point_split, refine_chunks, refine_cut, legal_order, chapter_asof, smart_split, recursive_chunks)
+    for f in (sql_clauses, sql_points, sql_windows, sql_news_chunks, fixed_window_chunks, line_pack_chunks, article_split, article_chapters, appendix_blocks, legal_normalise, clause_split, point_split, refine_chunks, refine_cut, legal_order, chapter_asof, smart_split, recursive_chunks)
 }
 
 _WS = r"[\s\p{Z}]"
@@ -199,3 +236,4 @@ r as (
 select doc_id, lang, chunk_index::integer as chunk_index, md5({_strip('substring(t, start + 1, cut - start)')}) as hash from r where cut is not null
 """,
 }
+ORACLE_SQL |= {"sql_clauses": ORACLE_SQL["clause_split"], "sql_points": ORACLE_SQL["point_split"], "sql_windows": ORACLE_SQL["fixed_window_chunks"]}
