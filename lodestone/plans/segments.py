@@ -192,6 +192,47 @@ md as (select *, concat_ws('_', doc::varchar, 'dieu' || dieu, 'khoan' || khoan,
 hs as (select *, md5(regexp_replace({_strip('lower(full_text)')}, '{_WS}+', ' ', 'g')) as hash from md)
 """
 
+_PIECE = _strip("substring(t, start + 1, cut - start)")
+
+
+def _cuts(keys: str, rows: str) -> str:
+    """The recursive table cuts: where smart_cuts begins and ends each piece of the texts t of rows, a step that finds a cut and one that moves on in turn."""
+    return rf"""
+cuts as (
+  select {keys}, t, 0 as chunk_index, 0 as start, case when length(t) <= 2200 then length(t) end as cut from {rows}
+  union all
+  select {keys}, t, case when done is not null then chunk_index + 1 else chunk_index end, case when done is not null then next else start end, case when done is null then best when length(t) - next <= 2200 then length(t) end from (
+    select *, case when cut is not null and cut < length(t) then case when back > start then back else cut end end as next, cut as done,
+      start + 1320 + coalesce(case when p1 > 0 then 880 - p1 + 1 when p2 > 0 then 880 - p2 + 1 when p3 > 0 then 880 - p3 + 1 when p4 > 0 then 880 - p4 + 1 when p5 > 0 then 880 - p5 + 1 when p6 > 0 then 880 - p6 + 1 when p7 > 0 then 880 - p7 + 1 end, 880) as best
+    from (
+      select *, strpos(win, chr(10) || chr(10)) as p1, strpos(win, chr(10)) as p2, strpos(win, ' .') as p3, strpos(win, ' ;') as p4, strpos(win, ' :') as p5, strpos(win, ' ,') as p6, strpos(win, ' ') as p7,
+        greatest(0, length(regexp_extract(substring(t, 1, greatest(cut - 200, 0) + 1), '(?s)^(.*)\s', 1))) as back
+      from (select *, reverse(substring(t, start + 1321, 880)) as win from cuts) where cut is null or cut < length(t))
+  )
+)"""
+
+
+def _recursive(size: int = 800, overlap: int = 100) -> str:
+    """recursive_cuts: down the marks, a table of nodes each (path: the place at every level above), then up again, overlapping where a level has cut."""
+    marks = ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"]
+    down, up = [f"n0 as (select doc_id, lang, source, []::integer[] as path, {_strip('text')} as t, []::boolean[] as cut from documents)"], []
+    for i, mark in enumerate(marks):
+        longer = f"case when a[-1] <> '' then a[-1] || {mark} || x[1] else x[1] end"
+        held = f"list_filter(list_reduce(list_transform(string_split(t, {mark}), lambda x: [x]), lambda a, x: case when length({longer}) <= {size} then list_concat(a[1:-2], [{longer}]) else list_concat(a, x) end, ['']), lambda x: x <> '')"
+        down.append(f"g{i} as (select *, length(t) > {size} and contains(t, {mark}) as here, case when length(t) > {size} and contains(t, {mark}) then {held} else [t] end as ts from n{i})")
+        down.append(f"n{i + 1} as (select doc_id, lang, source, list_append(path, j::integer) as path, ts[j] as t, list_append(cut, here) as cut from (select *, unnest(range(1, len(ts) + 1)) as j from g{i}))")
+    n = len(marks)
+    starts = f"range(0, length(t) - {overlap}, {size - overlap})"
+    down.append(f"u{n} as (select doc_id, lang, source, path, cut, j::integer as j, case when length(t) <= {size} then t else substring(t, ({starts})[j] + 1, {size}) end as t from (select *, unnest(range(1, case when length(t) <= {size} then 2 else len({starts}) + 1 end)) as j from n{n}))")
+    for i in reversed(range(n)):
+        before = f"lag(t) over (partition by doc_id, path[1:{i}] order by path, j)"
+        up.append(f"u{i} as (select * exclude (t), case when cut[{i + 1}] and {before} is not null then left(right({before}, {overlap}) || t, {size + overlap}) else t end as t from u{i + 1})")
+    return f"""
+with {', '.join([*down, *up])}, s as (select doc_id, lang, source, path, j, {_strip('t')} as t from u0)
+select doc_id, lang, source, (row_number() over (partition by doc_id order by path, j) - 1)::integer as chunk_index, t as "text" from s where t <> ''
+"""
+
+
 ORACLE_SQL = {
     "fixed_window_chunks": """
 select doc_id, unnest(range(0, greatest(0, length(text) - 1 - 100) // 700 + 1))::integer as chunk_index, md5(substring(text, unnest(range(0, greatest(0, length(text) - 1 - 100) // 700 + 1)) * 700 + 1, 800)) as hash from documents where length(text) > 0
@@ -219,21 +260,20 @@ select doc, generate_subscripts(b, 1)::integer as idx, left({_strip('string_spli
 select doc, pos, khoan, diem, idx::integer as idx, row_number() over (partition by doc, pos order by coalesce(khoan, 0), level, case when diem is null then 0 else coalesce(list_position(['a','b','c','d','đ','e','g','h','i','k','l','m','n'], diem), 99) end, idx)::integer as place from hs
 """,
     "smart_split": rf"""
-with recursive d as (select doc_id, lang, {_strip('text')} as t from documents),
-r as (
-  select doc_id, lang, t, 0 as chunk_index, 0 as start, case when length(t) <= 2200 then length(t) end as cut from d
+with recursive d as (select doc_id, lang, {_strip('text')} as t from documents), {_cuts('doc_id, lang', 'd')}
+select doc_id, lang, chunk_index::integer as chunk_index, md5({_PIECE}) as hash from cuts where cut is not null
+""",
+    "refine_cut": rf"""
+with recursive {_REFINED.split('nb as (')[0]}
+lg as materialized (select row_number() over () as rid, * from rw where length(text) > 2200), d as (select rid, text as t from lg), {_cuts('rid', 'd')},
+sz as (
+  select doc, pos, dieu, title, khoan, diem, level, k, p, 0 as w, unit, text from rw where length(text) <= 2200
   union all
-  select doc_id, lang, t, case when done is not null then chunk_index + 1 else chunk_index end, case when done is not null then next else start end, case when done is null then best when length(t) - next <= 2200 then length(t) end from (
-    select *, case when cut is not null and cut < length(t) then case when back > start then back else cut end end as next, cut as done,
-      start + 1320 + coalesce(case when p1 > 0 then 880 - p1 + 1 when p2 > 0 then 880 - p2 + 1 when p3 > 0 then 880 - p3 + 1 when p4 > 0 then 880 - p4 + 1 when p5 > 0 then 880 - p5 + 1 when p6 > 0 then 880 - p6 + 1 when p7 > 0 then 880 - p7 + 1 end, 880) as best
-    from (
-      select *, reverse(substring(t, start + 1321, 880)) as win, strpos(reverse(substring(t, start + 1321, 880)), chr(10) || chr(10)) as p1, strpos(reverse(substring(t, start + 1321, 880)), chr(10)) as p2,
-        strpos(reverse(substring(t, start + 1321, 880)), ' .') as p3, strpos(reverse(substring(t, start + 1321, 880)), ' ;') as p4, strpos(reverse(substring(t, start + 1321, 880)), ' :') as p5, strpos(reverse(substring(t, start + 1321, 880)), ' ,') as p6, strpos(reverse(substring(t, start + 1321, 880)), ' ') as p7,
-        greatest(0, length(regexp_extract(substring(t, 1, greatest(cut - 200, 0) + 1), '(?s)^(.*)\s', 1))) as back
-      from r where cut is null or cut < length(t))
-  )
-)
-select doc_id, lang, chunk_index::integer as chunk_index, md5({_strip('substring(t, start + 1, cut - start)')}) as hash from r where cut is not null
+  select doc, pos, dieu, title, khoan, diem, level, k, p, chunk_index, unit || '_cửa_sổ_' || (chunk_index + 1), {_PIECE} from lg join cuts using (rid) where cut is not null
+),
+nb as (select *, row_number() over (partition by doc, pos order by k, p, w) as idx, {_REFINED.split('as idx, ')[1].replace('from rw)', 'from sz)', 1)}
+select doc, pos, khoan, diem, level, unit, idx::integer as idx, n_parts, chunk_id, hash from (select *, row_number() over (partition by hash order by doc, pos, idx) as n from hs) where n = 1
 """,
+    "recursive_chunks": _recursive(),
 }
 ORACLE_SQL |= {"sql_clauses": ORACLE_SQL["clause_split"], "sql_points": ORACLE_SQL["point_split"], "sql_windows": ORACLE_SQL["fixed_window_chunks"]}
