@@ -7,7 +7,9 @@ open a connection. Blank texts are not sent and give null; the rows stay, so not
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import sqrt
 
 import pandas as pd
@@ -17,34 +19,75 @@ from pyspark.sql import DataFrame
 Make = Callable[[], Callable[..., list]]
 
 
-def _called(rows: DataFrame, inputs: list[str], output: str, kind: str, make: Make, batch: int, tasks: int | None) -> DataFrame:
-    kept = [f for f in rows.schema if f.name != output]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+@dataclass(frozen=True)
+class Pace:
+    """How a service is called: at most ``rate`` calls a second of each task (``tasks`` bounds the tasks, so tasks * rate bounds all); a call that fails is
+    repeated ``retries`` times after ``wait``, 2 * ``wait``, 4 * ``wait``, ... seconds. Where ``error`` names a column, rows of a call that fails for good keep a null
+    value and the error's text there; where it doesn't, the job fails."""
+
+    rate: float | None = None
+    retries: int = 0
+    wait: float = 1.0
+    error: str | None = None
+
+
+def _paced(call: Callable[..., list], pace: Pace) -> Callable[[list], tuple[list, str | None]]:
+    free = 0.0
+
+    def once(given: list) -> tuple[list, str | None]:
+        nonlocal free
+        for turn in range(pace.retries + 1):
+            if pace.rate:
+                time.sleep(max(0.0, free - time.monotonic()))
+                free = max(free, time.monotonic()) + 1 / pace.rate
+            try:
+                out = call(given)
+                if len(out) != len(given):
+                    raise ValueError(f"{len(out)} results for {len(given)} rows")
+                return out, None
+            except Exception as e:
+                if turn < pace.retries:
+                    time.sleep(pace.wait * 2**turn)
+                elif pace.error is None:
+                    raise
+                else:
+                    return [None] * len(given), f"{type(e).__name__}: {e}"
+        raise AssertionError
+
+    return once
+
+
+def _called(rows: DataFrame, inputs: list[str], output: str, kind: str, make: Make, batch: int, tasks: int | None, pace: Pace) -> DataFrame:
+    made = [output, *([pace.error] if pace.error else [])]
+    kept = [f for f in rows.schema if f.name not in made]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"{output} {kind}", *(f"`{c}` string" for c in made[1:])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = make()
+        call = _paced(make(), pace)
         for b in batches:
             sent = [i for i, row in enumerate(zip(*(b[c] for c in inputs), strict=True)) if all(x is not None and str(x).strip() for x in row)]
             values: list = [None] * len(b)
+            errors: list = [None] * len(b)
             for at in range(0, len(sent), batch):
                 part = sent[at : at + batch]
                 given = [tuple(b[c].iloc[i] for c in inputs) if len(inputs) > 1 else b[inputs[0]].iloc[i] for i in part]
-                for i, v in zip(part, call(given), strict=True):
-                    values[i] = v
-            yield b.assign(**{output: values})
+                got, error = call(given)
+                for i, v in zip(part, got, strict=True):
+                    values[i], errors[i] = v, error
+            yield b.assign(**{output: values}, **({pace.error: errors} if pace.error else {}))
 
     used = rows.select(*(f"`{f.name}`" for f in kept))
-    return (used.repartition(tasks) if tasks else used).mapInPandas(run, f"{schema}, {output} {kind}")
+    return (used.repartition(tasks) if tasks else used).mapInPandas(run, schema)
 
 
-def embedded(rows: DataFrame, make: Make, text: str = "text", batch: int = 10, tasks: int | None = None) -> DataFrame:
+def embedded(rows: DataFrame, make: Make, text: str = "text", batch: int = 10, tasks: int | None = None, pace: Pace = Pace()) -> DataFrame:
     """rows with embedding (array of doubles) of text. ``tasks`` bounds how many calls run at a time, where a service asks for that."""
-    return _called(rows, [text], "embedding", "array<double>", make, batch, tasks)
+    return _called(rows, [text], "embedding", "array<double>", make, batch, tasks, pace)
 
 
-def scored(rows: DataFrame, make: Make, question: str = "question", text: str = "text", batch: int = 32, tasks: int | None = None) -> DataFrame:
+def scored(rows: DataFrame, make: Make, question: str = "question", text: str = "text", batch: int = 32, tasks: int | None = None, pace: Pace = Pace()) -> DataFrame:
     """rows with score of each (question, text)."""
-    return _called(rows, [question, text], "score", "double", make, batch, tasks)
+    return _called(rows, [question, text], "score", "double", make, batch, tasks, pace)
 
 
 def reranked(rows: DataFrame, make: Make, query: str = "query_id", question: str = "question", id_: str = "id", chunk_id: str = "chunk_id", text: str = "text", rank: str = "rank") -> DataFrame:
@@ -75,9 +118,9 @@ def reranked(rows: DataFrame, make: Make, query: str = "query_id", question: str
     return rows.groupBy(query).applyInPandas(run, rows.schema)
 
 
-def answered(rows: DataFrame, make: Make, prompt: str = "prompt", batch: int = 1, tasks: int | None = None) -> DataFrame:
+def answered(rows: DataFrame, make: Make, prompt: str = "prompt", batch: int = 1, tasks: int | None = None, pace: Pace = Pace()) -> DataFrame:
     """rows with answer to each prompt."""
-    return _called(rows, [prompt], "answer", "string", make, batch, tasks)
+    return _called(rows, [prompt], "answer", "string", make, batch, tasks, pace)
 
 
 def hashed_embedding(size: int = 64) -> Make:

@@ -13,6 +13,7 @@ from lodestone.functions import rules as V
 from lodestone.operators import legal as L
 from lodestone.operators import postings as P
 from lodestone.operators import rank as R
+from lodestone.operators import ruled as U
 from lodestone.operators import vectors as X
 from lodestone.operators.models import word_reranker
 from lodestone.operators.questions import guarded
@@ -188,6 +189,26 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.engine(spark, sf_dir).sources(retrieve(spark, sf_dir))
 
 
+def rule_boost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of rule_boost by rules that are read from a table."""
+    held = corpus.engine(spark, sf_dir)
+    asked = _asked(spark, sf_dir)
+    hits = L.structured(held.chunks, asked).select("query_id", "doc_id").unionByName(L.exact(held.chunks, asked, index=held.phrases).select("query_id", "doc_id"))
+    return U.boosts(hits, held.chunks, L.boost(asked), written(U.default_boosts(spark), "boosts"))
+
+
+def version_filter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of version_filter by a table of documents that replace others."""
+    chunks, asked, hits = _flow(spark, sf_dir)
+    return U.without_older(hits, chunks, asked, written(U.default_superseded(spark), "superseded")).select("query_id", "doc_id", "rank")
+
+
+def priority_sort_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of priority_sort by a table of places that go first."""
+    chunks, asked, hits = _flow(spark, sf_dir)
+    return U.prioritised(hits, chunks, asked, written(U.default_priorities(spark), "priorities")).select("query_id", "doc_id", "score", "place")
+
+
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question's final hits, and the context made of them within the budget."""
     said = F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["retrieval_source"])), ", ")
@@ -229,7 +250,7 @@ def news_rank_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, dense_topk, dense_indexed, dense_filtered, exact_phrase_hits, structured_lookup, exact_lookup, contains_lookup, list_counts, rrf_fusion, rule_boost, sibling_attach, sibling_expand, final_limit, version_filter, priority_sort,
+        bm25_topk, dense_topk, dense_indexed, dense_filtered, exact_phrase_hits, structured_lookup, exact_lookup, contains_lookup, list_counts, rrf_fusion, rule_boost, rule_boost_table, version_filter_table, priority_sort_table, sibling_attach, sibling_expand, final_limit, version_filter, priority_sort,
         location_lookup, location_filter, rerank, retrieve, retrieve_reranked, retrieve_filtered, hybrid_retrieve, source_projection, response_json, context_pack, news_rank_dedup,
     )
 }
@@ -389,3 +410,4 @@ o as (select * from s qualify row_number() over (partition by query_id, source o
 select query_id, vec_id, source, final, row_number() over (partition by query_id order by final desc, vec_id)::integer as place from o qualify place <= 10
 """,
 }
+ORACLE_SQL |= {f"{q}_table": ORACLE_SQL[q] for q in ("rule_boost", "version_filter", "priority_sort")}
