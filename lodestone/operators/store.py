@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .legal import FILTERS
 from .rank import near
+from .vectors import VectorIndex, build
 
 _COMPARED = {
     "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v,
@@ -60,6 +61,14 @@ def normalised(df: DataFrame, apart: tuple[str, ...] = ("id", "ord", "text", "em
     return df.select(*map(kept, df.schema))
 
 
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """docs with id and text as chunks have them: text, else content, else ""; id, else chunk_id, else the code and article of its place. Columns that
+    are not there count as null."""
+    have = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit(None).cast("string")
+    place = F.concat(F.coalesce(have("ma_van_ban"), F.lit("")), F.lit("_"), F.coalesce(have("dieu"), F.lit("")))
+    return docs.withColumns({"id": F.coalesce(have("id"), have("chunk_id"), place), "text": F.coalesce(have("text"), have("content"), F.lit(""))})
+
+
 class ChunkStore:
     """Chunks in a Parquet folder, partitioned by document code; ord is the order in which they came."""
 
@@ -99,6 +108,16 @@ class ChunkStore:
             rows = rows.filter(F.contains("text", F.lit(phrase)))
         return near(rows.select(F.col("ord").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")), queries, k).withColumnRenamed("vec_id", "ord")
 
+    def results(self, queries: DataFrame, k: int = 10, filters: dict | None = None, phrase: str | None = None) -> DataFrame:
+        """The rows of nearest with each chunk's id, text and metadata (all columns but the vector), by query and rank."""
+        rows = self.scan(filters).drop("embedding")
+        return self.nearest(queries, k, filters, phrase).join(rows, "ord").orderBy("query_id", "rank")
+
+    def indexed(self, path: str | None = None) -> VectorIndex:
+        """A vector index of the chunks that are there now, by ord, with the columns that filters may name."""
+        rows = self.scan()
+        return build(rows.select(F.col("ord").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), *(c for c in FILTERS if c in rows.columns)), path)
+
     def delete(self, ids: DataFrame, to: str) -> ChunkStore:
         """The store without the given ids, written to a new folder; the old one stays for its readers."""
         self.scan().join(ids.select("id").distinct(), "id", "left_anti").write.partitionBy(self.partition).parquet(to)

@@ -121,6 +121,12 @@ def test_store(spark, tmp_path):
     queries = spark.createDataFrame([(7, [3.2, 1.0])], "query_id long, q array<double>")
     near = store.nearest(queries, 2, {"ma_van_ban": "y"}).join(store.scan().select("ord", "id"), "ord").orderBy("rank").collect()
     assert [r["id"] for r in near] == ["4", "2"] and near[0]["score"] == pytest.approx(1 - 0.64)
+    shown = store.results(queries, 2, {"ma_van_ban": "y"}).collect()
+    assert [(r["rank"], r["id"], r["text"], r["ma_van_ban"]) for r in shown] == [(1, "4", "text 4", "y"), (2, "2", "text 2", "y")] and "embedding" not in shown[0]
+    from lodestone.operators.vectors import search
+
+    wanted = queries.withColumn("want_ma_van_ban", F.lit("y"))
+    assert [r["distance"] for r in search(store.indexed(), wanted, 2).orderBy("rank").collect()] == [r["distance"] for r in shown]
     assert store.delete(df.filter("id < '4'").select("id"), str(tmp_path / "b")).count() == 6
     assert "id" not in df.drop("id").columns and normalised(df.drop("id")).columns == df.drop("id").columns
     store.reset()
@@ -434,3 +440,212 @@ def test_the_entry_imports_without_a_session():
     from conftest import ROOT
 
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"], cwd=ROOT, check=True)
+
+
+def test_chunk_rows_fall_back(spark):
+    from lodestone.operators.store import chunk_rows
+
+    df = spark.createDataFrame([("", None, "c1", "nội dung", "A", 5), ("7", "văn bản", "c2", "x", "A", 5), (None, "", "", None, None, None)], "id string, text string, chunk_id string, content string, ma_van_ban string, dieu int")
+    assert [(r["id"], r["text"]) for r in chunk_rows(df).collect()] == [("c1", "nội dung"), ("7", "văn bản"), ("_", "")]
+    assert [(r["id"], r["text"]) for r in chunk_rows(df.select("ma_van_ban", "dieu").limit(1)).collect()] == [("A_5", "")]
+
+
+def law_engine(spark, **limits):
+    from lodestone.config import Settings
+    from lodestone.engine import Engine
+
+    said = {1: "hóa đơn điện tử của hộ kinh doanh", 2: "nộp thuế theo quý", 3: "chậm nộp tiền thuế", 4: "xin chào"}
+    rows_ = [(i, f"c{i}", "108_2025_QH15" if i % 2 else "68_2026_ND_CP", "Luật" if i % 2 else "Nghị định", "luật" if i % 2 else "nghị_định", 5 + i % 3, None, None, 1, f"Điều {5 + i % 3}. Tiêu đề", said.get(i, f"văn bản số {i}"), "còn_hiệu_lực" if i < 20 else "hết_hiệu_lực") for i in range(1, 41)]
+    chunks = spark.createDataFrame(rows_, "doc_id long, chunk_id string, ma_van_ban string, ten_van_ban string, loai_van_ban string, dieu int, khoan int, diem string, level int, tieu_de_dieu string, text string, trang_thai_hieu_luc string").withColumn("chu_de", F.lit(None).cast("string"))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 41)], "vec_id long, v array<double>")
+    return Engine(spark, chunks, vectors, Settings(**limits))
+
+
+def test_retrieve_and_ask_as_calls(spark):
+    engine = law_engine(spark, top_k=3)
+    asked = spark.createDataFrame([(1, "hóa đơn điện tử"), (2, "văn bản số 30"), (3, "  ")], "query_id long, question string")
+    vectors = spark.createDataFrame([(1, [1.0, 1.0]), (2, [30.0, 1.0])], "query_id long, q array<double>")
+    hits = engine.retrieve(asked, queries=vectors)
+    first = {r["query_id"]: r["doc_id"] for r in hits.filter("rank = 1").collect()}
+    assert first[1] == 1 and first[2] == 30 and hits.filter("query_id = 1").count() == 3
+    assert engine.retrieve(asked, top_k=1, queries=vectors).groupBy("query_id").count().agg(F.max("count")).first()[0] == 1
+    kept = engine.retrieve(asked, filters={"trang_thai_hieu_luc": "còn_hiệu_lực", "chu_de": "all", "other": 1}, queries=vectors)
+    assert kept.filter("doc_id >= 20 and not added").count() == 0 and kept.filter("query_id = 2").count() > 0
+    seen = {}
+    engine.fused(asked, queries=vectors, observed=seen)
+    assert set(seen) == {"structured", "exact", "bm25", "dense"} and seen["bm25"].get["n_rows"] > 0 and seen["dense"].get["first"]["rank"] == 1
+
+    def answer(prompts):
+        return ["không phải nộp thuế" if "phải nộp thuế" in p.rsplit("Câu hỏi", 1)[1] else p.split("[", 1)[1].split("]")[0] for p in prompts]
+
+    more = asked.unionByName(spark.createDataFrame([(4, "có phải nộp thuế không văn bản"), (5, "zzzz")], asked.schema))
+    got = {r["query_id"]: r for r in engine.ask(more, lambda: answer, queries=vectors).collect()}
+    from lodestone.engine import SOURCE
+    from lodestone.functions import rules
+
+    assert set(got) == {1, 2, 4, 5} and got[1]["answer"] == "Luật | Điều 6" and got[4]["answer"] == rules.GUARD_ANSWER and got[5]["answer"] == rules.EMPTY_ANSWER
+    assert [s["doc_id"] for s in got[1]["sources"]][0] == 1 and set(got[1]["sources"][0].asDict()) == {"rank", "doc_id", *SOURCE, "score", "retrieval_source"}
+
+
+def test_settings_bound_the_flow(spark):
+    wide, narrow = law_engine(spark, top_k=4, max_context_chars=10_000), law_engine(spark, top_k=2, max_context_chars=60, candidates_per_list=20)
+    asked = spark.createDataFrame([(1, "văn bản số 30")], "query_id long, question string")
+    n = [e.sources(e.retrieve(asked)).first() for e in (wide, narrow)]
+    assert [len(r["sources"]) for r in n] == [4, 2] and n[0]["n_blocks"] == 4 and n[1]["n_blocks"] == 1 and len(n[1]["context"]) <= 60
+
+
+def test_rule_tables_are_read_at_run_time(spark):
+    from lodestone.operators import legal as L
+    from lodestone.operators import ruled as U
+
+    c, q = flow(spark, [(1, "A", 5, None, None, 1, "luật", None, "Mẫu mới"), (2, "B", 6, None, None, 1, "luật", None, "khác"), (3, "C", 6, 2, None, 2, "luật", None, "x")], [(1, "điều 6"), (2, "câu hỏi hiếm")])
+    hits = spark.createDataFrame([(i, d, float(d), d) for i in (1, 2) for d in (1, 2, 3)], "query_id long, doc_id long, score double, rank int")
+    table = spark.createDataFrame([U._row("any", 1.0, says="mẫu"), U._row("any", 0.5, code="B", dieu=6), U._row("dieu", 0.25, same="dieu", khoan=2), U._row("dieu", 0.25, same="unknown")], U.BOOSTS)
+    got = {(r["query_id"], r["doc_id"]): r["boost"] for r in U.boosts(hits, c, L.boost(q), table).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.5, (1, 3): 0.25, (2, 1): 1.0, (2, 2): 0.5, (2, 3): 0.0}
+    assert U.boosts(hits, c, L.boost(q), table.limit(0)).filter("boost <> 0").count() == 0
+    topics = q.withColumn("legal_topic", F.lit("t"))
+    older = spark.createDataFrame([("t", "A", "B"), ("u", "A", "C")], U.SUPERSEDED)
+    assert rows(U.without_older(hits.filter("query_id = 1"), c, topics, older), "doc_id") == [(1,), (3,)]
+    places = spark.createDataFrame([("HIẾM", 6, 2, 9), ("HIẾM", 6, None, 3)], U.PRIORITIES)
+    out = rows(U.prioritised(hits, c, q, places), "query_id", "place", "doc_id")
+    assert out == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 3), (2, 2, 2), (2, 3, 1)]
+
+
+def test_paced_calls_retry_and_keep_errors(spark):
+    import time
+
+    from lodestone.operators import models as M
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "id int, prompt string").coalesce(1)
+
+    def make():
+        turns = {}
+
+        def call(prompts):
+            p = prompts[0]
+            turns[p] = turns.get(p, 0) + 1
+            if p == "p1" and turns[p] < 3 or p == "p4":
+                raise OSError("busy")
+            return [f"{p} {turns[p]}"]
+
+        return call
+
+    pace = M.Pace(rate=20, retries=2, wait=0.01, error="error")
+    start = time.time()
+    got = {r["id"]: (r["answer"], r["error"]) for r in M.answered(df, make, pace=pace).collect()}
+    assert got[1] == ("p1 3", None) and got[4] == (None, "OSError: busy") and got[0] == ("p0 1", None) and time.time() - start > 9 / 20
+    with pytest.raises(Exception, match="busy"):
+        M.answered(df, make, pace=M.Pace(retries=1, wait=0.01)).collect()
+
+
+def test_table_functions_give_the_rows_of_the_operators(spark):
+    from lodestone.functions import tables
+    from lodestone.operators import news as N
+    from lodestone.operators import segment as S
+
+    assert set(tables.register(spark)) == set(tables.FUNCTIONS)
+    odd = [("x", 1, "Điều 7. Lạ\u00a0 1. Một\r\n 02. hai\n99999999999. ba: a) x\nĐ) y\nb)\n\x0bc) \u2003z"), ("y", 1, "\x01 Điều 8. \n\n\n"), ("z", 1, "Điều 9. Chỉ tiêu đề\nlời dẫn\n1. a-\n b")]
+    pages = spark.createDataFrame(LAW + odd, "doc string, page int, text string").withColumn("doc", F.crc32("doc"))
+    S.articles(pages).select("doc", "pos", "text").createOrReplaceTempView("test_articles")
+    got = spark.sql("SELECT * FROM lodestone_clauses(TABLE(test_articles) PARTITION BY doc ORDER BY pos)")
+    columns = ("doc", "pos", "head", "k", "no", "khoan", "clause")
+    key = lambda df, c: sorted(map(str, (tuple(r[x] for x in c) for r in df.collect())))
+    clauses = S.clauses(S.articles(pages))
+    assert key(got, columns) == key(clauses, columns) and got.count() > 8
+    got.createOrReplaceTempView("test_clauses")
+    columns = ("doc", "pos", "k", "khoan", "p", "diem", "said")
+    assert key(spark.sql("SELECT * FROM lodestone_points(TABLE(test_clauses) PARTITION BY doc)"), columns) == key(S.points(clauses), columns)
+    news = spark.createDataFrame([(1, "T", "T\n" + "a" * 1000 + "\n" + "b" * 900 + "\r\n\u00a0c  d\n"), (2, None, "x"), (3, "y", None)], "news_id long, title string, content string")
+    news.createOrReplaceTempView("test_news")
+    want = news.select("news_id", F.posexplode(N.chunks(F.col("title"), F.col("content"))).alias("chunk_index", "chunk"))
+    assert key(spark.sql("SELECT * FROM lodestone_news_chunks(TABLE(test_news) PARTITION BY (news_id), 1800)"), ("news_id", "chunk_index", "chunk")) == key(want, ("news_id", "chunk_index", "chunk"))
+
+
+def read_layer(content):
+    if content == b"bad":
+        raise ValueError("no pages")
+    return content.decode().split("|")
+
+
+def read_image(content, page):
+    if page == 3:
+        raise OSError("dark")
+    return f"seen {page}"
+
+
+def test_files_as_data_sources(spark, tmp_path):
+    from lodestone.sources import files
+
+    files.register(spark)
+    feeds = tmp_path / "feeds"
+    (feeds / "a").mkdir(parents=True)
+    item = "<item><title>Tin &amp; {0} &ndash; x</title><link>u{0}</link><description>&lt;b&gt;M &amp;ocirc;&lt;/b&gt;</description></item>"
+    doc = "<rss><channel><title>Nguồn</title>{}</channel></rss>"
+    (feeds / "a" / "1.xml").write_text(doc.format(item.format(1)) + "\n" + doc.format("<item>").replace("</channel>", "") + doc.format(item.format(2) + "<item><title>không</title></item>") + " \n")
+    (feeds / "2.xml").write_text(doc.format("".join(item.format(i) for i in range(100, 9000))))  # over several blocks
+    (feeds / "3.xml").write_text("")
+    (feeds / "_SUCCESS").write_text("x")
+    got = spark.read.format("lodestone_feeds").option("partition_mb", "0.5").load(str(feeds))
+    assert got.rdd.getNumPartitions() == 2 and got.count() == 8903
+    small = {r["doc"]: r for r in got.filter("file like '%1.xml'").collect()}
+    assert (small[0]["title"], small[0]["url"], small[0]["summary"], small[0]["source_name"]) == ("Tin & 1 - x", "u1", "M ô", "Nguồn") and small[1]["error"].startswith("ParseError") and small[2]["url"] == "u2"
+    (tmp_path / "html").mkdir()
+    (tmp_path / "html" / "p.html").write_text("<html><a class=x href=\"/a\">Thu&ocirc;ng <b>b</b></a></HTML><html>no</html><a href=\"b\">tail</a>")
+    assert rows(spark.read.format("lodestone_links").load(str(tmp_path / "html")), "doc", "pos", "href", "title") == [(0, 0, "/a", "Thuông b"), (2, 0, "b", "tail")]
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "a.pdf").write_text("x" * 60 + "|short|dark")
+    (tmp_path / "pages" / "b.pdf").write_text("bad")
+    how = {"layer": "test_engine:read_layer", "recognise": "test_engine:read_image"}
+    import os
+
+    spark.sparkContext.addPyFile(os.path.abspath(__file__))
+    out = {(os.path.basename(r["file"]), r["page"]): r for r in spark.read.format("lodestone_pages").options(**how).load(str(tmp_path / "pages")).collect()}
+    assert [(out["a.pdf", i]["extract_method"], out["a.pdf", i]["text"], out["a.pdf", i]["error"]) for i in (1, 2, 3)] == [("text", "x" * 60, None), ("ocr", "seen 2", None), (None, None, "OSError: dark")]
+    assert out["b.pdf", None]["error"] == "ValueError: no pages"
+    assert spark.read.format("lodestone_feeds").load(str(tmp_path / "none")).count() == 0
+
+
+def test_page_files_with_functions(spark, tmp_path):
+    from lodestone.sources.feeds import page_files
+
+    (tmp_path / "a.bin").write_bytes(b"x" * 60 + b"|short")
+    got = page_files(spark, str(tmp_path), lambda c: c.decode().split("|"), lambda c, i: f"seen {i}")
+    assert rows(got, "page", "extract_method", "text") == [(1, "text", "x" * 60), (2, "ocr", "seen 2")]
+
+
+def test_references_and_addresses_of_html(spark):
+    import html
+    from urllib.parse import urljoin
+
+    from lodestone.functions import web
+
+    texts = ["Thu&ocirc;ng &#233;&#x1EA5;&#XE9; &amp;amp; A & B &nbsp;x &unknown; &lt;b&gt; &notin; &; &fjlig;", "&amp;lt;", "&", "no", "&#128512;&#xD800;&#0;&#99999999;", ""]
+    got = [r["d"] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(web.decoded(F.col("t")).alias("d")).collect()]
+    assert got == [html.unescape(t).replace("\u00a0", " ") for t in texts[:4]] + ["😀&#xD800;&#0;&#99999999;", ""]
+    base, hrefs = "https://a.vn/a/b/c/d/e/f", ["../../../../../x", "../../../../../../../../x", "x/../..", "./", "..", "a/./b/../c?d=/../e", "x#/../y"]
+    joined = {r["h"]: r["u"] for r in spark.createDataFrame([(h,) for h in hrefs], "h string").select("h", web.absolute(F.lit(base), F.col("h")).alias("u")).collect()}
+    assert joined == {h: urljoin(base, h) for h in hrefs}
+
+
+def test_news_stream_keeps_every_version_once(spark, tmp_path):
+    from datetime import timedelta
+
+    from lodestone.streaming import news as S
+
+    schema = "title string, url string, source string, at string, content string"
+    news = [(f"Tin {i}", f"u{i % 3}", "s", "2026-01-01", f"Nội dung hóa đơn điện tử số {i}") for i in range(6)] + [("Mới", None, "s", "x", "tin mới"), (None, " ", None, None, "không tên"), (None, None, None, None, None)]
+
+    def land(name, rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    land("a", news[:5] + news[:2])
+    read = lambda keep=timedelta(days=365): S.to_chunks(spark, str(tmp_path / "in/*"), schema, str(tmp_path / "at"), files=1, keep=keep)
+    assert sorted(r["title"] for r in read().collect()) == [f"Tin {i}" for i in range(5)]
+    land("b", news[3:] + news[:1])
+    got = read()
+    want = S.chunked(S.keyed(spark.createDataFrame(news, schema)))
+    assert rows(got, "chunk_id", "text") == rows(want, "chunk_id", "text") and got.select("chunk_id").distinct().count() == got.count()
+    land("c", news)
+    assert read().count() == got.count()
+    assert {r["topic"] for r in got.filter("url = 'u0'").collect()} == {"e_invoice"}
