@@ -119,3 +119,10 @@ def report(flags: DataFrame) -> DataFrame:
     three = breakdown(flags).select(F.lit("breakdown").alias("section"), "place", F.concat("metric", F.lit(": "), F.col("n").cast("string")).alias("line"))
     four = groups.filter("n_failing > 0").select(F.lit("failures").alias("section"), F.row_number().over(W.orderBy(F.desc("n_failing"), "category")).alias("place"), F.concat("category", F.lit(" "), F.col("n_failing").cast("string")).alias("line"))
     return one.unionByName(two).unionByName(three).unionByName(four)
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The report's lines (see report) as text under path: sections one after the other, each in its order, in one file, as they are some tens."""
+    order = F.array_position(F.array(*map(F.lit, ("summary", "category", "breakdown", "failures"))), F.col("section"))
+    text = F.concat("section", F.lit("\t"), "line")
+    lines.orderBy(order, "place").select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -40,6 +40,16 @@ def appendix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.appendices(corpus.pages(spark, sf_dir)).select("doc", "idx", "title", F.md5("text").alias("hash"))
 
 
+def law_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and appendices of every law with what is known of the law; nothing is known of some, and not all of others."""
+    doc = F.col("doc_id")
+    laws = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 3").select(
+        doc.alias("doc"), corpus._of(corpus.NAMES, doc % 6).alias("ten_van_ban"), corpus._of(corpus.CODES, doc % 6).alias("ma_van_ban"), F.when(doc % 2 == 0, corpus._of(corpus.TYPES, doc % 6)).alias("loai_van_ban"), F.when(doc % 3 == 0, corpus._of(corpus.ISSUERS, doc % 6)).alias("cap_ban_hanh"),
+    )
+    rows = S.parsed(corpus.pages(spark, sf_dir), laws)
+    return rows.withColumn("hash", F.md5("text")).drop("text")
+
+
 def legal_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pages(spark, sf_dir).select("doc", "page", F.md5(normal_legal(F.col("text"))).alias("hash"))
 
@@ -121,7 +131,7 @@ def sql_news_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (sql_clauses, sql_points, sql_windows, sql_news_chunks, fixed_window_chunks, line_pack_chunks, article_split, article_chapters, appendix_blocks, legal_normalise, clause_split, point_split, refine_chunks, refine_cut, legal_order, chapter_asof, smart_split, recursive_chunks)
+    for f in (sql_clauses, sql_points, sql_windows, sql_news_chunks, fixed_window_chunks, line_pack_chunks, article_split, article_chapters, appendix_blocks, law_rows, legal_normalise, clause_split, point_split, refine_chunks, refine_cut, legal_order, chapter_asof, smart_split, recursive_chunks)
 }
 
 _WS = r"[\s\p{Z}]"
@@ -251,6 +261,17 @@ select user_id, event_id, view_id from (select *, last_value(case when event_typ
 tl as (select doc, {_strip(f"substring(t, length(string_split_regex(t, '{_APPENDIX}')[1]) + 1)")} as t from w),
 bl as (select doc, list_filter(list_transform(string_split(regexp_replace(t, '{_BLOCK}', chr(1) || '\1', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') as b from tl where t <> '')
 select doc, generate_subscripts(b, 1)::integer as idx, left({_strip('string_split(unnest(b), chr(10))[1]')}, 200) as title, md5(unnest(b)) as hash from bl
+""",
+    "law_rows": rf"""with {_ARTICLES},
+tl as (select doc, {_strip(f"substring(t, length(string_split_regex(t, '{_APPENDIX}')[1]) + 1)")} as t from w),
+bl as (select doc, list_filter(list_transform(string_split(regexp_replace(t, '{_BLOCK}', chr(1) || '\1', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') as b from tl where t <> ''),
+ap as (select doc, generate_subscripts(b, 1) as idx, unnest(b) as text from bl),
+un as (
+  select doc, pos as place, 'nội_dung_chính' as loai_noi_dung, coalesce(chapter, '') as chuong, dieu, title as tieu_de_dieu, coalesce(first_page, -1) as trang_bat_dau, null::varchar as tieu_de_phu_luc, text from art left join fp using (doc, dieu)
+  union all select doc, idx::integer, 'phụ_lục', null, null, null, null, left({_strip('string_split(text, chr(10))[1]')}, 200), text from ap),
+lw as (select doc_id as doc, {corpus._pick(corpus.NAMES, 'doc_id % 6')} as ten_van_ban, {corpus._pick(corpus.CODES, 'doc_id % 6')} as ma_van_ban, case when doc_id % 2 = 0 then {corpus._pick(corpus.TYPES, 'doc_id % 6')} end as loai_van_ban, case when doc_id % 3 = 0 then {corpus._pick(corpus.ISSUERS, 'doc_id % 6')} end as cap_ban_hanh from documents where doc_id % 7 <> 3)
+select doc, place, loai_noi_dung, coalesce(ten_van_ban, '') as ten_van_ban, coalesce(ma_van_ban, '') as ma_van_ban, coalesce(loai_van_ban, case loai_noi_dung when 'phụ_lục' then 'phụ_lục_văn_bản' else '' end) as loai_van_ban, coalesce(cap_ban_hanh, 'không_xác_định') as cap_ban_hanh,
+  chuong, dieu, tieu_de_dieu, trang_bat_dau, tieu_de_phu_luc, md5(text) as hash from un left join lw using (doc)
 """,
     "legal_normalise": f"with {corpus.PAGES} select doc, page, md5({_normal('text')}) as hash from pages_of",
     "clause_split": f"with {_ARTICLES} select doc, pos, khoan, head, md5(clause) as hash from cl",

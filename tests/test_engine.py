@@ -649,3 +649,12 @@ def test_news_stream_keeps_every_version_once(spark, tmp_path):
     land("c", news)
     assert read().count() == got.count()
     assert {r["topic"] for r in got.filter("url = 'u0'").collect()} == {"e_invoice"}
+
+
+def test_the_report_is_written_as_text(spark, tmp_path):
+    from lodestone.operators.questions import write_report
+
+    lines = spark.createDataFrame([("failures", 1, "vat 2"), ("summary", 2, "b: 1/2"), ("summary", 1, "a: 2/2"), ("category", 1, "vat: 1/3")], "section string, place int, line string")
+    write_report(lines, str(tmp_path / "report"))
+    (part,) = (tmp_path / "report").glob("part-*")
+    assert part.read_text().splitlines() == ["summary\ta: 2/2", "summary\tb: 1/2", "category\tvat: 1/3", "failures\tvat 2"]
