@@ -178,6 +178,7 @@ def test_models_keep_rows_in_place(spark):
 def test_settings_and_registered_functions(spark):
     from lodestone.config import Settings, settings
     from lodestone.functions.registered import register
+    from lodestone.functions.text import references
     from lodestone.operators.segment import recursive_cuts
 
     spark.conf.set("lodestone.top_k", "7")
@@ -185,7 +186,8 @@ def test_settings_and_registered_functions(spark):
     spark.conf.unset("lodestone.top_k")
     names = register(spark)
     got = spark.sql("select lodestone_tokens('Điều 5, x_y'), lodestone_slug(' A b '), lodestone_content_hash(' A  b'), lodestone_windows('abcdefghijk', 5, 2), lodestone_paragraphs('a  b\\n\\n c'), lodestone_recursive_cuts('aaaa bbbb')").first()
-    assert len(names) == 8 and got[0] == ["điều", "5", "x_y"] and got[1] == "a_b" and got[3] == ["abcde", "defgh", "ghijk"] and got[4] == ["a b", "c"] and list(got[5]) == recursive_cuts("aaaa bbbb")
+    assert spark.sql("select lodestone_references('theo Nghị định số 70/2025/NĐ-CP và nghị định số 70/2025/NĐ-CP') as r").first()["r"] == spark.range(1).select(references(F.lit("theo Nghị định số 70/2025/NĐ-CP và nghị định số 70/2025/NĐ-CP")).alias("r")).first()["r"] != []
+    assert len(names) == 9 and got[0] == ["điều", "5", "x_y"] and got[1] == "a_b" and got[3] == ["abcde", "defgh", "ghijk"] and got[4] == ["a b", "c"] and list(got[5]) == recursive_cuts("aaaa bbbb")
 
 
 def test_stream_loses_no_late_key_and_repeats_none(spark, tmp_path):
