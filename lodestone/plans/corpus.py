@@ -79,12 +79,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
+def _whole(held: Engine) -> bool:
+    """Whether what the engine has written is still there."""
+    made, spark = vars(held), held.spark
+    paths = [made[k].path for k in ("words", "phrases", "vectors", "documents") if made.get(k)] + (made["chunks"].inputFiles()[:1] if "chunks" in made else [])
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """The engine over these tables: one a session for as long as their files stay as they are, so its indexes are made once."""
+    """The engine over these tables: one a session for as long as their files and those of its indexes stay as they are, so these are made once."""
     files = [table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in ("documents", "embeddings")]
     state = files[0].unionByName(files[1]).agg(F.count("*"), F.sum(F.xxhash64(*files[0].columns).cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, sf_dir, *state)
-    if key not in _ENGINES:
+    if key not in _ENGINES or not _whole(_ENGINES[key]):
         _ENGINES[key] = Engine(spark, chunks(spark, sf_dir), vectors(spark, sf_dir))
     return _ENGINES[key]
 

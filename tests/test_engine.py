@@ -660,3 +660,16 @@ def test_the_report_is_written_as_text(spark, tmp_path):
     write_report(lines, str(tmp_path / "report"))
     (part,) = (tmp_path / "report").glob("part-*")
     assert part.read_text().splitlines() == ["summary\ta: 2/2", "summary\tb: 1/2", "category\tvat: 1/3", "failures\tvat 2"]
+
+
+def test_an_engine_is_made_anew_where_its_files_are_gone(spark):
+    import shutil
+
+    from lodestone.plans import corpus
+
+    sf = "/root/testdata/sf0.001"
+    held = corpus.engine(spark, sf)
+    assert held.words.n == held.chunks.count() and corpus.engine(spark, sf) is held
+    shutil.rmtree(held.words.path)
+    again = corpus.engine(spark, sf)
+    assert again is not held and again.words.n == held.words.n
