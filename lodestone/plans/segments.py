@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import tables
 from lodestone.functions.text import normal_legal, point_order
 from lodestone.operators import segment as S
-from lodestone.operators.rank import top
 from lodestone.sources import table
 
 from . import corpus
