@@ -93,7 +93,7 @@ def build(rows: DataFrame, path: str | None = None, cells: int | None = None) ->
         return VectorIndex(spark, path, 0)
     good, n = good.filter(F.size("v") == usual["size"]), usual["count"]
     cells = cells or cells_of(n)
-    chosen = good.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE * cells).toPandas()  # bounded by the number of cells
+    chosen = good.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE * cells).toPandas()  # bounded by the number of cells; copies count once
     centroids = fitted(np.stack(chosen["v"].to_numpy()), cells)
     shared = spark.sparkContext.broadcast(centroids)
 
