@@ -162,22 +162,27 @@ def idf(df: np.ndarray, n: int) -> np.ndarray:
 
 
 def packed(h: np.ndarray, df: np.ndarray, count: np.ndarray) -> bytes:
-    """A vector of distinct rising shingles: the upper halves of their hashes, their document frequencies and counts."""
+    """A vector of distinct rising shingles: how often those that no other document has stand in the text, and of the others the
+    upper halves of their hashes, their document frequencies and counts. What no other document has meets nothing, so its
+    weight is all that comparisons need of it."""
+    shared = df > 1
+    own, h, df, count = count[~shared].sum(), h[shared], df[shared], count[shared]
     x = (h >> np.uint64(32)).astype(np.uint32)
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.intp)
     n = np.add.reduceat(count, first) if len(x) else count
-    return np.concatenate([x[first], df[first].astype(np.uint32), n.astype(np.uint32)]).tobytes()
+    return np.concatenate([[own], x[first], df[first], n]).astype(np.uint32).tobytes()
 
 
-def unpacked(v: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rising hashes, weights and document frequencies; n is the number of documents."""
-    x, df, count = np.frombuffer(v, np.uint32).reshape(3, -1)
-    return x, count * idf(df, n), df
+def unpacked(v: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Distinct rising hashes, weights and document frequencies of the shared shingles, and the weight of all others; n is the number of documents."""
+    own, rest = np.split(np.frombuffer(v, np.uint32), [1])
+    x, df, count = rest.reshape(3, -1)
+    return x, count * idf(df, n), df, float(own[0] * idf(np.ones(1), n)[0])
 
 
-def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+def similarity(a: tuple, b: tuple) -> float:
     """Weighted Jaccard similarity of two vectors (see unpacked); two empty ones are alike."""
-    total = a[1].sum() + b[1].sum()
+    total = a[1].sum() + b[1].sum() + a[3] + b[3]
     if not total:
         return 1.0
     if not len(a[0]) or not len(b[0]):
@@ -188,21 +193,20 @@ def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
     return float(common / (total - common))
 
 
-def rarest(v: tuple[np.ndarray, ...], threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """The rarest shingles of a vector up to where the others weigh less than threshold times the whole, as far as any other
-    document has them; what each weighs with all behind it; and the weight of the whole.
+def rarest(v: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The rarest shingles of a vector that any other document has, up to where the others weigh less than threshold times the
+    whole; what each weighs with all behind it; and the weight of the whole.
 
     Two vectors of similarity threshold or more share at least threshold / (1 + threshold) of their summed weights, which is no
     less than threshold times that of either. All they share stands, in the order of rarity, at or behind the first
     shingle of both, so that one weighs as much with all behind it, in both.
     """
-    x, weight, df = v
+    x, weight, df, own = v
     order = np.lexsort((x, df))
-    held = np.cumsum(weight[order])
-    rest = held[-1] - held + weight[order]
-    k = order[rest >= threshold * held[-1] * (1 - 1e-6)]
-    shared = df[k] > 1
-    return x[k][shared], rest[: len(k)][shared], float(held[-1])
+    rest = np.cumsum(weight[order][::-1])[::-1]
+    whole = own + float(weight.sum())
+    k = order[rest >= threshold * whole * (1 - 1e-6)]
+    return x[k], rest[: len(k)], whole
 
 
 def _planes(x: np.ndarray) -> bytes:

@@ -528,6 +528,19 @@ def test_shingle_weights_with_very_many_shingles(spark):
     assert got == {i: i for i in range(14)}
 
 
+def test_vectors_hold_only_shingles_that_can_meet(spark, monkeypatch):
+    """Shingles of one document alone are held as their number, so vectors of texts with nothing in common take no room."""
+    from lodestone.llm import near_dedup
+
+    seen, written = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(500))) for i in range(40)] + [(i, " ".join(f"s{i // 2}x{k}" for k in range(500)) + f" t{i}") for i in range(40, 60)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if i >= 40 else i for i in range(60)}
+    sizes = {r["d"]: len(r["v"]) for r in seen["signed"].collect()}
+    assert max(sizes[i] for i in range(40)) <= 8 and max(sizes[i] for i in range(40, 60)) <= 12 * 500
+
+
 def test_near_duplicates_of_odd_rows(spark):
     from lodestone.llm.near_dedup import keep_one, near_duplicates
 
