@@ -40,6 +40,8 @@ BANDS, BAND = 16, 4
 CHUNK, SLICE = 4_000_000, 8_000_000
 SPARE = 11
 HUBS = 3
+#: Rows of a shingle from which on pairs are held against the weights of so many parts before they meet.
+CROWD, PARTS = 16, 128
 _NULL_ID = -(1 << 63)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Hash of the word that splitting makes of a text without words.
@@ -209,6 +211,12 @@ def rarest(v: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
     return x[k], rest[: len(k)], whole
 
 
+def parts(v: tuple) -> np.ndarray:
+    """What the shared shingles of a vector weigh in each of PARTS parts of all shingles: two vectors share no more of a part than
+    the lesser of both weighs there."""
+    return (np.bincount(v[0] % PARTS, v[1], PARTS) * (1 + 1e-6)).astype(np.float32)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of a row of numbers, all least ones first, so that the high ones, mostly 0, are compressed away."""
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
@@ -370,20 +378,39 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 columns = [np.concatenate([f[1] for f in found]).astype(np.int64), np.concatenate([f[2] for f in found]), np.concatenate([np.full(len(f[1]), f[3]) for f in found])]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, columns)], names=["key", "s", "rest", "size"])
 
+    def part_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            weights = [parts(unpacked(v.as_py(), n_docs)) for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weights, pa.list_(pa.float32()))], names=["key", "parts"])
+
     at = labelled(members)
     apart = at.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high and n > 2").select("h")
     left, n_left = _counted(at.join(apart, "h").select("key").distinct(), "left", F.lit(True))
     if n_left:
-        rare = labelled(written(vectors.join(left, "key").select("key", "v").mapInArrow(rare_rows, "key binary, s bigint, rest double, size double"), "rarest"))
+        rare = written(vectors.join(left, "key").select("key", "v").mapInArrow(rare_rows, "key binary, s bigint, rest double, size double"), "rarest")
+        crowds, n_crowds = _counted(rare.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWD).select("s", F.lit(True).alias("crowd")), "crowds", F.lit(True))
+        if n_crowds:
+            # all meet the one with least of its own: whoever is near enough to what a family shares is linked to it
+            at = labelled(rare.join(crowds, "s"))
+            stars = at.groupBy("s").agg(F.max_by(F.struct("key", "label"), F.struct(F.col("rest") / F.col("size"), "key")).alias("hub"))
+            settle(paired(at.join(stars, "s").filter("label != hub.label"), "", "hub."))
+        rare = labelled(rare)
         # of the label with most rows of a shingle no two are paired, so a group already joined costs no square of its size
         counts = rare.groupBy("s", "label").agg(F.count("*").alias("n"))
         most = counts.groupBy("s").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("n")).filter("n > 1").select("s", "most")
-        held = written(rare.join(most, "s").withColumn("main", F.col("label") == F.col("most")).drop("most"), "held")
+        held = rare.join(most, "s").withColumn("main", F.col("label") == F.col("most")).drop("most")
+        if n_crowds:
+            weighed = vectors.join(left, "key").select("key", "v").mapInArrow(part_rows, "key binary, parts array<float>")
+            held = held.join(crowds, "s", "left").join(weighed, "key", "left").withColumn("parts", F.when(F.col("crowd"), F.col("parts"))).drop("crowd")
+        held = written(held, "held")
         # x is the smaller one, so of its shingles only those count that weigh, with all behind, half of what both must share at least
         share = threshold / (1 + threshold) * (1 - 1e-6)
         small = held.filter(F.col("rest") >= 2 * share * F.col("size")).alias("x")
         both = F.col("x.size") + F.col("y.size")
         near = (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.size") <= F.col("y.size")) & (F.least("x.rest", "y.rest") >= share * both)
+        if n_crowds:
+            common = F.aggregate(F.zip_with("x.parts", "y.parts", lambda p, q: F.least(p, q)), F.lit(0.0), lambda total, part: total + part)
+            near &= F.col("x.parts").isNull() | (common >= share * both)
         met = [paired(small.filter(mine).join(held.filter(other).alias("y"), near), "x.", "y.") for mine, other in (("not main", F.lit(True)), ("main", ~F.col("main")))]
         settle(met[0].unionByName(met[1]).distinct())
     placed = labelled(classes).withColumnRenamed("label", "group")

@@ -541,6 +541,29 @@ def test_vectors_hold_only_shingles_that_can_meet(spark, monkeypatch):
     assert max(sizes[i] for i in range(40)) <= 8 and max(sizes[i] for i in range(40, 60)) <= 12 * 500
 
 
+def test_pairs_compared_in_a_family_about_the_threshold(spark, monkeypatch):
+    """Copies of a passage with 3 or 4 words changed: pairs of the former are near copies, others only where their changes meet."""
+    from lodestone.llm import near_dedup
+
+    tested, written, rng = [], near_dedup.written, random.Random(3)
+
+    def kept(df, name):
+        out = written(df, name)
+        tested.extend([out.count()] if name == "tested" else [])
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", kept)
+    rows = []
+    for i in range(400):
+        w = [f"b{k}" for k in range(1000)]
+        for k, at in enumerate(rng.sample(range(5, 990, 6), 3 + i % 2)):
+            w[at] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i] for i in range(0, 400, 2)} == {0} and len(set(got.values())) == 162  # as when all pairs that share a rare shingle were compared
+    assert sum(tested) < 30 * len(rows)  # 40,411 then
+
+
 def test_near_duplicates_of_odd_rows(spark):
     from lodestone.llm.near_dedup import keep_one, near_duplicates
 
