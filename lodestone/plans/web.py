@@ -54,7 +54,8 @@ _STRIP = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(r
 _LINKS = r"""a as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) as href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) as title,
   generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1), 1) - 1 as pos from p)"""
 
-_NODES = r"list_filter(list_transform(string_split_regex({}, '<!--.*?-->|<[^>]*>'), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '#'), '&#x27;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '')".replace("'#'", "'\"'")
+#: Texts between tags; "&amp" is a reference without its semicolon too, as HTML has it.
+_NODES = r"list_filter(list_transform(string_split_regex({}, '<!--.*?-->|<[^>]*>'), lambda x: regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '#'), '&#x27;', chr(39)), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), lambda x: x <> '')".replace("'#'", "'\"'")
 
 ORACLE_SQL = {
     "html_links": rf"""
@@ -72,7 +73,7 @@ select * from t where length(title) >= 20 and contains(lower(url), 'urile=wcm')
 """,
     "html_article_text": rf"""
 with r as (select page_id, regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'g') as h from pages),
-t as (select page_id, {_NODES.format("regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1)")} as a, {_NODES.format("regexp_extract(h, '(?is)<body[^>]*>(.*)</body>', 1)")} as b from r),
+t as (select page_id, {_NODES.format("regexp_extract(h, '(?is)<article[^>]*>(.*?)(?:</article>|</body>|$)', 1)")} as a, {_NODES.format("regexp_extract(h, '(?is)<body[^>]*>(.*?)(?:</body>|$)', 1)")} as b from r),
 l as (select page_id, array_to_string(a, chr(10)) as a, array_to_string(list_filter(list_transform(string_split(array_to_string(b, chr(10)), chr(10)), lambda x: trim(x)), lambda x: length(x) >= 30), chr(10)) as b from t),
 c as (select page_id, case when length(a) > 300 then a when length(b) > 300 then b end as c from l)
 select page_id, length(c)::bigint as n_chars, md5(c) as hash, null::varchar as published_at from c
