@@ -11,6 +11,9 @@ lodestone_links (file, doc, pos, href, title, error), files of one or more HTML
 lodestone_pages (file, page, extract_method, text, error), files of pages parted by form feeds, or what option ``layer``, the name
 "module:function" of a function from bytes to page texts, makes of them; a page with fewer than ``least`` (50) characters is read by
 ``recognise``, a function of the file's bytes and the page's number, where one is named.
+
+A store that pyarrow doesn't know, or a path that is no address to it, is read by ``read``: Spark opens the files and cuts them into documents, tasks parse these as the
+data source does. There a file must fit in memory, and one that can't be opened fails the query.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ import re
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .feeds import ENTITIES
@@ -94,30 +100,39 @@ class FeedReader(_Reader):
     def failed(self, path: str, doc: int | None, e: Exception) -> tuple:
         return path, doc, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
+    END = "</rss>"
+
     def rows(self, path: str, f) -> Iterator[tuple]:
-        for doc, xml in enumerate(self.documents(f, b"</rss>")):
-            try:
-                root = ElementTree.fromstring(repaired(xml).strip())
-            except ElementTree.ParseError as e:
-                yield self.failed(path, doc, e)
-                continue
-            named = plain(root.findtext("channel/title") or "") or None
-            for item in root.iter("item"):
-                title, url = plain(item.findtext("title") or ""), (item.findtext("link") or "").strip()
-                if title and url:
-                    yield path, doc, named, title, url, plain(item.findtext("description") or "") or None, (item.findtext("pubDate") or "").strip() or None, None
+        for doc, xml in enumerate(self.documents(f, self.END.encode())):
+            yield from self.document(path, doc, xml)
+
+    def document(self, path: str, doc: int, xml: str) -> Iterator[tuple]:
+        try:
+            root = ElementTree.fromstring(repaired(xml).strip())
+        except ElementTree.ParseError as e:
+            yield self.failed(path, doc, e)
+            return
+        named = plain(root.findtext("channel/title") or "") or None
+        for item in root.iter("item"):
+            title, url = plain(item.findtext("title") or ""), (item.findtext("link") or "").strip()
+            if title and url:
+                yield path, doc, named, title, url, plain(item.findtext("description") or "") or None, (item.findtext("pubDate") or "").strip() or None, None
 
 
 class LinkReader(_Reader):
+    END = "</html>"
     LINK = re.compile(r'<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', re.I | re.S)
 
     def failed(self, path: str, doc: int | None, e: Exception) -> tuple:
         return path, doc, None, None, None, f"{type(e).__name__}: {e}"
 
     def rows(self, path: str, f) -> Iterator[tuple]:
-        for doc, page in enumerate(self.documents(f, b"</html>")):
-            for pos, (href, inner) in enumerate(self.LINK.findall(page)):
-                yield path, doc, pos, href, " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()), None
+        for doc, page in enumerate(self.documents(f, self.END.encode())):
+            yield from self.document(path, doc, page)
+
+    def document(self, path: str, doc: int, page: str) -> Iterator[tuple]:
+        for pos, (href, inner) in enumerate(self.LINK.findall(page)):
+            yield path, doc, pos, href, " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split()), None
 
 
 def named(function: str) -> Callable:
@@ -177,6 +192,22 @@ class PageFiles(DataSource):
         return PageReader(dict(self.options))
 
 
+def read(spark: SparkSession, source: type[FeedFiles] | type[LinkFiles], path: str) -> DataFrame:
+    """The rows of ``source`` for the files under a path of any store that Spark knows, every document of a file a row of its own before it is parsed."""
+    made = source({})
+    parse = made.reader(None)
+    columns = [c.split()[0] for c in made.schema().split(", ")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [r for file, doc, text in zip(b["file"], b["doc"], b["text"], strict=True) for r in parse.document(file, doc, text)]
+            yield pd.DataFrame(found, columns=columns)
+
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    pieces = F.split(F.make_valid_utf8(F.col("content").cast("string")), f"(?i)(?<={parse.END})")
+    return held.select(F.col("path").alias("file"), F.posexplode(pieces).alias("doc", "text")).filter(F.rlike("text", F.lit(r"\S"))).mapInPandas(rows, made.schema())
+
+
 def register(spark) -> None:
     for source in (FeedFiles, LinkFiles, PageFiles):
         spark.dataSource.register(source)

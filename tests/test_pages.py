@@ -37,3 +37,31 @@ def sf(spark, tmp_path):
 def test_article_texts_of_cut_pages_and_bare_references(spark, sf):
     rows = {r[0]: r[1] for r in _same(spark, "html_article_text", sf)}
     assert rows[4] is None and all(rows[i] > 300 for i in (1, 2, 3))
+
+
+@pytest.mark.parametrize("name", ["feed_files", "link_files"])
+def test_files_in_a_folder_that_only_spark_opens(spark, tmp_path, monkeypatch, name):
+    from lodestone.plans import envelope
+
+    (tmp_path / "a b").mkdir()
+    monkeypatch.setattr(envelope, "new_path", lambda spark, name: f"file://{tmp_path}/a b/{name}")
+    titles = ["Thuế &amp; phí", "b", "c"]
+    rows = [(i, f"https://a.vn/{i}", f"<html><title>{t}</title><a href=\"/x\">{t}</a>\n</HTML>") for i, t in enumerate(titles, 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(_same(spark, name, tmp_path)) == 3
+
+
+def test_files_read_by_spark_are_rows_of_the_data_source(spark, tmp_path):
+    from lodestone.sources import files
+
+    files.register(spark)
+    (tmp_path / "f").mkdir()
+    item = "<rss><channel><title>n</title><item><title>t{0}</title><link>u</link></item></channel></rss>"
+    (tmp_path / "f" / "a.xml").write_bytes((item.format(1) + "\n" + item.format(2).replace("</rss>", "</RSS>") + item.format(3) + "<rss>").encode())
+    (tmp_path / "f" / "b.xml").write_bytes(b"\xff" + item.format(4).encode() + b"\n \n")
+    for source in (files.FeedFiles, files.LinkFiles):
+        want = spark.read.format(source.name()).load(str(tmp_path / "f"))
+        got = files.read(spark, source, str(tmp_path / "f"))
+        assert got.columns == want.columns
+        bare = lambda df: sorted(tuple(str(v).rpartition("/")[2] for v in r) for r in df.collect())
+        assert bare(got) == bare(want)
