@@ -65,3 +65,32 @@ def test_files_read_by_spark_are_rows_of_the_data_source(spark, tmp_path):
         assert got.columns == want.columns
         bare = lambda df: sorted(tuple(str(v).rpartition("/")[2] for v in r) for r in df.collect())
         assert bare(got) == bare(want)
+
+
+def test_texts_stay_where_they_are_for_few_hits(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import legal as L
+    from lodestone.sources.shared import written
+
+    # more candidates that don't hold the phrase than are read first
+    n = L.FIRST * 3
+    texts = ["THUẾ"] * n + ["thuế"] * 5
+    chunks = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "chunks")
+    asked = spark.createDataFrame([(1, "thuế"), (2, "Thuế")], "query_id long, phrase string")
+    met = asked.crossJoin(chunks.select("doc_id")).withColumn("said", F.col("phrase"))
+    found = L._first_holders(chunks, met, "said", ["text"], 2, True)
+    assert sorted(tuple(r) for r in found.collect()) == [("thuế", n, 1), ("thuế", n + 1, 2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = L.of(chunks, written(asked.select(F.col("query_id").alias("doc_id")), "hits"), "text")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    asked = spark.createDataFrame([(1, "hiếm")], "query_id long, text string")
+    from lodestone.operators import postings as P
+
+    # documents of one name count as one, wherever they stand
+    docs = spark.createDataFrame([(i % 300, "hiếm" if i in (5, 305) else f"từ{i}") for i in range(600)], "doc_id long, text string").repartition(8)
+    assert [(r["doc_id"], r["rank"]) for r in P.bm25(P.build(docs, block=16), asked, 3).collect()] == [(5, 1)]
