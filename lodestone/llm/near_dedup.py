@@ -39,6 +39,9 @@ BANDS, BAND = 16, 4
 #: Characters of a chunk of documents, and of all documents for each slice of the hash range.
 CHUNK, SLICE = 4_000_000, 8_000_000
 SPARE = 11
+#: A shingle that less than one in so many documents hold is as rare as one of a single document. Else what a copy has of its own would outweigh, the more the larger the
+#: table, what it shares with a large group, and the same two texts would be near in a small table only.
+RARE = 1000
 HUBS = 3
 #: Rows of a shingle from which on pairs are held against the weights of so many parts before they meet.
 CROWD, PARTS = 16, 128
@@ -160,7 +163,8 @@ def bands(who: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log((1 + n) / (1 + df.astype(np.float64))) + 1
+    """Weights of shingles that df of n documents hold: the logarithm of the share and one, alike for all that less than one in RARE hold."""
+    return np.log(np.minimum((1 + n) / (1 + df.astype(np.float64)), RARE)) + 1
 
 
 def packed(h: np.ndarray, df: np.ndarray, count: np.ndarray) -> bytes:

@@ -955,3 +955,13 @@ def test_texts_of_one_fingerprint_stay_apart(spark, monkeypatch):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert got == {0: 0, 1: 0, 2: 16, 3: 0, 4: 16, 5: 16, 6: 0, 7: 16}
+
+
+def test_copies_of_a_group_are_near_in_a_large_table(spark):
+    """Texts of a group share 500 of 610 shingles of each two; other documents have nothing in common with them."""
+    from lodestone.llm.near_dedup import near_duplicates
+
+    passage = [f"t{k}" for k in range(504)]
+    rows = [(i, " ".join([*passage, *(f"v{i}x{k}" for k in range(55))])) for i in range(20)] + [(i, f"f{i} a b c d") for i in range(20, 20_000)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 20 else i for i in range(20_000)}
