@@ -13,6 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
+from lodestone.sources.shared import written
+
+from .legal import of
 
 BOOSTS = "trait string, same string, code string, dieu int, khoan int, says string, titled string, told string, weight double"
 SUPERSEDED = "topic string, newer string, older string"
@@ -63,8 +66,8 @@ def boosts(hits: DataFrame, chunks: DataFrame, asked: DataFrame, table: DataFram
     in the chunk. asked: see legal.boost. A hit that no rule is about has 0; equal rules count each."""
     q = asked.select("query_id", "q_dieu", "q_khoan", "q_diem", "q_loai", "q_chu_de", "phrases", F.explode(_traits()).alias("trait"))
     about = q.join(table.select(*(F.col(c).alias(f"r_{c}" if c != "trait" else c) for c in table.columns)), "trait")
-    c = chunks.select("doc_id", "ma_van_ban", "loai_van_ban", "chu_de", "dieu", "khoan", "diem", F.lower("text").alias("t"), F.lower("tieu_de_dieu").alias("ti"))
-    pairs = hits.select("query_id", "doc_id").distinct()
+    pairs = written(hits.select("query_id", "doc_id").distinct(), "pairs")
+    c = of(chunks, pairs, "ma_van_ban", "loai_van_ban", "chu_de", "dieu", "khoan", "diem", "text", "tieu_de_dieu").withColumns({"t": F.lower("text"), "ti": F.lower("tieu_de_dieu")}).drop("text", "tieu_de_dieu")
     met = pairs.join(c, "doc_id").alias("c").join(about.alias("r"), "query_id")
     same = reduce(lambda acc, kv: acc.when(F.col("r_same") == kv[0], F.coalesce(F.expr(kv[1]), F.lit(False))), SAME.items(), F.when(F.col("r_same").isNull(), True)).otherwise(False)
     free = lambda c, holds: F.col(f"r_{c}").isNull() | F.coalesce(holds, F.lit(False))
